@@ -59,7 +59,7 @@ def materialized(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds what a Python worker holds at once; long texts make default batches very large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -84,7 +84,7 @@ def _packer(length: int, tokenizer: str, end_id: int, most: int):
                 continue
             groups, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             full = []
-            for g, key, ids in zip(groups, keys, tokens.encoder(tokenizer).encode_batch(batch.column(2).to_pylist())):
+            for g, key, ids in zip(groups, keys, tokens.encoder(tokenizer).encode_batch(batch.column(2))):
                 if g != group or len(kept) >= most:
                     yield from close()
                     used = 0 if g != group else used

@@ -66,13 +66,11 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 fs, path = fs_path = common.open_fs(folder)
                 bin_file, raw = fs.open_output_stream(f"{path}/{name}.bin"), fs.open_output_stream(f"{path}/{name}.idx")
                 idx, dtype = pa.ipc.new_file(raw, _IDX), np.dtype("<u2" if max(enc.max_id, end_id) < 1 << 16 else "<u4")
-            end = np.array([end_id], dtype).tobytes()
-            ids = enc.encode_batch(batch.column(1).to_pylist())
-            ends = n_tokens + np.cumsum([len(x) + 1 for x in ids])
-            for x in ids:
-                bin_file.write(x.astype(dtype, copy=False).tobytes() + end)
+            ids, sizes = enc.encode_array(batch.column(1))
+            bin_file.write(np.insert(ids.astype(dtype, copy=False), np.cumsum(sizes), end_id).tobytes())
+            ends = n_tokens + np.cumsum(sizes + 1)
             idx.write_batch(pa.record_batch([batch.column(0), pa.array(ends, pa.int64())], schema=_IDX))
-            n_docs, n_tokens, size = n_docs + len(ids), int(ends[-1]), dtype.itemsize
+            n_docs, n_tokens, size = n_docs + len(sizes), int(ends[-1]), dtype.itemsize
         if bin_file is not None:
             bin_file.close()
             idx.close()

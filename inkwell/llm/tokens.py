@@ -6,11 +6,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A cut before a single space between two non-space characters never changes a byte-level BPE's
 #: pre-tokens: the space opens the next one, and none holds a space elsewhere.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r" \s|\s |^ | $")
 _MARKS = ".,;:!?)"
 _LOADED: dict[str, BytePairEncoder] = {}
 
@@ -55,50 +56,80 @@ class BytePairEncoder:
 
     def _learn_all(self, words: list[str]) -> None:
         """Learns words; one that is letters and a final mark is put together from its two pre-tokens."""
-        whole, odd, marked = set(), [], []
+        whole, marked = set(), []
         for w in words:
             if w[-1] in _MARKS and w[:-1].isalpha():
                 marked.append(w)
                 if w[:-1] not in self.cache:
                     whole.add(w[:-1])
-            elif " " in w:
-                odd.append(w)
             else:
                 whole.add(w)
         self._learn(list(whole))
-        self.cache.update(zip(odd, (x.tobytes() for x in self._encode([" " + w for w in odd]))))
         if marked:
             marks = dict(zip(_MARKS, (x.tobytes() for x in self._encode(list(_MARKS)))))
             get = self.cache.__getitem__
             self.cache.update([(w, get(w[:-1]) + marks[w[-1]]) for w in marked])
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text; a null text has none."""
-        parts = []
-        for text in texts:
-            if not text:
-                parts.append([""])
-            elif any(t in text for t in self.added):
-                parts.append([text])
-            elif _UNSAFE.search(text):
-                parts.append(_CUT.split(text))
-            else:
-                parts.append(text.split(" "))
-        firsts = self._encode([p[0] for p in parts])
-        need = {w for p in parts for w in p[1:]}
-        missing = [w for w in need if w not in self.cache]
+    def _slow(self, text: str) -> np.ndarray:
+        """A text with runs of white space or with an added token."""
+        if any(t in text for t in self.added):
+            return self._encode([text])[0]
+        parts = _CUT.split(text)
+        ids = self._encode([parts[0], *[" " + w for w in parts[1:]]])
+        return np.concatenate(ids)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has; a null text has none.
+
+        Words are split, and equal ones found, by Arrow; Python sees each different word of the batch once.
+        """
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        uneven = pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary)
+        uneven = pc.or_(uneven, pc.equal(coded.dictionary, ""))
+        for token in self.added:
+            uneven = pc.or_(uneven, pc.match_substring(coded.dictionary, token))
+        uneven = uneven.to_numpy(zero_copy_only=False)
+        pieces = list(map(self.cache.get, words))
+        missing = [i for i, p in enumerate(pieces) if p is None]
         if len(self.cache) + 2 * len(missing) > self.cache_words:
-            self.cache = {}
-            missing = list(need)
-        if missing:
-            self._learn_all(missing)
-        get = self.cache.__getitem__
-        out = [
-            np.frombuffer(first.tobytes() + b"".join(map(get, p[1:])), self.dtype) for p, first in zip(parts, firsts)
-        ]
+            self.cache, missing = {}, range(len(words))
+        odd = set(np.flatnonzero(uneven).tolist())
+        missing = [i for i in missing if i not in odd] if odd else missing
+        self._learn_all([words[i] for i in missing])
+        for i in missing:
+            pieces[i] = self.cache[words[i]]
+        for i in odd:
+            pieces[i] = b""
+        # Each text's first word follows no space: it has an entry of its own behind the words, as a slow text has.
+        firsts, n = offsets[:-1], len(words)
+        slow = np.zeros(len(texts), bool)
+        if odd:
+            slow = np.add.reduceat(uneven[at], firsts) > 0
+            at = np.where(np.repeat(slow, np.diff(offsets)), n + len(texts), at)
+        heads = self._encode([w if not s else "" for w, s in zip((words[i] if i < n else "" for i in at[firsts]), slow)])
+        pieces += [self._slow(texts[i].as_py()).tobytes() if slow[i] else h.tobytes() for i, h in enumerate(heads)]
+        pieces.append(b"")
+        at[firsts] = n + np.arange(len(texts))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        table = np.frombuffer(b"".join(pieces), self.dtype)
+        took = size[at]
+        ends = np.cumsum(took)
+        out = table[np.repeat(start[at] - (ends - took), took) + np.arange(ends[-1])]
         if len(self.cache) > self.cache_words:  # one huge batch
             self.cache = {}
-        return out
+        return out, np.add.reduceat(took, firsts)
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Ids of each whole text; a null text has none."""
+        ids, sizes = self.encode_array(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 def encoder(path: str) -> BytePairEncoder:
