@@ -118,7 +118,7 @@ def pack_documents(
 ) -> DataFrame:
     """A row for each piece: key, start, length, doc_tokens, sequence_id, offset and its ids (little-endian 32-bit)."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 3000)
     n_groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     grouped = rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(n_groups)).alias("group"), "key", "text")

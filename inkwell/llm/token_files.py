@@ -99,7 +99,7 @@ def write_tokens(
     repeated task never touches another attempt's file; what unfinished attempts left is removed.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 3000)
     folder = folder or common.shared_dir(spark, "tokens")
     common.make_dir(folder)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))

@@ -20,10 +20,10 @@ class BytePairEncoder:
     """Encodes whole texts; equal words are encoded once while they stay in the cache.
 
     A text is cut only where the encoding can't change (see _CUT), so the ids are those of
-    ``Tokenizer.encode(text, add_special_tokens=False)``. The cache holds ``cache_words`` words at most.
+    ``Tokenizer.encode(text, add_special_tokens=False)``. Between batches the cache holds about ``cache_words`` words at most.
     """
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,7 +34,9 @@ class BytePairEncoder:
         self.opens = np.zeros(self.max_id + 1, bool)  # ids of tokens that begin with a space
         for token, i in vocab.items():
             self.opens[i] = token.startswith("Ġ")
+        # Two generations: the younger takes what is used; when it is full, it takes the place of the older.
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
 
@@ -97,8 +99,11 @@ class BytePairEncoder:
         uneven = uneven.to_numpy(zero_copy_only=False)
         pieces = list(map(self.cache.get, words))
         missing = [i for i, p in enumerate(pieces) if p is None]
-        if len(self.cache) + 2 * len(missing) > self.cache_words:
-            self.cache, missing = {}, range(len(words))
+        if self.older:
+            for i in missing:
+                if (p := self.older.get(words[i])) is not None:
+                    pieces[i] = self.cache[words[i]] = p
+            missing = [i for i in missing if pieces[i] is None]
         odd = set(np.flatnonzero(uneven).tolist())
         missing = [i for i in missing if i not in odd] if odd else missing
         self._learn_all([words[i] for i in missing])
@@ -122,8 +127,8 @@ class BytePairEncoder:
         took = size[at]
         ends = np.cumsum(took)
         out = table[np.repeat(start[at] - (ends - took), took) + np.arange(ends[-1])]
-        if len(self.cache) > self.cache_words:  # one huge batch
-            self.cache = {}
+        if len(self.cache) > self.cache_words // 2:
+            self.older, self.cache = self.cache if len(self.cache) <= self.cache_words else {}, {}
         return out, np.add.reduceat(took, firsts)
 
     def encode_batch(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
