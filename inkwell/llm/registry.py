@@ -6,19 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import chat, decontaminate, packing, quality, separator_scan, token_files
+from inkwell.llm import chat, decontaminate, ngram_join, packing, quality, separator_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
     "op2_packing": packing.query,
     "op3_separator_scan": separator_scan.query,
     "op4_chat_formatting": chat.query,
+    "op5_ngram_join": ngram_join.query,
     "op6_decontaminate": decontaminate.query,
+    "op8_warc": warc.query,
     "op10_quality_rules": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op10_quality_rules": quality.ORACLE_SQL,
 }
