@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import chat, decontaminate, ngram_join, packing, quality, separator_scan, token_files, warc
+from inkwell.llm import chat, decontaminate, licenses, ngram_join, packing, pitman_yor, quality, separator_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": chat.query,
     "op5_ngram_join": ngram_join.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_pitman_yor": pitman_yor.query,
     "op8_warc": warc.query,
+    "op9_license_scan": licenses.query,
     "op10_quality_rules": quality.query,
 }
 
