@@ -11,8 +11,9 @@ times its size lie. So linked sets share a signature, always.
 2. Signatures meet in one sort; only those that two classes share stay. A signature's members are never paired with
    each other at once: each member is compared with the first one of its bucket, one partner in a round.
 3. Links found merge components, and a bucket's members that are in one component already need no comparison. What
-   the star rounds leave, members of one bucket in different components that were never compared, is compared pair by
-   pair, so no link is lost. A triangle bound spares pairs whose distances to a common partner rule a link out.
+   the star rounds leave, members of one bucket in different components that were never compared, is joined on the
+   rarest elements of their differences from the bucket's first member (see _left_pairs), so no link is lost and a
+   large group of near copies isn't paired with itself.
 
 Rows: without words (null or empty text) a set is empty, links with nothing and is its own component. A text of fewer
 words than n is one run. A null id has a null component and links with nothing. Rows of one id are one node, linked
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 from inkwell.llm.components import connected_components
 
-#: Star rounds before the rest is compared pair by pair.
-ROUNDS = 4
+#: Star rounds before the rest is compared.
+ROUNDS = 2
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -122,6 +123,40 @@ def _sets(n: int):
     return sets
 
 
+def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that may be linked, of members of one bucket in different components: a superset of the linked ones.
+
+    left: center, id, label: the members of the buckets of each center. Let D(x) be the symmetric difference of a
+    member and its center. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and linked ones in
+    k(x, y) = (1 - t) / (1 + t) (|x| + |y|) at most; one of them, say x, is not linked with the center, so
+    |D(x)| > k(x, center), or the center joins them (its links are among the pairs). So their differences share (|D(x)| + |D(y)| - k(x, y)) / 2 > 0 elements or more: of each
+    D a prefix in the order of rarity is enough to find the pair, and edits that few members share come first. A group
+    of near copies of one text, which have all signatures in common, gives pairs only where edits agree.
+    """
+    one = left.join(sets.select("id", F.col("set").alias("x")), "id")
+    two = one.join(sets.select(F.col("id").alias("center"), F.col("set").alias("c")), "center")
+    diff = F.array_union(F.array_except("x", "c"), F.array_except("c", "x"))
+    d = two.select("center", "id", "label", F.size("x").alias("size"), F.size("c").alias("size_c"), diff.alias("diff"))
+    d = d.withColumn("n", F.size("diff"))
+    least = F.ceil(F.col("size") * num / den)  # sizes of partners lie in [least, size * den / num]
+    most_k = F.floor(F.col("size") * (den - num) / num)
+    least_k = F.floor((den - num) * (least + F.col("size_c")) / (den + num))
+    apart = F.col("n") * (den + num) > (den - num) * (F.col("size") + F.col("size_c"))  # not linked with the center
+    # Shared elements at least: with a partner that is apart, and, for one that is, with one that isn't.
+    with_apart = F.greatest(F.lit(1), F.ceil((F.col("n") + least_k + 1 - most_k) / 2))
+    with_near = F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.col("n") - most_k, F.lit(1)) - most_k) / 2))
+    d = d.withColumn("apart", apart)
+    near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
+    d = d.select("center", "id", "label", "apart", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("long"), F.explode("diff").alias("e"))
+    count = d.groupBy("center", "e").agg(F.count("*").alias("df")).where("df > 1")  # an element of one member finds nobody
+    d = d.join(count, ["center", "e"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("center", "id").orderBy("df", "e"))).where("df > 1")
+    index = d.where("place <= short").select("center", "e", F.col("id").alias("id_b"), F.col("label").alias("label_b"), F.col("apart").alias("apart_b"))
+    probe = d.where("apart AND place <= greatest(short, long)")
+    found = probe.join(index, ["center", "e"]).where("label <> label_b AND (NOT apart_b OR id < id_b AND place <= short)")
+    return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).union(near).distinct()
+
+
 def link_documents(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100
 ) -> tuple[DataFrame, DataFrame]:
@@ -193,13 +228,11 @@ def link_documents(
         compared = found if compared is None else compared.unionByName(found)
         labels = connected_components(compared.where("linked").select("a", "b"), f"{folder}/round-{k}")
     # What is left: members of a bucket in different components that were never compared.
-    left = labelled()
     order = Window.partitionBy("sign")
-    left = left.withColumn("mixed", F.min("label").over(order) < F.max("label").over(order)).where("mixed").select("sign", "id", "size", "label")
-    other = left.select("sign", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "label")])
-    pairs = left.join(other, "sign").where("id < id_b AND label <> label_b")
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("size").alias("size_a"), "size_b").where(near)
-    rest = compare(untested(pairs.select("a", "b").distinct()), "rest")
+    left = labelled().withColumns({"center": F.min("id").over(order), "mixed": F.min("label").over(order) < F.max("label").over(order)})
+    left = left.where("mixed").select("center", "id", "label").distinct()
+    pairs = _left_pairs(left, sets, num, den)
+    rest = compare(untested(pairs), "rest")
     compared = rest if compared is None else compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
     labels = connected_components(links, f"{folder}/all")

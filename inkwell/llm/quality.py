@@ -128,8 +128,12 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that pass, with the input's columns."""
-    return judge(docs, text).where("q_kept").select(docs.columns)
+    """The rows that pass, with the input's columns.
+
+    The row number keeps the filter above the projections: pushed below them, it would repeat all their expressions.
+    """
+    judged = judge(docs, text).withColumn("q_row", F.monotonically_increasing_id())
+    return judged.where("q_kept AND q_row >= 0").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
