@@ -108,7 +108,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = token_files.read_tokens(spark, data, with_ids=False).select("key", "start", "n_tokens")
     bases = spark.createDataFrame([(f"{data.folder}/{name}.bin", base) for name, _, _, _, base in data.shards], "uri string, base long")
     placed = counted.join(F.broadcast(bases), "uri").withColumn("start", F.col("start") + F.col("base"))
-    return placed.join(keys.select("start", F.col("key").alias("doc_id")), "start", "left").select(
+    # Statistics of either side come from the short list of files; without the hint one would be broadcast whole.
+    names = keys.select("start", F.col("key").alias("doc_id")).hint("merge")
+    return placed.join(names, "start", "left").select(
         "doc_id", "start", "n_tokens", F.regexp_extract("uri", r"shard-(\d+)", 1).cast("long").alias("file_no"), "doc_no", "closed"
     )
 
