@@ -23,6 +23,7 @@ where any of them is. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,17 +64,30 @@ class PartEnum:
             self.tops.append(max(least, least * self.den // self.num))
         return int(np.searchsorted(self.tops, size))
 
-    def _signs(self, mixed: np.ndarray, band: int) -> np.ndarray:
+    def parts(self, band: int) -> tuple[int, int]:
+        """Parts of the domain in a band, and how many of them linked sets agree on at least."""
         k = 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
-        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         if k == 0:
+            return 0, 1
+        most_bad = k // (self.k2 + 1)
+        mean = self.tops[band] * self.num / self.den / (most_bad + 1) * (self.n2 - self.k2) / self.n2
+        sure = 1 + math.ceil(2 * len(self.subsets) * math.exp(-mean) * (most_bad + 1))
+        return most_bad + sure, sure
+
+    def _signs(self, mixed: np.ndarray, band: int) -> np.ndarray:
+        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        n1, sure = self.parts(band)
+        if n1 == 0:
             return common.mix(mixed.sum(dtype=np.uint64, keepdims=True) + salt)
-        n1 = k // (self.k2 + 1) + 1
         cells = np.zeros(n1 * self.n2, np.uint64)
-        np.add.at(cells, ((mixed >> np.uint64(20)) % np.uint64(len(cells))).astype(np.int64), mixed)
-        cells = cells.reshape(n1, self.n2)
-        sums = np.stack([cells[:, list(s)].sum(axis=1, dtype=np.uint64) for s in self.subsets], axis=1).ravel()
-        return common.mix(common.mix(sums) + salt + np.arange(len(sums), dtype=np.uint64))
+        at = ((mixed >> np.uint64(20)) % np.uint64(len(cells))).astype(np.int64)
+        np.add.at(cells, at, mixed)
+        cells, many = cells.reshape(n1, self.n2), np.bincount(at, minlength=len(cells)).reshape(n1, self.n2)
+        sums = np.stack([cells[:, list(s)].sum(axis=1, dtype=np.uint64) for s in self.subsets], axis=1)
+        empty = np.stack([many[:, list(s)].sum(axis=1) == 0 for s in self.subsets], axis=1)
+        out = common.mix(common.mix(sums.ravel()) + salt + np.arange(sums.size, dtype=np.uint64))
+        # Linked sets agree on `sure` parts; with fewer parts that have an empty subset, one of those has none.
+        return out[~empty.ravel()] if empty.any(axis=1).sum() < sure else out
 
     def signatures(self, found: np.ndarray) -> np.ndarray:
         if not len(found):
@@ -147,13 +161,17 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     with_near = F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.col("n") - most_k, F.lit(1)) - most_k) / 2))
     d = d.withColumn("apart", apart)
     near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
-    d = d.select("center", "id", "label", "apart", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("long"), F.explode("diff").alias("e"))
+    d = d.select("center", "id", "label", "apart", "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("long"), F.explode("diff").alias("e"))
     count = d.groupBy("center", "e").agg(F.count("*").alias("df")).where("df > 1")  # an element of one member finds nobody
     d = d.join(count, ["center", "e"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     d = d.withColumn("place", F.row_number().over(Window.partitionBy("center", "id").orderBy("df", "e"))).where("df > 1")
-    index = d.where("place <= short").select("center", "e", F.col("id").alias("id_b"), F.col("label").alias("label_b"), F.col("apart").alias("apart_b"))
+    index = d.where("place <= short").select("center", "e", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "apart", "n", "size", "place")])
     probe = d.where("apart AND place <= greatest(short, long)")
+    # The first element that two members share leaves room for no more than what follows it in both.
+    k = F.floor((den - num) * (F.col("size") + F.col("size_b")) / (den + num))
+    room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
     found = probe.join(index, ["center", "e"]).where("label <> label_b AND (NOT apart_b OR id < id_b AND place <= short)")
+    found = found.where(2 * room >= F.col("n") + F.col("n_b") - k)
     return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).union(near).distinct()
 
 
