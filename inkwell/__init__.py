@@ -1,0 +1 @@
+"""A Spark engine for documentation research artifacts."""

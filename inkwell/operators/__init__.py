@@ -1,0 +1 @@
+"""Operators on whole relations."""

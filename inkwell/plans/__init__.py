@@ -1,0 +1 @@
+"""Relations derived from the raw tables."""

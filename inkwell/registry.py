@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwell import oracle, queries
+
 FLAGSHIP = "list_artifacts"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: f for name, f in vars(queries).items() if callable(f) and not name.startswith("_") and getattr(f, "__module__", "") == queries.__name__
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {k: v for k, v in oracle.SQL.items() if k in QUERIES}
