@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.llm import common
 
@@ -230,8 +231,9 @@ def find_contamination(
     item_text: str = "text",
     window: int = WINDOW,
     block_items: int = 20_000,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """docs' columns as struct `row`, n_words, n_hit, items (sorted ids whose windows occur) and the hit spans in words."""
+    """docs' columns (the text's only if keep_text) as struct `row`, n_words, n_hit, items (sorted ids whose windows occur) and the hit spans in words."""
     spark = docs.sparkSession
     common.small_batches(spark)
     folder = common.shared_dir(spark, "decontaminate")
@@ -242,14 +244,17 @@ def find_contamination(
     dealt = dealt.repartition("block")
     written = dealt.mapInArrow(_write_blocks(folder, window), "block long")
     blocks = sorted(r.block for r in written.collect())
-    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"), F.col(text).cast("string").alias("text"))
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text]).alias("row"), F.col(text).cast("string").alias("text"))
     if blocks:
         counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counter(folder, blocks), "block long, size long, place long, n long")
         none = spark.createDataFrame([(b, 0, 0, 0) for b in blocks], counts.schema)
         sums = counts.groupBy("block", "size", "place").agg(F.sum("n").alias("n")).unionByName(none)
         sums.groupBy("block").applyInArrow(_indexer(folder), "block long").collect()
-    kind = read.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_words long, n_hit long, items array<string>, span_starts array<long>, span_ends array<long>"
+    schema = T.StructType([read.schema["row"]])
+    for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType()))):
+        schema.add(name, kind)
+    for name in ("span_starts", "span_ends"):
+        schema.add(name, T.ArrayType(T.LongType()))
     return read.mapInArrow(_matcher(folder, blocks), schema)
 
 
@@ -259,10 +264,8 @@ def contaminated():
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns; the text travels through the match."""
-    named = docs.withColumn("_text", F.col("text"))
-    found = find_contamination(named, items, text="_text").where(~contaminated())
-    return found.select("row.*").select(docs.columns)
+    """The documents that are not contaminated, with their columns."""
+    return find_contamination(docs, items, keep_text=True).where(~contaminated()).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ higher priority is suppressed; of equal intervals the higher priority stays.
 Everything is a Spark expression in the row: no user functions, no join, no shuffle.
 
 Rows: a null text is empty. An empty text has no words and no labels. Repeated rows are scanned alike, each for itself.
-An empty table gives no rows. Other columns are kept by scan() and ignored by the query.
+An empty table gives no rows. Other columns are kept by scan() (in a struct, so no name clashes) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -144,17 +144,18 @@ def _lower(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with l_n_words, l_starts (start of each base phrase, as (start, label)), l_found (detections that stay, as
+    """The input's row as struct l_in, l_n_words, l_starts (start of each base phrase, as (start, label)), l_found (detections that stay, as
     (label, start, end, priority, relevance), in words) in order of start, and l_labels of all detections that stay."""
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rough = F.lower(raw)  # only to gate: other letters than A-Z may change here, A-Z change alike
+    rough = F.lower(F.col("l_raw"))  # only to gate: other letters than A-Z may change here, A-Z change alike
     gate = F.lit(False)
     for word in GATES:
         gate = gate | rough.contains(word.split(" ")[0])
-    one = docs.withColumns(
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("l_in")
+    one = docs.select(row, raw.alias("l_raw")).withColumns(
         {
-            "l_n_words": F.regexp_count(raw, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long"),
-            "l_words": F.when(gate, F.array_remove(F.split(_lower(raw), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")),
+            "l_n_words": F.regexp_count("l_raw", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long"),
+            "l_words": F.when(gate, F.array_remove(F.split(_lower(F.col("l_raw")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")),
         }
     )
     two = one.withColumn("l_line", F.concat(F.lit(" "), F.array_join("l_words", " "), F.lit(" ")))
@@ -225,7 +226,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     start = F.struct(*nothing, F.array().cast(kind).alias("found"))
     found = F.when(F.size("l_all") > 0, F.aggregate("l_all", start, step, lambda acc: acc["found"]))
     four = three.withColumns({"l_found": F.coalesce(found, F.array().cast(kind)), "l_starts": F.coalesce("l_starts", F.array().cast("array<struct<start:int,label:string>>"))})
-    return four.drop("l_words", "l_line", "l_all")
+    return four.drop("l_raw", "l_words", "l_line", "l_all")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.array_distinct(F.transform("l_starts", lambda s: s["label"]))
     own = F.transform("l_found", lambda d: d["label"])
     return scan(docs).select(
-        "doc_id",
+        "l_in.doc_id",
         F.col("l_n_words").alias("n_words"),
         F.size("l_starts").cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),

@@ -8,8 +8,9 @@ every subset of n2 - k2 cells of every part. A set signs for its own band and th
 times its size lie. So linked sets share a signature, always.
 
 1. Equal sets form a class; its smallest id stands for it. Later steps see each class once for each input task.
-2. Signatures meet in one sort; only those that two classes share stay. A signature's members are never paired with
-   each other at once: each member is compared with the first one of its bucket, one partner in a round.
+2. Signatures meet in one sort; only those that two classes share stay. Members of a small bucket are paired and held
+   against each other's sketch, a lower bound of their difference. A large bucket's members are never paired with each
+   other: each is compared with the first one of its bucket. Of its likely partners a member meets one in a round.
 3. Links found merge components, and a bucket's members that are in one component already need no comparison. What
    the star rounds leave, members of one bucket in different components that were never compared, is joined on the
    rarest elements of their differences from the bucket's first member (see _left_pairs), so no link is lost and a
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import common
@@ -36,6 +37,8 @@ from inkwell.llm.components import connected_components
 
 #: Star rounds before the rest is compared.
 ROUNDS = 2
+#: Buckets of up to so many members are paired directly; sketches then rule out what only shares a signature.
+BUCKET = 32
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -98,13 +101,31 @@ class PartEnum:
         return np.concatenate([self._signs(mixed, b) for b in (band, band + 1)])
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Elements in each of 2^b >= n / 8 cells, 127 at most: sets that differ in k elements differ by k here at most."""
+    cells = 1 << max(4, (max(1, len(found) - 1) // 8).bit_length())
+    return np.minimum(np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 127).astype(np.int8)
+
+
+def _sketch_distance(a: Column, b: Column) -> Column:
+    """L1 distance of two sketches; the finer one is folded, once or twice, as the sizes of partners allow."""
+
+    def fold(x: Column, other: Column) -> Column:
+        half = F.size(x) / 2
+        halves = F.zip_with(F.slice(x, 1, half.cast("int")), F.slice(x, half.cast("int") + 1, half.cast("int")), lambda u, v: F.least(u.cast("int") + v, F.lit(127)).cast("byte"))
+        return F.when(F.size(x) > F.size(other), halves).otherwise(x)
+
+    a, b = fold(a, b), fold(b, a)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+
+
 def _classes(n: int):
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64())],
-                ["id", "n_shingles", "class"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int8()))],
+                ["id", "n_shingles", "class", "sketch"],
             )
 
     return classes
@@ -186,7 +207,7 @@ def link_documents(
     common.small_batches(spark)
     folder = common.shared_dir(spark, "ngram-join")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    named = common.materialized(rows.mapInArrow(_classes(n), "id long, n_shingles long, class long"), f"{folder}/classes")
+    named = common.materialized(rows.mapInArrow(_classes(n), "id long, n_shingles long, class long, sketch array<tinyint>"), f"{folder}/classes")
     first = named.where("id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
     member = common.materialized(
         named.join(first, "class", "left").select("id", "n_shingles", "class", F.coalesce("rep", "id").alias("rep")), f"{folder}/members"
@@ -199,10 +220,24 @@ def link_documents(
     # One row for each class in a bucket; buckets of one class go.
     reps = member.select("id", "rep", F.col("n_shingles").alias("size")).distinct()
     shared = shared.join(reps, "id").select("sign", F.col("rep").alias("id"), "size").distinct()
-    order = Window.partitionBy("sign").orderBy("id")
-    shared = shared.withColumns({"before": F.lag("id").over(order), "after": F.lead("id").over(order)})
-    shared = common.materialized(shared.where("before IS NOT NULL OR after IS NOT NULL").select("sign", "id", "size"), f"{folder}/shared")
-    wanted = shared.select("id").distinct()
+    many = F.count("*").over(Window.partitionBy("sign"))
+    shared = common.materialized(shared.withColumn("many", many).where("many > 1"), f"{folder}/shared")
+    close = num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b")
+    far = common.materialized(named.where("id IS NOT NULL").join(reps.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").select("id", "sketch"), f"{folder}/sketches")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, size_a, size_b) those that may be linked by their sizes and sketches."""
+        one = pairs.where(close).join(far.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a")
+        two = one.join(far.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b")
+        return two.where(_sketch_distance(F.col("s_a"), F.col("s_b")) * (den + num) <= (den - num) * (F.col("size_a") + F.col("size_b"))).drop("s_a", "s_b")
+
+    # Members of small buckets meet each other, BUCKET / 2 pairs for a row at most; large ones are treated below.
+    small = shared.where(F.col("many") <= BUCKET).select("sign", F.col("id").alias("a"), F.col("size").alias("size_a"))
+    pairs = small.join(small.select("sign", F.col("a").alias("b"), F.col("size_a").alias("size_b")), "sign").where("a < b")
+    pairs = pairs.where(close).groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    pairs = common.materialized(likely(pairs).select("a", "b"), f"{folder}/pairs")
+    large = shared.where(F.col("many") > BUCKET).select("sign", "id", "size")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
     sets = common.materialized(rows.join(wanted, "id").select("id", "text").mapInArrow(_sets(n), "id long, set array<long>"), f"{folder}/sets")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
@@ -213,44 +248,47 @@ def link_documents(
         found = two.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sum"))
         return common.materialized(found.withColumn("linked", den * F.col("both") >= num * (F.col("sum") - F.col("both"))), f"{folder}/{name}")
 
-    near = (num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b"))
     compared, labels = None, None
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame, column: str = "id") -> DataFrame:
         if labels is None:
-            return shared.withColumn("label", F.col("id"))
-        return shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+            return rows.withColumn(f"label_{column}", F.col(column))
+        named = labels.select(F.col("node").alias(column), F.col("label").alias(f"label_{column}"))
+        return rows.join(named, column, "left").withColumn(f"label_{column}", F.coalesce(f"label_{column}", column))
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if compared is None else pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
+    def open_pairs() -> DataFrame:
+        return untested(labelled(labelled(pairs, "a"), "b").where("label_a <> label_b").select("a", "b"))
+
     for k in range(ROUNDS):
-        # The center of a bucket: its first member in an order that differs from round to round.
+        # The center of a large bucket: its first member in an order that differs from round to round.
         rank = F.col("id") if k == 0 else F.xxhash64(F.col("id"), F.lit(k))
         order = Window.partitionBy("sign").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        star = labelled().withColumn("rank", rank).withColumn("center", F.first(F.struct("rank", "id", "label", "size")).over(order))
-        star = star.where("center.label <> label").select(
+        star = labelled(large).withColumn("rank", rank).withColumn("center", F.first(F.struct("rank", "id", "label_id", "size")).over(order))
+        star = star.where("center.label_id <> label_id").select(
             F.least("id", "center.id").alias("a"),
             F.greatest("id", "center.id").alias("b"),
-            "id",
-            F.col("center.rank").alias("rank"),
-            F.col("size").alias("size_a"),
-            F.col("center.size").alias("size_b"),
+            F.when(F.col("id") < F.col("center.id"), F.col("size")).otherwise(F.col("center.size")).alias("size_a"),
+            F.when(F.col("id") < F.col("center.id"), F.col("center.size")).otherwise(F.col("size")).alias("size_b"),
         )
-        star = untested(star.where(near))
+        star = untested(likely(star.distinct()).select("a", "b"))
         # One partner for each member in a round: the first in the round's order, which many members share.
-        pick = star.groupBy("id").agg(F.min(F.struct("rank", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        first = rank if k == 0 else F.xxhash64(F.col("a"), F.lit(k))
+        first = F.struct((F.col("a") if k == 0 else first).alias("rank"), "a")
+        pick = open_pairs().union(star).groupBy("b").agg(F.min(first).alias("p")).select("p.a", "b")
         found = compare(pick, f"star-{k}")
         if not found.limit(1).count():
             break
         compared = found if compared is None else compared.unionByName(found)
         labels = connected_components(compared.where("linked").select("a", "b"), f"{folder}/round-{k}")
-    # What is left: members of a bucket in different components that were never compared.
+    # What is left: likely pairs, and members of a large bucket in different components that were never compared.
     order = Window.partitionBy("sign")
-    left = labelled().withColumns({"center": F.min("id").over(order), "mixed": F.min("label").over(order) < F.max("label").over(order)})
+    left = labelled(large).withColumnRenamed("label_id", "label")
+    left = left.withColumns({"center": F.min("id").over(order), "mixed": F.min("label").over(order) < F.max("label").over(order)})
     left = left.where("mixed").select("center", "id", "label").distinct()
-    pairs = _left_pairs(left, sets, num, den)
-    rest = compare(untested(pairs), "rest")
+    rest = compare(open_pairs().union(untested(_left_pairs(left, sets, num, den))).distinct(), "rest")
     compared = rest if compared is None else compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
     labels = connected_components(links, f"{folder}/all")

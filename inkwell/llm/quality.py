@@ -56,12 +56,13 @@ def _stop_words() -> list[str]:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts to docs, in columns that begin with `q_`."""
+    """The counts of each text in columns that begin with `q_`, and the input's row as struct `q_in`."""
     has_word = "[^\\x20\\x09-\\x0D]"
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = F.array_remove(F.split(raw, "[\\x20\\x09-\\x0D]+"), "")
     lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(has_word))
-    one = docs.withColumns({"q_text": raw, "q_words": words, "q_lines": lines})
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_in")
+    one = docs.select(row, raw.alias("q_text"), words.alias("q_words"), lines.alias("q_lines"))
     two = one.withColumns(
         {
             "q_hashes": F.transform("q_words", lambda w: F.xxhash64(w)),
@@ -121,7 +122,7 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the counts, q_base_failed, q_broken (names of broken rules) and q_kept."""
+    """The counts, q_base_failed, q_broken (names of broken rules) and q_kept."""
     broken = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in verdicts(rules).items()]))
     out = measure(docs, text).withColumns({"q_base_failed": base_failed(), "q_broken": broken})
     return out.withColumn("q_kept", ~F.col("q_base_failed") & (F.size("q_broken") == 0))
@@ -133,7 +134,7 @@ def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     The row number keeps the filter above the projections: pushed below them, it would repeat all their expressions.
     """
     judged = judge(docs, text).withColumn("q_row", F.monotonically_increasing_id())
-    return judged.where("q_kept AND q_row >= 0").select(docs.columns)
+    return judged.where("q_kept AND q_row >= 0").select("q_in.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +142,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(docs).select(
-        "doc_id", *[F.col(f"q_{n}").alias(n) for n in names], F.array_join("q_broken", ",").alias("broken_rules")
+        "q_in.doc_id", *[F.col(f"q_{n}").alias(n) for n in names], F.array_join("q_broken", ",").alias("broken_rules")
     )
 
 
