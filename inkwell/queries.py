@@ -204,7 +204,7 @@ def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = r.withColumn("lost", lost)
     state = F.when(F.col("b_chars").isNull(), "new").when(F.col("lost") != "", "lost").otherwise("same")
     delta = T.timing_delta((F.col("doc_id") % 97 + 1).cast("double"), F.when(F.col("b_chars").isNotNull(), (F.col("doc_id") % 89 + 1).cast("double")))
-    richer = F.coalesce(X.richer("c_", "b_"), F.lit(False))
+    richer = F.col("b_chars").isNotNull() & X.richer("c_", "b_")
     return r.select("doc_id", state.alias("state"), "lost", richer.alias("richer"), delta.alias("delta_pct"), F.coalesce(delta > 25, F.lit(False)).alias("regressed"))
 
 

@@ -1,0 +1,60 @@
+import time
+
+from pyspark.sql import functions as F
+
+from inkwell.operators import catalog as C
+from inkwell.plans import artifacts as A
+from inkwell.sources import artifact_files as files
+from inkwell.streaming import lifecycle
+
+
+def test_files_and_quarantine(spark, sf_dir, tmp_path):
+    a = A.artifacts(spark, sf_dir).limit(5).withColumns({"summary": F.lit("s: 1"), "compressed": F.lit("c"), "detailed": F.lit("## Not a body\n\nd"), "provenance": F.lit("p")})
+    fields = ["artifact_type", "source_urls", "cache_key", "tags", "ttl", "status"]
+    for r in a.select("cache_key", C.serialize(a, fields).alias("t")).collect():
+        (tmp_path / f"{r.cache_key}.md").write_text(r.t)
+    (tmp_path / "bad.md").write_text("no fence")
+    (tmp_path / "x.superseded.1.md").write_text("---\n---")
+    good, bad = files.split_quarantine(files.read_artifacts(spark, [str(tmp_path)]))
+    rows = {r.cache_key: r for r in good.collect()}
+    want = {r.cache_key: r for r in a.collect()}
+    assert rows.keys() == want.keys() and [r.file_name for r in bad.collect()] == ["bad.md"]
+    for k, r in rows.items():
+        assert (r.tags, r.source_urls, r.ttl, r.summary, r.detailed, r.provenance) == (want[k].tags, want[k].source_urls, want[k].ttl, "s: 1", "## Not a body\n\nd", "p")
+    assert "detailed" not in files.read_artifacts(spark, [str(tmp_path)], shallow=True).columns
+
+
+def test_ingest_keeps_the_newest_version(spark, sf_dir, tmp_path):
+    rows = A.versions(spark, sf_dir).where("status = 'active'")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    lifecycle.ingest(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+    lifecycle.ingest(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.cache_key, r.validated_at) for r in files.read_latest(spark, str(tmp_path / "store")).collect()}
+    assert {k for k, _ in got} == {r.cache_key for r in rows.select("cache_key").distinct().collect()}
+
+
+def test_windows_equal_batch(spark, sf_dir, tmp_path):
+    events = A.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
+    q = lifecycle.windowed_counts(stream, late="3650 days").writeStream.outputMode("complete").format("memory").queryName("w").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.start, r.event_type, r.n) for r in spark.table("w").collect()}
+    batch = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
+    assert got == {tuple(r) for r in batch.collect()}
+
+
+def test_freshness_timers(spark, tmp_path):
+    schema = "cache_key string, at timestamp, fresh_ms long, grace_ms long"
+    for i, rows in enumerate([[("a", "2024-01-01 00:00:00")], [("b", "2024-01-03 00:00:00")], [("b", "2024-02-01 00:00:00")]]):
+        df = spark.createDataFrame(rows, "cache_key string, at string").select("cache_key", F.col("at").cast("timestamp").alias("at"), F.lit(86_400_000).cast("long").alias("fresh_ms"), F.lit(86_400_000).cast("long").alias("grace_ms"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("at", "0 seconds")
+    q = lifecycle.freshness_changes(stream).writeStream.outputMode("append").format("memory").queryName("f").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    states = [r.state for r in spark.table("f").where("cache_key = 'a'").collect()]
+    assert states[0] == "fresh" and "stale_grace" in states
