@@ -12,9 +12,9 @@ times its size lie. So linked sets share a signature, always.
    against each other's sketch, a lower bound of their difference. A large bucket's members are never paired with each
    other: each is compared with the first one of its bucket. Of its likely partners a member meets one in a round.
 3. Links found merge components, and a bucket's members that are in one component already need no comparison. What
-   the star rounds leave, members of one bucket in different components that were never compared, is joined on the
-   rarest elements of their differences from the bucket's first member (see _left_pairs), so no link is lost and a
-   large group of near copies isn't paired with itself.
+   the star rounds leave, members of large buckets in different components that were never compared, is joined on the
+   rarest elements of their differences from one text of the group (see _left_pairs), so no link is lost and a large
+   group of near copies isn't paired with itself.
 
 Rows: without words (null or empty text) a set is empty, links with nothing and is its own component. A text of fewer
 words than n is one run. A null id has a null component and links with nothing. Rows of one id are one node, linked
@@ -161,7 +161,7 @@ def _sets(n: int):
 def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that may be linked, of members of one bucket in different components: a superset of the linked ones.
 
-    left: center, id, label: the members of the buckets of each center. Let D(x) be the symmetric difference of a
+    left: center, id, label: members of buckets, and a text for each group of buckets; any would do. Let D(x) be the symmetric difference of a
     member and its center. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and linked ones in
     k(x, y) = (1 - t) / (1 + t) (|x| + |y|) at most; one of them, say x, is not linked with the center, so
     |D(x)| > k(x, center), or the center joins them (its links are among the pairs). So their differences share (|D(x)| + |D(y)| - k(x, y)) / 2 > 0 elements or more: of each
@@ -183,8 +183,7 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     d = d.withColumn("apart", apart)
     near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
     d = d.select("center", "id", "label", "apart", "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("long"), F.explode("diff").alias("e"))
-    count = d.groupBy("center", "e").agg(F.count("*").alias("df")).where("df > 1")  # an element of one member finds nobody
-    d = d.join(count, ["center", "e"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    d = d.withColumn("df", F.count("*").over(Window.partitionBy("center", "e")))  # an element of one member finds nobody
     d = d.withColumn("place", F.row_number().over(Window.partitionBy("center", "id").orderBy("df", "e"))).where("df > 1")
     index = d.where("place <= short").select("center", "e", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "apart", "n", "size", "place")])
     probe = d.where("apart AND place <= greatest(short, long)")
@@ -284,10 +283,13 @@ def link_documents(
         compared = found if compared is None else compared.unionByName(found)
         labels = connected_components(compared.where("linked").select("a", "b"), f"{folder}/round-{k}")
     # What is left: likely pairs, and members of a large bucket in different components that were never compared.
-    order = Window.partitionBy("sign")
-    left = labelled(large).withColumnRenamed("label_id", "label")
-    left = left.withColumns({"center": F.min("id").over(order), "mixed": F.min("label").over(order) < F.max("label").over(order)})
-    left = left.where("mixed").select("center", "id", "label").distinct()
+    # One center for all buckets that share members: each member has one difference set.
+    firsts = large.select("sign", "id", F.min("id").over(Window.partitionBy("sign")).alias("first"))
+    groups = connected_components(firsts.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), f"{folder}/groups")
+    left = labelled(large.select("id").distinct()).join(groups.select(F.col("node").alias("id"), F.col("label").alias("center")), "id")
+    order = Window.partitionBy("center")
+    left = left.withColumnRenamed("label_id", "label").withColumn("mixed", F.min("label").over(order) < F.max("label").over(order))
+    left = left.where("mixed").select("center", "id", "label")
     rest = compare(open_pairs().union(untested(_left_pairs(left, sets, num, den))).distinct(), "rest")
     compared = rest if compared is None else compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")

@@ -103,7 +103,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     repeated = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
     six = five.withColumn("q_n_repeat_words", F.coalesce(repeated, F.lit(0).cast("long")))
-    return six.drop("q_text", "q_words", "q_lines", "q_hashes", "q_windows", "q_sorted", "q_starts")
+    # The generator keeps later filters above these projections: pushed below, they would repeat all expressions.
+    counts = [c for c in six.columns if c.startswith("q_n_") or c == "q_word_chars"]
+    return six.select("q_in", F.explode(F.array(F.struct(*counts))).alias("q")).select("q_in", "q.*")
 
 
 def verdicts(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
@@ -129,12 +131,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that pass, with the input's columns.
-
-    The row number keeps the filter above the projections: pushed below them, it would repeat all their expressions.
-    """
-    judged = judge(docs, text).withColumn("q_row", F.monotonically_increasing_id())
-    return judged.where("q_kept AND q_row >= 0").select("q_in.*")
+    """The rows that pass, with the input's columns."""
+    return judge(docs, text).where("q_kept").select("q_in.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
