@@ -112,7 +112,7 @@ def prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.artifacts(spark, sf_dir).drop("html")
     fifth = F.col("page_id") % 5
-    probes = rows.select("cache_key", F.when(fifth == 0, 200).when(fifth < 3, 304).alias("http_status"), F.concat(F.lit("body "), F.col("page_id").cast("string")).alias("body"))
+    probes = C.locate(rows).select("cache_key", F.when(fifth == 0, 200).when(fifth < 3, 304).alias("http_status"), F.concat(F.lit("body "), F.col("page_id").cast("string")).alias("body"))
     return C.revalidate(rows, probes).select("cache_key", "freshness", "outcome", "validated_ms", "stale_after_ms", "content_hash", "topic", "exit_code")
 
 

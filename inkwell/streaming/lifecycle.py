@@ -19,7 +19,8 @@ def ingest(stream: DataFrame, path: str, checkpoint: str):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("cache_key").agg(F.max_by(F.struct(*batch.columns), "validated_at").alias("r")).select("r.*")
+        validated = F.coalesce("validated_at", F.timestamp_millis(F.lit(0)))
+        newest = batch.groupBy("cache_key").agg(F.max_by(F.struct(*batch.columns), validated).alias("r")).select("r.*")
         write_versions(newest.withColumn("batch_id", F.lit(batch_id)), path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
