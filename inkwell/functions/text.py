@@ -208,7 +208,7 @@ def normalize_regression(text: Column) -> Column:
     return trim_all(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-# Secrets are told by shape: label and pattern, the first that matches names the artifact.
+# Secrets are told by shape: label and pattern, the first that matches names the artifact.
 SECRETS = (
     ("GitHub token", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}"),
     ("AWS access key", r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])"),
@@ -224,7 +224,7 @@ def secret_label(text: Column) -> Column:
     return out
 
 
-# Documentation engines in the order in which they are asked: pattern in the page, word in the generator,
+# Documentation engines in the order in which they are asked: pattern in the page, word in the generator,
 # engine, framework, capture. The order is part of the result, as patterns overlap.
 _NEXT = r"__NEXT_DATA__|/_next/static/|self\.__next_f"
 DETECTORS = (

@@ -219,4 +219,8 @@ SELECT doc_id, sha256(m) AS compressed_hash, ceil(length(markdown) / 4)::BIGINT
     "event_windows": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "revenue_by_nation": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL",
+    "site_rules": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'salesforce' WHEN 1 THEN 'salesforce-developer' WHEN 2 THEN 'tanstack' END AS site,
+ CASE page_id % 4 WHEN 0 THEN 'https://help.salesforce.com/s/articleView?id=a' || page_id || '.htm&type=5&language=en_US' WHEN 1 THEN 'https://developer.salesforce.com/docs/' || page_id WHEN 2 THEN 'https://tanstack.com/query' ELSE 'https://x.test/help_doccontent?id=1' END AS article_url,
+ page_id % 4 IN (0, 1) AS allowed, 'Head' || chr(10) || chr(10) || 'Body ' || page_id AS stripped, CASE WHEN page_id % 3 = 0 THEN 'i' END AS payload_title, true AS error_text FROM pages""",
+    "page_maps": "SELECT page_id, '/r' || page_id AS routes, 'docs/' || page_id || '.mdx' AS sources FROM pages",
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import html as H
 from inkwell.functions import safety as R
+from inkwell.functions import sites as K
+from inkwell.functions import source as Q
 from inkwell.functions import summarize as S
 from inkwell.functions import temporal as T
 from inkwell.functions import text as X
@@ -374,3 +376,37 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("t", F.concat(F.coalesce("text", F.lit("")), odd))
     d = d.withColumn("r", R.redact_column(F.col("t")))
     return d.select("doc_id", F.contains("r", F.lit(R.REDACTED)).alias("redacted"), F.length("r").alias("chars"))
+
+
+def site_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.table(spark, sf_dir, "pages").select("page_id")
+    s = F.col("page_id").cast("string")
+    url = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://help.salesforce.com/help_doccontent?id=a"), s, F.when(F.col("page_id") % 8 == 0, ".htm").otherwise(""), F.lit("&language=en_US&x=1")))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://developer.salesforce.com/docs/"), s))
+        .when(F.col("page_id") % 4 == 2, F.lit("https://tanstack.com/query"))
+        .otherwise(F.lit("https://x.test/help_doccontent?id=1"))
+    )
+    p = p.withColumn("u", url)
+    text = F.concat(F.lit("Head\n[](x)\n\n\n\nDid this article solve your issue?\nBody "), s)
+    raw = F.when(F.col("page_id") % 3 == 0, F.to_json(F.struct(s.alias("content"), F.lit("").alias("title"), F.lit("i").alias("id")))).when(F.col("page_id") % 3 == 1, F.lit('{"content":""}')).otherwise(F.lit("broken"))
+    return p.select(
+        "page_id", K.site_of(F.col("u")).alias("site"), K.help_article_url(F.col("u")).alias("article_url"), K.is_allowed_host(U.host(F.col("u"))).alias("allowed"),
+        K.strip_boilerplate(text).alias("stripped"), K.api_payload(raw)["title"].alias("payload_title"), K.is_error_text(F.concat(F.lit("we couldnt find "), s)).alias("error_text"),
+    )
+
+
+def source_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown source with frontmatter, macros, an HTML table and an empty section."""
+    m = A.markdown(spark, sf_dir)
+    source = F.concat(F.lit('---\ntitle: "Doc"\n---\n'), F.col("markdown"), F.lit('\n{{jsxref("A/b", "b()")}} {{Compat}}\n<table><tr><th>x</th></tr></table>\n\n## Empty\n\n### Inner\n'))
+    url = F.when(F.col("doc_id") % 2 == 0, "https://raw.githubusercontent.com/mdn/content/main/x.md").otherwise("https://x.test/y.md")
+    e = m.select("doc_id", Q.source_column(source, url).alias("e"))
+    return e.select("doc_id", "e.title", F.sha2("e.markdown", 256).alias("content_hash"), X.confidence(F.col("e.markdown")).alias("confidence"))
+
+
+def page_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.table(spark, sf_dir, "pages").select("page_id")
+    s = F.col("page_id").cast("string")
+    html = F.concat(F.lit('self.__next_f.push([1,"{\\"route\\":\\"/r'), s, F.lit('\\",\\"title\\":\\"T\\",\\"filePath\\":\\"docs/'), s, F.lit('.mdx\\"}"])'))
+    return p.select("page_id", Q.page_map_column(html).alias("m")).select("page_id", F.array_join("m.routes", ",").alias("routes"), F.array_join("m.sources", ",").alias("sources"))

@@ -131,3 +131,16 @@ def test_quality_codes(spark):
 def test_leakage_order(spark):
     text = "<nav>\nOn this page\n[ ](#x)\n{{jsxref(1)}}\n```\nSkip to content\n```"
     assert value(spark, X.leakage_signals(F.col("m")), m=text) == ["raw-html", "on-this-page", "empty-link", "template-macro"]
+
+
+def test_source_markdown():
+    from inkwell.functions import source
+
+    assert source.frontmatter("---\ntitle: 'T: x'\n- a\n  b: c\n---\n\nBody") == ({"title": "T: x"}, "Body")
+    assert source.frontmatter("--- no end") == ({}, "--- no end")
+    text = '{{jsxref("A", "a()")}} {{Compat}} {{deprecated_inline}} {{x}}\n```\n{{jsxref("A")}}\n```'
+    assert source.expand_macros(text) == 'a()  (deprecated) \n```\n{{jsxref("A")}}\n```'
+    assert source.drop_empty_sections("# A\n\n## B\n\n### C\n\n## D\ntext\n\n## E\n") == "# A\n\n## D\ntext\n"
+    title, body = source.from_source("# H\n<table><tr><th>a<td>b</table><script>x</script>[ ](y) z", None)
+    assert title == "H" and "| a | b |" in body and "script" not in body and "](y)" not in body
+    assert source.page_map('{"route":"/a","title":"A","filePath":"a.md"}{"route":"/a"}') == ([("A", "/a", "a.md")], ["a.md"])
