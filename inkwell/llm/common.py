@@ -20,6 +20,24 @@ _ALNUM_TABLE = bytes(
 )
 
 
+_CACHES: list[dict] = []
+_OWNER: list[str] = [""]
+
+
+def keep(cache: dict) -> dict:
+    """Registers a cache of Python workers; see claim()."""
+    _CACHES.append(cache)
+    return cache
+
+
+def claim(owner: str) -> None:
+    """Workers outlive tasks: the first task of another operator lets go of what the last one kept."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for cache in _CACHES:
+            cache.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,11 +34,12 @@ from inkwell.llm import common
 SHINGLE = 5
 WINDOW = 13
 _BITS = 20
-_CACHE: dict[str, object] = {}
+_CACHE: dict[str, object] = common.keep({})
 
 
 def _load(uri: str, most: int = 4):
     """A block from the shared folder; the last few stay in the worker."""
+    common.claim("blocks")
     if uri not in _CACHE:
         while len(_CACHE) >= most:
             _CACHE.pop(next(iter(_CACHE)))

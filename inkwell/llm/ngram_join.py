@@ -43,6 +43,7 @@ BUCKET = 32
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of n words; of the whole text if it has fewer."""
+    common.claim("shingles")
     words = common.space_words(text)
     return np.unique(common.hash_runs(common.hash_words(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
@@ -203,7 +204,7 @@ def link_documents(
     The links span each component; copies and pairs whose component is known already are not expanded.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 256)
     folder = common.shared_dir(spark, "ngram-join")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     named = common.materialized(rows.mapInArrow(_classes(n), "id long, n_shingles long, class long, sketch array<tinyint>"), f"{folder}/classes")

@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from inkwell.llm import common
+
 #: A cut before a single space between two non-space characters never changes a byte-level BPE's
 #: pre-tokens: the space opens the next one, and none holds a space elsewhere.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?)"
-_LOADED: dict[str, BytePairEncoder] = {}
+_LOADED: dict[str, BytePairEncoder] = common.keep({})
 
 
 class BytePairEncoder:
@@ -139,6 +141,7 @@ class BytePairEncoder:
 
 def encoder(path: str) -> BytePairEncoder:
     """One encoder per Python worker and tokenizer file."""
+    common.claim("tokens")
     if path not in _LOADED:
         _LOADED[path] = BytePairEncoder(path)
     return _LOADED[path]
