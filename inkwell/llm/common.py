@@ -20,6 +20,7 @@ _ALNUM_TABLE = bytes(
 )
 
 
+_OWN: dict[str, str] = {}
 _CACHES: list[dict] = []
 _OWNER: list[str] = [""]
 
@@ -45,12 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """URI of a new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (tests, a laptop), a temporary folder is set for it.
+    Where the session has no such setting (tests, a laptop), a temporary folder of the driver takes its place; the
+    setting itself can't be changed in a running session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="inkwell-")
+        _OWN[spark.sparkContext.applicationId] = root
+    if "://" not in root:
+        # A bare path lies in the cluster's default file system, for Spark's writers and for ours.
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
     return f"{root.rstrip('/')}/inkwell/{what}-{uuid.uuid4().hex}"
 
 
