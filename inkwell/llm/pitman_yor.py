@@ -1,17 +1,15 @@
 """Language-model scoring: a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Restaurants are contexts: a word that makes up `context_share` of the training tokens or more opens one for what
-follows it (so there are 1/context_share at most, whatever the size of the corpus), the start of a text opens another,
-and all share one parent, the root, where tokens after other words sit directly. A table opened in a context's
-restaurant sends a customer to the root; the root draws from a base that gives `unknown` of its mass to the words
-that training never saw, as one outcome, and spreads the rest evenly. Probabilities over the known words and the
-unknown one sum to 1 in every context.
+Restaurants are contexts: every word opens one for what follows it, the start of a text (named by END, which stands
+before it) opens another, and all share one parent, the root. A table opened in a context's restaurant sends a customer
+to the root; the root draws from a base that gives `unknown` of its mass to the words that training never saw, as one
+outcome, and spreads the rest evenly. Probabilities over the known words and the unknown one sum to 1 in every context.
 
 A sweep resamples the number of tables of every cell (context, word). Up to _SMALL customers it is drawn from its exact
 conditional, with generalised Stirling numbers in place of the partition; larger cells keep their tables' sizes and
-reseat customers one by one. All cells of a word lie in one chunk, so what goes up to the root is local; only each
-restaurant's totals, a row for each context, pass through the driver between sweeps, taken from the sweep before, as in
-usual parallel Gibbs sampling. Probabilities are averaged over the sweeps after `burn_in`.
+reseat customers one by one. All cells of a word lie in one chunk, so what goes up to the root is local; each
+context's totals are summed in tables between sweeps and sent to the chunks that hold cells of it, and only the root's
+two totals pass through the driver. Totals are those of the sweep before, as in usual parallel Gibbs sampling. Probabilities are averaged over the sweeps after `burn_in`.
 
 Data: 1. training tokens are counted by word. 2. Tasks cut their documents into blocks, write each document as places
 in the block's list of (context, word) pairs, and that list with its training counts. 3. The lists are sorted by word,
@@ -139,7 +137,7 @@ def _count(modulus: int, remainder: int, most: int = 1 << 21):
     return count
 
 
-_BLOCK = "kind int, block long, id long, held boolean, n long, places binary, w long, ctx int, c long, j int"
+_BLOCK = "kind int, block long, id long, held boolean, n long, places binary, w long, ctx long, c long, j int"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -151,9 +149,10 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(contexts: np.ndarray, codes: np.ndarray, start: int, modulus: int, remainder: int, block_tokens: int):
+def _blocks(modulus: int, remainder: int, block_tokens: int):
     names = [x.split(" ")[0] for x in _BLOCK.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    end = common.hash_words([END])
 
     def rows(many: int, **columns) -> pa.RecordBatch:
         return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(many, t) for k, t in zip(names, types)], names)
@@ -166,14 +165,9 @@ def _blocks(contexts: np.ndarray, codes: np.ndarray, start: int, modulus: int, r
             block = part << 24 | seq
             n = np.array([len(t) for t in texts])
             words = np.concatenate(texts)
-            ctx = np.zeros(len(words), np.int32)
-            if len(contexts):
-                before = words[:-1]
-                at = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-                ctx[1:] = np.where(contexts[at] == before, codes[at], 0)
             firsts = np.cumsum(n) - n
-            ctx[firsts] = start
-            key = common.mix(words ^ common.mix(ctx.astype(np.uint64)))
+            ctx = np.concatenate([end, words[:-1]])  # each text closes with END, so END is before the next one too
+            key = common.mix(words ^ common.mix(ctx))
             _, first, place, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(-many, kind="stable")
             rank = np.empty(len(order), np.int64)
@@ -190,7 +184,7 @@ def _blocks(contexts: np.ndarray, codes: np.ndarray, start: int, modulus: int, r
             for a in range(0, len(first), 100_000):
                 s = first[a : a + 100_000]
                 k = len(s)
-                yield rows(k, kind=np.ones(k, np.int32), block=np.full(k, block), w=words[s].view(np.int64), ctx=ctx[s], c=trained[a : a + k], j=np.arange(a, a + k, dtype=np.int32))
+                yield rows(k, kind=np.ones(k, np.int32), block=np.full(k, block), w=words[s].view(np.int64), ctx=ctx[s].view(np.int64), c=trained[a : a + k], j=np.arange(a, a + k, dtype=np.int32))
             seq, ids, texts = seq + 1, [], []
 
         for batch in batches:
@@ -273,6 +267,10 @@ class Model:
     def __init__(self, n_ctx: int, vocabulary: int, unknown: float, d: tuple[float, float], theta: tuple[float, float]):
         self.n_ctx, self.vocabulary, self.unknown, self.d, self.theta = n_ctx, max(1, vocabulary), unknown, d, theta
 
+    def sized(self, n_ctx: int) -> Model:
+        """The same for a chunk's own contexts."""
+        return Model(n_ctx, self.vocabulary, self.unknown, self.d, self.theta)
+
     def words(self, w: np.ndarray) -> tuple[np.ndarray, int]:
         new = np.ones(len(w), bool)
         new[1:] = w[1:] != w[:-1]
@@ -356,32 +354,105 @@ class Model:
         return np.where(ctx > 0, here, up)
 
 
-def _cells(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["w"], np.int64), np.frombuffer(row["ctx"], np.int32), np.frombuffer(row["c"], np.int64)
+def _cells(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, contexts by their places from 1, counts; and the contexts (hashes, in order)."""
+    names, ctx = np.unique(np.frombuffer(row["ctx"], np.int64), return_inverse=True)
+    return np.frombuffer(row["w"], np.int64), (ctx + 1).astype(np.int32), np.frombuffer(row["c"], np.int64), names
+
+
+def _by_part(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in order of the part that sums their totals, and where each part begins and ends."""
+    part = (common.mix(names.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+_SUMS = "part int, chunk long, ctx binary, v binary, t double, c double"
+
+
+def _sums(chunk: int, names: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """A chunk's share in the totals: a row of its contexts for each part, and one (part -1) of the root. values[i]: the
+    root's, then each context's; tables, and customers where they are not known yet."""
+    order, ends = _by_part(names, parts)
+    rows = [(-1, chunk, None, None, float(values[0][0]), float(values[1][0]))]
+    for q in np.flatnonzero(np.diff(ends)).tolist():
+        at = order[ends[q] : ends[q + 1]]
+        v = np.concatenate([x[1:][at] for x in values if len(x) > 1]).astype(np.int64)
+        rows.append((q, chunk, names[at].tobytes(), v.tobytes(), None, None))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], [x.split(" ")[0] for x in _SUMS.split(", ")])
+
+
+def _opening(model: Model, parts: int):
+    """Totals before the first sweep: a table for each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                w, ctx, c, names = _cells(row)
+                word, n_words = model.words(w)
+                t = np.minimum(c, 1).astype(np.int32)
+                _, customers = model.root(word, n_words, ctx, c, t)
+                yield _sums(row["chunk"], names, list(model.sized(len(names)).totals({"t": t, "t0": np.minimum(customers, 1)}, w, ctx, c)), parts)
+
+    return run
+
+
+def _exchange(table: pa.Table) -> pa.Table:
+    """Sums the totals of a part's contexts over the chunks, and answers each chunk in its own order."""
+    table = table.sort_by("chunk")
+    ctx = [np.frombuffer(x, np.int64) for x in table.column("ctx").to_pylist()]
+    values = [np.frombuffer(x, np.int64).reshape(-1, len(k)) for x, k in zip(table.column("v").to_pylist(), ctx)]
+    names, place = np.unique(np.concatenate(ctx), return_inverse=True)
+    sums = np.stack([np.bincount(place, weights=x, minlength=len(names)).astype(np.int64)[place] for x in np.concatenate(values, axis=1)])
+    replies = [x.tobytes() for x in np.split(sums, np.cumsum([len(k) for k in ctx])[:-1], axis=1)]
+    return pa.table([table.column("chunk"), table.column("part"), pa.array(replies, pa.binary())], ["chunk", "part", "v"])
 
 
-def _sweeper(model: Model, folder: str, k: int, totals: dict, burn_in: int, last: bool, seed: int):
+def _settle(folder: str, planes: int):
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        v = np.concatenate([np.frombuffer(x, np.int64).reshape(planes, -1) for x in table.column("v").to_pylist()], axis=1)
+        chunk = table.column("chunk")[0].as_py()
+        _save(f"{folder}/{chunk}", v)
+        return pa.table({"chunk": pa.array([chunk], pa.int64())})
+
+    return settle
+
+
+def _sweeper(model: Model, folder: str, k: int, root: tuple[float, float], parts: int, burn_in: int, last: bool, seed: int):
     """Takes the averages of sweep k - 1, whose totals are known now, then does sweep k; gives its totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                w, ctx, c = _cells(row)
+                w, ctx, c, names = _cells(row)
+                own = model.sized(len(names))
+                order, _ = _by_part(names, parts)
+                sent = _load(f"{folder}/totals-{k}/{row['chunk']}", most=1)
                 state = _load(f"{folder}/state-{k - 1}/{row['chunk']}", most=1) if k else {}
-                after = {}
+                tables = np.empty(len(names), np.int64)
+                tables[order] = sent[0]
+                if k:
+                    customers = state["customers"]
+                else:
+                    customers = np.empty(len(names), np.int64)
+                    customers[order] = sent[1]
+                totals = {"t": np.append(root[0], tables), "c": np.append(root[1], customers)}
+                after = {"customers": customers}
                 if k and k - 1 >= burn_in:
-                    p = state.get("sum", np.float32(0)) + model.predict(state, w, ctx, c, totals)
-                    after = {"sum": p.astype(np.float32), "n": state.get("n", 0) + 1}
+                    p = state.get("sum", np.float32(0)) + own.predict(state, w, ctx, c, totals)
+                    after |= {"sum": p.astype(np.float32), "n": state.get("n", 0) + 1}
                 if last:
-                    word, n_words = model.words(w)
+                    word, n_words = own.words(w)
                     known = np.bincount(word, weights=c, minlength=n_words).astype(np.int64)
                     _save(f"{folder}/answer-{row['chunk']}", (np.log10(after["sum"] / after["n"]).astype(np.float32), known[word]))
                     continue
                 rng = np.random.default_rng((seed, k, row["chunk"]))
-                new = model.sweep(state, w, ctx, c, totals, rng) | after
+                new = own.sweep(state, w, ctx, c, totals, rng) | after
                 _save(f"{folder}/state-{k}/{row['chunk']}", new)
-                t, n = model.totals(new, w, ctx, c)
-                yield pa.record_batch([pa.array(np.arange(len(t), dtype=np.int32)), pa.array(t), pa.array(n)], ["ctx", "t", "c"])
+                t, n = own.totals(new, w, ctx, c)
+                yield _sums(row["chunk"], names, [t, n[:1]], parts)
 
     return run
 
@@ -454,7 +525,6 @@ def score_documents(
     text: str = "text",
     modulus: int = 7,
     remainder: int = 2,
-    context_share: float = 0.005,
     sweeps: int = 4,
     burn_in: int = 1,
     unknown: float = 0.5,
@@ -476,13 +546,7 @@ def score_documents(
     counts = rows.mapInArrow(_count(modulus, remainder), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     counts = common.materialized(counts, f"{folder}/counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1, int(n * context_share))
-    ends = int(common.hash_words([END]).view(np.int64)[0])
-    found = counts.where((F.col("c") >= least) & (F.col("w") != ends)).select("w").collect()  # 1 / context_share rows at most
-    contexts = np.sort(np.array([r.w for r in found], np.int64).view(np.uint64))
-    codes = np.arange(1, len(contexts) + 1, dtype=np.int32)
-    n_ctx = len(contexts) + 1
-    cut = rows.mapInArrow(_blocks(contexts, codes, n_ctx, modulus, remainder, block_tokens), _BLOCK)
+    cut = rows.mapInArrow(_blocks(modulus, remainder, block_tokens), _BLOCK)
     cut.write.option("compression", "zstd").parquet(f"{folder}/cut")
     cut = spark.read.schema(cut.schema).parquet(f"{folder}/cut")
     asked = cut.where("kind = 1").select("w", "ctx", "c", "block", "j")
@@ -490,23 +554,34 @@ def score_documents(
     packed.write.option("compression", "zstd").parquet(f"{folder}/packed")
     packed = spark.read.schema(packed.schema).parquet(f"{folder}/packed")
     cells = packed.where("kind = 0").select("chunk", "w", "ctx", "c")
-    model = Model(n_ctx, v, unknown, discount, strength)
+    model = Model(0, v, unknown, discount, strength)
+    parts = max(8, n >> 21)  # of the contexts, by hash; each sums the totals of its own
     common.small_batches(spark, 16)  # rows are chunks here
-    # Before the first sweep: a table for each cell, so as many as there are known pairs; the sweep puts it right.
-    totals = {"t": np.full(n_ctx + 1, max(1.0, v / (n_ctx + 1))), "c": np.full(n_ctx + 1, max(1.0, float(n)))}
-    totals["t"][0] = v
+
+    def exchanged(sums: DataFrame, k: int, planes: int) -> tuple[float, float]:
+        """Runs a sweep; contexts' totals go to the folder of sweep k, chunk by chunk, the root's are returned."""
+        sums.write.option("compression", "zstd").parquet(f"{folder}/sums-{k}")
+        sums = spark.read.schema(sums.schema).parquet(f"{folder}/sums-{k}")
+        common.make_dir(f"{folder}/totals-{k}")
+        replies = sums.where("part >= 0").groupBy("part").applyInArrow(_exchange, "chunk long, part int, v binary")
+        replies.groupBy("chunk").applyInArrow(_settle(f"{folder}/totals-{k}", planes), "chunk long").write.parquet(f"{folder}/settled-{k}")
+        got = tuple(sums.where("part < 0").agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0.0))).first())
+        common.remove(f"{folder}/sums-{k}")
+        return got
+
+    root = exchanged(cells.mapInArrow(_opening(model, parts), _SUMS), 0, 2)
     for k in range(sweeps + 1):
         last = k == sweeps
         common.make_dir(f"{folder}/state-{k}")
-        sums = cells.mapInArrow(_sweeper(model, folder, k, totals, min(burn_in, sweeps - 1), last, seed), "ctx int, t double, c double")
-        # A sweep reads the states of the one before alone.
-        got = sums.groupBy("ctx").agg(F.sum("t"), F.sum("c")).collect()
+        sums = cells.mapInArrow(_sweeper(model, folder, k, root, parts, min(burn_in, sweeps - 1), last, seed), _SUMS)
+        if last:
+            sums.count()
+        else:
+            root = exchanged(sums, k + 1, 1)
+        # A sweep reads the states and totals of the one before alone.
+        common.remove(f"{folder}/totals-{k}")
         if k:
             common.remove(f"{folder}/state-{k - 1}")
-        if not last:
-            totals = {"t": np.zeros(n_ctx + 1), "c": np.zeros(n_ctx + 1)}
-            for ctx, t, c in got:
-                totals["t"][ctx], totals["c"][ctx] = t, c
     answers = packed.where("kind = 1").select("chunk", "cell", "block", "j").mapInArrow(_answer(folder), _ANSWERS)
     answers.groupBy("block").applyInArrow(_deliver(folder), "block long").write.parquet(f"{folder}/delivered")
     texts = cut.where("kind = 0").select("block", "id", "held", "n", "places")

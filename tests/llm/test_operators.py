@@ -333,6 +333,18 @@ def test_pitman_yor_of_odd_rows(spark, odd):
     assert pitman_yor.score_documents(odd.limit(0)).count() == 0
 
 
+def test_every_word_opens_a_context(spark):
+    """500 pairs of words, each word a 1500th of the tokens: the pair's own second word is near certain, another's is not."""
+    held = [i for i in range(20_000) if pitman_yor.is_held_out(i, 7, 2)][:1000]
+    train = [i for i in range(20_000) if not pitman_yor.is_held_out(i, 7, 2)][:10_000]
+    rows = [(i, f"x{k % 500} y{k % 500}") for k, i in enumerate(train)]
+    rows += [(i, f"x{k // 2} y{(k // 2 + k % 2) % 500}") for k, i in enumerate(held)]
+    score = {r.id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_cells=300).collect()}
+    for own, other in zip(held[::2], held[1::2]):
+        # x: 1 of 500 after the start; y and the end: 20 or 19.2 of 21.
+        assert score[own] > math.log10(1 / 500) - 0.3 and score[own] - score[other] > 3
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):
