@@ -5,9 +5,9 @@ before it) opens another, and all share one parent, the root. A table opened in
 to the root; the root draws from a base that gives `unknown` of its mass to the words that training never saw, as one
 outcome, and spreads the rest evenly. Probabilities over the known words and the unknown one sum to 1 in every context.
 
-A sweep resamples the number of tables of every cell (context, word). Up to _SMALL customers it is drawn from its exact
-conditional, with generalised Stirling numbers in place of the partition; larger cells keep their tables' sizes and
-reseat customers one by one. All cells of a word lie in one chunk, so what goes up to the root is local; each
+A sweep draws the number of tables of every cell (context, word), and of every word in the root, from its conditional,
+with generalised Stirling numbers in place of the partition: by their recursion up to _SMALL customers, and above by
+contour integrals of their generating function, at a cost that does not grow with the customers. All cells of a word lie in one chunk, so what goes up to the root is local; each
 context's totals are summed in tables between sweeps and sent to the chunks that hold cells of it, and only the root's
 two totals pass through the driver. Totals are those of the sweep before, as in usual parallel Gibbs sampling. Probabilities are averaged over the sweeps after `burn_in`.
 
@@ -78,8 +78,128 @@ def sample_tables(c: np.ndarray, d: float, theta: float, total: np.ndarray, have
     return out
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x > 0."""
+    low = np.log(x)
+    for k in range(1, 8):
+        low = low + np.log(x + k)
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.918938533204672742 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - low
+
+
+def log_coefficient(c: np.ndarray, t: np.ndarray, d: float, nodes: int = 24) -> np.ndarray:
+    """log [x^c] (1 - (1 - x)^d)^t, which is log(S_d(c, t) t! d^t / c!), for c > _SMALL and 1 <= t <= c.
+
+    x = exp(-s); s runs over a parabola around the negative axis, through the saddle point or 4 / c. Where the integrand
+    is narrow (its curvature is over 2000), the saddle point alone is as good.
+    """
+    c, t = np.asarray(c, np.float64), np.asarray(t, np.float64)
+    c = np.broadcast_to(c, t.shape)
+    goal = np.log(c / t)
+    ls = np.clip((np.log(d) - goal) / (1 - d), -300, 3.5)
+    for step in range(10):
+        s = np.exp(ls)
+        y = -np.expm1(-s)
+        power = y**d
+        below = np.where(s < 30, 1 - power, d * np.exp(-s))
+        log_r = np.log(d) + np.log(power) - np.log(y) - s - np.log(below)
+        slope = s * ((d - 1) * np.exp(-s) / y - 1 + d * power / y * np.exp(-s) / below)
+        if step < 9:
+            ls = np.clip(ls + np.clip((goal - log_r) / np.minimum(slope, -1e-12), -2, 2), -300, 3.5)
+            # Below 4 / c the contour is moved anyway.
+            ls = np.maximum(ls, np.log(4 / c)) if step == 8 else ls
+    tr = t * np.exp(log_r)
+    curve = 4 * s * -tr * slope + 2 * s * (c - tr)
+    out = t * np.log(below) + c * s - 0.5 * np.log(2 * np.pi * np.maximum(-tr * slope / s, 1e-300))
+    some = np.flatnonzero((curve < 2000).ravel())
+    j = np.arange(nodes + 1)
+    for at in range(0, len(some), 1 << 14):
+        k = some[at : at + (1 << 14)]
+        m, cc, tt = s.ravel()[k, None], c.ravel()[k, None], t.ravel()[k, None]
+        far = np.minimum(8.5 / np.sqrt(curve.ravel()[k, None]), 1.57 / m)
+        iu = 1j * (j / nodes) * far
+        z = m * (1 + iu) ** 2
+        g = tt * np.log(1 - (-np.expm1(-z)) ** d) + cc * z
+        top = g[:, :1].real
+        f = (np.exp(g - top) * (1 + iu)).real
+        f[:, 0] /= 2
+        whole = 2 * m[:, 0] / np.pi * far[:, 0] / nodes * f.sum(axis=1)
+        out.ravel()[k] = top[:, 0] + np.log(np.maximum(whole, 1e-300))
+    return np.where(t == c, c * np.log(d), out)
+
+
+def sample_large(c: np.ndarray, d: float, theta: float, total: np.ndarray, have: np.ndarray, size: np.ndarray, slope: float, rng) -> np.ndarray:
+    """As sample_tables(), for cells of any number of customers over _SMALL.
+
+    The interval of t that holds all but about e^-30 of the mass is narrowed on grids, then every t in it is weighed
+    (of more than 4,096, blocks of t by their midpoints: a block is far shorter than a standard deviation).
+    log_coefficient() and turn() are smooth in log t together, so in long intervals it comes from a Chebyshev series.
+    """
+
+    def turn(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return _log_gamma(c - t + 1.0) + t * np.log(c)
+
+    def weight(i: np.ndarray, t: np.ndarray, coefficient: np.ndarray) -> np.ndarray:
+        up = t * np.log(have[i] / size[i]) if slope == 0 else _log_gamma(have[i] + t) - _log_gamma(have[i]) - _log_gamma(size[i] + t) + _log_gamma(size[i])
+        return coefficient - _log_gamma(t + 1.0) + _log_gamma(theta / d + total[i] + t) + up
+
+    have, size, total = (np.asarray(x, np.float64) for x in (have, size, total))
+    lo, hi = np.ones(len(c), np.int64), c.astype(np.int64)
+    out, grid = np.ones(len(c), np.int64), np.linspace(0, 1, 17)
+    rest = np.arange(len(c))
+    for step in range(8):
+        if not len(rest):
+            break
+        a, b = lo[rest, None].astype(np.float64), hi[rest, None].astype(np.float64)
+        t = np.rint(a * (b / a) ** grid if step == 0 else a + (b - a) * grid)
+        p = weight(rest[:, None], t, log_coefficient(c[rest, None], t, d))
+        keep = p > p.max(axis=1, keepdims=True) - 30
+        first, final = np.argmax(keep, axis=1), len(grid) - 1 - np.argmax(keep[:, ::-1], axis=1)
+        r, was = np.arange(len(rest)), hi[rest] - lo[rest]
+        lo[rest], hi[rest] = t[r, np.maximum(first - 1, 0)], t[r, np.minimum(final + 1, len(grid) - 1)]
+        now = hi[rest] - lo[rest]
+        rest = rest[(now > 32) & (now < 0.4 * was)]
+    block = (hi - lo) // 4096 + 1
+    width = (hi - lo) // block + 1
+    order, done, n = np.argsort(width, kind="stable"), 0, 40
+    node = np.cos(np.pi * (np.arange(n) + 0.5) / n)
+    series = np.cos(np.arange(n)[:, None] * np.arccos(node)) * (2 / n)  # values at the nodes to coefficients
+    series[0] /= 2
+    while done < len(order):
+        some = order[done : done + max(1, int((1 << 16) // width[order[done]]))]
+        some = some[width[some] <= 2 * width[some[0]] + 32]
+        done += len(some)
+        row, wide = some[:, None], int(width[some[-1]])
+        t = np.minimum(lo[row] + block[row] * np.arange(wide) + (block[row] - 1) / 2, hi[row])
+        if wide <= 48:
+            coefficient = log_coefficient(c[row], t, d)
+        else:
+            a, b = np.log(lo[row].astype(np.float64)), np.log(hi[row].astype(np.float64))
+            at = np.minimum(np.exp(a + (b - a) * (node + 1) / 2), c[row] - 1e-3)
+            at_nodes = (log_coefficient(c[row], at, d) + turn(c[row], at)) @ series.T
+            x = 2 * (np.log(t) - a) / (b - a) - 1
+            one, two = np.zeros_like(x), np.zeros_like(x)
+            for k in range(n - 1, 0, -1):
+                one, two = at_nodes[:, k : k + 1] + 2 * x * one - two, one
+            coefficient = np.where(t == c[row], c[row] * np.log(d), at_nodes[:, :1] + x * one - two - turn(c[row], t))
+        p = weight(row, t, coefficient)
+        p[np.arange(wide) >= width[row]] = -np.inf
+        p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+        drawn = lo[some] + block[some] * (p < rng.random(len(some))[:, None] * p[:, -1:]).sum(axis=1)
+        out[some] = np.minimum(drawn + rng.integers(0, block[some]), hi[some])
+    return out
+
+
+def draw_tables(c: np.ndarray, d: float, theta: float, total: np.ndarray, have: np.ndarray, size: np.ndarray, slope: float, rng) -> np.ndarray:
+    """Tables of every cell from their conditional; see sample_tables()."""
+    out, small = np.empty(len(c), np.int64), c <= _SMALL
+    for some, draw in ((small, sample_tables), (~small, sample_large)):
+        out[some] = draw(c[some], d, theta, total[some], have[some], size[some], slope, rng)
+    return out
+
+
 def first_seating(c: int, d: float, theta: float, total: float, parent: float, rng) -> np.ndarray:
-    """A start for a large cell: about the expected number of tables, and sizes for them."""
+    """A start for reseat(): about the expected number of tables, and sizes for them."""
     i, t = 1.0, 1.0
     while i < c:
         a = (theta + d * (total + t)) * parent
@@ -91,7 +211,7 @@ def first_seating(c: int, d: float, theta: float, total: float, parent: float, r
 
 
 def reseat(sizes: np.ndarray, d: float, theta: float, total: float, have: float, size: float, slope: float, rng) -> np.ndarray:
-    """Gibbs steps for some customers of a large cell: each leaves and sits down again."""
+    """Gibbs steps for some customers: each leaves and sits down again. The model draws whole counts; tests hold them against this."""
     sizes = sizes.tolist()
     n = sum(sizes)
     for u, v in rng.random((_RESEATED, 2)):
@@ -288,52 +408,27 @@ class Model:
         return customers - self.d[0] * tables + (self.theta[0] + self.d[0] * totals["t"][0]) * base
 
     def sweep(self, state: dict, w, ctx, c, totals: dict, rng) -> dict:
-        """One Gibbs sweep. state: t (tables of each cell; of ctx 0: 0), t0 (of each word in the root), large (sizes)."""
+        """One Gibbs sweep. state: t (tables of each cell; of ctx 0: 0), t0 (of each word in the root)."""
         word, n_words = self.words(w)
         first = "t" not in state
         t = np.where(ctx > 0, np.minimum(c, 1), 0) if first else state["t"]
         known, customers = self.root(word, n_words, ctx, c, t)
         t0 = np.minimum(customers, 1).astype(np.int64) if first else state["t0"]
         base = self.base(known)
-        large = dict(state.get("large", {}))
         some = np.flatnonzero((ctx > 0) & (c > 0))
         own, wd = t[some], word[some]
         total = np.maximum(totals["t"][ctx[some]] - own, 0)
         have = np.maximum(self.root_mass(customers, t0, base, totals)[wd] - own, 1e-12)
         size = np.maximum(self.theta[0] + totals["c"][0] - own, 1.0)
-        small = c[some] <= _SMALL
         new = t.astype(np.int64).copy()
-        d, theta = self.d[1], self.theta[1]
-        new[some[small]] = sample_tables(c[some[small]], d, theta, total[small], have[small], size[small], 1.0, rng)
-        for i in np.flatnonzero(~small).tolist():
-            k = int(some[i])
-            seats = large.get(k)
-            if seats is None:
-                seats = first_seating(int(c[k]), d, theta, total[i], have[i] / size[i], rng)
-            large[k] = reseat(seats, d, theta, total[i], have[i], size[i], 1.0, rng)
-            new[k] = len(large[k])
+        new[some] = draw_tables(c[some], self.d[1], self.theta[1], total, have, size, 1.0, rng)
         _, customers = self.root(word, n_words, ctx, c, new)
         customers = customers.astype(np.int64)
         some = np.flatnonzero(customers > 0)
         total = np.maximum(totals["t"][0] - t0[some], 0)
-        small = customers[some] <= _SMALL
         new0 = np.zeros(n_words, np.int64)
-        one = np.ones(len(some))
-        new0[some[small]] = sample_tables(customers[some[small]], self.d[0], self.theta[0], total[small], base[some][small], one[small], 0.0, rng)
-        for i in np.flatnonzero(~small).tolist():
-            k = int(some[i])
-            seats = large.get(-1 - k)
-            if seats is None or seats.sum() != customers[k]:
-                # Tables opened or closed below come and go at the root's largest table; the rest stays seated.
-                change = 0 if seats is None else int(customers[k] - seats.sum())
-                if seats is not None and seats[0] + change > 0:
-                    seats = seats.copy()
-                    seats[0] += change
-                else:
-                    seats = first_seating(int(customers[k]), self.d[0], self.theta[0], total[i], base[k], rng)
-            large[-1 - k] = reseat(seats, self.d[0], self.theta[0], total[i], base[k], 1.0, 0.0, rng)
-            new0[k] = len(large[-1 - k])
-        return {"t": new.astype(np.int32), "t0": new0.astype(np.int32), "large": large}
+        new0[some] = draw_tables(customers[some], self.d[0], self.theta[0], total, base[some], np.ones(len(some)), 0.0, rng)
+        return {"t": new.astype(np.int32), "t0": new0.astype(np.int32)}
 
     def totals(self, state: dict, w, ctx, c) -> tuple[np.ndarray, np.ndarray]:
         """Tables and customers of each restaurant in this chunk."""

@@ -333,6 +333,40 @@ def test_pitman_yor_of_odd_rows(spark, odd):
     assert pitman_yor.score_documents(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("c", [201, 5000, 100_000])
+def test_large_cells_follow_their_distribution(c):
+    """Cells of one dish alone in their restaurants, with the sweeps of a run: the mean is known in closed form."""
+    d, theta, n = 0.8, 1.0, 400
+    w, ctx, count = np.repeat(np.arange(n), 2), np.tile(np.array([0, 1], np.int32), n), np.tile([0, c], n)
+    model = pitman_yor.Model(1, 1, 0.5, (0.6, d), (1e15, theta))  # a root that gives every table's dish its base, 1/2
+    model.base = lambda known: np.ones(len(known))
+    state, means = {}, []
+    for k in range(4):
+        totals = {"t": np.array([0.0, 0.0]), "c": np.array([0.0, c])}
+        state = model.sweep(state, w, ctx, count, totals, np.random.default_rng((c, k)))
+        means.append(state["t"][ctx == 1].mean())
+        assert state["t"][ctx == 1].std() > 0.2 * means[-1]
+    mean = theta / d * (math.exp(math.lgamma(theta + d + c) - math.lgamma(theta + d) - math.lgamma(theta + c) + math.lgamma(theta)) - 1)
+    assert all(abs(m - mean) < 0.15 * mean for m in means) and abs(np.mean(means[1:]) - mean) < 0.08 * mean
+
+
+@pytest.mark.parametrize("total, have, size, slope", [(50, 3.0, 1e4, 1.0), (1e5, 20.0, 1e4, 1.0), (1e7, 900.0, 1e4, 1.0), (0, 1e-9, 1e4, 1.0), (1e4, 0.01, 1.0, 0.0)])
+def test_large_cells_equal_the_recursion(total, have, size, slope):
+    c, d, n = 600, 0.8, 4000
+    row, t = np.full(c + 1, -np.inf), np.arange(1, c + 1)
+    row[0] = 0
+    for k in range(c):
+        stay = np.log(np.maximum(k - d * t, 1e-300))
+        row[1:] = np.logaddexp(row[:-1], np.where(k - d * t > 0, stay + row[1:], -np.inf))
+        row[0] = -np.inf
+    k = np.arange(c)
+    p = row[1:] + np.cumsum(np.log(1 + d * (total + k)) + np.log(have + slope * k) - np.log(size + slope * k))
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    mean, sd = (p * t).sum(), ((p * t * t).sum() - (p * t).sum() ** 2) ** 0.5
+    x = pitman_yor.draw_tables(np.full(n, c), d, 1.0, np.full(n, total), np.full(n, have), np.full(n, size), slope, np.random.default_rng(3))
+    assert abs(x.mean() - mean) < 5 * sd / n**0.5 + 1e-9 and x.min() >= 1 and x.max() <= c
+
+
 def test_every_word_opens_a_context(spark):
     """500 pairs of words, each word a 1500th of the tokens: the pair's own second word is near certain, another's is not."""
     held = [i for i in range(20_000) if pitman_yor.is_held_out(i, 7, 2)][:1000]
