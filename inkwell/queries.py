@@ -167,8 +167,8 @@ def inspect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 5 terms; ties of mixed punctuation are the collation's, so SQL compares terms of letters and digits."""
-    d = A.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text")), r"[+#.-]+(?=[A-Za-z0-9+#.-])", " ").alias("markdown"))
+    """Top 5 terms of the whole texts under a heading of their source."""
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text")).alias("markdown"))
     return C.keywords(d).select(F.col("key").alias("doc_id"), "place", "term", "score")
 
 
