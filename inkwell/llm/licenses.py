@@ -26,7 +26,7 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 # Label, keyword, name pattern (over words), SPDX identifier as words.
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)(?: x11)?", "mit"),
+    ("mit", "mit|expat", "(?:mit|expat)(?: x11)?", "mit"),
     ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
     ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache 2 0"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
@@ -45,8 +45,8 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|old bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd 4 clause"),
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd"),
-    ("bsd", "bsd", "(?:berkeley software distribution|bsd)", "bsd"),
-    ("isc", "isc", "(?:isc|internet systems consortium)", "isc"),
+    ("bsd", "bsd|berkeley software", "(?:berkeley software distribution|bsd)", "bsd"),
+    ("isc", "isc|internet systems consortium", "(?:isc|internet systems consortium)", "isc"),
     ("mpl-1.1", "mozilla|mpl", "(?:mozilla public|mpl)(?: license)?(?: version| v)? ?1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla|mpl", "(?:mozilla public|mpl)(?: license)?(?: version| v)? ?2 0", "mpl 2 0"),
     ("mpl", "mozilla|mpl", "(?:mozilla public|mpl)", "mpl"),

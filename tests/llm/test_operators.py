@@ -429,6 +429,45 @@ def test_license_scan_equals_brute_force(spark, sf_dir, docs):
         assert ",".join(sorted({x.label for x in r.l_starts} | {x.label for x in r.l_found})) == want[5], text
 
 
+def some_match(parsed, rng):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif op == "MAX_REPEAT":
+            least, most, inner = arg
+            out += "".join(some_match(inner, rng) for _ in range(rng.randint(least, min(most, least + 2))))
+        elif op == "SUBPATTERN":
+            out += some_match(arg[-1], rng)
+        elif op == "BRANCH":
+            out += some_match(rng.choice(arg[1]), rng)
+        else:
+            raise ValueError(op)
+    return out
+
+
+def test_license_gates_are_implied_by_patterns(spark):
+    """What a pattern matches holds a keyword of one of its rules and a gate word, so no gate drops a detection."""
+    keywords, rng = collections.defaultdict(set), random.Random(4)
+    for r in licenses.rules():
+        keywords[(r.pattern, r.label)].add(r.keyword)
+    for (pattern, label), words in keywords.items():
+        parsed = re._parser.parse(pattern)
+        for _ in range(300):
+            text = some_match(parsed, rng)
+            assert re.fullmatch(pattern, text) and any(k in f" {text} " for k in words), (label, text)
+            assert any(g.split(" ")[0] in text for g in licenses.GATES), (label, text)
+    texts = ["Released under the Expat License", "Internet Systems Consortium License", "Berkeley Software Distribution License"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [{x.label for x in r.l_found} for r in licenses.scan(df).orderBy("l_in.doc_id").collect()]
+    assert found == [{"mit"}, {"isc"}, {"bsd"}]
+
+
 def test_license_scan_of_odd_rows(spark, odd):
     assert licenses.scan(odd).select("l_in.*").columns == odd.columns and licenses.scan(odd).count() == odd.count()
     assert licenses.scan(odd.limit(0)).count() == 0
