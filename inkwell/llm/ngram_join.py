@@ -2,19 +2,22 @@
 
 A document's set are the hashes of its distinct runs of `n` words; two documents link when the Jaccard similarity of
 their sets is at least num/den. Sets are put in size bands; in a band whose largest size is r, similar sets differ in
-at most k = floor(2 r (1 - t) / (1 + t)) elements. The feature domain is cut into n1 parts of n2 cells, with
-n1 (k2 + 1) > k: some part holds at most k2 differences, so the sets agree on n2 - k2 of its cells, and each set signs
-every subset of n2 - k2 cells of every part. A set signs for its own band and the next one, where partners up to 1/t
-times its size lie. So linked sets share a signature, always.
-
-1. Equal sets form a class; its smallest id stands for it. Later steps see each class once for each input task.
-2. Signatures meet in one sort; only those that two classes share stay. Members of a small bucket are paired and held
-   against each other's sketch, a lower bound of their difference. A large bucket's members are never paired with each
-   other: each is compared with the first one of its bucket. Of its likely partners a member meets one in a round.
-3. Links found merge components, and a bucket's members that are in one component already need no comparison. What
-   the star rounds leave, members of large buckets in different components that were never compared, is joined on the
-   rarest elements of their differences from one text of the group (see _left_pairs), so no link is lost and a large
-   group of near copies isn't paired with itself.
+at most k = floor(2 r (1 - t) / (1 + t)) elements. The feature domain is cut into n1 parts of n2 cells; of the parts,
+k / (k2 + 1) at most hold more than k2 differences, and in the others the sets agree on n2 - k2 cells. Each set signs
+every subset of n2 - k2 cells of every part, for its own band and the next one, where partners up to 1/t times its size
+lie. n1 leaves enough parts over that linked, unequal sets share SHARED signatures at least.
+
+1. Equal sets form a class, the node of all that follows; its smallest id stands for it. A class is named by a 64-bit
+   hash; a second one shows whether two sets have met in a name, and then all names are drawn anew with another seed.
+2. Tasks send their signatures packed, by ranges of hashes, each class once. A signature that more than BUCKET classes
+   of a task share is settled there: only two of its classes, the centers, travel. Where signatures meet, members of a
+   small bucket are paired, and pairs that share fewer than SHARED signatures go (members of a large bucket aside, as
+   below). The rest is held against sketches, which give a lower bound of the difference.
+3. Members of a large bucket meet its centers first, in two rounds. Links found merge components, and pairs that are in
+   one component already need no comparison. What is left, members of a center's large buckets that are in different
+   components and were never compared, is paired where a center has PAIRED members at most, and else joined on the
+   rarest elements of the members' differences from the center (see _left_pairs), so no link is lost and a large group
+   of near copies isn't paired with itself. BUCKET and PAIRED change the way, not the result: all ways are exact.
 
 Rows: without words (null or empty text) a set is empty, links with nothing and is its own component. A text of fewer
 words than n is one run. A null id has a null component and links with nothing. Rows of one id are one node, linked
@@ -28,6 +31,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,10 +39,14 @@ from pyspark.sql import functions as F
 from inkwell.llm import common
 from inkwell.llm.components import connected_components
 
-#: Star rounds before the rest is compared.
-ROUNDS = 2
-#: Buckets of up to so many members are paired directly; sketches then rule out what only shares a signature.
+#: Buckets of up to so many members are paired directly.
 BUCKET = 32
+#: Of a center with up to so many members, those in different components are paired.
+PAIRED = 256
+#: Signatures that linked sets share at least.
+SHARED = 2
+#: Signatures that a task holds before it sends them, and that meet in one place, about.
+HELD, MET = 1 << 22, 1 << 21
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -48,10 +56,13 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(common.hash_runs(common.hash_words(words), min(n, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def class_id(found: np.ndarray) -> int:
-    """A hash of a set, as a signed 64-bit integer."""
-    total = common.mix(found + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(found))
-    return int(common.mix(np.array([total], np.uint64)).view(np.int64)[0])
+def class_id(found: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two hashes of a set, as signed 64-bit integers: a name, and one to check it by."""
+    out = []
+    for k in (2 * seed + 1, 2 * seed + 2):
+        total = common.mix(found + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)).sum(dtype=np.uint64) + np.uint64(len(found))
+        out.append(int(common.mix(np.array([total], np.uint64)).view(np.int64)[0]))
+    return out[0], out[1]
 
 
 class PartEnum:
@@ -69,13 +80,13 @@ class PartEnum:
         return int(np.searchsorted(self.tops, size))
 
     def parts(self, band: int) -> tuple[int, int]:
-        """Parts of the domain in a band, and how many of them linked sets agree on at least."""
+        """Parts of the domain in a band (none where linked sets are equal), and how many linked sets agree on at least."""
         k = 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
         if k == 0:
-            return 0, 1
+            return 0, 0
         most_bad = k // (self.k2 + 1)
         mean = self.tops[band] * self.num / self.den / (most_bad + 1) * (self.n2 - self.k2) / self.n2
-        sure = 1 + math.ceil(2 * len(self.subsets) * math.exp(-mean) * (most_bad + 1))
+        sure = SHARED + math.ceil(2 * len(self.subsets) * math.exp(-mean) * (most_bad + 1))
         return most_bad + sure, sure
 
     def _signs(self, mixed: np.ndarray, band: int) -> np.ndarray:
@@ -90,8 +101,8 @@ class PartEnum:
         sums = np.stack([cells[:, list(s)].sum(axis=1, dtype=np.uint64) for s in self.subsets], axis=1)
         empty = np.stack([many[:, list(s)].sum(axis=1) == 0 for s in self.subsets], axis=1)
         out = common.mix(common.mix(sums.ravel()) + salt + np.arange(sums.size, dtype=np.uint64))
-        # Linked sets agree on `sure` parts; with fewer parts that have an empty subset, one of those has none.
-        return out[~empty.ravel()] if empty.any(axis=1).sum() < sure else out
+        # Linked sets agree on `sure` parts; SHARED of those have no empty subset, where few parts have one at all.
+        return out[~empty.ravel()] if empty.any(axis=1).sum() <= sure - SHARED else out
 
     def signatures(self, found: np.ndarray) -> np.ndarray:
         if not len(found):
@@ -120,49 +131,190 @@ def _sketch_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
 
 
-def _classes(n: int):
+def _classes(n: int, seed: int):
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
+            names = [class_id(s, seed) if len(s) else (None, None) for s in sets]
+            columns = [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int8()))],
-                ["id", "n_shingles", "class", "sketch"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *columns, pa.array([sketch(s) for s in sets], pa.list_(pa.int8()))],
+                ["id", "n_shingles", "class", "proof", "sketch"],
             )
 
     return classes
 
 
-def _signer(n: int, num: int, den: int):
+#: Packed signatures of a part of the hashes (falling members: hash, place in `classes`, whether the bucket is large), or
+#: pairs of a center and a member.
+_PACKED = "part int, sign binary, place binary, large binary, classes binary, sizes binary, stars binary"
+#: kind 0 and 1: a center and a member of a large bucket, 3 and 4: those of one task's share of it; 2: members of small
+#: buckets, with the signatures they share.
+_PAIRS = "kind int, a long, b long, n long"
+
+
+def _stars(cls: np.ndarray, lengths: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of distinct classes: which are centers, and rows (kind or the next one, center, member)."""
+    starts, rows, chosen = np.cumsum(lengths) - lengths, [], np.zeros(len(cls), bool)
+    for k, order in enumerate((cls.view(np.uint64), common.mix(cls.view(np.uint64)))):
+        first = order == np.repeat(np.minimum.reduceat(order, starts), lengths)
+        center = np.repeat(cls[first], lengths)
+        rows.append(np.stack([np.full(len(cls), kind + k), center, cls])[:, center != cls])
+        chosen |= first
+    return chosen, np.concatenate(rows, axis=1)
+
+
+def _distinct(stars: list[np.ndarray]) -> np.ndarray:
+    return pd.DataFrame(np.concatenate(stars, axis=1).T).drop_duplicates().to_numpy(np.int64)
+
+
+def _signer(n: int, num: int, den: int, seed: int, parts: int, bucket: int):
+    def pack(names: list[int], sizes: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names, sizes = np.array(names, np.int64), np.array(sizes, np.uint32)
+        place = np.repeat(np.arange(len(signs), dtype=np.uint32), [len(s) for s in signs])
+        key = np.concatenate(signs)
+        key = (key >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | key & np.uint64(0xFFFFFFFF)
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        new = np.append(True, key[1:] != key[:-1])
+        again = np.append(False, ~new[1:] & (place[1:] == place[:-1]))  # two signatures of one set meet: not told apart
+        lengths = np.diff(np.append(np.flatnonzero(new), len(key)))
+        odd = np.logical_or.reduceat(again, np.flatnonzero(new))
+        large = np.repeat(odd | (lengths > bucket), lengths)
+        keep, stars = ~again, []
+        many = np.repeat(lengths > bucket, lengths) & keep
+        if many.any():
+            runs = np.cumsum(new)[many]
+            chosen, found = _stars(names[place[many]], np.diff(np.append(np.flatnonzero(np.append(True, runs[1:] != runs[:-1])), len(runs))), 3)
+            stars.append(found)
+            keep[np.flatnonzero(many)[~chosen]] = False
+        key, place, large = key[keep], place[keep], large[keep]
+        part = (key >> np.uint64(32)).astype(np.int64)
+        ends = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        rows = []
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            own, at = np.unique(place[i:j], return_inverse=True)
+            sign = np.diff((key[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0)
+            marks = large[i:j].tobytes() if large[i:j].any() else b""
+            rows.append((int(part[i]), common.planes(sign), common.planes(at), marks, names[own].tobytes(), sizes[own].tobytes(), None))
+        if stars:
+            found = _distinct(stars)
+            for i in range(0, len(found), 100_000):
+                rows.append((i // 100_000 % parts, None, None, None, None, None, found[i : i + 100_000].tobytes()))
+        for i in range(0, len(rows), 256):
+            columns = zip(*rows[i : i + 256])
+            yield pa.record_batch([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], [x.split(" ")[0] for x in _PACKED.split(", ")])
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, seen = PartEnum(num, den), set()
+        scheme, names, sizes, signs, seen, held = PartEnum(num, den), [], [], [], set(), 0
         for batch in batches:
-            ids, signs = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 found = shingles(text, n)
-                name = class_id(found)
-                if len(found) and name not in seen:
+                name = class_id(found, seed)[0]
+                if len(found) and name not in seen and len(s := scheme.signatures(found)):
                     seen.add(name)
-                    signs.append(scheme.signatures(found))
-                    ids.append(np.full(len(signs[-1]), i, np.int64))
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(ids))], ["sign", "id"])
+                    names.append(name)
+                    sizes.append(len(found))
+                    signs.append(s)
+                    held += len(s)
+                if held >= HELD:
+                    yield from pack(names, sizes, signs)
+                    names, sizes, signs, seen, held = [], [], [], set(), 0
+        if names:
+            yield from pack(names, sizes, signs)
 
     return sign
 
 
-def _sets(n: int):
+def _meeting(num: int, den: int, bucket: int):
+    """Buckets of one part after the other; rows come sorted by part."""
+
+    def out(a, b, n, kind) -> pa.RecordBatch:
+        columns = [np.full(len(a), kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32), a, b, n]
+        return pa.record_batch([pa.array(np.asarray(c)) for c in columns], ["kind", "a", "b", "n"])
+
+    def pairs(cls: np.ndarray, size: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+
+        def close() -> pa.RecordBatch:
+            a, b = np.concatenate(kept, axis=1)
+            found = pd.DataFrame({"a": a, "b": b}).groupby(["a", "b"], sort=False).size()
+            return out(found.index.get_level_values(0).to_numpy(), found.index.get_level_values(1).to_numpy(), found.to_numpy(np.int64), 2)
+
+        for m in np.unique(lengths).tolist():
+            one, two = np.triu_indices(m, 1)
+            own = starts[lengths == m]
+            step = max(1, (1 << 20) // len(one))
+            for i in range(0, len(own), step):
+                a, b = ((own[i : i + step, None] + x).ravel() for x in (one, two))
+                near = num * np.maximum(size[a], size[b]) <= den * np.minimum(size[a], size[b])
+                kept.append(np.stack([cls[a[near]], cls[b[near]]]))
+                held += int(near.sum())
+                if held > 1 << 21:
+                    yield close()
+                    kept, held = [], 0
+        if held:
+            yield close()
+
+    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sign, cls, size, large = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((cls, sign))
+        sign, cls, size, large = sign[order], cls[order], size[order], large[order]
+        starts = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
+        large = np.repeat(np.logical_or.reduceat(large, starts), np.diff(np.append(starts, len(sign))))
+        keep = np.append(True, (sign[1:] != sign[:-1]) | (cls[1:] != cls[:-1]))
+        sign, cls, size, large = sign[keep], cls[keep], size[keep], large[keep]
+        starts = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
+        lengths = np.diff(np.append(starts, len(sign)))
+        big = large[starts] | (lengths > bucket)
+        small = ~big & (lengths > 1)
+        yield from pairs(cls, size.astype(np.int64), starts[small], lengths[small])
+        big &= lengths > 1
+        if big.any():
+            found = _distinct([_stars(cls[np.repeat(big, lengths)], lengths[big], 0)[1]])
+            yield out(found[:, 1], found[:, 2], np.ones(len(found), np.int64), found[:, 0])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_part = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["stars"] is not None:
+                    found = np.frombuffer(row["stars"], np.int64).reshape(-1, 3)
+                    yield out(found[:, 1], found[:, 2], np.ones(len(found), np.int64), found[:, 0])
+                    continue
+                if held and row["part"] != open_part:
+                    yield from close(held)
+                    held = []
+                open_part = row["part"]
+                place = common.unplanes(row["place"])
+                sign = np.cumsum(common.unplanes(row["sign"]), dtype=np.uint64).astype(np.uint32)
+                large = np.frombuffer(row["large"], bool) if row["large"] else np.zeros(len(sign), bool)
+                held.append((sign, np.frombuffer(row["classes"], np.int64)[place], np.frombuffer(row["sizes"], np.uint32)[place], large))
+        if held:
+            yield from close(held)
+
+    return meet
+
+
+def _sets(n: int, seed: int):
+    """A task gives the set of each class once."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            found = [shingles(t, n).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
+            found = [shingles(t, n) for t in batch.column(0).to_pylist()]
+            found = [(class_id(s, seed)[0], s.view(np.int64)) for s in found if len(s)]
+            found = [x for x in dict(found).items() if x[0] not in seen]
+            seen.update(x[0] for x in found)
+            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["id", "set"])
 
     return sets
 
 
-def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: str) -> DataFrame:
     """Pairs (a, b) that may be linked, of members of one bucket in different components: a superset of the linked ones.
 
-    left: center, id, label: members of buckets, and a text for each group of buckets; any would do. Let D(x) be the symmetric difference of a
+    left: center, id, label: members of buckets and a text of each bucket. Let D(x) be the symmetric difference of a
     member and its center. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and linked ones in
     k(x, y) = (1 - t) / (1 + t) (|x| + |y|) at most; one of them, say x, is not linked with the center, so
     |D(x)| > k(x, center), or the center joins them (its links are among the pairs). So their differences share (|D(x)| + |D(y)| - k(x, y)) / 2 > 0 elements or more: of each
@@ -184,8 +336,10 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     d = d.withColumn("apart", apart)
     near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
     d = d.select("center", "id", "label", "apart", "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("long"), F.explode("diff").alias("e"))
-    d = d.withColumn("df", F.count("*").over(Window.partitionBy("center", "e")))  # an element of one member finds nobody
-    d = d.withColumn("place", F.row_number().over(Window.partitionBy("center", "id").orderBy("df", "e"))).where("df > 1")
+    d = common.materialized(d, f"{folder}/left-elements")
+    df = common.materialized(d.groupBy("center", "e").agg(F.count("*").alias("df")).where("df > 1"), f"{folder}/left-df")
+    d = d.join(df, ["center", "e"], "left")  # an element of one member finds nobody
+    d = d.withColumn("place", F.row_number().over(Window.partitionBy("center", "id").orderBy(F.coalesce("df", F.lit(1)), "e"))).where("df > 1")
     index = d.where("place <= short").select("center", "e", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "apart", "n", "size", "place")])
     probe = d.where("apart AND place <= greatest(short, long)")
     # The first element that two members share leaves room for no more than what follows it in both.
@@ -196,10 +350,27 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).union(near).distinct()
 
 
+def _named(rows: DataFrame, n: int, folder: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with the names of their sets, the classes (id: their name, rep: their smallest id), and the names' seed."""
+    seed = 0
+    while True:
+        schema = "id long, n_shingles long, class long, proof long, sketch array<tinyint>"
+        named = common.materialized(rows.mapInArrow(_classes(n, seed), schema), f"{folder}/named-{seed}")
+        some = named.where("id IS NOT NULL AND class IS NOT NULL").groupBy(F.col("class").alias("id"))
+        classes = some.agg(
+            F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
+            (F.min("proof") < F.max("proof")).alias("met"),
+        )
+        classes = common.materialized(classes, f"{folder}/classes-{seed}")
+        if not classes.where("met").limit(1).count():
+            return named, classes, seed
+        seed += 1
+
+
 def link_documents(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100
 ) -> tuple[DataFrame, DataFrame]:
-    """Membership (id, n_shingles, class, representative, component) and the links found between representatives.
+    """Membership (id, n_shingles, representative, component), and the links found, between representatives.
 
     The links span each component; copies and pairs whose component is known already are not expanded.
     """
@@ -207,96 +378,99 @@ def link_documents(
     common.small_batches(spark, 256)
     folder = common.shared_dir(spark, "ngram-join")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    named = common.materialized(rows.mapInArrow(_classes(n), "id long, n_shingles long, class long, sketch array<tinyint>"), f"{folder}/classes")
-    first = named.where("id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
-    member = common.materialized(
-        named.join(first, "class", "left").select("id", "n_shingles", "class", F.coalesce("rep", "id").alias("rep")), f"{folder}/members"
-    )
-    signed = rows.where("id IS NOT NULL").mapInArrow(_signer(n, num, den), "sign long, id long")
-    # Rows with company: a smaller or a larger id has the same signature.
-    order = Window.partitionBy("sign").orderBy("id")
-    shared = signed.withColumns({"before": F.lag("id").over(order), "after": F.lead("id").over(order)})
-    shared = shared.where("before < id OR after > id").select("sign", "id")
-    # One row for each class in a bucket; buckets of one class go.
-    reps = member.select("id", "rep", F.col("n_shingles").alias("size")).distinct()
-    shared = shared.join(reps, "id").select("sign", F.col("rep").alias("id"), "size").distinct()
-    many = F.count("*").over(Window.partitionBy("sign"))
-    shared = common.materialized(shared.withColumn("many", many).where("many > 1"), f"{folder}/shared")
-    close = num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b")
-    far = common.materialized(named.where("id IS NOT NULL").join(reps.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").select("id", "sketch"), f"{folder}/sketches")
+    named, classes, seed = _named(rows, n, folder)
+    total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / MET))
+    packed = rows.where("id IS NOT NULL").select("text").mapInArrow(_signer(n, num, den, seed, parts, BUCKET), _PACKED)
+    met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meeting(num, den, BUCKET), _PAIRS)
+    met = common.materialized(met, f"{folder}/met")
+    far = classes.select("id", "size", "sketch")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b, size_a, size_b) those that may be linked by their sizes and sketches."""
-        one = pairs.where(close).join(far.select(F.col("id").alias("a"), F.col("sketch").alias("s_a")), "a")
-        two = one.join(far.select(F.col("id").alias("b"), F.col("sketch").alias("s_b")), "b")
-        return two.where(_sketch_distance(F.col("s_a"), F.col("s_b")) * (den + num) <= (den - num) * (F.col("size_a") + F.col("size_b"))).drop("s_a", "s_b")
-
-    # Members of small buckets meet each other, BUCKET / 2 pairs for a row at most; large ones are treated below.
-    small = shared.where(F.col("many") <= BUCKET).select("sign", F.col("id").alias("a"), F.col("size").alias("size_a"))
-    pairs = small.join(small.select("sign", F.col("a").alias("b"), F.col("size_a").alias("size_b")), "sign").where("a < b")
-    pairs = pairs.where(close).groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
-    pairs = common.materialized(likely(pairs).select("a", "b"), f"{folder}/pairs")
-    large = shared.where(F.col("many") > BUCKET).select("sign", "id", "size")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
-    sets = common.materialized(rows.join(wanted, "id").select("id", "text").mapInArrow(_sets(n), "id long, set array<long>"), f"{folder}/sets")
+        """Of pairs (a, b) those that may be linked by their sizes and sketches."""
+        one = pairs.join(far.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("s_a")), "a")
+        two = one.join(far.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("s_b")), "b")
+        two = two.where(num * F.greatest("size_a", "size_b") <= den * F.least("size_a", "size_b"))
+        two = two.where(_sketch_distance(F.col("s_a"), F.col("s_b")) * (den + num) <= (den - num) * (F.col("size_a") + F.col("size_b")))
+        return two.select("kind", "a", "b")
+
+    small = met.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
+    stars = common.materialized(met.where("kind <> 2").select("kind", "a", "b").distinct(), f"{folder}/stars")
+    pairs = small.select(F.lit(2).alias("kind"), "a", "b").unionByName(stars)
+    pairs = common.materialized(likely(pairs), f"{folder}/pairs")
+    members = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    wanted = members.union(pairs.select("a")).union(pairs.select("b")).distinct().join(classes.select("id", "rep"), "id").select("rep").distinct()
+    wanted = common.materialized(wanted, f"{folder}/wanted")
+    sets = rows.join(wanted, F.col("id") == F.col("rep")).select("text").mapInArrow(_sets(n, seed), "id long, set array<long>")
+    sets = common.materialized(sets, f"{folder}/sets")
+    common.remove(f"{folder}/met")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs a < b with their intersection and union."""
+        """pairs (a, b) with their intersection and union."""
         one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         found = two.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).cast("long").alias("sum"))
         return common.materialized(found.withColumn("linked", den * F.col("both") >= num * (F.col("sum") - F.col("both"))), f"{folder}/{name}")
 
+    # Rows of one id with different texts are one node.
+    twice = named.where("id IS NOT NULL AND class IS NOT NULL").groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    twice = common.materialized(twice, f"{folder}/twice")
+    joint = named.join(twice.select("id", "a"), "id").where("class > a").select("a", F.col("class").alias("b"))
+    joint = common.materialized(joint.distinct(), f"{folder}/joint")
     compared, labels = None, None
 
-    def labelled(rows: DataFrame, column: str = "id") -> DataFrame:
+    def labelled(rows: DataFrame, column: str) -> DataFrame:
         if labels is None:
             return rows.withColumn(f"label_{column}", F.col(column))
-        named = labels.select(F.col("node").alias(column), F.col("label").alias(f"label_{column}"))
-        return rows.join(named, column, "left").withColumn(f"label_{column}", F.coalesce(f"label_{column}", column))
+        found = labels.select(F.col("node").alias(column), F.col("label").alias(f"label_{column}"))
+        return rows.join(found, column, "left").withColumn(f"label_{column}", F.coalesce(f"label_{column}", column))
 
     def untested(pairs: DataFrame) -> DataFrame:
         return pairs if compared is None else pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
-    def open_pairs() -> DataFrame:
-        return untested(labelled(labelled(pairs, "a"), "b").where("label_a <> label_b").select("a", "b"))
-
-    for k in range(ROUNDS):
-        # The center of a large bucket: its first member in an order that differs from round to round.
-        rank = F.col("id") if k == 0 else F.xxhash64(F.col("id"), F.lit(k))
-        order = Window.partitionBy("sign").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        star = labelled(large).withColumn("rank", rank).withColumn("center", F.first(F.struct("rank", "id", "label_id", "size")).over(order))
-        star = star.where("center.label_id <> label_id").select(
-            F.least("id", "center.id").alias("a"),
-            F.greatest("id", "center.id").alias("b"),
-            F.when(F.col("id") < F.col("center.id"), F.col("size")).otherwise(F.col("center.size")).alias("size_a"),
-            F.when(F.col("id") < F.col("center.id"), F.col("center.size")).otherwise(F.col("size")).alias("size_b"),
-        )
-        star = untested(likely(star.distinct()).select("a", "b"))
+    def open_pairs(kind: int) -> DataFrame:
+        some = labelled(labelled(pairs.where(f"kind IN (2, {kind}, {kind + 3})").select("a", "b").distinct(), "a"), "b")
+        return untested(some.where("label_a <> label_b").select("a", "b"))
+
+    for k in range(2):
         # One partner for each member in a round: the first in the round's order, which many members share.
-        first = rank if k == 0 else F.xxhash64(F.col("a"), F.lit(k))
-        first = F.struct((F.col("a") if k == 0 else first).alias("rank"), "a")
-        pick = open_pairs().union(star).groupBy("b").agg(F.min(first).alias("p")).select("p.a", "b")
+        first = F.struct((F.col("a") if k == 0 else F.xxhash64(F.col("a"), F.lit(k))).alias("rank"), "a")
+        pick = open_pairs(k).groupBy("b").agg(F.min(first).alias("p")).select("p.a", "b")
         found = compare(pick, f"star-{k}")
-        if not found.limit(1).count():
-            break
         compared = found if compared is None else compared.unionByName(found)
-        labels = connected_components(compared.where("linked").select("a", "b"), f"{folder}/round-{k}")
-    # What is left: likely pairs, and members of a large bucket in different components that were never compared.
-    # One center for all buckets that share members: each member has one difference set.
-    firsts = large.select("sign", "id", F.min("id").over(Window.partitionBy("sign")).alias("first"))
-    groups = connected_components(firsts.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), f"{folder}/groups")
-    left = labelled(large.select("id").distinct()).join(groups.select(F.col("node").alias("id"), F.col("label").alias("center")), "id")
-    order = Window.partitionBy("center")
-    left = left.withColumnRenamed("label_id", "label").withColumn("mixed", F.min("label").over(order) < F.max("label").over(order))
-    left = left.where("mixed").select("center", "id", "label")
-    rest = compare(open_pairs().union(untested(_left_pairs(left, sets, num, den))).distinct(), "rest")
-    compared = rest if compared is None else compared.unionByName(rest)
+        labels = connected_components(compared.where("linked").select("a", "b").union(joint), f"{folder}/round-{k}")
+    # What is left: likely pairs, and members of large buckets in different components that were never compared.
+    tails = stars.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("id"))
+    heads = stars.where("kind = 0").select(F.col("a").alias("center"), F.col("b").alias("head"))
+    left = stars.where("kind IN (0, 3)").select(F.col("a").alias("center"), F.col("b").alias("id"))
+    left = left.union(tails.join(heads, "head").select("center", "id"))
+    left = left.union(left.select("center", F.col("center").alias("id"))).distinct()
+    left = common.materialized(labelled(left, "id").withColumnRenamed("label_id", "label"), f"{folder}/left")
+    mixed = left.groupBy("center").agg(F.count("*").alias("many"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed")
+    left = left.join(common.materialized(mixed.select("center", "many"), f"{folder}/mixed"), "center")
+    few = left.where(F.col("many") <= PAIRED).select("center", "id", "label")
+    few = few.alias("x").join(few.alias("y"), "center").where("x.label <> y.label AND x.id < y.id")
+    few = likely(few.select(F.lit(0).alias("kind"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select("a", "b")
+    many = _left_pairs(left.where(F.col("many") > PAIRED).select("center", "id", "label"), sets, num, den, folder)
+    rest = compare(open_pairs(2).union(untested(few.union(many))).distinct(), "rest")
+    compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
-    labels = connected_components(links, f"{folder}/all")
-    out = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("id", "n_shingles", "class", F.col("rep").alias("representative"), F.coalesce("label", "rep").alias("component")), links
+    labels = connected_components(links.select("a", "b").union(joint), f"{folder}/all")
+    # Names become ids: a component's is the smallest of its classes'.
+    reps = classes.select("id", "rep")
+    found = labels.join(reps.withColumnRenamed("id", "node"), "node").select("node", "rep", "label")
+    least = common.materialized(found.groupBy("label").agg(F.min("rep").alias("component")), f"{folder}/least")
+    found = found.join(least, "label").select(F.col("node").alias("class"), "rep", "component")
+    copies = classes.where("rows > 1").join(labels, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("class"), "rep", F.col("rep").alias("component"))
+    found = common.materialized(found.unionByName(copies), f"{folder}/found")
+    out = named.select("id", "n_shingles", "class").join(found, "class", "left")
+    links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
+    links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
+    for name in ("stars", "pairs", "wanted", "sets", "star-0", "star-1", "rest", "round-0", "round-1", "left", "mixed", "left-df", "left-elements", "all"):
+        common.remove(f"{folder}/{name}")
+    mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

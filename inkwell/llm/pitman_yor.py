@@ -260,15 +260,6 @@ def _count(modulus: int, remainder: int, most: int = 1 << 21):
 _BLOCK = "kind int, block long, id long, held boolean, n long, places binary, w long, ctx long, c long, j int"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit integers by planes of bytes, which compress better."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 def _blocks(modulus: int, remainder: int, block_tokens: int):
     names = [x.split(" ")[0] for x in _BLOCK.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
@@ -298,7 +289,7 @@ def _blocks(modulus: int, remainder: int, block_tokens: int):
             first = first[order]
             for a in range(0, len(ids), 4096):
                 s = slice(a, a + 4096)
-                places = [_planes(place[f : f + m]) for f, m in zip(firsts[s], n[s])]
+                places = [common.planes(place[f : f + m]) for f, m in zip(firsts[s], n[s])]
                 k = len(places)
                 yield rows(k, kind=np.zeros(k, np.int32), block=np.full(k, block), id=ids[s], held=held[s], n=n[s], places=places)
             for a in range(0, len(first), 100_000):
@@ -600,7 +591,7 @@ def _score(folder: str, tokens: int, vocabulary: int):
             n_known, base, own = [], [], []
             for row in batch.to_pylist():
                 log_p, known = _load(f"{folder}/block-{row['block']}", most=1)
-                at = _unplanes(row["places"])
+                at = common.unplanes(row["places"])
                 own.append(float(log_p[at].sum(dtype=np.float64)))
                 count = known[at]
                 n_known.append(int((count > 0).sum()))

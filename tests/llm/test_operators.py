@@ -216,6 +216,7 @@ def near_copies(seed):
 @pytest.mark.parametrize("seed, n, num, den", [(1, 3, 90, 100), (2, 5, 80, 100)])
 def test_ngram_join_equals_brute_force(spark, seed, n, num, den, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 6)  # so that the treatment of large buckets is met
+    monkeypatch.setattr(ngram_join, "PAIRED", 10)
     texts = near_copies(seed)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("id", F.lit("clash"))
     got, links = ngram_join.link_documents(df, n=n, num=num, den=den)
@@ -236,6 +237,7 @@ def test_ngram_join_signatures_are_complete():
                 if den * both >= num * (len(np.unique(a)) + len(b) - both):
                     one, two = (set(ngram_join.PartEnum(num, den).signatures(np.unique(x)).tolist()) for x in (a, b))
                     assert one & two
+                    assert len(one & two) >= ngram_join.SHARED or both == len(np.unique(a)) == len(b)
 
 
 def test_ngram_join_of_odd_rows(spark, odd):
