@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of plain words: ``[^\x20\x09-\x0D]+``; the set on which ``bytes.split()`` cuts.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +41,15 @@ def claim(owner: str) -> None:
         _OWNER[0] = owner
         for cache in _CACHES:
             cache.clear()
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that waits beside a later stage should hold little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        release(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +97,11 @@ def materialized(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of one column of ids, to be broadcast if it is proven small, and else to be joined by shuffle."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bounds what a Python worker holds at once; long texts make default batches very large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,6 +7,10 @@ k / (k2 + 1) at most hold more than k2 differences, and in the others the sets a
 every subset of n2 - k2 cells of every part, for its own band and the next one, where partners up to 1/t times its size
 lie. n1 leaves enough parts over that linked, unequal sets share SHARED signatures at least.
 
+Elements that very many texts hold (`frequent`: a fixed set, of any size) make signatures of unrelated texts meet. Sets
+sign without them, as differences only shrink by that; where most of a set is frequent, it signs whole. Near the limit
+it does both, over a range wide enough that linked sets always have one of the two in common.
+
 1. Equal sets form a class, the node of all that follows; its smallest id stands for it. A class is named by a 64-bit
    hash; a second one shows whether two sets have met in a name, and then all names are drawn anew with another seed.
 2. Tasks send their signatures packed, by ranges of hashes, each class once. A signature that more than BUCKET classes
@@ -44,9 +48,12 @@ BUCKET = 32
 #: Of a center with up to so many members, those in different components are paired.
 PAIRED = 256
 #: Signatures that linked sets share at least.
-SHARED = 2
+SHARED = 3
+#: An element counts as frequent from so many texts on, as long as there are no more than MOST of them; the count is
+#: summed from tasks' shares of at least LOCAL texts. Other values change the cost, not the result.
+FREQUENT, MOST, LOCAL = 1000, 1 << 18, 4
 #: Signatures that a task holds before it sends them, and that meet in one place, about.
-HELD, MET = 1 << 22, 1 << 21
+HELD, MET = 1 << 21, 1 << 20
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -89,9 +96,10 @@ class PartEnum:
         sure = SHARED + math.ceil(2 * len(self.subsets) * math.exp(-mean) * (most_bad + 1))
         return most_bad + sure, sure
 
-    def _signs(self, mixed: np.ndarray, band: int) -> np.ndarray:
-        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    def _signs(self, mixed: np.ndarray, band: int, whole: bool, most_k: int) -> np.ndarray:
+        salt = np.uint64((2 * band + 1 + whole) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         n1, sure = self.parts(band)
+        sure = max(sure, n1 - most_k // (self.k2 + 1))  # a set may be smaller than the band's bound allows for
         if n1 == 0:
             return common.mix(mixed.sum(dtype=np.uint64, keepdims=True) + salt)
         cells = np.zeros(n1 * self.n2, np.uint64)
@@ -104,43 +112,75 @@ class PartEnum:
         # Linked sets agree on `sure` parts; SHARED of those have no empty subset, where few parts have one at all.
         return out[~empty.ravel()] if empty.any(axis=1).sum() <= sure - SHARED else out
 
-    def signatures(self, found: np.ndarray) -> np.ndarray:
+    def signatures(self, found: np.ndarray, frequent: np.ndarray = np.empty(0, np.uint64)) -> np.ndarray:
+        """frequent: sorted elements that are left out, unless they are most of the set."""
         if not len(found):
             return np.empty(0, np.uint64)
-        band = self.band(len(found))
+        size = len(found)
+        band = self.band(size)
         self.band(self.tops[band] + 1)
-        mixed = common.mix(found ^ np.uint64(0xD6E8FEB86659FD93))
-        return np.concatenate([self._signs(mixed, b) for b in (band, band + 1)])
+        rare = found
+        if len(frequent):
+            rare = found[frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] != found]
+        # Rare elements of linked sets differ by most_k at most, and half their sizes by half of that.
+        most_k = size * (self.den - self.num) // self.num
+        ways = [rare] if 2 * len(rare) >= size else [None]
+        ways += [found] if 2 * len(rare) <= size + 3 * (most_k + 1) else []
+        out = []
+        for whole, some in enumerate(ways):
+            if some is not None:
+                mixed = common.mix(some ^ np.uint64(0xD6E8FEB86659FD93))
+                out += [self._signs(mixed, b, bool(whole), most_k) for b in (band, band + 1)]
+        return np.concatenate(out)
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Elements in each of 2^b >= n / 8 cells, 127 at most: sets that differ in k elements differ by k here at most."""
-    cells = 1 << max(4, (max(1, len(found) - 1) // 8).bit_length())
-    return np.minimum(np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 127).astype(np.int8)
+    """Parities of the numbers of elements in 2^b >= 2n cells, as bits: sets that differ in k elements differ in k bits at most."""
+    cells = 64 << max(0, (2 * len(found) - 1).bit_length() - 6)
+    odd = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _sketch_distance(a: Column, b: Column) -> Column:
-    """L1 distance of two sketches; the finer one is folded, once or twice, as the sizes of partners allow."""
+    """Bits in which two sketches differ; the longer one is folded, once, as the sizes of partners allow."""
 
     def fold(x: Column, other: Column) -> Column:
-        half = F.size(x) / 2
-        halves = F.zip_with(F.slice(x, 1, half.cast("int")), F.slice(x, half.cast("int") + 1, half.cast("int")), lambda u, v: F.least(u.cast("int") + v, F.lit(127)).cast("byte"))
-        return F.when(F.size(x) > F.size(other), halves).otherwise(x)
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
 
-    a, b = fold(a, b), fold(b, a)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda t, x: t + x)
+    apart = F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(apart, F.lit(0), lambda t, x: t + x)
 
 
 def _classes(n: int, seed: int):
+    """A row for each text; and rows (element, texts) of what many texts of the task hold."""
+    names = ["id", "n_shingles", "class", "proof", "sketch", "element", "texts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+
+    def batch_of(many: int, *columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.nulls(many, t) if c is None else pa.array(c, t) for c, t in zip(columns, types)], names)
+
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def count() -> Iterator[pa.RecordBatch]:
+            element, texts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            element, texts = element[texts >= LOCAL].view(np.int64), texts[texts >= LOCAL]
+            for at in range(0, len(element), 100_000):
+                some = slice(at, at + 100_000)
+                yield batch_of(len(element[some]), None, None, None, None, None, element[some], texts[some])
+
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            names = [class_id(s, seed) if len(s) else (None, None) for s in sets]
-            columns = [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *columns, pa.array([sketch(s) for s in sets], pa.list_(pa.int8()))],
-                ["id", "n_shingles", "class", "proof", "sketch"],
-            )
+            keys = [class_id(s, seed) if len(s) else (None, None) for s in sets]
+            yield batch_of(len(sets), batch.column(0), [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], [sketch(s) for s in sets], None, None)
+            held += sets
+            if sum(map(len, held)) >= 2 * HELD:
+                yield from count()
+        if held:
+            yield from count()
+        common.trim()
 
     return classes
 
@@ -168,7 +208,7 @@ def _distinct(stars: list[np.ndarray]) -> np.ndarray:
     return pd.DataFrame(np.concatenate(stars, axis=1).T).drop_duplicates().to_numpy(np.int64)
 
 
-def _signer(n: int, num: int, den: int, seed: int, parts: int, bucket: int):
+def _signer(n: int, num: int, den: int, seed: int, parts: int, bucket: int, frequent: np.ndarray):
     def pack(names: list[int], sizes: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         names, sizes = np.array(names, np.int64), np.array(sizes, np.uint32)
         place = np.repeat(np.arange(len(signs), dtype=np.uint32), [len(s) for s in signs])
@@ -211,7 +251,7 @@ def _signer(n: int, num: int, den: int, seed: int, parts: int, bucket: int):
             for text in batch.column(0).to_pylist():
                 found = shingles(text, n)
                 name = class_id(found, seed)[0]
-                if len(found) and name not in seen and len(s := scheme.signatures(found)):
+                if len(found) and name not in seen and len(s := scheme.signatures(found, frequent)):
                     seen.add(name)
                     names.append(name)
                     sizes.append(len(found))
@@ -222,6 +262,7 @@ def _signer(n: int, num: int, den: int, seed: int, parts: int, bucket: int):
                     names, sizes, signs, seen, held = [], [], [], set(), 0
         if names:
             yield from pack(names, sizes, signs)
+        common.trim()
 
     return sign
 
@@ -292,6 +333,8 @@ def _meeting(num: int, den: int, bucket: int):
                 held.append((sign, np.frombuffer(row["classes"], np.int64)[place], np.frombuffer(row["sizes"], np.uint32)[place], large))
         if held:
             yield from close(held)
+        held = []
+        common.trim()
 
     return meet
 
@@ -350,12 +393,30 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: st
     return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).union(near).distinct()
 
 
-def _named(rows: DataFrame, n: int, folder: str) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with the names of their sets, the classes (id: their name, rep: their smallest id), and the names' seed."""
+def _frequent(found: DataFrame, folder: str) -> np.ndarray:
+    """The most frequent elements, sorted: MOST at most, by the lowest limit of 2^k texts that keeps to it."""
+    many = found.where("element IS NOT NULL").groupBy("element").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= FREQUENT)
+    many = common.materialized(many, f"{folder}/frequent")
+    sizes = many.groupBy(F.floor(F.log2("texts")).alias("k")).count().orderBy(F.desc("k")).collect()
+    total, least = 0, None
+    for row in sizes:
+        total += row["count"]
+        if total > MOST:
+            break
+        least = 1 << row["k"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    return np.sort(np.array([r.element for r in many.where(F.col("texts") >= least).select("element").collect()], np.int64).view(np.uint64))
+
+
+def _named(rows: DataFrame, n: int, folder: str) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """Rows with the names of their sets, the classes (id: their name, rep: their smallest id), frequent elements, and
+    the names' seed."""
     seed = 0
     while True:
-        schema = "id long, n_shingles long, class long, proof long, sketch array<tinyint>"
-        named = common.materialized(rows.mapInArrow(_classes(n, seed), schema), f"{folder}/named-{seed}")
+        schema = "id long, n_shingles long, class long, proof long, sketch array<long>, element long, texts long"
+        found = common.materialized(rows.mapInArrow(_classes(n, seed), schema), f"{folder}/named-{seed}")
+        named = found.where("element IS NULL")
         some = named.where("id IS NOT NULL AND class IS NOT NULL").groupBy(F.col("class").alias("id"))
         classes = some.agg(
             F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"),
@@ -363,7 +424,7 @@ def _named(rows: DataFrame, n: int, folder: str) -> tuple[DataFrame, DataFrame,
         )
         classes = common.materialized(classes, f"{folder}/classes-{seed}")
         if not classes.where("met").limit(1).count():
-            return named, classes, seed
+            return named, classes, _frequent(found, folder), seed
         seed += 1
 
 
@@ -378,10 +439,10 @@ def link_documents(
     common.small_batches(spark, 256)
     folder = common.shared_dir(spark, "ngram-join")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    named, classes, seed = _named(rows, n, folder)
+    named, classes, frequent, seed = _named(rows, n, folder)
     total = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / MET))
-    packed = rows.where("id IS NOT NULL").select("text").mapInArrow(_signer(n, num, den, seed, parts, BUCKET), _PACKED)
+    packed = rows.where("id IS NOT NULL").select("text").mapInArrow(_signer(n, num, den, seed, parts, BUCKET, frequent), _PACKED)
     met = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meeting(num, den, BUCKET), _PAIRS)
     met = common.materialized(met, f"{folder}/met")
     far = classes.select("id", "size", "sketch")
@@ -398,12 +459,18 @@ def link_documents(
     stars = common.materialized(met.where("kind <> 2").select("kind", "a", "b").distinct(), f"{folder}/stars")
     pairs = small.select(F.lit(2).alias("kind"), "a", "b").unionByName(stars)
     pairs = common.materialized(likely(pairs), f"{folder}/pairs")
-    members = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    wanted = members.union(pairs.select("a")).union(pairs.select("b")).distinct().join(classes.select("id", "rep"), "id").select("rep").distinct()
-    wanted = common.materialized(wanted, f"{folder}/wanted")
-    sets = rows.join(wanted, F.col("id") == F.col("rep")).select("text").mapInArrow(_sets(n, seed), "id long, set array<long>")
-    sets = common.materialized(sets, f"{folder}/sets")
     common.remove(f"{folder}/met")
+    sets = None
+
+    def with_sets(nodes: DataFrame, name: str) -> DataFrame:
+        """The sets known so far and those of the nodes; texts aren't shuffled while their ids can be broadcast."""
+        nodes = nodes.distinct() if sets is None else nodes.distinct().join(sets.select("id"), "id", "left_anti")
+        ids = common.materialized(nodes.join(classes.select("id", "rep"), "id").select("rep").distinct(), f"{folder}/wanted-{name}")
+        some = rows.join(common.small(ids), F.col("id") == F.col("rep"), "left_semi").select("text")
+        found = common.materialized(some.mapInArrow(_sets(n, seed), "id long, set array<long>"), f"{folder}/sets-{name}")
+        return found if sets is None else sets.unionByName(found)
+
+    sets = with_sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "pairs")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
         """pairs (a, b) with their intersection and union."""
@@ -446,13 +513,18 @@ def link_documents(
     left = stars.where("kind IN (0, 3)").select(F.col("a").alias("center"), F.col("b").alias("id"))
     left = left.union(tails.join(heads, "head").select("center", "id"))
     left = left.union(left.select("center", F.col("center").alias("id"))).distinct()
+    # Any text serves as a center: that of a component stands for all centers in it.
+    left = labelled(left, "center").select(F.col("label_center").alias("center"), "id").distinct()
     left = common.materialized(labelled(left, "id").withColumnRenamed("label_id", "label"), f"{folder}/left")
     mixed = left.groupBy("center").agg(F.count("*").alias("many"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed")
     left = left.join(common.materialized(mixed.select("center", "many"), f"{folder}/mixed"), "center")
     few = left.where(F.col("many") <= PAIRED).select("center", "id", "label")
     few = few.alias("x").join(few.alias("y"), "center").where("x.label <> y.label AND x.id < y.id")
     few = likely(few.select(F.lit(0).alias("kind"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select("a", "b")
-    many = _left_pairs(left.where(F.col("many") > PAIRED).select("center", "id", "label"), sets, num, den, folder)
+    few = common.materialized(few, f"{folder}/few")
+    many = common.materialized(left.where(F.col("many") > PAIRED).select("center", "id", "label"), f"{folder}/many")
+    sets = with_sets(few.select(F.col("a").alias("id")).union(few.select("b")).union(many.select("id")).union(many.select("center")), "left")
+    many = _left_pairs(many, sets, num, den, folder)
     rest = compare(open_pairs(2).union(untested(few.union(many))).distinct(), "rest")
     compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
@@ -467,7 +539,7 @@ def link_documents(
     out = named.select("id", "n_shingles", "class").join(found, "class", "left")
     links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
-    for name in ("stars", "pairs", "wanted", "sets", "star-0", "star-1", "rest", "round-0", "round-1", "left", "mixed", "left-df", "left-elements", "all"):
+    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "left", "mixed", "few", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "all", "frequent"):
         common.remove(f"{folder}/{name}")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links

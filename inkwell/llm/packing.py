@@ -102,6 +102,7 @@ def _packer(length: int, tokenizer: str, end_id: int, most: int):
             if full:
                 yield emit(full)
         yield from close()
+        common.trim()
 
     return pack
 

@@ -217,6 +217,7 @@ def near_copies(seed):
 def test_ngram_join_equals_brute_force(spark, seed, n, num, den, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 6)  # so that the treatment of large buckets is met
     monkeypatch.setattr(ngram_join, "PAIRED", 10)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 20)
     texts = near_copies(seed)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("id", F.lit("clash"))
     got, links = ngram_join.link_documents(df, n=n, num=num, den=den)
@@ -238,6 +239,10 @@ def test_ngram_join_signatures_are_complete():
                     one, two = (set(ngram_join.PartEnum(num, den).signatures(np.unique(x)).tolist()) for x in (a, b))
                     assert one & two
                     assert len(one & two) >= ngram_join.SHARED or both == len(np.unique(a)) == len(b)
+                    for share in (0.1, 0.4, 0.6, 0.9):  # with a share of the elements frequent
+                        often = np.sort(rng.permutation(np.union1d(a, b))[: int(share * len(a))])
+                        one, two = (set(ngram_join.PartEnum(num, den).signatures(np.unique(x), often).tolist()) for x in (a, b))
+                        assert len(one & two) >= ngram_join.SHARED or both == len(np.unique(a)) == len(b)
 
 
 def test_ngram_join_of_odd_rows(spark, odd):
