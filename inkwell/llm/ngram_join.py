@@ -18,10 +18,10 @@ it does both, over a range wide enough that linked sets always have one of the t
    small bucket are paired, and pairs that share fewer than SHARED signatures go (members of a large bucket aside, as
    below). The rest is held against sketches, which give a lower bound of the difference.
 3. Members of a large bucket meet its centers first, in two rounds. Links found merge components, and pairs that are in
-   one component already need no comparison. What is left, members of a center's large buckets that are in different
-   components and were never compared, is paired where a center has PAIRED members at most, and else joined on the
-   rarest elements of the members' differences from the center (see _left_pairs), so no link is lost and a large group
-   of near copies isn't paired with itself. BUCKET and PAIRED change the way, not the result: all ways are exact.
+   one component already need no comparison. What is left, members of large buckets that are in different
+   components and were never compared, is paired in groups of PAIRED members at most, and else joined on the rarest
+   elements of the members' differences from one text of the group (see _left_pairs), so no link is lost and a large
+   group of near copies isn't paired with itself. BUCKET and PAIRED change the way, not the result: all ways are exact.
 
 Rows: without words (null or empty text) a set is empty, links with nothing and is its own component. A text of fewer
 words than n is one run. A null id has a null component and links with nothing. Rows of one id are one node, linked
@@ -35,7 +35,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,14 +45,14 @@ from inkwell.llm.components import connected_components
 #: Buckets of up to so many members are paired directly.
 BUCKET = 32
 #: Of a center with up to so many members, those in different components are paired.
-PAIRED = 256
+PAIRED = 32
 #: Signatures that linked sets share at least.
 SHARED = 3
 #: An element counts as frequent from so many texts on, as long as there are no more than MOST of them; the count is
 #: summed from tasks' shares of at least LOCAL texts. Other values change the cost, not the result.
 FREQUENT, MOST, LOCAL = 1000, 1 << 18, 4
 #: Signatures that a task holds before it sends them, and that meet in one place, about.
-HELD, MET = 1 << 21, 1 << 20
+HELD, MET = 1 << 20, 1 << 20
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -204,8 +203,15 @@ def _stars(cls: np.ndarray, lengths: np.ndarray, kind: int) -> tuple[np.ndarray,
     return chosen, np.concatenate(rows, axis=1)
 
 
+def _counted(*columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of the columns, and how many there are of each."""
+    names = [f"c{k}" for k in range(len(columns))]
+    out = pa.table([pa.array(c) for c in columns], names).group_by(names, use_threads=False).aggregate([([], "count_all")])
+    return [out.column(k).to_numpy() for k in [*names, "count_all"]]
+
+
 def _distinct(stars: list[np.ndarray]) -> np.ndarray:
-    return pd.DataFrame(np.concatenate(stars, axis=1).T).drop_duplicates().to_numpy(np.int64)
+    return np.stack(_counted(*np.concatenate(stars, axis=1))[:3], axis=1)
 
 
 def _signer(n: int, num: int, den: int, seed: int, parts: int, bucket: int, frequent: np.ndarray):
@@ -278,9 +284,7 @@ def _meeting(num: int, den: int, bucket: int):
         kept, held = [], 0
 
         def close() -> pa.RecordBatch:
-            a, b = np.concatenate(kept, axis=1)
-            found = pd.DataFrame({"a": a, "b": b}).groupby(["a", "b"], sort=False).size()
-            return out(found.index.get_level_values(0).to_numpy(), found.index.get_level_values(1).to_numpy(), found.to_numpy(np.int64), 2)
+            return out(*_counted(*np.concatenate(kept, axis=1)), 2)
 
         for m in np.unique(lengths).tolist():
             one, two = np.triu_indices(m, 1)
@@ -291,7 +295,7 @@ def _meeting(num: int, den: int, bucket: int):
                 near = num * np.maximum(size[a], size[b]) <= den * np.minimum(size[a], size[b])
                 kept.append(np.stack([cls[a[near]], cls[b[near]]]))
                 held += int(near.sum())
-                if held > 1 << 21:
+                if held > 1 << 20:
                     yield close()
                     kept, held = [], 0
         if held:
@@ -508,13 +512,12 @@ def link_documents(
         compared = found if compared is None else compared.unionByName(found)
         labels = connected_components(compared.where("linked").select("a", "b").union(joint), f"{folder}/round-{k}")
     # What is left: likely pairs, and members of large buckets in different components that were never compared.
-    tails = stars.where("kind = 3").select(F.col("a").alias("head"), F.col("b").alias("id"))
-    heads = stars.where("kind = 0").select(F.col("a").alias("center"), F.col("b").alias("head"))
-    left = stars.where("kind IN (0, 3)").select(F.col("a").alias("center"), F.col("b").alias("id"))
-    left = left.union(tails.join(heads, "head").select("center", "id"))
-    left = left.union(left.select("center", F.col("center").alias("id"))).distinct()
-    # Any text serves as a center: that of a component stands for all centers in it.
-    left = labelled(left, "center").select(F.col("label_center").alias("center"), "id").distinct()
+    # One center for all buckets that share members, that of most: each member has one difference set.
+    edges = stars.where("kind IN (0, 3)").select("a", "b")
+    groups = connected_components(edges, f"{folder}/groups").withColumnRenamed("label", "group")
+    best = edges.groupBy("a").agg(F.count("*").alias("n")).join(groups.select(F.col("node").alias("a"), "group"), "a")
+    best = common.materialized(best.groupBy("group").agg(F.max(F.struct("n", "a"))["a"].alias("center")), f"{folder}/best")
+    left = groups.join(best, "group").select("center", F.col("node").alias("id"))
     left = common.materialized(labelled(left, "id").withColumnRenamed("label_id", "label"), f"{folder}/left")
     mixed = left.groupBy("center").agg(F.count("*").alias("many"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed")
     left = left.join(common.materialized(mixed.select("center", "many"), f"{folder}/mixed"), "center")
@@ -524,7 +527,7 @@ def link_documents(
     few = common.materialized(few, f"{folder}/few")
     many = common.materialized(left.where(F.col("many") > PAIRED).select("center", "id", "label"), f"{folder}/many")
     sets = with_sets(few.select(F.col("a").alias("id")).union(few.select("b")).union(many.select("id")).union(many.select("center")), "left")
-    many = _left_pairs(many, sets, num, den, folder)
+    many = likely(_left_pairs(many, sets, num, den, folder).withColumn("kind", F.lit(0))).select("a", "b")
     rest = compare(open_pairs(2).union(untested(few.union(many))).distinct(), "rest")
     compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
@@ -539,7 +542,7 @@ def link_documents(
     out = named.select("id", "n_shingles", "class").join(found, "class", "left")
     links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
-    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "left", "mixed", "few", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "all", "frequent"):
+    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "groups", "best", "left", "mixed", "few", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "all", "frequent"):
         common.remove(f"{folder}/{name}")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links

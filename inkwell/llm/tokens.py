@@ -25,7 +25,7 @@ class BytePairEncoder:
     ``Tokenizer.encode(text, add_special_tokens=False)``. Between batches the cache holds about ``cache_words`` words at most.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
