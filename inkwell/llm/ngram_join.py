@@ -19,9 +19,9 @@ it does both, over a range wide enough that linked sets always have one of the t
    below). The rest is held against sketches, which give a lower bound of the difference.
 3. Members of a large bucket meet its centers first, in two rounds. Links found merge components, and pairs that are in
    one component already need no comparison. What is left, members of large buckets that are in different
-   components and were never compared, is paired in groups of PAIRED members at most, and else joined on the rarest
-   elements of the members' differences from one text of the group (see _left_pairs), so no link is lost and a large
-   group of near copies isn't paired with itself. BUCKET and PAIRED change the way, not the result: all ways are exact.
+   components and were never compared, is joined on the rarest elements of the members' differences from one text of
+   the group (see _left_pairs), so no link is lost and a large group of near copies isn't paired with itself. BUCKET
+   changes the way, not the result: both ways are exact.
 
 Rows: without words (null or empty text) a set is empty, links with nothing and is its own component. A text of fewer
 words than n is one run. A null id has a null component and links with nothing. Rows of one id are one node, linked
@@ -44,8 +44,6 @@ from inkwell.llm.components import connected_components
 
 #: Buckets of up to so many members are paired directly.
 BUCKET = 32
-#: Of a center with up to so many members, those in different components are paired.
-PAIRED = 32
 #: Signatures that linked sets share at least.
 SHARED = 3
 #: An element counts as frequent from so many texts on, as long as there are no more than MOST of them; the count is
@@ -460,8 +458,12 @@ def link_documents(
         return two.select("kind", "a", "b")
 
     small = met.where("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED)
-    stars = common.materialized(met.where("kind <> 2").select("kind", "a", "b").distinct(), f"{folder}/stars")
-    pairs = small.select(F.lit(2).alias("kind"), "a", "b").unionByName(stars)
+    stars = met.where("kind <> 2").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    stars = common.materialized(stars, f"{folder}/stars")
+    # Of each kind of center a member meets the one with which it shares most buckets.
+    star = F.when(F.col("kind").isin(0, 3), 0).otherwise(1)
+    nearest = stars.groupBy(star.alias("kind"), "b").agg(F.max(F.struct("n", "a"))["a"].alias("a"))
+    pairs = small.select(F.lit(2).alias("kind"), "a", "b").unionByName(nearest)
     pairs = common.materialized(likely(pairs), f"{folder}/pairs")
     common.remove(f"{folder}/met")
     sets = None
@@ -501,7 +503,7 @@ def link_documents(
         return pairs if compared is None else pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
     def open_pairs(kind: int) -> DataFrame:
-        some = labelled(labelled(pairs.where(f"kind IN (2, {kind}, {kind + 3})").select("a", "b").distinct(), "a"), "b")
+        some = labelled(labelled(pairs.where(f"kind IN (2, {kind})").select("a", "b").distinct(), "a"), "b")
         return untested(some.where("label_a <> label_b").select("a", "b"))
 
     for k in range(2):
@@ -519,16 +521,11 @@ def link_documents(
     best = common.materialized(best.groupBy("group").agg(F.max(F.struct("n", "a"))["a"].alias("center")), f"{folder}/best")
     left = groups.join(best, "group").select("center", F.col("node").alias("id"))
     left = common.materialized(labelled(left, "id").withColumnRenamed("label_id", "label"), f"{folder}/left")
-    mixed = left.groupBy("center").agg(F.count("*").alias("many"), (F.min("label") < F.max("label")).alias("mixed")).where("mixed")
-    left = left.join(common.materialized(mixed.select("center", "many"), f"{folder}/mixed"), "center")
-    few = left.where(F.col("many") <= PAIRED).select("center", "id", "label")
-    few = few.alias("x").join(few.alias("y"), "center").where("x.label <> y.label AND x.id < y.id")
-    few = likely(few.select(F.lit(0).alias("kind"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()).select("a", "b")
-    few = common.materialized(few, f"{folder}/few")
-    many = common.materialized(left.where(F.col("many") > PAIRED).select("center", "id", "label"), f"{folder}/many")
-    sets = with_sets(few.select(F.col("a").alias("id")).union(few.select("b")).union(many.select("id")).union(many.select("center")), "left")
-    many = likely(_left_pairs(many, sets, num, den, folder).withColumn("kind", F.lit(0))).select("a", "b")
-    rest = compare(open_pairs(2).union(untested(few.union(many))).distinct(), "rest")
+    mixed = left.groupBy("center").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("center")
+    left = common.materialized(left.join(common.materialized(mixed, f"{folder}/mixed"), "center"), f"{folder}/many")
+    sets = with_sets(left.select("id").union(left.select("center")), "left")
+    found = likely(_left_pairs(left, sets, num, den, folder).withColumn("kind", F.lit(0))).select("a", "b")
+    rest = compare(open_pairs(2).union(untested(found)).distinct(), "rest")
     compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
     labels = connected_components(links.select("a", "b").union(joint), f"{folder}/all")
@@ -542,7 +539,7 @@ def link_documents(
     out = named.select("id", "n_shingles", "class").join(found, "class", "left")
     links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
-    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "groups", "best", "left", "mixed", "few", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "all", "frequent"):
+    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "all", "frequent"):
         common.remove(f"{folder}/{name}")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links

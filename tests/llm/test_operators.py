@@ -216,7 +216,6 @@ def near_copies(seed):
 @pytest.mark.parametrize("seed, n, num, den", [(1, 3, 90, 100), (2, 5, 80, 100)])
 def test_ngram_join_equals_brute_force(spark, seed, n, num, den, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 6)  # so that the treatment of large buckets is met
-    monkeypatch.setattr(ngram_join, "PAIRED", 10)
     monkeypatch.setattr(ngram_join, "FREQUENT", 20)
     texts = near_copies(seed)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("id", F.lit("clash"))
