@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ ABBREVIATIONS = set("e.g i.e etc vs mr mrs dr prof fig no al inc ltd co vol pp e
 
 _STOPS = set(stop_words())
 _HEADING = re.compile(r"\s{0,3}#{1,6}\s")
+# Lines that are no prose.
 _VERBATIM = re.compile(r"\s*$|\s{0,3}#{1,6}\s|\s*(?:[-*+]|[0-9]+\.)\s|\s*>|\s*([-*_])(?:\s*\1){2,}\s*$|\s*<!--|\s*</?[a-zA-Z]|\s{2,}\S")
 # Sentences with these words are always kept, or preferred.
 _CRITICAL = re.compile(r"\b(must not|mustn't|cannot|can't|do not|don't|should not|shouldn't|never|deprecat\w*|unsafe|security|secret|corrupt\w*|data loss|overwrit\w*|irreversible|not permitted|warning|caution|danger\w*)\b", re.I | re.A)
@@ -99,53 +102,67 @@ def rank_graph(sets: list[set[str]]) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         weight = np.where(common > 0, common / (logs[:, None] + logs[None, :]), 0.0)
     np.fill_diagonal(weight, 0.0)
-    sums = np.zeros(n)
-    for j in range(n):  # in index order, so that the result is the same everywhere
-        sums += weight[:, j]
+    sums = np.cumsum(weight, axis=1)[:, -1]  # in index order, so that the result is the same everywhere
     share = np.divide(weight, sums, out=np.zeros_like(weight), where=sums > 0)  # column j: what j hands on
+    share *= DAMPING
     score = np.full(n, 1 / n)
     for _ in range(ITERATIONS):
-        new = np.full(n, (1 - DAMPING) / n)
-        for j in range(n):
-            new += (DAMPING * share[:, j]) * score[j]
-        score = new
+        score = np.cumsum(np.column_stack([np.full(n, (1 - DAMPING) / n), share * score]), axis=1)[:, -1]
     return score
 
 
-def summarize(markdown: str | None, level: str = "conservative", floor: int = FLOOR_TOKENS, short: int = 2) -> str | None:
-    if not markdown or not markdown.strip() or math.ceil(len(markdown) / 4) < floor:
-        return markdown
-    parts = blocks(markdown)
-    rows = []  # (block, is first, text)
-    for b, (prose, lines) in enumerate(parts):
-        if prose:
-            rows += [(b, i == 0, s) for i, s in enumerate(split_sentences(re.sub(r"\s+", " ", " ".join(lines)).strip()))]
-    if not rows:
-        return markdown
-    if GRAPH_WINDOW[0] <= len(rows) <= GRAPH_WINDOW[1]:
-        score = rank_graph([set(content_tokens(t)) for _, _, t in rows]).tolist()
-    else:
-        bag = [content_tokens(t) for _, _, t in rows]
-        count: dict[str, int] = {}
-        for t in (t for ts in bag for t in ts):
-            count[t] = count.get(t, 0) + 1
-        for t in {t for prose, lines in parts if not prose for x in lines if _HEADING.match(x) for t in tokens(x)} & count.keys():
+class Ranked:
+    """Sentences of a text with their scores, from which every level takes its share."""
+
+    def __init__(self, markdown: str, short: int = 2):
+        self.parts, self.rows = blocks(markdown), []  # rows: (block, is first, text)
+        for b, (prose, lines) in enumerate(self.parts):
+            if prose:
+                found = split_sentences(re.sub(r"\s+", " ", " ".join(lines)).strip())
+                self.rows += [(b, i == 0, s) for i, s in enumerate(found)]
+        texts = [t for _, _, t in self.rows]
+        bags = [content_tokens(t) for t in texts]
+        if GRAPH_WINDOW[0] <= len(texts) <= GRAPH_WINDOW[1]:
+            score = rank_graph([set(bag) for bag in bags]).tolist()
+        else:
+            score = self._by_frequency(bags)
+        self.score = [s * CAUTION_BOOST if _CAUTION.search(t) else s for s, t in zip(score, texts)]
+        size = Counter(b for b, _, _ in self.rows)
+        self.forced = {i for i, (b, first, t) in enumerate(self.rows) if first or size[b] < short or _CRITICAL.search(t)}
+
+    def _by_frequency(self, bags: list[list[str]]) -> list[float]:
+        count = Counter(t for bag in bags for t in bag)
+        headings = (x for prose, lines in self.parts if not prose for x in lines if _HEADING.match(x))
+        for t in {t for x in headings for t in tokens(x)} & count.keys():
             count[t] += 3
-        score = [sum(count[t] for t in ts) / len(ts) if ts else 0.0 for ts in bag]
-    score = [s * CAUTION_BOOST if _CAUTION.search(t) else s for s, (_, _, t) in zip(score, rows)]
-    size = pd.Series([b for b, _, _ in rows]).value_counts().to_dict()
-    kept = {i for i, (b, first, t) in enumerate(rows) if first or size[b] < short or _CRITICAL.search(t)}
-    budget = sum(len(t) for _, _, t in rows) * LEVELS[level] - sum(len(rows[i][2]) for i in kept)
-    for i in sorted(set(range(len(rows))) - kept, key=lambda i: (-score[i], i)):
-        if budget <= 0:
-            break
-        kept.add(i)
-        budget -= len(rows[i][2])
-    text = {}
-    for i in sorted(kept):
-        text.setdefault(rows[i][0], []).append(rows[i][2])
-    out = "\n".join(" ".join(text.get(b, [])) if prose else "\n".join(lines) for b, (prose, lines) in enumerate(parts))
-    return re.sub(r"\n{3,}", "\n\n", out).strip()
+        return [sum(count[t] for t in bag) / len(bag) if bag else 0.0 for bag in bags]
+
+    def summary(self, level: str) -> str:
+        sizes = [len(t) for _, _, t in self.rows]
+        kept = set(self.forced)
+        budget = sum(sizes) * LEVELS[level] - sum(sizes[i] for i in kept)
+        for i in sorted(set(range(len(sizes))) - kept, key=lambda i: (-self.score[i], i)):
+            if budget <= 0:
+                break
+            kept.add(i)
+            budget -= sizes[i]
+        text: dict[int, list[str]] = {}
+        for i in sorted(kept):
+            text.setdefault(self.rows[i][0], []).append(self.rows[i][2])
+        out = "\n".join(" ".join(text.get(b, [])) if prose else "\n".join(lines) for b, (prose, lines) in enumerate(self.parts))
+        return re.sub(r"\n{3,}", "\n\n", out).strip()
+
+
+def _summaries(markdown: str | None, levels: Iterable[str], floor: int, short: int) -> list[str | None]:
+    levels = list(levels)
+    if not markdown or not markdown.strip() or math.ceil(len(markdown) / 4) < floor:
+        return [markdown] * len(levels)
+    ranked = Ranked(markdown, short)
+    return [ranked.summary(level) if ranked.rows else markdown for level in levels]
+
+
+def summarize(markdown: str | None, level: str = "conservative", floor: int = FLOOR_TOKENS, short: int = 2) -> str | None:
+    return _summaries(markdown, [level], floor, short)[0]
 
 
 def structural(markdown: str) -> str:
@@ -153,14 +170,18 @@ def structural(markdown: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 
-def compressed(detailed: str | None, level: str = "conservative") -> str:
-    """The summary, or the structural form, or the text: the first that is neither larger nor emptied."""
+def compressed_forms(detailed: str | None, levels: Iterable[str] = tuple(LEVELS)) -> list[str]:
+    """For each level the summary, or the structural form, or the text: the first that is neither larger nor emptied."""
     detailed = detailed or ""
-    plain = structural(detailed)
-    for candidate in (summarize(plain, level) or "", plain):
-        if len(candidate) <= len(detailed) and (candidate.strip() or not detailed.strip()):
-            return candidate
-    return detailed
+    plain, out = structural(detailed), []
+    for summary in _summaries(plain, levels, FLOOR_TOKENS, 2):
+        fit = (c for c in (summary or "", plain) if len(c) <= len(detailed) and (c.strip() or not detailed.strip()))
+        out.append(next(fit, detailed))
+    return out
+
+
+def compressed(detailed: str | None, level: str = "conservative") -> str:
+    return compressed_forms(detailed, [level])[0]
 
 
 def compressed_column(text: Column, level: str = "conservative") -> Column:
@@ -171,6 +192,16 @@ def compressed_column(text: Column, level: str = "conservative") -> Column:
     return run(text)
 
 
+def compressed_columns(text: Column) -> Column:
+    """A struct of the forms of all levels, from one ranking of the text."""
+
+    @F.pandas_udf(", ".join(f"{level} string" for level in LEVELS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compressed_forms(t) for t in texts], columns=list(LEVELS))
+
+    return run(text)
+
+
 def sentences_column(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

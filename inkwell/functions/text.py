@@ -57,6 +57,7 @@ def heading_lines(text: Column) -> Column:
 
 
 def heading_plain_text(raw: Column) -> Column:
+    # The marks that a heading may hold.
     target = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
     out = F.regexp_replace(raw, rf"!\[([^\]]*)\]{target}", "$1")
     out = F.regexp_replace(out, rf"\[([^\]]*)\]{target}", "$1")
@@ -158,6 +159,7 @@ def leakage_signals(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when((fenced if k == "empty-link" else bare).rlike(p), F.lit(k)) for k, p in LEAKAGE]))
 
 
+# Images and links of Markdown.
 _IMAGE, _LINK = r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)"
 
 
@@ -173,7 +175,7 @@ def quality_codes(text: Column, title: Column) -> tuple[Column, Column]:
         )
     )
     images, links = F.regexp_count(text, F.lit(_IMAGE)), F.regexp_count(text, F.lit(_LINK))
-    # Text between an odd and the next fence line is code.
+    # Text between an odd and the next fence line is code. Commands that ran together.
     inside = F.transform(F.split(text, r"(?m)^\s*```.*$"), lambda x, i: F.when(i % 2 == 1, x).otherwise(""))
     collapsed = F.exists(inside, lambda x: x.rlike(r"""[a-z0-9)"'](?:cd|npm|yarn|pnpm|npx|import|export|git)\s"""))
     hub = (links >= 10) & (links > prose * 2)
@@ -193,7 +195,7 @@ def markdown_title(text: Column) -> Column:
 
 
 def sanitize_source(text: Column) -> Column:
-    """Scripts, styles, widgets, event handlers and javascript: removed from untrusted Markdown."""
+    """Scripts, styles, widgets, event handlers and javascript: removed from untrusted Markdown. The names are fixed values."""
     out = text
     for tag in ("script", "style", "iframe", "svg", "audio", "video", "button"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")

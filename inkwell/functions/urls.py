@@ -109,8 +109,28 @@ def safe_ip(ip: Column) -> Column:
     return F.coalesce(safe_ipv4(ip), safe_ipv6(ip), F.lit(False))
 
 
+def numeric_host(name: Column) -> Column:
+    """Hosts of one to four decimal, octal or hexadecimal numbers as dotted decimals; other names as they are."""
+    number = r"(?:0[xX][0-9a-fA-F]{0,8}|[0-9]{1,11})"
+    parts = F.split(F.regexp_replace(F.lower(name), r"\.$", ""), r"\.")
+
+    def value(x: Column) -> Column:
+        digits = F.when(x.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 8)), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).otherwise(x)
+        return digits.try_cast("long")
+
+    values = F.transform(parts, value)
+    n = F.size(parts)
+    # The last number fills what the ones before it leave.
+    whole = F.aggregate(F.slice(values, 1, 3), F.lit(0).cast("long"), lambda t, x: t * 256 + x)
+    last = F.try_element_at(values, n)
+    lead = F.when(n > 1, F.aggregate(F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda t, x: t * 256 + x)).otherwise(0)
+    total = F.when(n == 4, whole * 256 + last).when(n == 3, lead * 65536 + last).when(n == 2, lead * 16777216 + last).otherwise(last)
+    dotted = F.concat_ws(".", *[F.pmod(F.shiftright(total, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    return F.when(name.rlike(rf"^{number}(?:\.{number}){{0,3}}\.?$") & (total < 1 << 32), dotted).otherwise(name)
+
+
 def blocked_host(name: Column) -> Column:
-    bare = F.regexp_replace(name, r"^\[|\]$", "")
+    bare = numeric_host(F.regexp_replace(name, r"^\[|\]$", ""))
     literal = F.coalesce(safe_ipv4(bare), safe_ipv6(bare))
     return (name == "localhost") | name.endswith(".localhost") | F.coalesce(~literal, F.lit(False))
 

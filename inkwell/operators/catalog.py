@@ -174,12 +174,21 @@ def keywords(docs: DataFrame, key: str = "doc_id", text: str = "markdown", k: in
     clean = X.clean_noise(F.col(text))
     base = docs.select(F.col(key).alias("key"), clean.alias("clean"))
     heads = F.array_distinct(F.flatten(F.transform(X.heading_lines(F.col("clean")), X.tokenize)))
-    terms = base.select("key", F.explode(X.content_tokens(X.tokenize(F.col("clean")))).alias("term"))
-    counts = terms.groupBy("key", "term").agg(F.count("*").alias("n"))
-    bonus = base.select("key", F.explode(heads).alias("term")).withColumn("bonus", F.lit(3))
-    scored = counts.join(bonus, ["key", "term"], "left").withColumn("score", F.col("n") + F.coalesce("bonus", F.lit(0)))
-    w = Window.partitionBy("key").orderBy(F.desc("score"), F.expr("term COLLATE UNICODE"))
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("key", "place", "term", F.col("score").cast("long").alias("score"))
+    base = base.select("key", F.array_sort(X.content_tokens(X.tokenize(F.col("clean")))).alias("terms"), heads.alias("heads"))
+    # A sorted list counts each term by where it begins and where the next one does; nothing leaves the row.
+    starts = F.filter(F.transform("terms", lambda t, i: F.when((i == 0) | (t != F.get("terms", i - 1)), i)), lambda i: i.isNotNull())
+    base = base.select("key", "terms", "heads", starts.alias("starts"))
+    counted = F.transform(
+        "starts",
+        lambda at, j: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("terms")) - at).alias("n")),
+    )
+    scored = F.transform(counted, lambda x: F.struct((x["n"] + F.when(F.array_contains("heads", x["term"]), 3).otherwise(0)).alias("score"), x["term"].alias("term")))
+    # Only terms of a score that may reach the first k are put in the order of the collation.
+    floor = F.get(F.reverse(F.array_sort(F.transform(scored, lambda x: x["score"]))), F.lit(k - 1))
+    base = base.select("key", F.filter(scored, lambda x: x["score"] >= F.coalesce(floor, F.lit(0))).alias("scored"))
+    ranked = F.array_sort(F.transform("scored", lambda x: F.struct((-x["score"]).alias("rank"), F.collate(x["term"], "UNICODE").alias("collated"), x["term"].alias("term"))))
+    out = base.select("key", F.posexplode(F.slice(ranked, 1, k)).alias("pos", "x"))
+    return out.select("key", (F.col("pos") + 1).alias("place"), "x.term", (-F.col("x.rank")).cast("long").alias("score"))
 
 
 def closest(inputs: DataFrame, candidates: DataFrame) -> DataFrame:

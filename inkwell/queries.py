@@ -346,7 +346,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extraction, compression, tags by frequency and the secret's route, joined with the catalog's keys."""
+    """Pages as artifacts: extraction, compression, keys, hashes, token counts, and the label of a secret."""
     p = A.table(spark, sf_dir, "pages").select("page_id", F.col("url"), U.normalize_url(F.col("url")).alias("normalized_url"), H.extract_column(F.col("html"), F.col("url")).alias("e"))
     p = p.select("page_id", "normalized_url", F.col("e.markdown").alias("detailed")).withColumn("compressed", S.compressed_column(F.col("detailed")))
     return p.select(
@@ -358,8 +358,8 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = A.markdown(spark, sf_dir)
-    sizes = [F.length(S.compressed_column(F.col("markdown"), level)).alias(level) for level in S.LEVELS]
-    return m.select("doc_id", F.length("markdown").alias("chars"), *sizes)
+    m = m.select("doc_id", F.length("markdown").alias("chars"), S.compressed_columns(F.col("markdown")).alias("s"))
+    return m.select("doc_id", "chars", *[F.length(f"s.{level}").alias(level) for level in S.LEVELS])
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
