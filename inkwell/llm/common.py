@@ -59,11 +59,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """URI of a new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the session has no such setting (tests, a laptop), a temporary folder of the driver takes its place; the
-    setting itself can't be changed in a running session.
+    Where a local session has no such setting (tests, a laptop), a temporary folder of the driver takes its place; the
+    setting itself can't be changed in a running session. Executors of a cluster don't see such a folder: an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="inkwell-")
         _OWN[spark.sparkContext.applicationId] = root
     if "://" not in root:
