@@ -158,6 +158,110 @@ _URLS = """
 WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://github.com/own' || page_id || '/repo/edit/main/docs/p' || page_id || '.md?x=1' WHEN 1 THEN 'https://nodejs.org/docs/latest-v' || page_id || '.x/api/url_mod.html'
   WHEN 2 THEN 'https://developer.mozilla.org/en-US/docs/Web/API/Thing' || page_id || '#part' WHEN 3 THEN 'https://vp.test/guide/intro' || page_id || '.html?q=1#frag' ELSE 'https://github.com/a/b/blob/main/../' || page_id END AS u FROM pages)"""
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _matches(x: str, pattern: str) -> str:
+    """Whether a pattern occurs. Word edges become consuming groups, as DuckDB's engine has no look-around."""
+    for look, group in (("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])"), ("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])"), ("(?<!!)", "(?:^|[^!])")):
+        pattern = pattern.replace(look, group)
+    return f"regexp_matches({x}, {_quoted(pattern)})"
+
+
+def _trimmed(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\x{{00a0}}\x{{feff}}]+|[\s\x{{00a0}}\x{{feff}}]+$', '', 'g')"
+
+
+def _labels(cases: list[tuple[str, str]]) -> str:
+    made = ", ".join(f"CASE WHEN {c} THEN {_quoted(k)} END" for k, c in cases)
+    return f"array_to_string(list_filter([{made}], lambda x: x IS NOT NULL), ',')"
+
+
+def _body_text(html: str) -> str:
+    return _trimmed(rf"regexp_replace(regexp_replace(regexp_extract({html}, '(?is)<body[^>]*>(.*)', 1), '(?is)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")
+
+
+def _is_error(x: str) -> str:
+    return f"(length({_trimmed(x)}) <= 1500 AND ({' OR '.join(_matches(_trimmed(x), p) for p in text.ERROR_PATTERNS)}))"
+
+
+def _reason(x: str) -> str:
+    html = _matches(x, r"(?i)^\s*<(?:!doctype html|html|head|body)")
+    return f"CASE WHEN length({_trimmed(x)}) < 10 THEN 'empty or near-empty body' WHEN {html} THEN 'body is HTML, not text/markdown' WHEN {_is_error(x)} THEN 'body looks like an error page' END"
+
+
+def _leakage() -> str:
+    # The only pattern whose word edge lies inside of it: the character before the attribute belongs to the tag.
+    raw = r"(?i)<(?:nav|header|footer|aside|svg|path)(?:$|[^A-Za-z0-9_])|<[a-z][a-z0-9]*(?:\s|\s[^>]*[^>A-Za-z0-9_])(?:class|id|role|aria-[a-z]+)\s*="
+    cases = [(k, _matches("fenced" if k == "empty-link" else "bare", raw if k == "raw-html" else p)) for k, p in text.LEAKAGE]
+    return f"""
+WITH p AS (SELECT page_id, html || CASE page_id % 3 WHEN 0 THEN chr(10) || 'On this page' || chr(10) || 'Search...' || chr(10) || '[ ](#x)' || chr(10)
+  WHEN 1 THEN chr(10) || '```' || chr(10) || 'Skip to content' || chr(10) || '```' || chr(10) || '{{{{jsxref(1)}}}} Loading...' || chr(10)
+  ELSE chr(10) || 'We use cookies. toggle dark mode' || chr(10) || ' loading... ' || chr(10) END AS md FROM pages),
+f AS (SELECT page_id, regexp_replace(regexp_replace(md, '```.*?```', '', 'gs'), '~~~.*?~~~', '', 'gs') AS fenced FROM p),
+b AS (SELECT page_id, fenced, regexp_replace(fenced, '`[^`]*`', '', 'g') AS bare FROM f)
+SELECT page_id, {_labels(cases)} AS signals FROM b"""
+
+
+def _quality() -> str:
+    image, link = r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)"
+    heading = rf"regexp_matches({_trimmed('x')}, '^#{{1,6}}\s+')"
+    rest = rf"regexp_replace(regexp_replace(regexp_replace(x, '{image}', '', 'g'), '{link}', '', 'g'), '[-*>!\s]', '', 'g')"
+    ran_together = _matches("x", r"""[a-z0-9)"'](?:cd|npm|yarn|pnpm|npx|import|export|git)\s""")
+    codes = [
+        ("quality:base64-image", r"regexp_matches(md, '!\[[^\]]*\]\(\s*data:')"),
+        ("quality:high-image-ratio", "images > 0 AND images > headings + prose"),
+        ("quality:collapsed-code", f"len(list_filter(pieces, lambda x, i: i % 2 = 0 AND {ran_together})) > 0"),
+        ("quality:oversized", "ceil(length(md) / 4) > 8000"),
+        ("quality:error-page", _is_error("chr(10) || md")),
+        ("quality:index-hub", "links >= 10 AND links > prose * 2"),
+    ]
+    return rf"""{_MD},
+m AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'Oops. Page not found. ' || source ELSE markdown || CASE doc_id % 11 WHEN 0 THEN repeat('[a](b)' || chr(10), 60) WHEN 1 THEN repeat('![a](b)' || chr(10), 60) ELSE '' END END AS md FROM md),
+c AS (SELECT doc_id, md, len(list_filter(string_split(md, chr(10)), lambda x: {heading})) AS headings, len(list_filter(string_split(md, chr(10)), lambda x: NOT {heading} AND length({rest}) > 0)) AS prose,
+  len(regexp_extract_all(md, '{image}')) AS images, len(regexp_extract_all(md, '{link}')) AS links, regexp_split_to_array(md, '(?m)^\s*```.*$') AS pieces FROM m)
+SELECT doc_id, {_labels(codes)} AS codes, links >= 10 AND links > prose * 2 AS is_hub, {_reason('md')} AS reason,
+  coalesce(nullif(regexp_extract(md, '(?m)^#\s+(.+)$', 1), ''), 'Untitled') AS title FROM c"""
+
+
+def _engines() -> str:
+    marks = ["", '<meta name="generator" content="Docusaurus v3">', '<script src="/_next/static/x.js"></script>', '<i class="fd-x"></i>', "<b>MkDocs</b>", '<meta name="generator" content="mkdocs-1, material-9">', '<div class="sphinxsidebar"></div>', "<script src=docsify.min.js></script>", "<a href=gitbook>x</a>", "window.__VP_HASH_MAP__", "<p data-rm-x>", "<h2>a</h2>" * 9, "sl-container", "just-the-docs"]
+    cases = []
+    for pattern, word, *label in text.DETECTORS:
+        if word and "&" in word:
+            first, second = word.split("&")
+            hit = f"contains(made, '{first}') AND (contains(made, '{second}') OR {_matches('h', f'(?i){second}')})"
+        else:
+            hit = " OR ".join(([_matches("h", pattern)] if pattern else []) + ([f"contains(made, '{word}')"] if word else []))
+        cases.append((hit, label))
+    cases.append((rf"length({_body_text('h')}) < 400 AND len(regexp_extract_all(h, '(?i)<script[\s>]')) >= 3", ["spa", None, "rendered"]))
+    cases.append((r"len(regexp_extract_all(h, '(?i)<h[123][\s>]')) >= 8", ["generated-static", None, "static"]))
+    columns = ", ".join(
+        "CASE " + " ".join(f"WHEN {hit} THEN {_quoted(label[i]) if label[i] else 'NULL'}" for hit, label in cases) + f" ELSE {last} END AS {name}"
+        for i, (name, last) in enumerate((("engine", "NULL"), ("framework", "NULL"), ("capture", "'static'")))
+    )
+    made = r"""lower(regexp_extract(h, '(?is)<meta[^>]*name=["'']generator["''][^>]*content=["'']([^"'']*)["'']', 1))"""
+    return f"""
+WITH h AS (SELECT page_id, html || [{', '.join(map(_quoted, marks))}][page_id % {len(marks)} + 1] AS h FROM pages), g AS (SELECT page_id, h, {made} AS made FROM h),
+en AS (SELECT page_id, {columns} FROM g)"""
+
+
+_SERIALIZED = f""",
+ser AS (SELECT *, {_trimmed(_body_text('html'))} AS detailed FROM art)"""
+
+
+def _sanitized() -> str:
+    out = "md"
+    for tag in ("script", "style", "iframe", "svg", "audio", "video", "button"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', '', 'g')"
+    for pattern in (r"(?i)<use\b[^>]*/?>", r'(?i)\son[a-z]+\s*=\s*"[^"]*"', r"(?i)\son[a-z]+\s*=\s*'[^']*'", "(?i)javascript:"):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, '', 'g')"
+    normal = _trimmed(r"regexp_replace(regexp_replace(replace(md, chr(13) || chr(10), chr(10)), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+    extra = '<script>a()</script><p onclick="x()">t</p><SVG>..</SVG><a href="javascript:1">j</a><use/>'
+    return f"WITH p AS (SELECT page_id, html || '{extra}' AS md FROM pages) SELECT page_id, sha256({out}) AS sanitized_hash, sha256({normal}) AS normalized_hash FROM p"
+
+
 SQL: dict[str, str] = {
     "url_normalize": ART + " SELECT page_id, normalized_url, sha256(normalized_url) AS cache_key, NULL::VARCHAR AS url_error FROM norm",
     "url_guards": """
@@ -223,4 +327,19 @@ SELECT doc_id, sha256(m) AS compressed_hash, ceil(length(markdown) / 4)::BIGINT
  CASE page_id % 4 WHEN 0 THEN 'https://help.salesforce.com/s/articleView?id=a' || page_id || '.htm&type=5&language=en_US' WHEN 1 THEN 'https://developer.salesforce.com/docs/' || page_id WHEN 2 THEN 'https://tanstack.com/query' ELSE 'https://x.test/help_doccontent?id=1' END AS article_url,
  page_id % 4 IN (0, 1) AS allowed, 'Head' || chr(10) || chr(10) || 'Body ' || page_id AS stripped, CASE WHEN page_id % 3 = 0 THEN 'i' END AS payload_title, true AS error_text FROM pages""",
     "page_maps": "SELECT page_id, '/r' || page_id AS routes, 'docs/' || page_id || '.mdx' AS sources FROM pages",
+    "leakage": _leakage(),
+    "quality_gates": _quality(),
+    "engine_detection": _engines() + " SELECT * FROM en",
+    "engine_counts": _engines() + " SELECT engine, framework, capture, count(*) AS n FROM en GROUP BY ALL",
+    "serialize": ART + _SERIALIZED + """ SELECT page_id, sha256('---' || chr(10) || 'artifact_type: source' || chr(10) || 'source_url: ' || source_url || chr(10) || 'source_urls:' || chr(10) || '  - ' || source_url || chr(10)
+ || 'normalized_url: ' || normalized_url || chr(10) || 'cache_key: ' || cache_key || chr(10) || 'topic: ' || topic || chr(10) || 'tags:' || chr(10) || '  - ' || tags[1] || chr(10) || '  - ' || tags[2] || chr(10)
+ || 'tier: ' || tier || chr(10) || 'ttl: ' || coalesce(ttl, '') || chr(10) || 'capture_method: ' || capture_method || chr(10) || 'status: ' || status || chr(10) || '---' || chr(10) || chr(10)
+ || concat_ws(chr(10) || chr(10), '## Summary', 'short', '## Compressed', topic, '## Detailed', coalesce(detailed, ''), '## Provenance', trim(source_url))) AS artifact_hash FROM ser""",
+    # What is parsed is what was serialized.
+    "round_trip": ART + _SERIALIZED + " SELECT page_id, cache_key, ttl, array_to_string(tags, ',') AS tags, 'short' AS summary, topic AS compressed, sha256(coalesce(detailed, '')) AS detailed_hash, trim(source_url) AS provenance FROM ser",
+    "fuzzy_commands": """
+WITH v AS (SELECT DISTINCT event_type AS candidate FROM events), i AS (SELECT substr(candidate, 2, 100) || 'x' AS input FROM v UNION SELECT candidate FROM v),
+d AS (SELECT input, candidate, levenshtein(input, candidate)::INT AS distance FROM i, v)
+SELECT input, arg_min(candidate, {'d': distance, 'c': candidate}) AS candidate, min(distance) AS distance FROM d WHERE distance <= CASE WHEN length(input) <= 3 THEN 1 WHEN length(input) <= 5 THEN 2 ELSE 3 END GROUP BY input""",
+    "sanitize_source": _sanitized(),
 }
