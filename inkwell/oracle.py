@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from inkwell.functions import temporal, text
 
 AS_OF_MS = 1722470400000
@@ -262,6 +264,64 @@ def _sanitized() -> str:
     return f"WITH p AS (SELECT page_id, html || '{extra}' AS md FROM pages) SELECT page_id, sha256({out}) AS sanitized_hash, sha256({normal}) AS normalized_hash FROM p"
 
 
+def _responses() -> str:
+    md = "CASE WHEN page_id % 2 = 0 THEN '# Title' || chr(10) || chr(10) || 'Route text long enough.' WHEN page_id % 4 = 1 THEN '<html>no</html>' ELSE '404: page not found here' END"
+    failed = "WHEN error IS NOT NULL THEN error WHEN status IS NULL THEN 'Fetch failed' WHEN status = 304 THEN NULL WHEN status NOT BETWEEN 200 AND 299 THEN 'Fetch failed with status ' || status"
+    large = "WHEN octet_length(encode(body)) > {limit} THEN 'Response body exceeds the limit'"
+    other = "lower(trim(split_part(content_type, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml')"
+    html = _matches("coalesce(body, '')", r"(?i)^\s*<(?:!doctype html|html|head|body)")
+    return f"""
+WITH rs AS (
+ SELECT page_id, 'route' AS kind, url, CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 304 ELSE 500 END AS status, 'text/markdown' AS content_type, {md} AS body, NULL::VARCHAR AS error FROM pages
+ UNION ALL SELECT page_id, 'source', url, CASE WHEN page_id % 5 <> 4 THEN 200 END, 'text/plain', {md}, CASE WHEN page_id % 5 = 4 THEN 'DNS resolution failed' END FROM pages
+ UNION ALL SELECT page_id, 'static', url, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END, CASE page_id % 11 WHEN 0 THEN 'application/json' WHEN 1 THEN NULL ELSE 'text/html; charset=utf-8' END, html, NULL FROM pages
+ UNION ALL SELECT page_id, 'rendered', url, CASE WHEN page_id % 13 = 0 THEN 503 ELSE 200 END, 'text/html', html, NULL FROM pages),
+rj AS (SELECT *, CASE {failed} {large} END AS text_refused, CASE {failed} WHEN content_type IS NOT NULL AND {other} THEN 'Rejected content type "' || content_type || '". Only HTML is supported.' {large}
+  WHEN content_type IS NULL AND NOT {html} THEN 'Rejected response: missing Content-Type and body does not look like HTML.' END AS page_refused FROM rs)"""
+
+
+_FAILURE = """CASE WHEN regexp_matches({0}, 'status 40[13]') THEN 'access' WHEN contains({0}, 'status 404') THEN 'missing' WHEN regexp_matches({0}, 'status 5[0-9]{{2}}') THEN 'server'
+ WHEN {0} LIKE '%Rejected content type%' OR {0} LIKE '%does not look like HTML%' THEN 'not_html' WHEN contains({0}, 'DNS resolution failed') THEN 'dns' END"""
+
+
+def _capture_plan() -> str:
+    engines = _engines().replace("\nWITH ", ",\n", 1).replace("html || [", "html || [''][1] || [", 1)
+    engines = re.sub(r"\[''\]\[1\] \|\| \[.*?\]\[page_id % \d+ \+ 1\]", "''", engines, count=1, flags=re.DOTALL)
+    return (
+        _responses().replace("{limit}", str(2 << 20))
+        + engines
+        + f""",
+ok AS (SELECT *, CASE WHEN kind IN ('route', 'source') THEN error IS NULL AND status <> 304 AND text_refused IS NULL AND ({_reason("coalesce(body, '')")}) IS NULL ELSE page_refused IS NULL END AS ok FROM rj),
+pg AS (SELECT page_id, bool_or(kind = 'route' AND ok) AS r, bool_or(kind = 'source' AND ok) AS s, bool_or(kind = 'static' AND ok) AS st, bool_or(kind = 'rendered' AND ok) AS re, max(CASE WHEN kind = 'static' THEN length({_body_text("coalesce(body, '')")}) END) AS chars,
+  max(CASE WHEN kind = 'static' THEN page_refused END) AS se, max(CASE WHEN kind = 'rendered' THEN page_refused END) AS ree, min(url) AS url FROM ok GROUP BY page_id),
+w AS (SELECT pg.*, st AND (r OR s) AS text, NOT st OR capture = 'rendered' OR chars < 600 AS thin FROM pg JOIN en USING (page_id)),
+cp AS (SELECT page_id, CASE WHEN text AND r THEN 'route_markdown' WHEN text THEN 'github_source' WHEN thin AND re THEN 'browser_fallback' WHEN st THEN 'static_fetch' END AS captured_by,
+  CASE WHEN text THEN url || CASE WHEN r THEN '#route' ELSE '#source' END END AS body_url,
+  'static_fetch' || CASE WHEN text AND r THEN ',route_markdown' WHEN text THEN ',github_source' WHEN thin THEN ',browser_fallback' ELSE '' END AS attempted,
+  CASE WHEN NOT st AND NOT re THEN coalesce(se, ree) END AS error FROM w),
+cf AS (SELECT *, {_FAILURE.format("error")} AS failure FROM cp)
+SELECT *, coalesce(failure IN ('access', 'not_html'), false) AS import_helps FROM cf"""
+    )
+
+
+def _capabilities() -> str:
+    return r"""
+WITH m AS (SELECT page_id, html, page_id % 8 AS k FROM pages),
+o AS (SELECT page_id, CASE k WHEN 0 THEN 'docs/a.mdx' WHEN 1 THEN 'b.md' WHEN 3 THEN 'c.md' END AS path, CASE k WHEN 1 THEN 'dev' ELSE 'main' END AS branch, CASE k WHEN 4 THEN '/llms.txt' WHEN 5 THEN 'https://x.test/docs/llms-full.txt' END AS idx,
+  CASE WHEN k = 7 THEN 'vitepress-local' WHEN k = 5 OR regexp_matches(html, '(?i)docsearch|algolia') THEN 'algolia-docsearch' WHEN k = 6 OR contains(html, 'data-pagefind-body') THEN 'pagefind' END AS search,
+  CASE k WHEN 5 THEN 'detected readme (verified); ReadMe Algolia search metadata present (signal); OpenAPI registry metadata present (signal)' ELSE '' END AS notes FROM m)
+SELECT page_id, CASE WHEN path IS NOT NULL THEN 'o/r' END AS repository, path,
+  CASE WHEN path IS NOT NULL THEN 'source-edit-link:https://raw.githubusercontent.com/o/r/' || branch || '/' || path WHEN idx LIKE '%full%' THEN 'llms-full.txt:' || idx WHEN idx IS NOT NULL THEN 'llms.txt:' || idx ELSE '' END AS machine_readable, search, notes FROM o"""
+
+
+_SETTINGS = """
+WITH e AS (SELECT event_id, event_type, [' balanced ', 'Aggressive', '', NULL][event_id % 4 + 1] AS env, ['aggressive', 'none', NULL][event_id // 4 % 3 + 1] AS project, [NULL, 'conservative', 'balanced'][event_id // 12 % 3 + 1] AS usr FROM events),
+l AS (SELECT *, trim(env) AS v, ['conservative', 'balanced', 'aggressive'] AS known FROM e)
+SELECT event_id, CASE WHEN event_type LIKE 'p%' THEN 'aggressive' WHEN list_contains(known, v) THEN v WHEN list_contains(known, project) THEN project WHEN list_contains(known, usr) THEN usr ELSE 'conservative' END AS summary,
+ coalesce(v <> '' AND NOT list_contains(known, v), false) AS ignored, list_filter(['view', 'click', 'purchases', 'sign'], lambda x: contains(x, lower(event_type)) OR contains(lower(event_type), x))[1] AS suggested,
+ 'Found ' || event_id % 5 || ' cached research ' || CASE WHEN event_id % 5 = 1 THEN 'entry' ELSE 'entries' END || CASE WHEN event_id % 5 > event_id % 3 THEN ' (showing first ' || event_id % 3 || '; raise --limit to see more):' ELSE ':' END AS heading FROM l"""
+
+
 SQL: dict[str, str] = {
     "url_normalize": ART + " SELECT page_id, normalized_url, sha256(normalized_url) AS cache_key, NULL::VARCHAR AS url_error FROM norm",
     "url_guards": """
@@ -342,4 +402,8 @@ WITH v AS (SELECT DISTINCT event_type AS candidate FROM events), i AS (SELECT su
 d AS (SELECT input, candidate, levenshtein(input, candidate)::INT AS distance FROM i, v)
 SELECT input, arg_min(candidate, {'d': distance, 'c': candidate}) AS candidate, min(distance) AS distance FROM d WHERE distance <= CASE WHEN length(input) <= 3 THEN 1 WHEN length(input) <= 5 THEN 2 ELSE 3 END GROUP BY input""",
     "sanitize_source": _sanitized(),
+    "response_acceptance": _responses().replace("{limit}", "4096") + " SELECT page_id, kind, page_refused, text_refused, " + _FAILURE.format("page_refused") + " AS failure FROM rj",
+    "capture_plan": _capture_plan(),
+    "capabilities": _capabilities(),
+    "settings": _SETTINGS,
 }

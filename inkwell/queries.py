@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import html as H
+from inkwell.functions import responses as W
 from inkwell.functions import safety as R
 from inkwell.functions import sites as K
 from inkwell.functions import source as Q
@@ -13,6 +14,7 @@ from inkwell.functions import summarize as S
 from inkwell.functions import temporal as T
 from inkwell.functions import text as X
 from inkwell.functions import urls as U
+from inkwell.operators import capture as P
 from inkwell.operators import catalog as C
 from inkwell.plans import artifacts as A
 
@@ -297,15 +299,66 @@ def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _responses(pages: DataFrame) -> DataFrame:
+    """Four candidate responses of each page, some failed, unmodified, of a wrong type, or too short."""
+    k, none = F.col("page_id"), F.lit(None).cast("string")
+
+    def response(kind: str, status, content_type, body, error=none):
+        return pages.select("page_id", F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.concat("url", F.lit(f"#{kind}")).alias("url"), status.cast("int").alias("status"), content_type.alias("content_type"), body.alias("body"), error.alias("error"))
+
+    markdown = F.when(k % 2 == 0, F.lit("# Title\n\nRoute text long enough.")).when(k % 4 == 1, F.lit("<html>no</html>")).otherwise(F.lit("404: page not found here"))
+    static_type = F.when(k % 11 == 0, F.lit("application/json")).when(k % 11 != 1, F.lit("text/html; charset=utf-8"))
+    route = response("route", F.when(k % 3 == 0, 200).when(k % 3 == 1, 304).otherwise(500), F.lit("text/markdown"), markdown)
+    source = response("source", F.when(k % 5 != 4, 200), F.lit("text/plain"), markdown, F.when(k % 5 == 4, F.lit("DNS resolution failed")))
+    static = response("static", F.when(k % 7 == 0, 404).when(k % 7 == 1, 403).otherwise(200), static_type, F.col("html"))
+    rendered = response("rendered", F.when(k % 13 == 0, 503).otherwise(200), F.lit("text/html"), F.col("html"))
+    return route.unionByName(source).unionByName(static).unionByName(rendered)
+
+
 def capture_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first valid candidate response of each page by priority: route, source, static, rendered."""
-    p = A.table(spark, sf_dir, "pages").select("page_id", "html")
-    kinds = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("kind")) for i, k in enumerate(("route", "source", "static", "rendered"))])
-    r = p.select("page_id", F.explode(kinds).alias("k"), "html").select("page_id", "k.priority", "k.kind", "html")
-    body = F.when(r.kind == "route", F.when(F.col("page_id") % 3 == 0, F.lit("# Title\n\nRoute text long enough.")).otherwise(F.lit("<html>no</html>"))).when(r.kind == "source", F.when(F.col("page_id") % 4 == 0, F.lit("404: Not Found here")).otherwise(F.lit("short"))).otherwise(X.body_text(F.col("html")))
-    r = r.withColumns({"reason": X.text_artifact_reason(body), "n": F.length(body)})
-    valid = r.where((F.col("reason").isNull() & F.col("kind").isin("route", "source")) | ((F.col("kind") == "static") & (F.col("n") >= 600)) | (F.col("kind") == "rendered"))
-    return valid.groupBy("page_id").agg(F.min_by("kind", "priority").alias("captured_by"), F.min("priority").cast("int").alias("priority"))
+    """How each page is captured: by route or source text, statically, or rendered; and the failure where nothing is."""
+    pages = A.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    planned = P.plan(pages.select("page_id", X.detect_engine(F.col("html"))["capture"].alias("recommended")), _responses(pages))
+    return planned.withColumns({"failure": W.failure_class(F.col("error")), "import_helps": W.import_helps(F.col("error"))})
+
+
+def response_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate response and why it is refused as a page, and as a text."""
+    r = _responses(A.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rule = lambda html: W.rejection(F.col("status"), F.col("content_type"), F.octet_length("body"), F.col("body"), html=html, limit=4096)
+    r = r.withColumns({"page_refused": F.coalesce("error", rule(True)), "text_refused": F.coalesce("error", rule(False))})
+    return r.select("page_id", "kind", "page_refused", "text_refused", W.failure_class(F.col("page_refused")).alias("failure"))
+
+
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page offers besides itself: sources behind edit links, an index, search, and notes on its platform."""
+    p = A.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    marks = [
+        '<a href="https://github.com/o/r/edit/main/docs/a.mdx">Improve</a>', '<a class="edit-link" href="https://github.com/o/r/blob/dev/b.md?x=1">Source</a>', '<a href="https://github.com/o/r/blob/main/LICENSE">License</a>',
+        '<a href="https://github.com/o/r/blob/main/c.md"><b>Edit this</b> page</a>', '<link href="/llms.txt">', "<link href='https://x.test/docs/llms-full.txt'> data-rm-x algolia openapi", "redocly data-pagefind-body", '__VP_SITE_DATA__ {\\"provider\\":\\"local\\"}',
+    ]
+    p = p.withColumn("h", F.concat("html", F.element_at(F.array(*[F.lit(m) for m in marks]), (F.col("page_id") % len(marks) + 1).cast("int"))))
+    p = p.withColumns({"source": F.get(P.edit_sources(F.col("h")), 0), "index": P.advertised_index(F.col("h")), "d": X.detect_engine(F.col("h"))})
+    offers = F.array(F.struct(F.lit("source-edit-link").alias("type"), F.col("source.raw_url").alias("url")), F.struct(F.when(F.col("index").rlike(r"(?i)llms-full\.txt$"), "llms-full.txt").otherwise("llms.txt").alias("type"), F.col("index").alias("url")))
+    offers = P.distinct_offers(F.filter(F.concat(offers, offers), lambda x: x["url"].isNotNull()))
+    return p.select(
+        "page_id", F.col("source.repository").alias("repository"), F.col("source.path").alias("path"), F.array_join(F.transform(offers, lambda x: F.concat_ws(":", x["type"], x["url"])), " ").alias("machine_readable"),
+        P.search_signal(F.col("h")).alias("search"), F.array_join(P.framework_notes(F.col("h"), F.when(F.col("d.framework").isin("readme", "redocly"), F.col("d.framework"))), "; ").alias("notes"),
+    )
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary levels from flag, environment, project and user files over the events' own values; and key hints."""
+    e = A.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    levels, k = ("conservative", "balanced", "aggressive"), F.col("event_id")
+    at = lambda n, *values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(k / n) % len(values) + 1).cast("int"))
+    env, project, user = at(1, " balanced ", "Aggressive", "", None), at(4, "aggressive", "none", None), at(12, None, "conservative", "balanced")
+    flag = F.when(F.col("event_type").startswith("p"), "aggressive")
+    return e.select(
+        "event_id", W.setting(flag, env, project, user, "conservative", levels).alias("summary"), W.override_ignored(env, levels).alias("ignored"),
+        W.suggested_key(F.col("event_type"), ("view", "click", "purchases", "sign")).alias("suggested"),
+        W.listing_heading(F.pmod(k, F.lit(5)), F.pmod(k, F.lit(3)), "cached research", "first").alias("heading"),
+    )
 
 
 def sanitize_source(spark: SparkSession, sf_dir: str) -> DataFrame:
