@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from inkwell.functions import temporal, text
 
 AS_OF_MS = 1722470400000
@@ -227,8 +225,11 @@ SELECT doc_id, {_labels(codes)} AS codes, links >= 10 AND links > prose * 2 AS i
   coalesce(nullif(regexp_extract(md, '(?m)^#\s+(.+)$', 1), ''), 'Untitled') AS title FROM c"""
 
 
-def _engines() -> str:
-    marks = ["", '<meta name="generator" content="Docusaurus v3">', '<script src="/_next/static/x.js"></script>', '<i class="fd-x"></i>', "<b>MkDocs</b>", '<meta name="generator" content="mkdocs-1, material-9">', '<div class="sphinxsidebar"></div>', "<script src=docsify.min.js></script>", "<a href=gitbook>x</a>", "window.__VP_HASH_MAP__", "<p data-rm-x>", "<h2>a</h2>" * 9, "sl-container", "just-the-docs"]
+#: What the queries add to pages, by page_id.
+_MARKS = ["", '<meta name="generator" content="Docusaurus v3">', '<script src="/_next/static/x.js"></script>', '<i class="fd-x"></i>', "<b>MkDocs</b>", '<meta name="generator" content="mkdocs-1, material-9">', '<div class="sphinxsidebar"></div>', "<script src=docsify.min.js></script>", "<a href=gitbook>x</a>", "window.__VP_HASH_MAP__", "<p data-rm-x>", "<h2>a</h2>" * 9, "sl-container", "just-the-docs"]
+
+
+def _engines(marks: list[str]) -> str:
     cases = []
     for pattern, word, *label in text.DETECTORS:
         if word and "&" in word:
@@ -285,8 +286,7 @@ _FAILURE = """CASE WHEN regexp_matches({0}, 'status 40[13]') THEN 'access' WHEN
 
 
 def _capture_plan() -> str:
-    engines = _engines().replace("\nWITH ", ",\n", 1).replace("html || [", "html || [''][1] || [", 1)
-    engines = re.sub(r"\[''\]\[1\] \|\| \[.*?\]\[page_id % \d+ \+ 1\]", "''", engines, count=1, flags=re.DOTALL)
+    engines = _engines([""]).replace("\nWITH ", ",\n", 1)
     return (
         _responses().replace("{limit}", str(2 << 20))
         + engines
@@ -305,13 +305,20 @@ SELECT *, coalesce(failure IN ('access', 'not_html'), false) AS import_helps FRO
 
 
 def _capabilities() -> str:
-    return r"""
-WITH m AS (SELECT page_id, html, page_id % 8 AS k FROM pages),
-o AS (SELECT page_id, CASE k WHEN 0 THEN 'docs/a.mdx' WHEN 1 THEN 'b.md' WHEN 3 THEN 'c.md' END AS path, CASE k WHEN 1 THEN 'dev' ELSE 'main' END AS branch, CASE k WHEN 4 THEN '/llms.txt' WHEN 5 THEN 'https://x.test/docs/llms-full.txt' END AS idx,
-  CASE WHEN k = 7 THEN 'vitepress-local' WHEN k = 5 OR regexp_matches(html, '(?i)docsearch|algolia') THEN 'algolia-docsearch' WHEN k = 6 OR contains(html, 'data-pagefind-body') THEN 'pagefind' END AS search,
-  CASE k WHEN 5 THEN 'detected readme (verified); ReadMe Algolia search metadata present (signal); OpenAPI registry metadata present (signal)' ELSE '' END AS notes FROM m)
-SELECT page_id, CASE WHEN path IS NOT NULL THEN 'o/r' END AS repository, path,
-  CASE WHEN path IS NOT NULL THEN 'source-edit-link:https://raw.githubusercontent.com/o/r/' || branch || '/' || path WHEN idx LIKE '%full%' THEN 'llms-full.txt:' || idx WHEN idx IS NOT NULL THEN 'llms.txt:' || idx ELSE '' END AS machine_readable, search, notes FROM o"""
+    marks = [
+        '<a href="https://github.com/o/r/edit/main/docs/a.mdx">Improve</a>', '<a class="edit-link" href="https://github.com/o/r/blob/dev/b.md?x=1">Source</a>', '<a href="https://github.com/o/r/blob/main/LICENSE">License</a>',
+        '<a href="https://github.com/o/r/blob/main/c.md"><b>Edit this</b> page</a>', '<link href="/llms.txt">', "<link href='https://x.test/docs/llms-full.txt'> data-rm-x algolia openapi", "redocly data-pagefind-body", '__VP_SITE_DATA__ {\\"provider\\":\\"local\\"}',
+    ]
+    return _engines(marks) + r"""
+, an AS (SELECT g.page_id, h, framework, list_transform(regexp_extract_all(h, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>'), lambda a: {'href': regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1),
+  'edit': regexp_matches(regexp_extract(a, '(?is)^<a\s[^>]*?class\s*=\s*["'']([^"'']*)["'']', 1), '(?i)edit[-_ ]?(?:this|on|page)|edit-link') OR regexp_matches(regexp_replace(a, '<[^>]*>', '', 'g'), '(?i)edit (?:this )?page|edit on github')}) AS links FROM g JOIN en ON en.page_id = g.page_id),
+hr AS (SELECT page_id, h, framework, list_filter(links, lambda x: (x.edit OR contains(x.href, '/edit/')) AND regexp_matches(x.href, '(?i)^https?://github\.com/[^/]+/[^/]+/(?:edit|blob)/[^/]+/[^?#]+') AND NOT contains(split_part(x.href, '?', 1), '..'))[1].href AS href,
+  nullif(regexp_extract(h, '(?i)href=["'']([^"'']*llms(?:-full)?\.txt)["'']', 1), '') AS idx FROM an),
+so AS (SELECT *, regexp_extract(href, 'github\.com/([^/]+/[^/]+)/', 1) AS repository, regexp_extract(href, 'github\.com/[^/]+/[^/]+/[a-z]+/([^/]+)/', 1) AS branch, regexp_extract(href, 'github\.com/[^/]+/[^/]+/[a-z]+/[^/]+/([^?#]+)', 1) AS path FROM hr)
+SELECT page_id, repository, path, concat_ws(' ', 'source-edit-link:https://raw.githubusercontent.com/' || repository || '/' || branch || '/' || path, CASE WHEN regexp_matches(idx, '(?i)llms-full\.txt$') THEN 'llms-full.txt:' ELSE 'llms.txt:' END || idx) AS machine_readable,
+  CASE WHEN contains(h, '__VP_SITE_DATA__') AND regexp_matches(h, '\\?"provider\\?"\s*:\s*\\?"local\\?"') THEN 'vitepress-local' WHEN regexp_matches(h, '(?i)docsearch|algolia') THEN 'algolia-docsearch' WHEN contains(h, 'data-pagefind-body') THEN 'pagefind' END AS search,
+  CASE framework WHEN 'readme' THEN concat_ws('; ', 'detected readme (verified)', CASE WHEN h ILIKE '%algolia%' THEN 'ReadMe Algolia search metadata present (signal)' END, CASE WHEN regexp_matches(h, '(?i)openapi|oas') THEN 'OpenAPI registry metadata present (signal)' END)
+   WHEN 'redocly' THEN 'detected redocly (verified); llms.txt unverified at conventional path' ELSE '' END AS notes FROM so"""
 
 
 _SETTINGS = """
@@ -389,8 +396,8 @@ SELECT doc_id, sha256(m) AS compressed_hash, ceil(length(markdown) / 4)::BIGINT
     "page_maps": "SELECT page_id, '/r' || page_id AS routes, 'docs/' || page_id || '.mdx' AS sources FROM pages",
     "leakage": _leakage(),
     "quality_gates": _quality(),
-    "engine_detection": _engines() + " SELECT * FROM en",
-    "engine_counts": _engines() + " SELECT engine, framework, capture, count(*) AS n FROM en GROUP BY ALL",
+    "engine_detection": _engines(_MARKS) + " SELECT * FROM en",
+    "engine_counts": _engines(_MARKS) + " SELECT engine, framework, capture, count(*) AS n FROM en GROUP BY ALL",
     "serialize": ART + _SERIALIZED + """ SELECT page_id, sha256('---' || chr(10) || 'artifact_type: source' || chr(10) || 'source_url: ' || source_url || chr(10) || 'source_urls:' || chr(10) || '  - ' || source_url || chr(10)
  || 'normalized_url: ' || normalized_url || chr(10) || 'cache_key: ' || cache_key || chr(10) || 'topic: ' || topic || chr(10) || 'tags:' || chr(10) || '  - ' || tags[1] || chr(10) || '  - ' || tags[2] || chr(10)
  || 'tier: ' || tier || chr(10) || 'ttl: ' || coalesce(ttl, '') || chr(10) || 'capture_method: ' || capture_method || chr(10) || 'status: ' || status || chr(10) || '---' || chr(10) || chr(10)
