@@ -30,7 +30,7 @@ def url_error(url: Column) -> Column:
         .when(~url.rlike(r"(?i)^https?:"), "unsupported_protocol")
         .when(~url.rlike(_URL) | (host(url) == ""), "unparsable")
         .when(part(url, 2).contains("@"), "credentials")
-        .when(blocked_host(host(url)), "blocked_host")
+        .when(let(host(url), blocked_host), "blocked_host")
     )
 
 
@@ -83,15 +83,15 @@ def any_glob_match(urls: Column, glob: str) -> Column:
     return F.exists(urls, lambda u: glob_match(u, glob))
 
 
-def octets(ip: Column) -> list[Column]:
-    return [F.try_element_at(F.split(ip, r"\."), F.lit(k)).try_cast("int") for k in range(1, 5)]
+def let(value: Column, body) -> Column:
+    """body(value) with value named once, so that a plan doesn't repeat it wherever the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def safe_ipv4(ip: Column) -> Column:
     """False for loopback, private and link-local ranges, null if it is no IPv4 literal."""
-    a, b, *_ = octets(ip)
-    local = (a == 127) | (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ~local)
+    local = r"^0*(?:127|10|172\.0*(?:1[6-9]|2\d|3[01])|192\.0*168|169\.0*254)\."
+    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ~ip.rlike(local))
 
 
 def safe_ipv6(ip: Column) -> Column:
@@ -112,27 +112,29 @@ def safe_ip(ip: Column) -> Column:
 def numeric_host(name: Column) -> Column:
     """Hosts of one to four decimal, octal or hexadecimal numbers as dotted decimals; other names as they are."""
     number = r"(?:0[xX][0-9a-fA-F]{0,8}|[0-9]{1,11})"
-    parts = F.split(F.regexp_replace(F.lower(name), r"\.$", ""), r"\.")
 
     def value(x: Column) -> Column:
         digits = F.when(x.startswith("0x"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 8)), 16, 10)).when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).otherwise(x)
         return digits.try_cast("long")
 
-    values = F.transform(parts, value)
-    n = F.size(parts)
-    # The last number fills what the ones before it leave.
-    whole = F.aggregate(F.slice(values, 1, 3), F.lit(0).cast("long"), lambda t, x: t * 256 + x)
-    last = F.try_element_at(values, n)
-    lead = F.when(n > 1, F.aggregate(F.slice(values, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda t, x: t * 256 + x)).otherwise(0)
-    total = F.when(n == 4, whole * 256 + last).when(n == 3, lead * 65536 + last).when(n == 2, lead * 16777216 + last).otherwise(last)
-    dotted = F.concat_ws(".", *[F.pmod(F.shiftright(total, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
-    return F.when(name.rlike(rf"^{number}(?:\.{number}){{0,3}}\.?$") & (total < 1 << 32), dotted).otherwise(name)
+    def total(values: Column) -> Column:
+        # The last number fills what the ones before it leave.
+        lead = F.aggregate(F.slice(values, F.lit(1), F.size(values) - 1), F.lit(0).cast("long"), lambda t, x: t * 256 + x)
+        last = F.try_element_at(values, F.lit(-1))
+        return F.when(F.size(values) == 4, lead * 256 + last).when(F.size(values) == 3, lead * 65536 + last).when(F.size(values) == 2, lead * 16777216 + last).otherwise(last)
+
+    def dotted(address: Column) -> Column:
+        parts = [F.pmod(F.shiftright(address, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]
+        return F.when(address < 1 << 32, F.concat_ws(".", *parts))
+
+    values = F.transform(F.split(F.regexp_replace(F.lower(name), r"\.$", ""), r"\."), value)
+    return F.when(name.rlike(rf"^{number}(?:\.{number}){{0,3}}\.?$"), F.coalesce(let(let(values, total), dotted), name)).otherwise(name)
 
 
 def blocked_host(name: Column) -> Column:
-    bare = numeric_host(F.regexp_replace(name, r"^\[|\]$", ""))
-    literal = F.coalesce(safe_ipv4(bare), safe_ipv6(bare))
-    return (name == "localhost") | name.endswith(".localhost") | F.coalesce(~literal, F.lit(False))
+    bare = let(F.regexp_replace(name, r"^\[|\]$", ""), numeric_host)
+    blocked = let(bare, lambda x: ~F.coalesce(safe_ipv4(x), safe_ipv6(x), F.lit(True)))
+    return (name == "localhost") | name.endswith(".localhost") | F.coalesce(blocked, F.lit(False))
 
 
 def source_struct(repository: Column, branch: Column, path: Column) -> Column:
