@@ -32,15 +32,18 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import common
 from inkwell.llm.components import connected_components
+from inkwell.llm.decontaminate import _load, _save
 
 #: Buckets of up to so many members are paired directly.
 BUCKET = 32
@@ -356,6 +359,153 @@ def _sets(n: int, seed: int):
     return sets
 
 
+_BLOCK = ("center", "id", "label", "apart", "n", "size", "short", "far")
+
+
+def _asking(folder: str, parts: int):
+    """Saves members in blocks; each block asks the parts, by hash, how many members hold an element of its differences."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq, kept, held = TaskContext.get().partitionId(), 0, [], 0
+
+        def close() -> pa.RecordBatch:
+            block, table = task << 24 | seq, pa.Table.from_batches(kept)
+            members = {k: table.column(k).to_numpy() for k in _BLOCK}
+            diff = table.column("diff").combine_chunks().flatten().to_numpy().view(np.uint64)
+            keys = common.mix(diff ^ common.mix(np.repeat(members["center"], members["n"]).view(np.uint64)))
+            keys, place, texts = np.unique(keys, return_inverse=True, return_counts=True)
+            part = (keys % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            _save(f"{folder}/block-{block}", (members, diff, keys[order], back[place]))
+            some, at = np.unique(part[order], return_index=True)
+            columns = [[x.tobytes() for x in np.split(y[order], at[1:])] for y in (keys, texts)]
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["part", "block", "keys", "texts"])
+
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+                held += int(batch.column("n").to_numpy().sum())
+            if held >= HELD:
+                yield close()
+                seq, kept, held = seq + 1, [], 0
+        if kept:
+            yield close()
+
+    return ask
+
+
+def _telling(table: pa.Table) -> pa.Table:
+    """Sums the blocks' counts of a part's elements, and answers each block in its own order."""
+    table = table.sort_by("block")
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    texts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("texts").to_pylist()])
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(place, weights=texts).astype(np.int64)[place]
+    replies = [x.tobytes() for x in np.split(sums, np.cumsum([len(k) for k in keys])[:-1])]
+    return pa.table([table.column("block"), table.column("part"), pa.array(replies, pa.binary())], ["block", "part", "texts"])
+
+
+def _prefixes(folder: str, parts: int):
+    """Elements of the members' prefixes, packed by part: (part, pickled keys, members, places, and the members)."""
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        members, diff, keys, key = _load(f"{folder}/block-{table.column('block')[0].as_py()}", most=1)
+        df = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("texts").to_pylist()])[key]
+        n = members["n"].astype(np.int64)
+        member = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((diff, df, member))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) + 1
+        # An element of one member finds nobody.
+        keep = (df[order] > 1) & (place <= np.repeat(np.maximum(members["short"], np.where(members["apart"], members["far"], 0)), n))
+        order, place = order[keep], place[keep]
+        key, member = keys[key[order]], member[order]
+        sketches = [sketch(x).view(np.uint64) for x in np.split(diff, np.cumsum(n)[:-1])]
+        part = (key % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        some, at = np.unique(part[order], return_index=True)
+        rows = []
+        for x in np.split(order, at[1:]) if len(order) else []:
+            own, who = np.unique(member[x], return_inverse=True)
+            table = {k: members[k][own] for k in _BLOCK if k != "center"}
+            rows.append(pickle.dumps((key[x], who, place[x], table, [sketches[i] for i in own.tolist()]), protocol=5))
+        return pa.table([pa.array(some, pa.int32()), pa.array(rows, pa.binary())], ["part", "edits"])
+
+    return prefixes
+
+
+def _meeting_edits(num: int, den: int):
+    """Members that share an element of their prefixes, part after part; what the places and sketches rule out goes here."""
+
+    def differ(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """Bits in which sketches differ; the longer one is folded."""
+        out, sizes = np.empty(len(a), np.int64), np.array([(len(x), len(y)) for x, y in zip(a, b)])
+        for one, two in np.unique(sizes, axis=0).tolist():
+            at, width = np.flatnonzero((sizes[:, 0] == one) & (sizes[:, 1] == two)), min(one, two)
+            x, y = (np.bitwise_xor.reduce(np.stack([z[i] for i in at]).reshape(len(at), -1, width), axis=1) for z in (a, b))
+            out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+        return out
+
+    def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lengths = [len(x[4]) for x in held]
+        shift = np.cumsum(lengths) - lengths
+        key, place = (np.concatenate([x[k] for x in held]) for k in (0, 2))
+        who = np.concatenate([x[1] + s for x, s in zip(held, shift)])
+        m = {k: np.concatenate([x[3][k] for x in held]) for k in held[0][3]}
+        sketches = [s for x in held for s in x[4]]
+        order = np.argsort(key, kind="stable")
+        key, place, who = key[order], place[order], who[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        partners = np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1
+        ends = np.cumsum(partners)
+        at, found = 0, []
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 19))))
+            i = np.repeat(np.arange(at, to), partners[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(ends[at:to] - partners[at:to] - (ends[at] - partners[at]), partners[at:to])
+            a, b = who[i], who[j]
+            # Near members are linked with the center, and so in one component already.
+            keep = (m["label"][a] != m["label"][b]) & (m["apart"][a] | m["apart"][b])
+            for x, y, p in ((a, b, place[i]), (b, a, place[j])):
+                keep &= p <= np.where(m["apart"][x] & ~m["apart"][y], np.maximum(m["short"][x], m["far"][x]), m["short"][x])
+            size, other = m["size"][a].astype(np.int64), m["size"][b].astype(np.int64)
+            k = (den - num) * (size + other) // (den + num)
+            # The first element that two members share leaves room for no more than what follows it in both.
+            room = np.minimum(m["n"][a] - place[i], m["n"][b] - place[j]) + 1
+            keep &= (2 * room >= m["n"][a] + m["n"][b] - k) & (num * np.maximum(size, other) <= den * np.minimum(size, other))
+            if keep.any():
+                found.append(np.stack(_counted(np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep]))[:2]))
+            at = to
+            if sum(x.shape[1] for x in found) >= 1 << 19 or at == len(key) and found:
+                a, b = _counted(*np.concatenate(found, axis=1))[:2]
+                found = []
+                for s in range(0, len(a), 1 << 16):
+                    one, two = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+                    apart = differ([sketches[x] for x in one.tolist()], [sketches[x] for x in two.tolist()])
+                    some = apart * (den + num) <= (den - num) * (m["size"][one].astype(np.int64) + m["size"][two])
+                    one, two = m["id"][one[some]], m["id"][two[some]]
+                    yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_part = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["part"] != open_part:
+                    yield from close(held)
+                    held = []
+                open_part = row["part"]
+                held.append(pickle.loads(row["edits"]))
+        if held:
+            yield from close(held)
+        held = []
+        common.trim()
+
+    return meet
+
+
 def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: str) -> DataFrame:
     """Pairs (a, b) that may be linked, of members of one bucket in different components: a superset of the linked ones.
 
@@ -364,7 +514,8 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: st
     k(x, y) = (1 - t) / (1 + t) (|x| + |y|) at most; one of them, say x, is not linked with the center, so
     |D(x)| > k(x, center), or the center joins them (its links are among the pairs). So their differences share (|D(x)| + |D(y)| - k(x, y)) / 2 > 0 elements or more: of each
     D a prefix in the order of rarity is enough to find the pair, and edits that few members share come first. A group
-    of near copies of one text, which have all signatures in common, gives pairs only where edits agree.
+    of near copies of one text, which have all signatures in common, gives pairs only where edits agree. Elements travel
+    packed: to be counted, back to their block, and those of prefixes, with sketches of D, to where they meet.
     """
     one = left.join(sets.select("id", F.col("set").alias("x")), "id")
     two = one.join(sets.select(F.col("id").alias("center"), F.col("set").alias("c")), "center")
@@ -378,21 +529,19 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: st
     # Shared elements at least: with a partner that is apart, and, for one that is, with one that isn't.
     with_apart = F.greatest(F.lit(1), F.ceil((F.col("n") + least_k + 1 - most_k) / 2))
     with_near = F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.col("n") - most_k, F.lit(1)) - most_k) / 2))
-    d = d.withColumn("apart", apart)
-    near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
-    d = d.select("center", "id", "label", "apart", "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("long"), F.explode("diff").alias("e"))
+    d = d.select("center", "id", "label", apart.alias("apart"), "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("far"), "diff")
     d = common.materialized(d, f"{folder}/left-elements")
-    df = common.materialized(d.groupBy("center", "e").agg(F.count("*").alias("df")).where("df > 1"), f"{folder}/left-df")
-    d = d.join(df, ["center", "e"], "left")  # an element of one member finds nobody
-    d = d.withColumn("place", F.row_number().over(Window.partitionBy("center", "id").orderBy(F.coalesce("df", F.lit(1)), "e"))).where("df > 1")
-    index = d.where("place <= short").select("center", "e", F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "apart", "n", "size", "place")])
-    probe = d.where("apart AND place <= greatest(short, long)")
-    # The first element that two members share leaves room for no more than what follows it in both.
-    k = F.floor((den - num) * (F.col("size") + F.col("size_b")) / (den + num))
-    room = F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b")) + 1
-    found = probe.join(index, ["center", "e"]).where("label <> label_b AND (NOT apart_b OR id < id_b AND place <= short)")
-    found = found.where(2 * room >= F.col("n") + F.col("n_b") - k)
-    return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).union(near).distinct()
+    near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
+    total = d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / MET))
+    blocks = f"{folder}/left-blocks"
+    common.make_dir(blocks)
+    asked = d.mapInArrow(_asking(blocks, parts), "part int, block long, keys binary, texts binary")
+    told = asked.groupBy("part").applyInArrow(_telling, "block long, part int, texts binary")
+    edits = told.groupBy("block").applyInArrow(_prefixes(blocks, parts), "part int, edits binary")
+    edits = common.materialized(edits, f"{folder}/left-df")
+    found = edits.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meeting_edits(num, den), "a long, b long")
+    return common.materialized(found.union(near).distinct(), f"{folder}/left-pairs")
 
 
 def _frequent(found: DataFrame, folder: str) -> np.ndarray:
@@ -524,7 +673,7 @@ def link_documents(
     mixed = left.groupBy("center").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("center")
     left = common.materialized(left.join(common.materialized(mixed, f"{folder}/mixed"), "center"), f"{folder}/many")
     sets = with_sets(left.select("id").union(left.select("center")), "left")
-    found = likely(_left_pairs(left, sets, num, den, folder).withColumn("kind", F.lit(0))).select("a", "b")
+    found = _left_pairs(left, sets, num, den, folder)
     rest = compare(open_pairs(2).union(untested(found)).distinct(), "rest")
     compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
@@ -539,7 +688,7 @@ def link_documents(
     out = named.select("id", "n_shingles", "class").join(found, "class", "left")
     links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
-    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "all", "frequent"):
+    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "left-blocks", "left-pairs", "all", "frequent"):
         common.remove(f"{folder}/{name}")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links
