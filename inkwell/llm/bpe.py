@@ -16,6 +16,7 @@ tokens in a text are single ids, as with the library. Texts are whole; batches a
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import unicodedata
@@ -75,7 +76,8 @@ class WordPairEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens must be matched as they are")
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        any_special = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)"
+        self.cut, self.whole = regex.compile(any_special), regex.compile(f"({any_special})")
         total = max([self.n, *(i + 1 for i in self.special.values())])
         # Offset table: every token's text and a space, end to end.
         shown = [b""] * total
@@ -116,8 +118,8 @@ class WordPairEncoder:
             self.shorter[i] = next((known[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in known), -1)
         self._l, self._r, self._size, self._shorter = (x.tolist() for x in (self.left, self.right, self.size, self.shorter))
         self.pattern = regex.compile(_PATTERN + r"|\n")
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": b""}
+        self.seen, self.good = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.cache_words = cache_words
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = _INF) -> np.ndarray:
@@ -157,13 +159,8 @@ class WordPairEncoder:
                     return True
                 limit, b = b + 1, left[b]
 
-    def _backtrack(self, piece: str) -> list[int]:
-        """Ids of one piece, given as symbols."""
-        longest = [-1] * len(piece)
-        for end, i in self.automaton.iter(piece):
-            start = end - self._size[i] + 1
-            if longest[start] < 0 or self._size[i] > self._size[longest[start]]:
-                longest[start] = i
+    def _backtrack(self, piece: str, longest: list[int]) -> list[int]:
+        """Ids of one piece, given as symbols and by the longest token that begins at each place."""
         open_, out, at, token = [True] * (len(piece) + 1), [], 0, longest[0]
         while True:
             end = at + self._size[token]
@@ -180,27 +177,84 @@ class WordPairEncoder:
                 token = out.pop()
                 at -= self._size[token]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _fits_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() by way of a table of pairs seen before, of fixed size; a pair may push another one out."""
+        key = a << 32 | b
+        slot = (common.mix(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        out, miss = self.good[slot], np.flatnonzero(self.seen[slot] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            out[miss] = self.compatible(new >> 32, new & 0xFFFFFFFF)[back]
+            self.seen[slot[miss]], self.good[slot[miss]] = key[miss], out[miss]
+        return out
+
+    def _backtrack_all(self, raw: list[str]) -> list[np.ndarray]:
+        """_backtrack() of many pieces in step; the last few, which are long, go on alone from their beginning."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(size + 1) - size - 1
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(chr(0x300).join(raw))), np.int64).reshape(-1, 2)
+        longest = np.full(int((size + 1).sum()), -1, np.int64)
+        longest[found[:, 0] - self.size[found[:, 1]] + 1] = found[:, 1]  # of one place the longest match ends last
+        open_, came = np.ones(len(longest), bool), np.full(len(longest), -1, np.int64)
+        live, ends = np.arange(len(raw)), starts + size
+        at, token = starts.copy(), longest[starts]
+        while len(live) > 100:
+            x, t = at[live], token[live]
+            end, before = x + self.size[t], came[x]
+            fits = open_[end]
+            look = np.flatnonzero(fits & (before >= 0))
+            fits[look] = self._fits_all(before[look], t[look])
+            take = live[fits]
+            came[end[fits]], at[take] = t[fits], end[fits]
+            token[take] = longest[end[fits]]
+            lost, t, x, before = live[~fits], t[~fits], x[~fits], before[~fits]
+            back = self.shorter[t] < 0
+            open_[x[back]] = False
+            token[lost] = np.where(back, before, self.shorter[t])
+            at[lost] = np.where(back, x - np.where(back, self.size[before], 0), x)
+            live = live[at[live] < ends[live]]
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(raw)
+        slow = set(live.tolist())
+        for j in slow:
+            out[j] = np.array(self._backtrack(raw[j], longest[starts[j] : ends[j]].tolist()), "<u4")
+        # The tokens by which each piece's end was reached, from the last to the first.
+        live, rounds = np.setdiff1d(np.arange(len(raw)), live), []
+        at = ends.copy()
+        while len(live):
+            t = came[at[live]]
+            rounds.append((live, t))
+            at[live] -= self.size[t]
+            live = live[at[live] > starts[live]]
+        if rounds:
+            owner, ids = (np.concatenate(x) for x in zip(*rounds))
+            turn = np.concatenate([np.full(len(r[0]), k) for k, r in enumerate(rounds)])
+            order = np.lexsort((-turn, owner))
+            owner, ids = owner[order], ids[order].astype("<u4")
+            cuts = np.searchsorted(owner, np.arange(len(raw) + 1))
+            for j in range(len(raw)):
+                if j not in slow:
+                    out[j] = ids[cuts[j] : cuts[j + 1]]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
         """All longest matches of many pieces at once; where their pairs are compatible, they are the encoding."""
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
+        for k in range(0, len(pieces), 50_000):
+            part = pieces[k : k + 50_000]
             raw = [p.encode("utf-8").decode("latin-1") for p in part]
             raw = [s[:-1] + chr(ord(s[-1]) + 256) for s in raw]
-            joined = chr(0x300).join(raw)
-            found = np.array(list(self.automaton.iter_long(joined)), np.int64).reshape(-1, 2)
+            found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(chr(0x300).join(raw))), np.int64).reshape(-1, 2)
             ids, begins = found[:, 1], found[:, 0] - self.size[found[:, 1]] + 1
             size = np.fromiter(map(len, raw), np.int64, len(raw))
             starts = np.cumsum(size + 1) - size - 1
             of = np.searchsorted(starts, begins, "right") - 1
             inner = np.flatnonzero(of[1:] == of[:-1])
             wrong = np.bincount(of, self.size[ids], len(raw)) != size  # matches that don't cover the piece
-            both, back = np.unique(ids[inner] << 32 | ids[inner + 1], return_inverse=True)
-            wrong[of[inner][~self.compatible(both >> 32, both & 0xFFFFFFFF)[back]]] = True
+            wrong[of[inner][~self._fits_all(ids[inner], ids[inner + 1])]] = True
             ends = np.searchsorted(of, np.arange(len(raw)), "right")
             packed, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
             self.pieces.update((p, packed[a:b]) for p, a, b in zip(part, cuts, cuts[1:]))
-            for j in np.flatnonzero(wrong).tolist():
-                self.pieces[part[j]] = np.array(self._backtrack(raw[j]), "<u4").tobytes()
+            bad = np.flatnonzero(wrong).tolist()
+            self.pieces.update((part[j], x.tobytes()) for j, x in zip(bad, self._backtrack_all([raw[j] for j in bad])))
 
     def _split(self, text: str) -> list[str]:
         """Pieces of texts that end in line breaks, a line break after each text's."""
@@ -219,26 +273,28 @@ class WordPairEncoder:
 
     _bytes = byte_letters()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes texts without ASCII white space; those with special tokens are cut at them first."""
-        odd = [c for c in chunks if "<" in c and self.cut.search(c)]
-        if odd:
-            gone = set(odd)
-            chunks = [c for c in chunks if c not in gone]
-        joined = self._split("".join([c + "\n" for c in chunks]))
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without ASCII white space end to end, and how many each has."""
+        parts, marks, of = chunks, {}, None
+        if any("<" in c and self.cut.search(c) for c in chunks):
+            # A special token stands as a part of its own, whose line break takes its id.
+            cut = [[p for p in self.whole.split(c) if p] if "<" in c else [c] for c in chunks]
+            parts, of = [p for c in cut for p in c], np.repeat(np.arange(len(chunks)), list(map(len, cut)))
+            marks = {k: self.special[p] for k, p in enumerate(parts) if p in self.special}
+            for k in marks:
+                parts[k] = ""
+        pieces = self._split("".join([p + "\n" for p in parts]))
         get = self.pieces.get
-        new = [p for p in dict.fromkeys(joined) if p != "\n" and get(p) is None]
-        if new:
-            self._learn_pieces(new)
-        at, parts = 0, self.pieces
-        for c in chunks:
-            end = joined.index("\n", at)
-            self.chunks[c] = parts[joined[at]] if end == at + 1 else b"".join([parts[p] for p in joined[at:end]])
-            at = end + 1
-        for c in odd:
-            between, marks = self.cut.split(c), [np.array([self.special[m]], "<u4").tobytes() for m in self.cut.findall(c)]
-            self._learn([b for b in set(between) if b not in self.chunks])
-            self.chunks[c] = b"".join(x for b, m in zip(between, [*marks, b""]) for x in (self.chunks[b], m))
+        raw = list(map(get, pieces))
+        if None in raw:
+            self._learn([p for p in dict.fromkeys(p for p, r in zip(pieces, raw) if r is None)])
+            raw = list(map(get, pieces))
+        breaks = [k for k, p in enumerate(pieces) if p == "\n"]
+        for k, i in marks.items():
+            raw[breaks[k]] = np.array([i], "<u4").tobytes()
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        sizes = np.diff(np.cumsum(size)[breaks], prepend=0)
+        return np.frombuffer(b"".join(raw), "<u4"), sizes if of is None else np.bincount(of, sizes, len(chunks)).astype(np.int64)
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
@@ -247,22 +303,15 @@ class WordPairEncoder:
         # White space ends a chunk and is no part of any piece, so equal chunks have equal ids wherever they stand.
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        get = self.chunks.get
-        missing = [w for w in words if get(w) is None]
-        if missing:
-            self._learn(missing)
-        pieces = list(map(self.chunks.__getitem__, words))
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        start = np.cumsum(size) - size
-        table, took = np.frombuffer(b"".join(pieces), "<u4"), size[at]
+        at = coded.indices.to_numpy()
+        table, size = self._encode_chunks(coded.dictionary.to_pylist())
+        start, took = np.cumsum(size) - size, size[at]
         ends = np.concatenate(([0], np.cumsum(took)))
         out = table[np.repeat(start[at] - ends[:-1], took) + np.arange(ends[-1])]
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        for cache in (self.chunks, self.pieces):
-            if len(cache) > self.cache_words:
-                cache.clear()
-        return out, np.diff(ends[offsets])
+        if len(self.pieces) > self.cache_words:
+            self.pieces.clear()
+            self.pieces["\n"] = b""
+        return out, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
 
     def decode_array(self, ids: np.ndarray, sizes: np.ndarray, step: int = 1 << 18) -> list[bytes]:
         """Each text's tokens with a space between, gathered through the offset table, some ids at a time."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import chat, decontaminate, licenses, ngram_join, packing, pitman_yor, quality, separator_scan, token_files, warc
+from inkwell.llm import bpe, chat, decontaminate, licenses, ngram_join, packing, pitman_yor, quality, separator_scan, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.query,
     "op9_license_scan": licenses.query,
     "op10_quality_rules": quality.query,
+    "op12_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
