@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, chat, decontaminate, licenses, ngram_join, packing, pitman_yor, quality, separator_scan, token_files, warc
+from inkwell.llm import bpe, chat, decontaminate, licenses, ngram_join, packing, pitman_yor, quality, runs, separator_scan, token_files, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.query,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.query,
     "op9_license_scan": licenses.query,
     "op10_quality_rules": quality.query,
+    "op11_whitening": whitening.query,
     "op12_bpe": bpe.query,
+    "op13_periodic_runs": runs.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
