@@ -44,12 +44,11 @@ def clean_noise(text: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-cased ASCII tokens with inner + # . -, without . and - at their ends."""
     raw = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9+#.-]*"), F.lit(0))
-    return F.filter(F.transform(raw, lambda t: F.regexp_replace(t, r"^[.\-]+|[.\-]+$", "")), lambda t: t != "")
+    return F.filter(F.transform(raw, lambda t: F.btrim(t, F.lit(".-"))), lambda t: t != "")
 
 
 def content_tokens(tokens: Column) -> Column:
-    stops = F.array(*[F.lit(w) for w in stop_words()])
-    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(stops, t) & ~t.rlike(r"^[0-9]+$"))
+    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(stop_words()) & ~t.rlike(r"^[0-9]+$"))
 
 
 def heading_lines(text: Column) -> Column:

@@ -171,21 +171,24 @@ def archive_children(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "markdown", k: int = 5) -> DataFrame:
     """The k most frequent terms of each text; terms of a heading count three more. Ties go by alphabet."""
-    clean = X.clean_noise(F.col(text))
-    base = docs.select(F.col(key).alias("key"), clean.alias("clean"))
-    heads = F.array_distinct(F.flatten(F.transform(X.heading_lines(F.col("clean")), X.tokenize)))
-    base = base.select("key", F.array_sort(X.content_tokens(X.tokenize(F.col("clean")))).alias("terms"), heads.alias("heads"))
+    base = docs.select(F.col(key).alias("key"), X.clean_noise(F.col(text)).alias("clean"))
+    # A heading's term stands with a sign behind it, so it sorts right after its equals in the text.
+    marked = F.transform(F.flatten(F.transform(X.heading_lines(F.col("clean")), X.tokenize)), lambda h: F.concat(h, F.lit("\0")))
+    base = base.select("key", F.array_sort(F.concat(X.content_tokens(X.tokenize(F.col("clean"))), marked)).alias("terms"))
     # A sorted list counts each term by where it begins and where the next one does; nothing leaves the row.
     starts = F.filter(F.transform("terms", lambda t, i: F.when((i == 0) | (t != F.get("terms", i - 1)), i)), lambda i: i.isNotNull())
-    base = base.select("key", "terms", "heads", starts.alias("starts"))
-    counted = F.transform(
-        "starts",
-        lambda at, j: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("starts", j + 1), F.size("terms")) - at).alias("n")),
-    )
-    scored = F.transform(counted, lambda x: F.struct((x["n"] + F.when(F.array_contains("heads", x["term"]), 3).otherwise(0)).alias("score"), x["term"].alias("term")))
-    # Only terms of a score that may reach the first k are put in the order of the collation.
-    floor = F.get(F.reverse(F.array_sort(F.transform(scored, lambda x: x["score"]))), F.lit(k - 1))
-    base = base.select("key", F.filter(scored, lambda x: x["score"] >= F.coalesce(floor, F.lit(0))).alias("scored"))
+    base = base.select("key", "terms", starts.alias("starts"))
+
+    def count(at: Column, j: Column) -> Column:
+        term, next_ = F.get("terms", at), F.get("starts", j + 1)
+        n = F.coalesce(next_, F.size("terms")) - at
+        return F.struct((n + F.when(F.get("terms", next_) == F.concat(term, F.lit("\0")), 3).otherwise(0)).alias("score"), term.alias("term"))
+
+    base = base.select("key", F.filter(F.transform("starts", count), lambda x: ~x["term"].endswith("\0")).alias("scored"))
+    # Only terms of a score that may reach the first k are put in the order of the collation. The least such score is
+    # bound before the filter: an expression inside of its lambda would be evaluated for every term.
+    floor = F.coalesce(F.get(F.reverse(F.array_sort(F.transform("scored", lambda x: x["score"]))), F.lit(k - 1)), F.lit(0))
+    base = base.select("key", F.get(F.transform(F.array(floor), lambda f: F.filter("scored", lambda x: x["score"] >= f)), F.lit(0)).alias("scored"))
     ranked = F.array_sort(F.transform("scored", lambda x: F.struct((-x["score"]).alias("rank"), F.collate(x["term"], "UNICODE").alias("collated"), x["term"].alias("term"))))
     out = base.select("key", F.posexplode(F.slice(ranked, 1, k)).alias("pos", "x"))
     return out.select("key", (F.col("pos") + 1).alias("place"), "x.term", (-F.col("x.rank")).cast("long").alias("score"))
