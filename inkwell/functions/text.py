@@ -51,6 +51,12 @@ def content_tokens(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(stop_words()) & ~t.rlike(r"^[0-9]+$"))
 
 
+def dedupe_tags(tags: Column) -> Column:
+    """Trimmed tags without blanks; of those that differ by case alone the first stays."""
+    plain = F.filter(F.transform(tags, trim_all), lambda t: t != "")
+    return F.filter(plain, lambda t, i: F.array_position(F.transform(plain, F.lower), F.lower(t)) == i + 1)
+
+
 def heading_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s{0,3}#{1,6}\s"))
 

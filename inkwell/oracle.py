@@ -147,6 +147,25 @@ sp AS (SELECT request_id, url, error, cache_key, CASE WHEN state = 'none' THEN '
   CASE WHEN error IS NOT NULL THEN 2 WHEN state = 'none' THEN 1 ELSE 0 END::INT AS exit_code FROM st)"""
 )
 
+_ANSWERS = (
+    _STATUS.split(",\nst AS")[0]
+    + f""",
+-- Requests that are targets, one row for each key.
+own AS (SELECT cache_key, bool_or(request_id % 17 = 0) AS force FROM (SELECT request_id, sha256(normalized_url) AS cache_key FROM rq WHERE error IS NULL) GROUP BY 1),
+re AS (SELECT sha256(n.normalized_url) AS cache_key, n.page_id % 6 AS s, n.page_id % 5 AS t, n.page_id, n.url, n.normalized_url FROM norm n
+  UNION ALL SELECT sha256('https://new.test/' || page_id), page_id % 6, page_id % 5, page_id, 'https://new.test/' || page_id, 'https://new.test/' || page_id FROM pages),
+-- Of several responses of one address the first by content.
+res AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY CASE WHEN s < 3 THEN 200 WHEN s = 3 THEN 304 WHEN s = 4 THEN 500 END NULLS FIRST,
+  CASE WHEN s < 3 THEN CASE t WHEN 0 THEN '# Page' || url WHEN 1 THEN '404' END END NULLS FIRST, 'tag-' || page_id) AS n FROM re) WHERE n = 1),
+k AS (SELECT o.cache_key, l.freshness, l.age_ms > {150 * temporal.DAY} AS aged, r.*  EXCLUDE (cache_key), l.root_rank AS old_root, l.source_url AS old_url, l.topic AS old_topic, l.tags AS old_tags, l.tier AS old_tier, l.ttl AS old_ttl, l.fetched_at AS old_fetched,
+    l.capture_method AS old_method, r.s < 3 AND r.t < 2 AS got FROM own o LEFT JOIN la l ON l.cache_key = o.cache_key AND NOT o.force LEFT JOIN res r ON r.cache_key = o.cache_key),
+oc AS (SELECT *, CASE WHEN freshness = 'fresh' THEN CASE WHEN aged THEN 'revalidated' ELSE 'hit' END WHEN got THEN CASE WHEN freshness IS NULL THEN 'miss' ELSE 'refreshed' END
+    WHEN s = 3 AND freshness IS NOT NULL THEN 'revalidated' WHEN freshness = 'stale_grace' THEN 'stale' ELSE 'failed' END AS outcome FROM k),
+oe AS (SELECT *, CASE WHEN outcome IN ('stale', 'failed') THEN CASE WHEN s = 5 THEN 'DNS resolution failed' WHEN s < 3 THEN 'Content extraction failed' WHEN s = 3 THEN 'Fetch failed with status 304' ELSE 'Fetch failed with status 500' END END AS why FROM oc)"""
+)
+#: Fresh and stale times of a tier and ttl, in milliseconds.
+_FRESH = f"coalesce(CASE ttl WHEN '2h' THEN {temporal.DAY // 12} WHEN '7d' THEN {7 * temporal.DAY} WHEN '6m' THEN {180 * temporal.DAY} END, CASE tier WHEN 'stable' THEN {180 * temporal.DAY} WHEN 'volatile' THEN {7 * temporal.DAY} ELSE {30 * temporal.DAY} END)::BIGINT"
+
 _SECRET = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{label}'" for label, p in (
     ("GitHub token", "(?:^|[^A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}"),
     ("AWS access key", "(?:^|[^A-Z0-9])AKIA[0-9A-Z]{16}(?:[^A-Z0-9]|$)"),
@@ -367,6 +386,27 @@ o AS (SELECT *, CASE WHEN freshness = 'fresh' THEN 'revalidated' WHEN page_id %
 t AS (SELECT *, outcome = 'refreshed' OR outcome = 'revalidated' AND freshness <> 'fresh' AS touched FROM o)
 SELECT cache_key, freshness, outcome, CASE WHEN touched THEN {AS_OF_MS} ELSE epoch_ms(validated_at) END AS validated_ms, CASE WHEN touched THEN stale_after_ms END AS stale_after_ms,
  CASE WHEN outcome = 'refreshed' THEN sha256('body ' || page_id) END AS content_hash, topic, CASE outcome WHEN 'error' THEN 1 WHEN 'stale' THEN 5 ELSE 0 END::INT AS exit_code FROM t""",
+    "read_through": _ANSWERS + """
+SELECT request_id, url, oe.cache_key, coalesce(outcome, 'rejected') AS outcome, CASE WHEN rq.error IS NULL THEN CASE WHEN freshness IS NULL THEN 'none' WHEN aged THEN 'stale_expired' ELSE freshness END END AS freshness,
+ coalesce(rq.error, why) AS error, CASE WHEN rq.error IS NOT NULL THEN 2 WHEN outcome = 'failed' THEN 1 WHEN outcome = 'stale' THEN 5 ELSE 0 END::INT AS exit_code
+FROM (SELECT *, CASE WHEN error IS NULL THEN sha256(normalized_url) END AS key FROM rq) rq LEFT JOIN (SELECT * EXCLUDE (url) FROM oe) oe ON oe.cache_key = rq.key""",
+    "read_through_changes": _ANSWERS + f""",
+ch AS (SELECT *, outcome = 'revalidated' AS same, freshness IS NOT NULL AS had, t = 1 AS bad FROM oe WHERE coalesce(freshness <> 'fresh', TRUE) AND outcome IN ('miss', 'refreshed', 'revalidated')),
+md AS (SELECT *, CASE WHEN had THEN old_tier ELSE 'standard' END AS tier, CASE WHEN had THEN old_ttl END AS ttl, CASE WHEN had THEN old_url ELSE normalized_url END AS place,
+  strftime(TIMESTAMP '2024-08-01', '%Y-%m-%dT%H:%M:%S.000Z') AS day FROM ch),
+bd AS (SELECT *, CASE WHEN bad THEN 'Error: ' || place || ' could not be cached — page reported an error or was not found. The page returned an error, so its content was not stored; it will be re-fetched when this entry goes stale.'
+  ELSE '# Page' || chr(10) || chr(10) || '![i](x) of ' || url END AS body, '# Page' || chr(10) || chr(10) || ' of ' || url AS short FROM md)
+SELECT cache_key, outcome, CASE WHEN had THEN old_root ELSE 0 END::INT AS root_rank, CASE WHEN had THEN old_topic ELSE 'own topic' END AS topic, CASE WHEN had THEN array_to_string(old_tags, ',') ELSE 'Asked' END AS tags, tier, ttl,
+ CASE WHEN same THEN epoch_ms(old_fetched) ELSE {AS_OF_MS} END AS fetched_ms, {AS_OF_MS}::BIGINT AS validated_ms, {AS_OF_MS} + {_FRESH} AS stale_after_ms, CASE WHEN same THEN old_method ELSE 'static_fetch' END AS capture_method,
+ CASE WHEN same THEN NULL WHEN bad THEN 'failed' ELSE 'extracted' END AS extraction_status, CASE WHEN NOT same AND NOT bad THEN 'low' END AS extraction_confidence,
+ CASE WHEN same THEN NULL WHEN bad THEN 'error: page reported an error or was not found' ELSE 'note' END AS notes, CASE WHEN NOT same THEN 'tag-' || page_id END AS etag, CASE WHEN NOT same THEN sha256(body) END AS content_hash,
+ CASE WHEN NOT same THEN ceil(length(CASE WHEN bad THEN body ELSE short END) / 4)::BIGINT END AS compressed_tokens,
+ CASE WHEN NOT same THEN 'Fetched from ' || place || ' on ' || day || CASE WHEN bad THEN ' (error page; content not cached)' ELSE '' END END AS provenance FROM bd""",
+    "store_history": ART + """,
+w AS (SELECT *, 'a' AS batch_id, 0 AS commit_no FROM ver WHERE starts_with(file_name, 'v0-') UNION ALL SELECT *, 'b', 1 FROM ver WHERE page_id % 2 = 0 UNION ALL SELECT *, 'c', 2 FROM ver WHERE page_id % 3 = 0),
+-- Of equal keys in one batch the newest validated, then the largest digest of its name.
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_rank, cache_key, commit_no ORDER BY coalesce(epoch_ms(validated_at), 0) DESC, sha256(file_name) DESC) AS n FROM w) WHERE n = 1)
+SELECT cache_key, root_rank, file_name, batch_id, commit_no::BIGINT AS commit_no, lead(commit_no) OVER (PARTITION BY root_rank, cache_key ORDER BY commit_no)::BIGINT AS superseded_by FROM u""",
     "import_notes": f"""
 WITH c AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS t, arg_min(role, turn) AS r FROM conversations GROUP BY 1)
 SELECT conv_id, 'research_note' AS artifact_type, sha256(lower(trim(r)) || '|https://a.test/' || conv_id || '|https://b.test/' || conv_id) AS cache_key, sha256(t) AS content_hash, ceil(length(t) / 4)::BIGINT AS token_estimate,

@@ -16,7 +16,9 @@ from inkwell.functions import text as X
 from inkwell.functions import urls as U
 from inkwell.operators import capture as P
 from inkwell.operators import catalog as C
+from inkwell.operators import ingest as G
 from inkwell.plans import artifacts as A
+from inkwell.sources.store import Store, shared_dir
 
 
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,24 +391,74 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as Markdown artifacts with quality codes, confidence and tokens."""
+    """Pages as Markdown artifacts with notes, quality codes, confidence and tokens; null where the extraction failed."""
     p = A.table(spark, sf_dir, "pages").select("page_id", "url", H.extract_column(F.col("html"), F.col("url")).alias("e"))
     codes, hub = X.quality_codes(F.col("e.markdown"), F.col("e.title"))
     return p.select(
         "page_id", "e.title", F.sha2("e.markdown", 256).alias("content_hash"), X.estimate_tokens(F.col("e.markdown")).alias("tokens"),
-        X.confidence(F.col("e.markdown")).alias("confidence"), F.array_join(codes, ",").alias("codes"), F.when(hub, "index").otherwise("source").alias("artifact_type"),
+        "e.confidence", F.array_join("e.notes", "; ").alias("notes"), F.array_join(codes, ",").alias("codes"), F.when(hub, "index").otherwise("source").alias("artifact_type"),
+    )
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of every kind against the catalog, with responses that succeed, are unmodified, fail, or hold no article."""
+    requests = _requests(spark, sf_dir).withColumns({"tags": F.array(F.lit(" Asked "), F.lit("asked"), F.lit("")), "topic": F.lit("own topic"), "force": F.col("request_id") % 17 == 0})
+    k = F.col("page_id")
+    pages = A.table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = pages.unionByName(pages.select("page_id", F.concat(F.lit("https://new.test/"), F.col("page_id").cast("string")).alias("url")))
+    text = F.when(k % 5 == 0, F.concat(F.lit("# Page\n\n![i](x) of "), F.col("url"))).when(k % 5 == 1, F.lit("404 - page not found"))
+    status = F.when(k % 6 < 3, 200).when(k % 6 == 3, 304).when(k % 6 == 4, 500)
+    responses = pages.select(
+        U.normalize_url(F.col("url")).alias("normalized_url"), status.alias("http_status"), F.when(k % 6 == 5, "DNS resolution failed").alias("error"), F.lit("A title").alias("title"),
+        F.when(status == 200, text).alias("markdown"), F.lit("low").alias("confidence"), F.array(F.lit("note")).alias("notes"), F.concat(F.lit("tag-"), k.cast("string")).alias("etag"),
+    )
+    return G.read_through(requests, A.versions(spark, sf_dir), responses, max_age="150d")
+
+
+def read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each request is answered from the catalog and the responses."""
+    return _answers(spark, sf_dir)[0]
+
+
+def read_through_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that answering the requests writes."""
+    c = _answers(spark, sf_dir)[1]
+    return c.select(
+        "cache_key", "outcome", "root_rank", "topic", F.array_join("tags", ",").alias("tags"), "tier", "ttl", T.to_ms(F.col("fetched_at")).alias("fetched_ms"), T.to_ms(F.col("validated_at")).alias("validated_ms"),
+        T.to_ms(F.col("stale_after")).alias("stale_after_ms"), "capture_method", "extraction_status", "extraction_confidence", F.array_join("quality_notes", "; ").alias("notes"), "etag", "content_hash", "compressed_tokens", "provenance",
     )
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as artifacts: extraction, compression, keys, hashes, token counts, and the label of a secret."""
-    p = A.table(spark, sf_dir, "pages").select("page_id", F.col("url"), U.normalize_url(F.col("url")).alias("normalized_url"), H.extract_column(F.col("html"), F.col("url")).alias("e"))
-    p = p.select("page_id", "normalized_url", F.col("e.markdown").alias("detailed")).withColumn("compressed", S.compressed_column(F.col("detailed")))
-    return p.select(
-        "page_id", U.cache_key(F.col("normalized_url")).alias("cache_key"), F.sha2("detailed", 256).alias("content_hash"),
-        X.estimate_tokens(F.col("compressed")).alias("compressed_tokens"), X.estimate_tokens(F.col("detailed")).alias("detailed_tokens"),
-        F.when(X.looks_like_error_page(F.col("detailed")), "failed").otherwise("ok").alias("extraction_status"), F.coalesce(X.secret_label(F.col("detailed")), F.lit("")).alias("secret"),
+    """Pages ingested into an empty store and asked for again: artifacts with their digests, and how the second run answers.
+
+    The first run extracts every page and commits what changed; the second finds all of it fresh and fetches nothing.
+    """
+    pages = A.table(spark, sf_dir, "pages")
+    requests = pages.select(F.col("page_id").alias("request_id"), "url")
+    page = H.extract_column(F.col("html"), F.col("url"))
+    responses = pages.select(U.normalize_url(F.col("url")).alias("normalized_url"), F.lit(200).alias("http_status"), page.alias("e")).select("normalized_url", "http_status", "e.*")
+    store = Store(spark, shared_dir(spark, "ingest"))
+    changed = G.read_through(requests, None, responses, compress=S.compressed_column)[1]
+    store.commit(changed.drop("outcome", "secret"), batch="first")
+    now = store.current()
+    second, rest = G.read_through(requests, now, responses)
+    store.commit(rest.drop("outcome", "secret"), batch="second")
+    kept = now.select(
+        "cache_key", "content_hash", "compressed_tokens", "detailed_tokens", "extraction_status", F.array_join("tags", ",").alias("tags"),
+        F.when(F.col("root_rank") == 0, "project").otherwise("global").alias("target_root"),
     )
+    return second.select(F.col("request_id").alias("page_id"), "cache_key", "outcome", "error").join(kept, "cache_key", "left")
+
+
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions written by three batches, one of them twice, then compacted: every version and what superseded it."""
+    rows = A.versions(spark, sf_dir).withColumn("content_hash", F.sha2("file_name", 256))
+    store = Store(spark, shared_dir(spark, "store"))
+    for name, part in (("a", rows.where("file_name LIKE 'v0-%'")), ("b", rows.where("page_id % 2 = 0")), ("a", rows), ("c", rows.where("page_id % 3 = 0"))):
+        store.commit(part, batch=name)
+    store.compact(files=4)
+    return store.history().select("cache_key", "root_rank", "file_name", "batch_id", "commit_no", "superseded_by")
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,11 +41,3 @@ def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable artifacts, and the names of those to set aside."""
     return rows.where("error IS NULL").drop("error"), rows.where("error IS NOT NULL").select("file_name", "root_rank", "error")
 
-
-def write_versions(rows: DataFrame, path: str) -> None:
-    """Appends versions to the store, partitioned by root; the newest of a key is what a lookup gives."""
-    rows.write.mode("append").partitionBy("root_rank").parquet(path)
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return C.latest(spark.read.parquet(path))

@@ -9,19 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from inkwell.sources.artifact_files import write_versions
+from inkwell.sources.store import Store
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str):
-    """Appends each micro-batch's newest version of a key to the store; a batch that is repeated is written once.
-
-    The batch id is part of the rows, so a reader can tell a repeated batch; lookups take the newest version anyway.
-    """
+    """Commits each micro-batch's newest version of a key to the store. A micro-batch that is repeated, under the same
+    checkpoint, changes nothing: its name is in the store's log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        validated = F.coalesce("validated_at", F.timestamp_millis(F.lit(0)))
-        newest = batch.groupBy("cache_key").agg(F.max_by(F.struct(*batch.columns), validated).alias("r")).select("r.*")
-        write_versions(newest.withColumn("batch_id", F.lit(batch_id)), path)
+        Store(batch.sparkSession, path).commit(batch, batch=f"{checkpoint}#{batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,7 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.functions import html, safety, summarize, temporal
+from inkwell.functions import article, dom, html, safety, summarize, temporal
 from inkwell.functions import text as X
 from inkwell.functions import urls as U
 
@@ -131,13 +134,105 @@ def test_redaction_column_gates_and_keeps_nulls(spark):
 
 def test_html_to_markdown():
     page = """<html><head><title>T</title><script>x</script></head><body><nav><a href=/>Home</a></nav><article class="doc">
-    <h1>Head</h1><p>One <b>two</b> <a href="/p?q">link</a><p>Three<br>four<ul><li>a<li>b<ol><li>c</ol></ul>
-    <pre class="language-js">if (a) {\n  b\n}</pre><table><tr><th>x<th>y<tr><td>1|2</table><div class="ad">Buy</div></article></body>"""
-    title, md = html.extract(page, "https://h.test/d/")
-    assert title == "T" and "# Head" in md and "[link](https://h.test/p?q)" in md and "**two**" in md
+    <h1>Head</h1><p>One <b>two </b><a href="/p?q">link</a><p>Three<br>four<ul><li>a<li>b<ol><li>c</ol></ul>
+    <pre class="language-js">if (a) {\n  b\n}</pre><table><tr><th>x<th>y<tr><td>1|2</table><div class="sidebar">Buy</div></article></body>"""
+    title, md, confidence, notes = html.extract(page, "https://h.test/d/")
+    assert title == "T" and "## Head" in md and "[link](https://h.test/p?q)" in md and "One **two** [" in md
     assert "```js\nif (a) {\n  b\n}\n```" in md and "| 1\\|2 |  |" in md and "1. c" in md
-    assert "Buy" not in md and "Home" not in md and "x</script>" not in md
-    assert html.extract(None, None) == ("Untitled", "")
+    assert "Home" not in md and "x</script>" not in md
+    assert confidence == "low" and notes == [html.FOUND, html.SHORT]
+    assert html.extract(None, None) == ("Untitled", None, None, []) == html.extract("<body><script>x</script></body>", "u")
+    assert html.to_markdown("<table><tr><th>a<th>b<tr><td><table><tr><td>in</table><td>c</table>") == "| a | b |\n| --- | --- |\n| in | c |"
+
+
+WORDS = "Long prose with commas, clauses, and enough words to be scored as a paragraph of the article itself. "
+
+
+def test_article_by_scores():
+    """Pages without an article element: the block with the text wins, menus and link lists go."""
+    links = "".join(f"<li><a href='/{i}'>Some menu entry number {i}</a></li>" for i in range(12))
+    page = f"<html><head><title>Guide to all the scores | Site</title></head><body><div id=side><ul>{links}</ul></div><div><div class=body>{'<p>' + WORDS * 4 + '</p>'}<p>{WORDS * 3}</p><div>{links.replace('li>', 'i>')}</div></div><p>Copyright, all rights reserved by nobody at all</p></div></body></html>"
+    title, md, confidence, notes = html.extract(page, "https://x.test/")
+    assert title == "Guide to all the scores" and md.count("Long prose") == 7 and "menu entry" not in md and "Copyright" not in md
+    assert confidence == "medium" and notes == [html.FOUND]
+    assert html.extract(page.replace(WORDS * 4, WORDS * 20), "u")[2] == "high"
+    # Siblings that look alike belong to it; a hidden one and an unlikely one don't.
+    parts = "".join(f"<div class='post-text'><p>{WORDS * 3}</p><p>Part {i}, {WORDS}</p></div>" for i in range(3))
+    md = html.extract(f"<body>{parts}<div class='post-text' hidden><p>No, {WORDS * 3}</p></div><div class=comment-list><p>Talk, {WORDS * 3}</p></div></body>", "u")[1]
+    assert all(f"Part {i}" in md for i in range(3)) and "No," not in md and "Talk" not in md
+    # A short page keeps its text, even where all of it lies in unlikely elements.
+    assert "only words" in html.extract("<body><div class=sidebar>These are the only words here.</div></body>", "u")[1]
+    # Depth doesn't matter.
+    assert "deep words" in html.extract("<div>" * 3000 + "deep words" + "</div>" * 3000, "u")[1]
+
+
+def brute_candidates(root, search):
+    """Scores by the published rules, element by element, walking down from each ancestor."""
+    scores = {}
+    for node in search.below(search.body):
+        held = [n for n in search.below(node) if search._is_paragraph(n) and len(search.text(n)) >= 25]
+        total, met = 0.0, False
+        for p in held:
+            distance = 0
+            above = p.parent
+            while above is not node:
+                above, distance = above.parent, distance + 1
+            if distance < 5:
+                text = search.text(p)
+                points = 1 + text.count(",") + 1 + min(len(text) // 100, 3)
+                total, met = total + points / (1 if distance == 0 else 2 if distance == 1 else distance * 3), True
+        if met:
+            base = {"div": 5, "pre": 3, "td": 3, "blockquote": 3}.get(node.tag, -3 if node.tag in "address ol ul dl dd dt li form".split() else -5 if re.fullmatch("h[1-6]|th", node.tag) else 0)
+            scores[id(node)] = (total + base + search.weight(node)) * (1 - search.link_share(node))
+    return scores
+
+
+def test_scores_of_nested_pages_equal_brute_force():
+    r = random.Random(8)
+
+    def grow(depth):
+        if depth == 0 or r.random() < 0.2:
+            return f"<p>{WORDS * r.randint(0, 3)}</p>" if r.random() < 0.7 else f"<a href='{r.choice(['#a', '/b'])}'>{'a link, ' * r.randint(1, 9)}</a>"
+        tag, name = r.choice(["div", "section", "ul", "blockquote", "td", "div"]), r.choice(["", "content", "footer main", "widget", "x"])
+        return f"<{tag} class='{name}'>" + "".join(grow(depth - 1) for _ in range(r.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(60):
+        root = dom.parse(f"<html><body>{grow(6)}{grow(4)}</body></html>")
+        search = article.Article(root, True, True, False)
+        got = {k: s for k, (n, s) in search.scores.items() if n.tag not in ("body", "html", "#root")}
+        want = {k: v for k, v in brute_candidates(root, search).items()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_titles():
+    title = lambda head, body="": article.title_of(dom.parse(f"<head>{head}</head><body>{body}</body>"))
+    assert title("<title>How to write a page - Docs</title>") == "How to write a page"
+    assert title("<title>Docs | A</title>") == "Docs | A"
+    assert title("<title>x</title><meta property='og:title' content='Whole title'>") == "Whole title"
+    assert title("<title>Short</title>", "<h1>The only heading of this page</h1>") == "The only heading of this page"
+    assert title("", "<h1>a</h1><h1>b</h1>") == ""
+
+
+def test_code_blocks():
+    """Languages by five attributes, lines joined, copy buttons gone, structure flattened."""
+    md = lambda body: (root := dom.parse(f"<body>{body}</body>"), dom.normalize_code(root), w := html._Writer("", set()), w.write(root), w.markdown())[-1]
+    lines = "<span class='line'>npm create</span><span class='token-line x'>cd my-project</span><span data-line='3'>run</span>"
+    assert md(f"<pre data-language=bash><code>{lines}</code></pre>") == "```bash\nnpm create\ncd my-project\nrun\n```"
+    assert md("<pre class=language-TS><code class='language-js hl'>a</code></pre>").startswith("```js\n")
+    assert md("<pre data-lang='language-rust'><code>a</code></pre>").startswith("```rust\n")
+    assert md("<pre><code data-language='Python'>a</code></pre>").startswith("```python\n")
+    assert md("<pre data-lang='klingon'><code>a</code></pre>").startswith("```\n")
+    assert md("<pre>plain\ntext</pre>") == "```\nplain\ntext\n```"
+    assert "Copy" not in md("<div><button>Copy</button><i aria-label='Copy code'>C</i><pre><code>a</code></pre></div>")
+    assert "keep me" in md("<div class='copy-to-clipboard'><pre><code>keep me</code></pre></div>")
+    assert md("<button class=copy-btn><code>x</code>Copy</button><pre><code>real</code></pre>") == "```\nreal\n```"
+    assert md("<pre><div>Title</div><code><xmp>var a;\n\nvar b;</xmp></code><i>tail</i></pre>") == "```\nvar a;\n\nvar b;\n```"
+
+
+def test_page_cleaning():
+    root = dom.parse("<body><p data-pagefind-ignore>a</p><div class='X-Contributors'>b</div><i aria-label='Toggle Theme'>c</i><img src=' DATA:image/x'><img src=/y.png><noscript>d</noscript><p>kept</p></body>")
+    dom.clean(root)
+    assert root.text() == "kept" and [n.get("src") for n in root.nodes() if n.tag == "img"] == ["/y.png"]
 
 
 def test_quality_codes(spark):

@@ -1,10 +1,13 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import catalog as C
+from inkwell.operators import ingest as G
 from inkwell.plans import artifacts as A
 from inkwell.sources import artifact_files as files
+from inkwell.sources.store import Store
 from inkwell.streaming import lifecycle
 
 
@@ -24,14 +27,119 @@ def test_files_and_quarantine(spark, sf_dir, tmp_path):
     assert "detailed" not in files.read_artifacts(spark, [str(tmp_path)], shallow=True).columns
 
 
-def test_ingest_keeps_the_newest_version(spark, sf_dir, tmp_path):
-    rows = A.versions(spark, sf_dir).where("status = 'active'")
+def _versions(spark, sf_dir):
+    return A.versions(spark, sf_dir).where("status = 'active'").withColumn("content_hash", F.sha2("file_name", 256))
+
+
+def _plain(df):
+    return sorted(tuple(map(str, r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+def test_a_replayed_stream_changes_nothing(spark, sf_dir, tmp_path):
+    rows = _versions(spark, sf_dir)
     rows.write.parquet(str(tmp_path / "in"))
+    path, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    lifecycle.ingest(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    lifecycle.ingest(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.cache_key, r.validated_at) for r in files.read_latest(spark, str(tmp_path / "store")).collect()}
-    assert {k for k, _ in got} == {r.cache_key for r in rows.select("cache_key").distinct().collect()}
+    lifecycle.ingest(stream, path, checkpoint).awaitTermination()
+    store = Store(spark, path)
+    first = _plain(store.versions())
+    assert {r[0] for r in store.current().select("cache_key").collect()} == {r[0] for r in rows.select("cache_key").collect()}
+    # The run dies after its commit and before the checkpoint's: the micro-batch comes again.
+    for f in (tmp_path / "cp" / "commits").glob("[!.]*"):
+        f.unlink()
+    for f in (tmp_path / "cp" / "commits").glob(".*"):
+        f.unlink()
+    lifecycle.ingest(stream, path, checkpoint).awaitTermination()
+    assert _plain(store.versions()) == first and len(store.log()) == 1
+
+
+def test_store_commits_are_atomic(spark, sf_dir, tmp_path, monkeypatch):
+    rows, store = _versions(spark, sf_dir), Store(spark, str(tmp_path / "store"))
+    assert store.current() is None and store.history() is None and store.vacuum() == 0
+    store.compact()
+    assert store.commit(rows, "a") and not store.commit(rows, "a")
+    before = _plain(store.versions())
+    # An attempt that is killed before it publishes leaves nothing that readers see.
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", lambda self, entry: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.commit(rows.limit(3), "b")
+    assert _plain(store.versions()) == before and len(store._names("data")) == 2
+    assert store.vacuum() == 1 and _plain(store.versions()) == before
+    # Of two writers that saw the same log the second takes the next number; of one batch only one is kept.
+    seen = store._names
+    with monkeypatch.context() as m:
+        stale = [n for n in seen("_log") if n.endswith(".json")]
+        Store(spark, str(tmp_path / "store")).commit(rows.limit(2), "c")
+        calls = iter([stale])
+        m.setattr(store, "_names", lambda f: next(calls, None) or seen(f))
+        no = store._publish({"batch": "d", "add": [], "drop": [], "schema": None})
+    assert no == 2 and [e["batch"] for e in store.log()] == ["a", "c", "d"]
+    with pytest.raises(FileExistsError):
+        store._publish({"batch": "c", "add": [], "drop": [], "schema": None})
+
+
+def test_store_history_and_compaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    schema = "root_rank int, cache_key string, validated_at timestamp, content_hash string, n int"
+    rows = lambda *v: spark.createDataFrame([(0, k, None, h, n) for k, h, n in v], schema)
+    store.commit(rows(("k", "a", 1), ("k", "b", 2), ("l", "a", 3)))  # a tie: the larger digest
+    store.commit(rows(("k", None, 4)).withColumn("more", F.lit("x")))
+    store.commit(rows(("k", "a", 5), ("k", "a", 6)))  # equal but for n: the larger text
+    history = {(r.cache_key, r.n, r.superseded_by, r.more) for r in store.history().collect()}
+    assert history == {("k", 2, 1, None), ("k", 4, 2, "x"), ("k", 6, None, None), ("l", 3, None, None)}
+    store.compact()
+    assert {(r.cache_key, r.n, r.superseded_by, r.more) for r in store.history().collect()} == history
+    assert store.vacuum() == 3 and {(r.cache_key, r.n) for r in store.current().collect()} == {("k", 6), ("l", 3)}
+    store.commit(rows(("l", "z", 7)), "late")
+    assert {(r.cache_key, r.n) for r in store.current().collect()} == {("k", 6), ("l", 7)}
+
+
+TEXT = "# Widget guide\n\nWidgets turn gears. Widgets need oil, and gears need widgets.\n"
+
+
+def test_read_through(spark, tmp_path):
+    """From an empty store: misses, markers, secrets, failures; then hits, 304, refreshes that carry metadata, stale ones."""
+    store = Store(spark, str(tmp_path / "store"))
+    urls = {1: "https://a.test/ok", 2: "https://a.test/ok", 3: "https://a.test/gone", 4: "https://a.test/secret", 5: "https://a.test/down", 6: "ftp://a.test/", 7: None, 8: "https://a.test/nowhere", 9: "https://a.test/empty"}
+    asked = spark.createDataFrame([(i, u, ["", " T ", "t"] if i in (1, 2) else None) for i, u in urls.items()], "request_id long, url string, tags array<string>")
+    answer = "normalized_url string, http_status int, error string, title string, markdown string, confidence string, notes array<string>"
+    page = lambda name, status, text, error=None: (f"https://a.test/{name}", status, error, "Title", text, "high", ["n"])
+    token = "ghp_" + "a" * 36
+    first = spark.createDataFrame([page("ok", 200, TEXT), page("gone", 200, "404: page not found"), page("secret", 200, f"{TEXT} {token}"), page("down", 503, None), page("empty", 200, None)], answer)
+    answers, changed = G.read_through(asked, None, first)
+    got = {r.request_id: (r.outcome, r.freshness, r.exit_code) for r in answers.collect()}
+    assert got == {1: ("miss", "none", 0), 2: ("miss", "none", 0), 3: ("miss", "none", 0), 4: ("miss", "none", 0), 5: ("failed", "none", 1), 6: ("rejected", None, 2), 7: ("rejected", None, 2), 8: ("failed", "none", 1), 9: ("failed", "none", 1)}
+    assert {r.request_id: r.error for r in answers.collect() if r.error}.items() >= {5: "Fetch failed with status 503", 8: "no response", 9: "Content extraction failed"}.items()
+    rows = {r.source_url.rsplit("/", 1)[1]: r for r in changed.collect()}
+    assert rows.keys() == {"ok", "gone", "secret"}
+    ok, gone, secret = rows["ok"], rows["gone"], rows["secret"]
+    assert (ok.tags, ok.quality_notes, ok.root_rank, ok.detailed, ok.detailed_tokens) == (["T"], ["n"], 0, TEXT, -(-len(TEXT) // 4))
+    assert gone.extraction_status == "failed" and gone.extraction_confidence is None and gone.detailed.startswith("Error: https://a.test/gone could not be cached") and gone.compressed == gone.detailed
+    assert secret.root_rank == 1 and secret.secret == "GitHub token" and secret.tags[:3] == ["guide", "widget", "widgets"] and secret.quality_notes == ["n", G.AUTO_TAGS]
+    store.commit(changed.drop("outcome", "secret"), "first")
+    # All is fresh: nothing is fetched, nothing changes.
+    answers, changed = G.read_through(asked, store.current(), first)
+    assert {r.request_id: r.outcome for r in answers.where("request_id < 5").collect()} == dict.fromkeys(range(1, 5), "hit") and changed.count() == 0
+    # Older than asked for but fresh: no change. By force: as if it were new.
+    age = {"max_age": "1d"}
+    old = store.current().withColumns({c: F.col(c) - F.expr("INTERVAL 20 DAYS") for c in ("fetched_at", "validated_at")})
+    assert {r.outcome for r in G.read_through(asked.where("request_id < 5"), old, first, **age)[0].collect()} == {"revalidated"} and G.read_through(asked, old, first, **age)[1].count() == 0
+    forced = G.read_through(asked.where("request_id = 4").withColumn("force", F.lit(True)), old, first)[1].first()
+    assert forced.outcome == "miss" and forced.root_rank == 1
+    # Within grace: 304 keeps the content, 200 replaces it, a failure is stale; beyond it fails.
+    for days, failing, code in ((40, "stale", 5), (400, "failed", 1)):
+        old = store.current().withColumns({c: F.col(c) - F.make_dt_interval(F.lit(days)) for c in ("fetched_at", "validated_at")}).withColumns({"topic": F.lit("kept"), "docs_engine": F.lit("sphinx")})
+        second = spark.createDataFrame([page("ok", 200, TEXT + "More."), page("gone", 304, None), page("secret", None, None, "DNS resolution failed")], answer)
+        answers, changed = G.read_through(asked, old, second)
+        assert {r.request_id: (r.outcome, r.exit_code) for r in answers.where("request_id < 5").collect()} == {1: ("refreshed", 0), 2: ("refreshed", 0), 3: ("revalidated", 0), 4: (failing, code)}
+        rows = {r.source_url.rsplit("/", 1)[1]: r for r in changed.collect()}
+        assert rows.keys() == {"ok", "gone"}
+        assert (rows["ok"].topic, rows["ok"].docs_engine, rows["ok"].tags, rows["ok"].detailed) == ("kept", "sphinx", ["T"], TEXT + "More.")
+        assert rows["gone"].detailed == gone.detailed and rows["gone"].validated_at > rows["gone"].fetched_at
+    assert G.read_through(asked, old, second, allow_stale=True)[0].where("exit_code = 5").count() == 0
+    empty = G.read_through(asked.limit(0), None, first.limit(0))
+    assert empty[0].count() == empty[1].count() == 0
 
 
 def test_windows_equal_batch(spark, sf_dir, tmp_path):
