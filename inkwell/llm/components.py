@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label hooking and pointer jumping."""
+"""Connected components of an edge table, by hooking, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -11,23 +11,35 @@ from inkwell.llm import common
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     """edges: a long, b long. A row (node, label) for each node; label is the smallest node of its component.
 
-    Each round takes the least label of the neighbours, summed up before any shuffle of it, and then the label of that
-    label, so a chain of n edges takes about log n rounds. Rounds are written to the folder; no edge or label comes to
-    the driver.
+    Each round hooks a node to the least of its neighbours, follows the hooks to their roots by doubling, and puts roots
+    in the place of nodes; edges within one root go. What is left has at most half of the nodes, so a dense group is one
+    root after a round and a chain of n edges takes about log n rounds. Rounds are written to the folder; no edge or
+    label comes to the driver.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = common.materialized(both, f"{folder}/edges")
-    labels = common.materialized(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{folder}/labels-0"
-    )
-    k = 0
+    ends = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    pairs = common.materialized(edges.where("a <> b").select(*ends).distinct(), f"{folder}/edges-0")
+    found, k = None, 0
     while True:
         k += 1
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        up = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        jumped = hooked.join(up, "new").select("node", F.least("new", "up").alias("label"), (F.least("new", "up") < F.col("label")).alias("moved"))
-        jumped = common.materialized(jumped, f"{folder}/labels-{k}")
-        if not jumped.where("moved").limit(1).count():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        labels, j = common.materialized(labels, f"{folder}/labels-{k}-0"), 0
+        while True:
+            j += 1
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+            jumped = labels.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") < F.col("label")).alias("moved"))
+            jumped = common.materialized(jumped, f"{folder}/labels-{k}-{j}")
+            labels = jumped.select("node", "label")
+            if not jumped.where("moved").limit(1).count():
+                break
+        if found is None:
+            found = labels
+        else:
+            roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            found = found.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+            found = common.materialized(found, f"{folder}/found-{k}")
+        one = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("root_a")), "a")
+        two = one.join(labels.select(F.col("node").alias("b"), F.col("label").alias("root_b")), "b").where("root_a <> root_b")
+        pairs = common.materialized(two.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct(), f"{folder}/edges-{k}")
+        if not pairs.limit(1).count():
+            return found

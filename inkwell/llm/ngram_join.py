@@ -52,6 +52,8 @@ SHARED = 3
 #: An element counts as frequent from so many texts on, as long as there are no more than MOST of them; the count is
 #: summed from tasks' shares of at least LOCAL texts. Other values change the cost, not the result.
 FREQUENT, MOST, LOCAL = 1000, 1 << 18, 4
+#: Rounds in which each member that is left meets one of its likely partners, before all pairs that are left are compared.
+ROUNDS = 3
 #: Signatures that a task holds before it sends them, and that meet in one place, about.
 HELD, MET = 1 << 20, 1 << 20
 
@@ -655,13 +657,20 @@ def link_documents(
         some = labelled(labelled(pairs.where(f"kind IN (2, {kind})").select("a", "b").distinct(), "a"), "b")
         return untested(some.where("label_a <> label_b").select("a", "b"))
 
-    for k in range(2):
-        # One partner for each member in a round: the first in the round's order, which many members share.
+    def merged(found: DataFrame, where: str) -> DataFrame:
+        """Labels of all nodes met so far: what the labels say already, and the links just found."""
+        known = joint if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        return connected_components(found.where("linked").select("a", "b").union(known), where)
+
+    def picked(open_: DataFrame, k: int) -> DataFrame:
+        """One partner for each member in a round: the first in the round's order, which many members share."""
         first = F.struct((F.col("a") if k == 0 else F.xxhash64(F.col("a"), F.lit(k))).alias("rank"), "a")
-        pick = open_pairs(k).groupBy("b").agg(F.min(first).alias("p")).select("p.a", "b")
-        found = compare(pick, f"star-{k}")
+        return open_.groupBy("b").agg(F.min(first).alias("p")).select("p.a", "b")
+
+    for k in range(2):
+        found = compare(picked(open_pairs(k), k), f"star-{k}")
         compared = found if compared is None else compared.unionByName(found)
-        labels = connected_components(compared.where("linked").select("a", "b").union(joint), f"{folder}/round-{k}")
+        labels = merged(found, f"{folder}/round-{k}")
     # What is left: likely pairs, and members of large buckets in different components that were never compared.
     # One center for all buckets that share members, that of most: each member has one difference set.
     edges = stars.where("kind IN (0, 3)").select("a", "b")
@@ -674,10 +683,18 @@ def link_documents(
     left = common.materialized(left.join(common.materialized(mixed, f"{folder}/mixed"), "center"), f"{folder}/many")
     sets = with_sets(left.select("id").union(left.select("center")), "left")
     found = _left_pairs(left, sets, num, den, folder)
-    rest = compare(open_pairs(2).union(untested(found)).distinct(), "rest")
+    # Most of these pairs are of one group: after a few rounds its members have one label, and the rest needs no look.
+    open_ = common.materialized(open_pairs(2).union(untested(found)).distinct(), f"{folder}/open-1")
+    for k in range(2, 2 + ROUNDS):
+        found = compare(picked(open_, k), f"star-{k}")
+        compared = compared.unionByName(found)
+        labels = merged(found, f"{folder}/round-{k}")
+        still = labelled(labelled(open_, "a"), "b").where("label_a <> label_b").select("a", "b")
+        open_ = common.materialized(still.join(found.select("a", "b"), ["a", "b"], "left_anti"), f"{folder}/open-{k}")
+    rest = compare(open_, "rest")
     compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
-    labels = connected_components(links.select("a", "b").union(joint), f"{folder}/all")
+    labels = merged(rest, f"{folder}/all")
     # Names become ids: a component's is the smallest of its classes'.
     reps = classes.select("id", "rep")
     found = labels.join(reps.withColumnRenamed("id", "node"), "node").select("node", "rep", "label")
@@ -688,7 +705,7 @@ def link_documents(
     out = named.select("id", "n_shingles", "class").join(found, "class", "left")
     links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
-    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", "star-0", "star-1", "round-0", "round-1", "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "left-blocks", "left-pairs", "all", "frequent"):
+    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", *(f"{what}-{k}" for what in ("star", "round", "open") for k in range(2 + ROUNDS)), "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "left-blocks", "left-pairs", "all", "frequent"):
         common.remove(f"{folder}/{name}")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links
