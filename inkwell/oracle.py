@@ -166,6 +166,31 @@ oe AS (SELECT *, CASE WHEN outcome IN ('stale', 'failed') THEN CASE WHEN s = 5 T
 #: Fresh and stale times of a tier and ttl, in milliseconds.
 _FRESH = f"coalesce(CASE ttl WHEN '2h' THEN {temporal.DAY // 12} WHEN '7d' THEN {7 * temporal.DAY} WHEN '6m' THEN {180 * temporal.DAY} END, CASE tier WHEN 'stable' THEN {180 * temporal.DAY} WHEN 'volatile' THEN {7 * temporal.DAY} ELSE {30 * temporal.DAY} END)::BIGINT"
 
+def _text(values: dict[str, str]) -> str:
+    """An artifact's text from SQL values of its fields (lists as arrays), in the order of a file."""
+    order = "schema_version artifact_type source_url source_urls normalized_url cache_key topic tags format_available tier ttl fetched_at validated_at stale_after capture_method extraction_status extraction_confidence quality_notes supplied_at supplied_by etag last_modified content_hash token_estimate status site_module_id docs_engine docs_framework source_doc_url search_provider parent_cache_key section_anchor section_heading_path"
+    out = "'---'"
+    for name in order.split():
+        value = values.get(name, "NULL")
+        if name in ("source_urls", "tags", "format_available", "quality_notes"):
+            out += f" || chr(10) || '{name}:' || coalesce(array_to_string(list_transform({value}::VARCHAR[], lambda x: chr(10) || '  - ' || x), ''), '')"
+        elif name == "token_estimate":
+            out += f" || chr(10) || 'token_estimate:' || chr(10) || '  compressed: ' || coalesce(({values.get('compressed_tokens', 'NULL')})::VARCHAR, '') || chr(10) || '  detailed: ' || coalesce(({values.get('detailed_tokens', 'NULL')})::VARCHAR, '')"
+        else:
+            out += f" || chr(10) || '{name}: ' || coalesce(({value})::VARCHAR, '')"
+    out += " || chr(10) || '---'"
+    for name in ("Summary", "Compressed", "Detailed", "Provenance"):
+        out += f" || chr(10) || chr(10) || '## {name}' || chr(10) || chr(10) || {values[name]}"
+    return out
+
+
+_OWN_FIELDS = {n: n for n in "artifact_type source_url source_urls normalized_url cache_key topic tags tier ttl fetched_at validated_at capture_method status".split()}
+_ALL_FIELDS = _OWN_FIELDS | {
+    "schema_version": "1", "format_available": "['compressed', 'detailed']", "stale_after": "validated_at", "extraction_status": "'extracted'", "extraction_confidence": "CASE WHEN page_id % 3 = 0 THEN 'low' END",
+    "quality_notes": "CASE WHEN page_id % 2 = 1 THEN ['n1: x', 'n2'] END", "etag": "'W/\"' || page_id || ':1\"'", "content_hash": "sha256(source_url)", "compressed_tokens": "page_id", "detailed_tokens": "CASE WHEN page_id % 2 = 0 THEN page_id * 2 END",
+    "section_heading_path": "'A > B: c'", "Summary": "'short'", "Compressed": "'## A detailed look at ' || topic", "Detailed": "'## Summary' || chr(10) || chr(10) || '- a: ' || page_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'end'", "Provenance": "source_url",
+}
+
 _SECRET = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{label}'" for label, p in (
     ("GitHub token", "(?:^|[^A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}"),
     ("AWS access key", "(?:^|[^A-Z0-9])AKIA[0-9A-Z]{16}(?:[^A-Z0-9]|$)"),
@@ -402,6 +427,14 @@ SELECT cache_key, outcome, CASE WHEN had THEN old_root ELSE 0 END::INT AS root_r
  CASE WHEN same THEN NULL WHEN bad THEN 'error: page reported an error or was not found' ELSE 'note' END AS notes, CASE WHEN NOT same THEN 'tag-' || page_id END AS etag, CASE WHEN NOT same THEN sha256(body) END AS content_hash,
  CASE WHEN NOT same THEN ceil(length(CASE WHEN bad THEN body ELSE short END) / 4)::BIGINT END AS compressed_tokens,
  CASE WHEN NOT same THEN 'Fetched from ' || place || ' on ' || day || CASE WHEN bad THEN ' (error page; content not cached)' ELSE '' END END AS provenance FROM bd""",
+    "artifact_fields": ART + f""", t AS (SELECT *, sha256({_text(_ALL_FIELDS)}) AS text_hash FROM art)
+SELECT page_id, text_hash, text_hash AS again_hash, 1::BIGINT AS schema_version, cache_key, ttl, source_url AS source_urls, array_to_string(tags, ',') AS tags, CASE WHEN page_id % 2 = 1 THEN 'n1: x,n2' ELSE '' END AS notes,
+ page_id AS compressed_tokens, CASE WHEN page_id % 2 = 0 THEN page_id * 2 END AS detailed_tokens, {_ALL_FIELDS['etag']} AS etag, topic, NULL::VARCHAR AS supplied_by, 'A > B: c' AS section_heading_path, 'e' || page_id AS extra,
+ 'short' AS summary, {_ALL_FIELDS['Compressed']} AS compressed, {_ALL_FIELDS['Detailed']} AS detailed, source_url AS provenance FROM t""",
+    "shallow_artifacts": ART + """
+SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'Malformed artifact: Frontmatter missing starting boundary.' WHEN 1 THEN 'Malformed artifact: Frontmatter missing ending boundary.' END AS error,
+ CASE WHEN page_id % 9 > 1 THEN normalized_url END AS normalized_url, CASE WHEN page_id % 9 > 1 THEN status END AS status, CASE WHEN page_id % 9 > 1 THEN array_to_string(tags, ',') END AS tags,
+ CASE WHEN page_id % 9 > 1 THEN topic END AS summary, CASE WHEN page_id % 9 > 1 THEN 'c ' || normalized_url END AS compressed FROM art""",
     "store_history": ART + """,
 w AS (SELECT *, 'a' AS batch_id, 0 AS commit_no FROM ver WHERE starts_with(file_name, 'v0-') UNION ALL SELECT *, 'b', 1 FROM ver WHERE page_id % 2 = 0 UNION ALL SELECT *, 'c', 2 FROM ver WHERE page_id % 3 = 0),
 -- Of equal keys in one batch the newest validated, then the largest digest of its name.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions import frontmatter as M
 from inkwell.functions import html as H
 from inkwell.functions import responses as W
 from inkwell.functions import safety as R
@@ -265,6 +266,33 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def artifact_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts of all fields written as text, with a field that isn't known, parsed, and written again."""
+    k, s = F.col("page_id"), F.col("page_id").cast("string")
+    a = A.artifacts(spark, sf_dir).withColumns({
+        "schema_version": F.lit(1), "format_available": F.array(F.lit("compressed"), F.lit("detailed")), "stale_after": F.col("validated_at"), "extraction_status": F.lit("extracted"),
+        "extraction_confidence": F.when(k % 3 == 0, "low"), "quality_notes": F.when(k % 2 == 1, F.array(F.lit("n1: x"), F.lit("n2"))), "etag": F.concat(F.lit('W/"'), s, F.lit(':1"')), "content_hash": F.sha2("source_url", 256),
+        "token_estimate": F.struct(k.alias("compressed"), F.when(k % 2 == 0, k * 2).alias("detailed")), "section_heading_path": F.lit("A > B: c"),
+        "summary": F.lit("  short "), "compressed": F.concat(F.lit("## A detailed look at "), F.col("topic")), "detailed": F.concat(F.lit("## Summary\n\n- a: "), s, F.lit("\n\n---\n\nend")), "provenance": F.col("source_url"),
+    })
+    text = M.write(a.drop("html"))
+    t = a.select("page_id", F.sha2(text, 256).alias("text_hash"), F.replace(text, F.lit("\nstatus: "), F.concat(F.lit("\nextra: e"), s, F.lit("\n\nstatus: "))).alias("value"))
+    full = M.parse(t)
+    return full.select(
+        "page_id", "text_hash", F.sha2(M.write(full), 256).alias("again_hash"), F.col("schema_version").cast("long").alias("schema_version"), "cache_key", "ttl", F.array_join("source_urls", " ").alias("source_urls"), F.array_join("tags", ",").alias("tags"),
+        F.array_join("quality_notes", ",").alias("notes"), F.col("token_estimate.compressed").cast("long").alias("compressed_tokens"), F.col("token_estimate.detailed").cast("long").alias("detailed_tokens"), "etag", "topic", "supplied_by",
+        "section_heading_path", F.col("unknown")["extra"].alias("extra"), "summary", "compressed", "detailed", "provenance",
+    )
+
+
+def shallow_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the large bodies: they are cut off before the rest is parsed."""
+    a = A.artifacts(spark, sf_dir).drop("html").withColumns({"summary": F.col("topic"), "compressed": F.concat(F.lit("c "), F.col("normalized_url")), "detailed": F.lit("d"), "provenance": F.lit("p")})
+    text = F.when(F.col("page_id") % 9 == 0, F.substr(M.write(a), F.lit(2))).when(F.col("page_id") % 9 == 1, F.substring_index(M.write(a), "\n---", 1)).otherwise(M.write(a))
+    t = M.parse(a.select("page_id", text.alias("value")), shallow=True)
+    return t.select("page_id", "error", "normalized_url", "status", F.array_join("tags", ",").alias("tags"), "summary", "compressed")
+
+
 def fuzzy_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types with a letter lost, matched with the vocabulary of event types."""
     e = A.table(spark, sf_dir, "events").select("event_type").distinct()

@@ -3,6 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.functions import frontmatter as M
 from inkwell.operators import catalog as C
 from inkwell.operators import ingest as G
 from inkwell.plans import artifacts as A
@@ -13,18 +14,43 @@ from inkwell.streaming import lifecycle
 
 def test_files_and_quarantine(spark, sf_dir, tmp_path):
     a = A.artifacts(spark, sf_dir).limit(5).withColumns({"summary": F.lit("s: 1"), "compressed": F.lit("c"), "detailed": F.lit("## Not a body\n\nd"), "provenance": F.lit("p")})
-    fields = ["artifact_type", "source_urls", "cache_key", "tags", "ttl", "status"]
-    for r in a.select("cache_key", C.serialize(a, fields).alias("t")).collect():
+    for r in a.select("cache_key", M.write(a.drop("html")).alias("t")).collect():
         (tmp_path / f"{r.cache_key}.md").write_text(r.t)
-    (tmp_path / "bad.md").write_text("no fence")
+    (tmp_path / "bad one.md").write_text("no fence")
     (tmp_path / "x.superseded.1.md").write_text("---\n---")
     good, bad = files.split_quarantine(files.read_artifacts(spark, [str(tmp_path)]))
-    rows = {r.cache_key: r for r in good.collect()}
-    want = {r.cache_key: r for r in a.collect()}
-    assert rows.keys() == want.keys() and [r.file_name for r in bad.collect()] == ["bad.md"]
+    rows, want = {r.cache_key: r for r in good.collect()}, {r.cache_key: r for r in a.collect()}
+    assert rows.keys() == want.keys() and [r.error for r in bad.collect()] == [M.NO_START]
     for k, r in rows.items():
         assert (r.tags, r.source_urls, r.ttl, r.summary, r.detailed, r.provenance) == (want[k].tags, want[k].source_urls, want[k].ttl, "s: 1", "## Not a body\n\nd", "p")
     assert "detailed" not in files.read_artifacts(spark, [str(tmp_path)], shallow=True).columns
+    names = spark.createDataFrame(bad.collect(), bad.schema)
+    for _ in range(2):  # a task may run twice
+        assert [r.moved_to for r in files.quarantine(names, "9").collect()] == [f"{r.path}.corrupt.9" for r in names.collect()]
+    assert (tmp_path / "bad one.md.corrupt.9").exists() and not (tmp_path / "bad one.md").exists()
+    assert files.read_artifacts(spark, [str(tmp_path)]).count() == 5
+
+
+def test_front_matter(spark):
+    """Every rule of the format, and what is no artifact."""
+    text = (
+        "---\nschema_version: 2\nartifact_type: note\n  - orphan\ntags:\n  - a\n\n  -   b: c \n  - \nfoo: bar: baz\nfoo: x\nnocolon\ntoken_estimate:\n  compressed: 12\n  detailed: abc\n"
+        "ttl:\n  - lost\nquality_notes: one\ntopic: t1\ntopic:   t2\t\nsource_url:\n---\n\n## Summary\n\ns\n\n## Compressed\n\n## c\n\n## Detailed\n\n## Summary\n\n---\n\nd\n\n## Provenance\n\np"
+    )
+    texts = {1: text, 2: "---\nx", 3: "no", 4: None, 5: "---\n---", 6: "---\ncache_key: k\n---", 7: "---", 8: "", 9: "---\n\n---\n\n## Detailed\nx"}
+    df = spark.createDataFrame(list(texts.items()), "id int, value string")
+    got = {r.id: r for r in M.parse(df).collect()}
+    r = got[1]
+    assert (r.error, r.schema_version, r.artifact_type, r.tags, r.quality_notes, r.topic, r.ttl, r.source_url, r.normalized_url, r.tier) == (None, 2.0, "note", ["a", "b: c"], ["one"], "t2", None, None, "", "standard")
+    assert tuple(r.token_estimate) == (12.0, None) and r.unknown == {"foo": "x"}
+    assert (r.summary, r.compressed, r.detailed, r.provenance) == ("s", "## c", "## Summary\n\n---\n\nd", "p")
+    assert {i: got[i].error for i in (2, 3, 4, 7, 8)} == {2: M.NO_END, 3: M.NO_START, 4: M.NO_START, 7: M.NO_END, 8: M.NO_START}
+    assert got[2].status is None and got[5].status == got[6].status == "active" and got[6].cache_key == "k" and got[9].detailed == "x"
+    shallow = M.parse(df, shallow=True).where("id = 1").first()
+    assert (shallow.summary, shallow.compressed) == ("s", "## c") and "detailed" not in shallow
+    again = M.parse(M.parse(df.where("id = 1")).select("id", M.write(M.parse(df.where("id = 1"))).alias("value"))).first()
+    for name in (*M.ORDER, "summary", "compressed", "detailed", "provenance"):
+        assert (getattr(again, name) or None) == (getattr(r, name) or None), name  # empty and null are written alike
 
 
 def _versions(spark, sf_dir):
