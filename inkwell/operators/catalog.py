@@ -127,33 +127,42 @@ def revalidate(rows: DataFrame, probes: DataFrame, *, allow_stale: bool = False)
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "markdown") -> DataFrame:
     """H2 and H3 sections of each document that has two or more, with anchor, breadcrumb and content.
 
-    Fence parity, section ends and ancestors are windows over the lines of one document.
+    Fences and headings are folded in order within the row, and each section is cut from the row's own lines: nothing is
+    shuffled, and lines never travel.
     """
-    lines = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
-    by_line = Window.partitionBy("key").orderBy("line_no")
-    lines = lines.withColumn("fences", F.sum(F.col("line").rlike(r"^\s*```").cast("int")).over(by_line))
+    base = docs.select(F.col(key).alias("key"), F.split(F.col(text), "\n").alias("lines"))
     pattern = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-    heading = (F.col("fences") % 2 == 0) & F.col("line").rlike(pattern)
-    lines = lines.withColumns(
-        {
-            "level": F.when(heading, F.length(F.regexp_extract("line", pattern, 1))),
-            "title": F.when(heading, X.heading_plain_text(F.regexp_extract("line", pattern, 2))),
-        }
-    )
-    lines = lines.withColumn("section", F.sum(F.when(F.col("level").isin(2, 3), 1).otherwise(0)).over(by_line))
-    heads = lines.where("level IS NOT NULL")
-    before = Window.partitionBy("key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("h1", F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(before))
-    # The H2 before an H3 carries the H1 that it saw itself.
-    heads = heads.withColumn("h2", F.last(F.when(F.col("level") == 2, F.struct("title", "h1")), ignorenulls=True).over(before))
-    path = F.when(F.col("level") == 2, F.concat_ws(" > ", "h1", "title")).otherwise(F.concat_ws(" > ", "h2.h1", "h2.title", "title"))
-    many = Window.partitionBy("key")
-    heads = heads.where("level IN (2, 3)").withColumn("n", F.count("*").over(many)).where("n >= 2")
-    heads = heads.select("key", "section", "level", X.slugify(F.col("title")).alias("anchor"), path.alias("heading_path"))
-    texts = lines.where("section > 0").groupBy("key", "section").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content")
-    )
-    return heads.join(texts, ["key", "section"]).select("key", "section", "level", "anchor", "heading_path", U.trim_all(F.col("content")).alias("content"))
+
+    def mark(line: Column, at: Column) -> Column:
+        heading = F.struct(at.alias("at"), F.length(F.regexp_extract(line, pattern, 1)).alias("level"), X.heading_plain_text(F.regexp_extract(line, pattern, 2)).alias("title"))
+        fence = F.struct(at.alias("at"), F.lit(0).alias("level"), F.lit("").alias("title"))
+        return F.when(line.rlike(r"^\s*```"), fence).when(line.rlike(pattern), heading)
+
+    def step(s: Column, m: Column) -> Column:
+        live = ~s["fenced"] & (m["level"] > 0)
+        # The H2 before an H3 carries the H1 that it saw itself.
+        path = F.when(m["level"] == 2, F.concat_ws(" > ", s["h1"], m["title"])).otherwise(F.concat_ws(" > ", s["h2_h1"], s["h2"], m["title"]))
+        found = F.struct(m["at"].alias("at"), m["level"].alias("level"), m["title"].alias("title"), path.alias("path"))
+        is_h2 = live & (m["level"] == 2)
+        return F.struct(
+            F.when(m["level"] == 0, ~s["fenced"]).otherwise(s["fenced"]).alias("fenced"),
+            F.when(live & (m["level"] == 1), m["title"]).otherwise(s["h1"]).alias("h1"),
+            F.when(is_h2, m["title"]).otherwise(s["h2"]).alias("h2"),
+            F.when(is_h2, s["h1"]).otherwise(s["h2_h1"]).alias("h2_h1"),
+            F.when(live & m["level"].isin(2, 3), F.array_append(s["found"], found)).otherwise(s["found"]).alias("found"),
+        )
+
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("fenced"), none.alias("h1"), none.alias("h2"), none.alias("h2_h1"), F.array().cast("array<struct<at:int,level:int,title:string,path:string>>").alias("found"))
+    marks = F.filter(F.transform("lines", mark), lambda m: m.isNotNull())
+    base = base.select("key", "lines", F.aggregate(marks, start, step, lambda s: s["found"]).alias("found")).where(F.size("found") >= 2)
+
+    def cut(x: Column, place: Column) -> Column:
+        end = F.coalesce(F.get("found", place + 1)["at"], F.size("lines"))
+        content = U.trim_all(F.array_join(F.slice("lines", x["at"] + 1, end - x["at"]), "\n"))
+        return F.struct(x["level"].alias("level"), X.slugify(x["title"]).alias("anchor"), x["path"].alias("heading_path"), content.alias("content"))
+
+    return base.select("key", F.posexplode(F.transform("found", cut)).alias("place", "s")).select("key", (F.col("place") + 1).cast("long").alias("section"), "s.*")
 
 
 def section_children(rows: DataFrame) -> DataFrame:

@@ -196,13 +196,14 @@ def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's Markdown and an older form of it without table, image and fence; every seventh is new."""
     m = A.markdown(spark, sf_dir)
     older = F.regexp_replace(F.regexp_replace(F.regexp_replace("markdown", r"(?m)^\|.*\|$", ""), r"!\[[^\]]*\]\([^)]*\)", ""), r"(?s)```.*?```", "")
-    b = m.select("doc_id", *[c.alias(f"c_{k}") for k, c in X.content_metrics(F.col("markdown")).items()])
-    o = m.where("doc_id % 7 <> 0").select("doc_id", *[c.alias(f"b_{k}") for k, c in X.content_metrics(older).items()])
+    now, before = X.content_metrics(F.col("markdown")), X.content_metrics(F.col("older"))
+    m = m.select("doc_id", "markdown", F.when(F.col("doc_id") % 7 != 0, older).alias("older"))
+    known = F.col("older").isNotNull()
+    j = m.select("doc_id", *[c.alias(f"n_{k}") for k, c in now.items()], *[F.when(known, c).alias(f"o_{k}") for k, c in before.items()])
     # Odd documents went the other way: what is current now lacks the structures.
-    j = b.join(o, "doc_id", "left")
-    swap = [F.when(F.col("doc_id") % 2 == 1, F.coalesce(f"b_{k}", f"c_{k}")).otherwise(F.col(f"c_{k}")).alias(f"c_{k}") for k in X.METRICS]
-    base = [F.when((F.col("doc_id") % 2 == 1) & F.col(f"b_{k}").isNotNull(), F.col(f"c_{k}")).otherwise(F.col(f"b_{k}")).alias(f"b_{k}") for k in X.METRICS]
-    return j.select("doc_id", *swap, *base)
+    swapped = (F.col("doc_id") % 2 == 1) & F.col("o_chars").isNotNull()
+    current = [F.when(swapped, F.col(f"o_{k}")).otherwise(F.col(f"n_{k}")).alias(f"c_{k}") for k in X.METRICS]
+    return j.select("doc_id", *current, *[F.when(swapped, F.col(f"n_{k}")).otherwise(F.col(f"o_{k}")).alias(f"b_{k}") for k in X.METRICS])
 
 
 def regression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
