@@ -14,7 +14,7 @@ BODY_LIMIT = 2 * 1024 * 1024
 def rejection(status: Column, content_type: Column, size: Column, body: Column, *, html: bool = True, limit: int = BODY_LIMIT) -> Column:
     """Why a response is refused, or null; 304 passes without a body. html: only pages are wanted, else any text.
 
-    A null status is a failed request. The messages are fixed values: failure_hints() reads them.
+    A null status is a failed request. The messages are fixed values: failure_class() reads them.
     """
     kind = F.lower(trim_all(F.substring_index(content_type, ";", 1)))
     out = F.when(status.isNull(), "Fetch failed").when(status == 304, F.lit(None).cast("string"))

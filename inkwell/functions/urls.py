@@ -17,6 +17,31 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _URL, group)
 
 
+def _steps(path: Column) -> Column:
+    """A path without `.` and `..` steps; `..` at the top stays there."""
+    parts = F.split(path, "/")
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+
+    def step(kept: Column, x: Column) -> Column:
+        back = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(x == "..", back).when(x == ".", kept).otherwise(F.array_append(kept, x))
+
+    return F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), end), "/")
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """The address that a link on a page leads to; null where the base is no http address. Queries and fragments stay."""
+    link = trim_all(href)
+    origin = F.concat(F.lower(part(base, 1)), F.lit("://"), F.lower(part(base, 2)))
+    path, rest = F.regexp_extract(link, r"^([^?#]*)(.*)$", 1), F.regexp_extract(link, r"^([^?#]*)(.*)$", 2)
+    own = F.when(part(base, 3) == "", "/").otherwise(part(base, 3))
+    target = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(own, "^(.*/)", 1), path))
+    out = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lower(part(base, 1)), F.lit(":"), link))
+    out = out.when(link == "", F.concat(origin, own, part(base, 4))).when(link.startswith("#"), F.concat(origin, own, part(base, 4), link))
+    out = out.when(link.startswith("?"), F.concat(origin, own, link)).otherwise(F.concat(origin, _steps(target), rest))
+    return F.when(part(base, 2) != "", out)
+
+
 def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(part(url, 2)), r":\d*$", "")
 

@@ -11,6 +11,8 @@ from inkwell.functions import urls as U
 
 #: A static extraction of low confidence and fewer characters needs a rendered page.
 MIN_USEFUL = 600
+# Why a page that was fetched has no article.
+NOT_EXTRACTED = 'Content extraction failed: The target page could not be parsed by the readability engine. Hint: The "import" command lets you import pre-cleaned, agent-supplied research notes directly.'
 
 # What marks a link for editing its page, by its route, its class or its text.
 _EDIT_CLASS = r"(?i)edit[-_ ]?(?:this|on|page)|edit-link"
@@ -31,9 +33,10 @@ def edit_sources(html: Column) -> Column:
     return F.filter(F.transform(anchors, source), lambda x: x["raw_url"].isNotNull())
 
 
-def advertised_index(html: Column) -> Column:
-    """The address in the page's first link to an index for language models, as written; null without one."""
-    return F.nullif(F.regexp_extract(html, r"""(?i)href=["']([^"']*llms(?:-full)?\.txt)["']""", 1), F.lit(""))
+def advertised_index(html: Column, url: Column) -> Column:
+    """The address of the page's first link to an index for language models, resolved against the page; null without one."""
+    href = F.nullif(F.regexp_extract(html, r"""(?i)href=["']([^"']*llms(?:-full)?\.txt)["']""", 1), F.lit(""))
+    return U.resolve(url, href)
 
 
 def search_signal(html: Column) -> Column:
@@ -42,17 +45,30 @@ def search_signal(html: Column) -> Column:
     return F.when(local, "vitepress-local").when(html.rlike(r"(?i)docsearch|algolia"), "algolia-docsearch").when(html.contains("data-pagefind-body"), "pagefind")
 
 
-def framework_notes(html: Column, framework: Column) -> Column:
-    """What else is known of managed platforms. The notes are fixed values."""
-    readme = framework == "readme"
-    return F.array_compact(
-        F.array(
-            F.when(framework.isNotNull(), F.concat(F.lit("detected "), framework, F.lit(" (verified)"))),
-            F.when(readme & html.rlike("(?i)algolia"), "ReadMe Algolia search metadata present (signal)"),
-            F.when(readme & html.rlike("(?i)openapi|oas"), "OpenAPI registry metadata present (signal)"),
-            F.when(framework == "redocly", "llms.txt unverified at conventional path"),
-        )
+def engine_notes(html: Column, engine: Column, framework: Column, capture: Column) -> Column:
+    """What was detected, and what else is known of managed platforms. The notes are fixed values."""
+    of = lambda *names: F.coalesce(framework.isin(*names), F.lit(False))
+    made, readme = X.generator(html), of("readme")
+    said = (
+        F.when(engine == "vitepress", "detected VitePress globals (verified)")
+        .when((engine == "starlight") & made.contains("astro"), "detected Astro Starlight (generator + markers, verified)")
+        .when(engine == "starlight", "detected Starlight markers (verified)")
+        .when(engine == "docusaurus", "detected Docusaurus markers (verified)")
+        .when((engine == "next") & framework.isNotNull(), F.concat(F.lit("detected Next.js + "), framework, F.lit(" (verified)")))
+        .when(engine == "next", "detected Next.js docs/app (verified)")
+        .when(of("sphinx"), "detected Sphinx (verified)")
+        .when(of("docsify"), "detected Docsify client-side Markdown renderer (verified)")
+        .when(framework.isNotNull(), F.concat(F.lit("detected "), framework, F.lit(" (verified)")))
+        .when(capture == "rendered", "thin body with heavy script payload; SPA rendered candidate (signal)")
+        .when(engine == "generated-static", "long static reference shape (many headings) (signal)")
+        .otherwise("no docs-engine markers detected")
     )
+    more = [
+        F.when(readme & html.rlike("(?i)algolia"), "ReadMe Algolia search metadata present (signal)"),
+        F.when(readme & html.rlike("(?i)openapi|oas"), "OpenAPI registry metadata present (signal)"),
+        F.when(of("redocly"), "llms.txt unverified at conventional path"),
+    ]
+    return F.array_compact(F.array(said, *more))
 
 
 def distinct_offers(offers: Column) -> Column:
@@ -65,33 +81,38 @@ def plan(pages: DataFrame, responses: DataFrame, *, forced: bool = False, key: s
     """One row for each page: captured_by, body_url, attempted and error.
 
     pages: key, recommended (of engine detection). responses: key, kind (route, source, static, rendered), place, url,
-    status, content_type, body, error (null if the request succeeded); null bodies are empty, pages without responses
-    fail. Route and source texts count only beside a static page that was accepted. One shuffle by key: responses are
-    judged where they are read, and only verdicts and addresses move, never bodies.
+    status, content_type, body, error (null if the request succeeded), and of static and rendered pages what extraction
+    gave: markdown (null if it failed, as it does for pages without an article and for 304) and confidence. Null bodies are
+    empty, pages without responses fail. Route and source texts count beside a static page that was accepted, whether or
+    not it can be extracted. One shuffle by key: responses are judged where they are read, and only verdicts and
+    addresses move, never bodies.
     """
     body, kind = F.coalesce("body", F.lit("")), F.col("kind")
+    is_text = kind.isin("route", "source")
     refused = F.coalesce("error", P.rejection(F.col("status"), F.col("content_type"), F.octet_length(body), body))
     text_ok = F.col("error").isNull() & (F.coalesce("status", F.lit(0)) != 304) & P.rejection(F.col("status"), F.col("content_type"), F.octet_length(body), body, html=False).isNull() & X.text_artifact_reason(body).isNull()
-    article = F.length(X.body_text(body))
+    failed = F.coalesce(refused, F.when(F.col("markdown").isNull(), NOT_EXTRACTED))
     judged = responses.select(
         key, "kind", "url", "place",
-        F.when(kind.isin("route", "source"), F.when(text_ok, F.lit(None).cast("string")).otherwise("no usable text")).otherwise(refused).alias("refused"),
-        F.when(kind == "static", article).alias("chars"),
+        F.when(is_text, F.when(text_ok, F.lit(None).cast("string")).otherwise("no usable text")).otherwise(failed).alias("refused"),
+        (~is_text & refused.isNull()).alias("page"),
+        ((F.col("confidence") == "low") & (F.length("markdown") < MIN_USEFUL)).alias("short"),
     )
     good = F.col("refused").isNull()
     rank = F.when(good & kind.isin("route", "source"), F.struct(F.when(kind == "route", 0).otherwise(1).alias("rank"), F.col("place").alias("place"), F.col("url").alias("url")))
     seen = judged.groupBy(key).agg(
         F.min(rank).alias("text"),
+        F.bool_or(F.col("page") & (kind == "static")).alias("has_page"),
         F.bool_or(good & (kind == "static")).alias("has_static"),
         F.bool_or(good & (kind == "rendered")).alias("has_rendered"),
-        F.max(F.when(kind == "static", F.col("chars"))).alias("chars"),
+        F.bool_and(F.when(good & (kind == "static"), F.col("short"))).alias("short"),
         F.min(F.when(kind == "static", F.col("refused"))).alias("static_error"),
         F.min(F.when(kind == "rendered", F.col("refused"))).alias("rendered_error"),
     )
     out = pages.select(key, "recommended").join(seen, key, "left")
-    static, rendered = (F.coalesce(c, F.lit(False)) for c in ("has_static", "has_rendered"))
-    thin = ~static | (F.col("recommended") == "rendered") | (F.col("chars") < MIN_USEFUL)
-    from_text = F.lit(not forced) & static & F.col("text").isNotNull()
+    page, static, rendered = (F.coalesce(c, F.lit(False)) for c in ("has_page", "has_static", "has_rendered"))
+    thin = ~static | (F.col("recommended") == "rendered") | F.col("short")
+    from_text = F.lit(not forced) & page & F.col("text").isNotNull()
     tried = F.lit(forced) | (~from_text & F.coalesce(thin, F.lit(False)))
     method = F.when(from_text, F.when(F.col("text.rank") == 0, "route_markdown").otherwise("github_source"))
     method = F.coalesce(method, F.when(tried & rendered, "browser_fallback"), F.when(F.lit(not forced) & static, "static_fetch"))

@@ -317,10 +317,10 @@ def _responses() -> str:
     html = _matches("coalesce(body, '')", r"(?i)^\s*<(?:!doctype html|html|head|body)")
     return f"""
 WITH rs AS (
- SELECT page_id, 'route' AS kind, url, CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 304 ELSE 500 END AS status, 'text/markdown' AS content_type, {md} AS body, NULL::VARCHAR AS error FROM pages
- UNION ALL SELECT page_id, 'source', url, CASE WHEN page_id % 5 <> 4 THEN 200 END, 'text/plain', {md}, CASE WHEN page_id % 5 = 4 THEN 'DNS resolution failed' END FROM pages
- UNION ALL SELECT page_id, 'static', url, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END, CASE page_id % 11 WHEN 0 THEN 'application/json' WHEN 1 THEN NULL ELSE 'text/html; charset=utf-8' END, html, NULL FROM pages
- UNION ALL SELECT page_id, 'rendered', url, CASE WHEN page_id % 13 = 0 THEN 503 ELSE 200 END, 'text/html', html, NULL FROM pages),
+ SELECT page_id, 'route' AS kind, url, CASE page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 304 ELSE 500 END AS status, 'text/markdown' AS content_type, {md} AS body, NULL::VARCHAR AS error, NULL::VARCHAR AS markdown FROM pages
+ UNION ALL SELECT page_id, 'source', url, CASE WHEN page_id % 5 <> 4 THEN 200 END, 'text/plain', {md}, CASE WHEN page_id % 5 = 4 THEN 'DNS resolution failed' END, NULL FROM pages
+ UNION ALL SELECT page_id, 'static', url, CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 304 ELSE 200 END, CASE page_id % 11 WHEN 0 THEN 'application/json' WHEN 1 THEN NULL ELSE 'text/html; charset=utf-8' END, CASE WHEN page_id % 7 <> 2 THEN html END, NULL, CASE WHEN page_id % 7 <> 2 AND page_id % 17 <> 3 THEN nullif({_body_text("html")}, '') END FROM pages
+ UNION ALL SELECT page_id, 'rendered', url, CASE WHEN page_id % 13 = 0 THEN 503 WHEN page_id % 19 = 5 THEN 304 ELSE 200 END, 'text/html', html, NULL, CASE WHEN page_id % 19 <> 5 THEN nullif({_body_text("html")}, '') END FROM pages),
 rj AS (SELECT *, CASE {failed} {large} END AS text_refused, CASE {failed} WHEN content_type IS NOT NULL AND {other} THEN 'Rejected content type "' || content_type || '". Only HTML is supported.' {large}
   WHEN content_type IS NULL AND NOT {html} THEN 'Rejected response: missing Content-Type and body does not look like HTML.' END AS page_refused FROM rs)"""
 
@@ -335,10 +335,11 @@ def _capture_plan() -> str:
         _responses().replace("{limit}", str(2 << 20))
         + engines
         + f""",
-ok AS (SELECT *, CASE WHEN kind IN ('route', 'source') THEN error IS NULL AND status <> 304 AND text_refused IS NULL AND ({_reason("coalesce(body, '')")}) IS NULL ELSE page_refused IS NULL END AS ok FROM rj),
-pg AS (SELECT page_id, bool_or(kind = 'route' AND ok) AS r, bool_or(kind = 'source' AND ok) AS s, bool_or(kind = 'static' AND ok) AS st, bool_or(kind = 'rendered' AND ok) AS re, max(CASE WHEN kind = 'static' THEN length({_body_text("coalesce(body, '')")}) END) AS chars,
-  max(CASE WHEN kind = 'static' THEN page_refused END) AS se, max(CASE WHEN kind = 'rendered' THEN page_refused END) AS ree, min(url) AS url FROM ok GROUP BY page_id),
-w AS (SELECT pg.*, st AND (r OR s) AS text, NOT st OR capture = 'rendered' OR chars < 600 AS thin FROM pg JOIN en USING (page_id)),
+ok AS (SELECT *, CASE WHEN kind IN ('route', 'source') THEN error IS NULL AND status <> 304 AND text_refused IS NULL AND ({_reason("coalesce(body, '')")}) IS NULL ELSE page_refused IS NULL AND markdown IS NOT NULL END AS ok,
+  coalesce(page_refused, CASE WHEN markdown IS NULL THEN 'Content extraction failed: The target page could not be parsed by the readability engine. Hint: The "import" command lets you import pre-cleaned, agent-supplied research notes directly.' END) AS why FROM rj),
+pg AS (SELECT page_id, bool_or(kind = 'route' AND ok) AS r, bool_or(kind = 'source' AND ok) AS s, bool_or(kind = 'static' AND page_refused IS NULL) AS pa, bool_or(kind = 'static' AND ok) AS st, bool_or(kind = 'rendered' AND ok) AS re, max(CASE WHEN kind = 'static' THEN length(markdown) END) AS chars,
+  max(CASE WHEN kind = 'static' THEN why END) AS se, max(CASE WHEN kind = 'rendered' THEN why END) AS ree, min(url) AS url FROM ok GROUP BY page_id),
+w AS (SELECT pg.*, pa AND (r OR s) AS text, NOT st OR capture = 'rendered' OR chars < 500 AS thin FROM pg JOIN en USING (page_id)),
 cp AS (SELECT page_id, CASE WHEN text AND r THEN 'route_markdown' WHEN text THEN 'github_source' WHEN thin AND re THEN 'browser_fallback' WHEN st THEN 'static_fetch' END AS captured_by,
   CASE WHEN text THEN url || CASE WHEN r THEN '#route' ELSE '#source' END END AS body_url,
   'static_fetch' || CASE WHEN text AND r THEN ',route_markdown' WHEN text THEN ',github_source' WHEN thin THEN ',browser_fallback' ELSE '' END AS attempted,
@@ -351,18 +352,24 @@ SELECT *, coalesce(failure IN ('access', 'not_html'), false) AS import_helps FRO
 def _capabilities() -> str:
     marks = [
         '<a href="https://github.com/o/r/edit/main/docs/a.mdx">Improve</a>', '<a class="edit-link" href="https://github.com/o/r/blob/dev/b.md?x=1">Source</a>', '<a href="https://github.com/o/r/blob/main/LICENSE">License</a>',
-        '<a href="https://github.com/o/r/blob/main/c.md"><b>Edit this</b> page</a>', '<link href="/llms.txt">', "<link href='https://x.test/docs/llms-full.txt'> data-rm-x algolia openapi", "redocly data-pagefind-body", '__VP_SITE_DATA__ {\\"provider\\":\\"local\\"}',
+        '<a href="https://github.com/o/r/blob/main/c.md"><b>Edit this</b> page</a>', '<link href="/llms.txt">', "<link href='https://x.test/docs/llms-full.txt'> data-rm-x algolia openapi", "<a href='../b/./llms.txt'>", "redocly data-pagefind-body", '__VP_SITE_DATA__ {\\"provider\\":\\"local\\"}',
     ]
     return _engines(marks) + r"""
-, an AS (SELECT g.page_id, h, framework, list_transform(regexp_extract_all(h, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>'), lambda a: {'href': regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1),
+, an AS (SELECT g.page_id, h, made, engine, framework, capture, list_transform(regexp_extract_all(h, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>'), lambda a: {'href': regexp_extract(a, '(?is)^<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1),
   'edit': regexp_matches(regexp_extract(a, '(?is)^<a\s[^>]*?class\s*=\s*["'']([^"'']*)["'']', 1), '(?i)edit[-_ ]?(?:this|on|page)|edit-link') OR regexp_matches(regexp_replace(a, '<[^>]*>', '', 'g'), '(?i)edit (?:this )?page|edit on github')}) AS links FROM g JOIN en ON en.page_id = g.page_id),
-hr AS (SELECT page_id, h, framework, list_filter(links, lambda x: (x.edit OR contains(x.href, '/edit/')) AND regexp_matches(x.href, '(?i)^https?://github\.com/[^/]+/[^/]+/(?:edit|blob)/[^/]+/[^?#]+') AND NOT contains(split_part(x.href, '?', 1), '..'))[1].href AS href,
-  nullif(regexp_extract(h, '(?i)href=["'']([^"'']*llms(?:-full)?\.txt)["'']', 1), '') AS idx FROM an),
-so AS (SELECT *, regexp_extract(href, 'github\.com/([^/]+/[^/]+)/', 1) AS repository, regexp_extract(href, 'github\.com/[^/]+/[^/]+/[a-z]+/([^/]+)/', 1) AS branch, regexp_extract(href, 'github\.com/[^/]+/[^/]+/[a-z]+/[^/]+/([^?#]+)', 1) AS path FROM hr)
+hr AS (SELECT an.page_id, h, made, engine, framework, capture, p.url, list_filter(links, lambda x: (x.edit OR contains(x.href, '/edit/')) AND regexp_matches(x.href, '(?i)^https?://github\.com/[^/]+/[^/]+/(?:edit|blob)/[^/]+/[^?#]+') AND NOT contains(split_part(x.href, '?', 1), '..'))[1].href AS href,
+  nullif(regexp_extract(h, '(?i)href=["'']([^"'']*llms(?:-full)?\.txt)["'']', 1), '') AS ref, regexp_extract(url, '(?i)^https?://[^/?#]*', 0) AS origin, regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1) AS path_ FROM an JOIN pages p USING (page_id)),
+ix AS (SELECT *, lower(origin) AS o, CASE WHEN contains(path_, '/') THEN regexp_extract(path_, '^(.*/)', 1) ELSE '/' END AS dir FROM hr),
+iy AS (SELECT *, CASE WHEN starts_with(ref, 'http') THEN ref WHEN starts_with(ref, '/') THEN o || ref WHEN starts_with(ref, '../') THEN o || CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]*/$', '') END || 'b/llms.txt' END AS idx FROM ix),
+so AS (SELECT *, regexp_extract(href, 'github\.com/([^/]+/[^/]+)/', 1) AS repository, regexp_extract(href, 'github\.com/[^/]+/[^/]+/[a-z]+/([^/]+)/', 1) AS branch, regexp_extract(href, 'github\.com/[^/]+/[^/]+/[a-z]+/[^/]+/([^?#]+)', 1) AS path FROM iy)
 SELECT page_id, repository, path, concat_ws(' ', 'source-edit-link:https://raw.githubusercontent.com/' || repository || '/' || branch || '/' || path, CASE WHEN regexp_matches(idx, '(?i)llms-full\.txt$') THEN 'llms-full.txt:' ELSE 'llms.txt:' END || idx) AS machine_readable,
   CASE WHEN contains(h, '__VP_SITE_DATA__') AND regexp_matches(h, '\\?"provider\\?"\s*:\s*\\?"local\\?"') THEN 'vitepress-local' WHEN regexp_matches(h, '(?i)docsearch|algolia') THEN 'algolia-docsearch' WHEN contains(h, 'data-pagefind-body') THEN 'pagefind' END AS search,
-  CASE framework WHEN 'readme' THEN concat_ws('; ', 'detected readme (verified)', CASE WHEN h ILIKE '%algolia%' THEN 'ReadMe Algolia search metadata present (signal)' END, CASE WHEN regexp_matches(h, '(?i)openapi|oas') THEN 'OpenAPI registry metadata present (signal)' END)
-   WHEN 'redocly' THEN 'detected redocly (verified); llms.txt unverified at conventional path' ELSE '' END AS notes FROM so"""
+  concat_ws('; ', CASE WHEN engine = 'vitepress' THEN 'detected VitePress globals (verified)' WHEN engine = 'starlight' THEN CASE WHEN contains(made, 'astro') THEN 'detected Astro Starlight (generator + markers, verified)' ELSE 'detected Starlight markers (verified)' END
+   WHEN engine = 'docusaurus' THEN 'detected Docusaurus markers (verified)' WHEN engine = 'next' THEN 'detected Next.js ' || CASE WHEN framework IS NULL THEN 'docs/app' ELSE '+ ' || framework END || ' (verified)' WHEN framework = 'sphinx' THEN 'detected Sphinx (verified)'
+   WHEN framework = 'docsify' THEN 'detected Docsify client-side Markdown renderer (verified)' WHEN framework IS NOT NULL THEN 'detected ' || framework || ' (verified)' WHEN capture = 'rendered' THEN 'thin body with heavy script payload; SPA rendered candidate (signal)'
+   WHEN engine IS NOT NULL THEN 'long static reference shape (many headings) (signal)' ELSE 'no docs-engine markers detected' END,
+   CASE WHEN framework = 'readme' AND h ILIKE '%algolia%' THEN 'ReadMe Algolia search metadata present (signal)' END, CASE WHEN framework = 'readme' AND regexp_matches(h, '(?i)openapi|oas') THEN 'OpenAPI registry metadata present (signal)' END,
+   CASE WHEN framework = 'redocly' THEN 'llms.txt unverified at conventional path' END) AS notes FROM so"""
 
 
 _SETTINGS = """

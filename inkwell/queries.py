@@ -331,18 +331,20 @@ def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(pages: DataFrame) -> DataFrame:
-    """Four candidate responses of each page, some failed, unmodified, of a wrong type, or too short."""
+    """Four candidate responses of each page, some failed, unmodified, of a wrong type, too short, or without an article."""
     k, none = F.col("page_id"), F.lit(None).cast("string")
 
-    def response(kind: str, status, content_type, body, error=none):
-        return pages.select("page_id", F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.concat("url", F.lit(f"#{kind}")).alias("url"), status.cast("int").alias("status"), content_type.alias("content_type"), body.alias("body"), error.alias("error"))
+    def response(kind: str, status, content_type, body, error=none, article=none):
+        return pages.select("page_id", F.lit(kind).alias("kind"), F.lit(0).alias("place"), F.concat("url", F.lit(f"#{kind}")).alias("url"), status.cast("int").alias("status"), content_type.alias("content_type"), body.alias("body"), error.alias("error"), article.alias("markdown"), X.confidence(article).alias("confidence"))
 
+    article = F.nullif(X.body_text(F.col("html")), F.lit(""))
     markdown = F.when(k % 2 == 0, F.lit("# Title\n\nRoute text long enough.")).when(k % 4 == 1, F.lit("<html>no</html>")).otherwise(F.lit("404: page not found here"))
     static_type = F.when(k % 11 == 0, F.lit("application/json")).when(k % 11 != 1, F.lit("text/html; charset=utf-8"))
     route = response("route", F.when(k % 3 == 0, 200).when(k % 3 == 1, 304).otherwise(500), F.lit("text/markdown"), markdown)
     source = response("source", F.when(k % 5 != 4, 200), F.lit("text/plain"), markdown, F.when(k % 5 == 4, F.lit("DNS resolution failed")))
-    static = response("static", F.when(k % 7 == 0, 404).when(k % 7 == 1, 403).otherwise(200), static_type, F.col("html"))
-    rendered = response("rendered", F.when(k % 13 == 0, 503).otherwise(200), F.lit("text/html"), F.col("html"))
+    unread = (k % 7 == 2) | (k % 17 == 3)
+    static = response("static", F.when(k % 7 == 0, 404).when(k % 7 == 1, 403).when(k % 7 == 2, 304).otherwise(200), static_type, F.when(k % 7 != 2, F.col("html")), article=F.when(~unread, article))
+    rendered = response("rendered", F.when(k % 13 == 0, 503).when(k % 19 == 5, 304).otherwise(200), F.lit("text/html"), F.col("html"), article=F.when(k % 19 != 5, article))
     return route.unionByName(source).unionByName(static).unionByName(rendered)
 
 
@@ -366,15 +368,15 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     marks = [
         '<a href="https://github.com/o/r/edit/main/docs/a.mdx">Improve</a>', '<a class="edit-link" href="https://github.com/o/r/blob/dev/b.md?x=1">Source</a>', '<a href="https://github.com/o/r/blob/main/LICENSE">License</a>',
-        '<a href="https://github.com/o/r/blob/main/c.md"><b>Edit this</b> page</a>', '<link href="/llms.txt">', "<link href='https://x.test/docs/llms-full.txt'> data-rm-x algolia openapi", "redocly data-pagefind-body", '__VP_SITE_DATA__ {\\"provider\\":\\"local\\"}',
+        '<a href="https://github.com/o/r/blob/main/c.md"><b>Edit this</b> page</a>', '<link href="/llms.txt">', "<link href='https://x.test/docs/llms-full.txt'> data-rm-x algolia openapi", "<a href='../b/./llms.txt'>", "redocly data-pagefind-body", '__VP_SITE_DATA__ {\\"provider\\":\\"local\\"}',
     ]
     p = p.withColumn("h", F.concat("html", F.element_at(F.array(*[F.lit(m) for m in marks]), (F.col("page_id") % len(marks) + 1).cast("int"))))
-    p = p.withColumns({"source": F.get(P.edit_sources(F.col("h")), 0), "index": P.advertised_index(F.col("h")), "d": X.detect_engine(F.col("h"))})
+    p = p.withColumns({"source": F.get(P.edit_sources(F.col("h")), 0), "index": P.advertised_index(F.col("h"), F.col("url")), "d": X.detect_engine(F.col("h"))})
     offers = F.array(F.struct(F.lit("source-edit-link").alias("type"), F.col("source.raw_url").alias("url")), F.struct(F.when(F.col("index").rlike(r"(?i)llms-full\.txt$"), "llms-full.txt").otherwise("llms.txt").alias("type"), F.col("index").alias("url")))
     offers = P.distinct_offers(F.filter(F.concat(offers, offers), lambda x: x["url"].isNotNull()))
     return p.select(
         "page_id", F.col("source.repository").alias("repository"), F.col("source.path").alias("path"), F.array_join(F.transform(offers, lambda x: F.concat_ws(":", x["type"], x["url"])), " ").alias("machine_readable"),
-        P.search_signal(F.col("h")).alias("search"), F.array_join(P.framework_notes(F.col("h"), F.when(F.col("d.framework").isin("readme", "redocly"), F.col("d.framework"))), "; ").alias("notes"),
+        P.search_signal(F.col("h")).alias("search"), F.array_join(P.engine_notes(F.col("h"), F.col("d.engine"), F.col("d.framework"), F.col("d.capture")), "; ").alias("notes"),
     )
 
 

@@ -1,12 +1,15 @@
 import random
 import re
 
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import article, dom, html, safety, summarize, temporal
 from inkwell.functions import text as X
 from inkwell.functions import urls as U
+from inkwell.operators import capture
 
 
 def value(spark, column, **inputs):
@@ -259,3 +262,62 @@ def test_source_markdown():
     title, body = source.from_source("# H\n<table><tr><th>a<td>b</table><script>x</script>[ ](y) z", None)
     assert title == "H" and "| a | b |" in body and "script" not in body and "](y)" not in body
     assert source.page_map('{"route":"/a","title":"A","filePath":"a.md"}{"route":"/a"}') == ([("A", "/a", "a.md")], ["a.md"])
+
+
+#: Pages and what is detected in them, written down from the detectors' documented behaviour.
+DETECTED = [
+    ('<meta name="generator" content="VitePress v1"><script>window.__VP_HASH_MAP__={}</script>', "vitepress", None, "static", "detected VitePress globals (verified)"),
+    ('<meta name="generator" content="Astro v4"><div class="sl-container">x</div>', "starlight", None, "static", "detected Astro Starlight (generator + markers, verified)"),
+    ("<body data-pagefind-body>x</body>", "starlight", None, "static", "detected Starlight markers (verified)"),
+    ('<meta name="generator" content="Docusaurus v3.1">', "docusaurus", None, "static", "detected Docusaurus markers (verified)"),
+    ('<meta name="generator" content="mkdocs-1.5, mkdocs-material-9">', "generated-static", "material-mkdocs", "static", "detected material-mkdocs (verified)"),
+    ("<p>built with MkDocs</p>", "generated-static", "mkdocs", "static", "detected mkdocs (verified)"),
+    ('<div class="sphinxsidebar"></div>', "generated-static", "sphinx", "static", "detected Sphinx (verified)"),
+    ('<script src="//cdn/docsify.min.js"></script>', "spa", "docsify", "rendered", "detected Docsify client-side Markdown renderer (verified)"),
+    ('<script id="__NEXT_DATA__"></script><p>mintlify</p>', "next", "mintlify", "static", "detected Next.js + mintlify (verified)"),
+    ('<link href="/_next/static/a.css"><div class="nextra-body">', "next", "nextra", "static", "detected Next.js + nextra (verified)"),
+    ('<script src="/_next/static/x.js"></script>', "next", None, "static", "detected Next.js docs/app (verified)"),
+    ("<a href='https://www.gitbook.com'>x</a>", None, "gitbook", "static", "detected gitbook (verified)"),
+    ("<i data-rm-x></i> Algolia OpenAPI", None, "readme", "static", "detected readme (verified); ReadMe Algolia search metadata present (signal); OpenAPI registry metadata present (signal)"),
+    ("<div class=redoc-wrap></div>", None, "redocly", "static", "detected redocly (verified); llms.txt unverified at conventional path"),
+    ("<body><div id=app></div>" + "<script></script>" * 3 + "</body>", "spa", None, "rendered", "thin body with heavy script payload; SPA rendered candidate (signal)"),
+    ("<body>" + "<h2>a</h2>" * 8 + "long " * 100 + "</body>", "generated-static", None, "static", "long static reference shape (many headings) (signal)"),
+    ("<body><p>plain</p></body>", None, None, "static", "no docs-engine markers detected"),
+]
+
+
+def test_detectors_and_their_notes(spark):
+    pages = spark.createDataFrame([(i, p[0]) for i, p in enumerate(DETECTED)], "i int, h string").withColumn("d", X.detect_engine(F.col("h")))
+    notes = F.array_join(capture.engine_notes(F.col("h"), F.col("d.engine"), F.col("d.framework"), F.col("d.capture")), "; ")
+    got = pages.orderBy("i").select("d.engine", "d.framework", "d.capture", notes).collect()
+    assert [tuple(r) for r in got] == [p[1:] for p in DETECTED]
+
+
+def test_links_resolve_against_the_page(spark):
+    bases = ["https://H.test/a/b/c?q=1#f", "https://h.test", "http://h.test:8080/x/", "nothing", None]
+    links = ["/llms.txt", "llms.txt", "./x/../y", "../../../z/", "..", ".", "//o.test/a", "https://o.test/k", "mailto:a@b", "?n=2", "#g", "", " p q ", "a?b=../c#../d", "/../r/./s"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, x string")
+    for r in df.select("b", "x", U.resolve(F.col("b"), F.col("x")).alias("r")).collect():
+        base = {"https://h.test": "https://h.test/", "https://H.test/a/b/c?q=1#f": "https://h.test/a/b/c?q=1"}.get(r.b, r.b)
+        want = None if r.b in ("nothing", None) else urljoin(base, r.x.strip())
+        assert r.r == want, (r.b, r.x)
+
+
+def test_capture_plan_of_failed_extractions(spark):
+    """304 and article-less pages are pages beside which a source counts, but no capture; rendering may stand in."""
+    schema = "page_id int, kind string, place int, url string, status int, content_type string, body string, error string, markdown string, confidence string"
+    page = lambda k, kind, status, body, markdown, confidence=None, error=None: (k, kind, 0, kind, status, "text/html", body, error, markdown, confidence)
+    good = "word " * 130
+    rows = [
+        page(1, "static", 304, None, None), page(2, "static", 304, None, None), page(2, "rendered", 200, "<html>", good, "medium"),
+        page(3, "static", 200, "", None), page(3, "rendered", 304, None, None), page(4, "static", 404, "<html>", None), page(4, "rendered", 304, None, None),
+        page(5, "static", 200, "<html>menu</html>" + "m" * 700, "short", "low"), page(5, "rendered", 200, "<html>", good, "medium"), page(6, "static", 200, "<html>", "short", "low"), page(6, "rendered", None, None, None, None, "timed out"),
+        page(7, "static", 304, None, None), page(7, "route", 200, "# Title\n\nSource text that is long enough.", None), page(8, "static", 200, "<html>", good, "low"), page(9, "static", 200, "<html>", good, "high"),
+    ]
+    pages = spark.createDataFrame([(k, "rendered" if k == 9 else "static") for k in range(1, 11)], "page_id int, recommended string")
+    got = {r.page_id: (r.captured_by, r.attempted, r.error) for r in capture.plan(pages, spark.createDataFrame(rows, schema)).collect()}
+    both = "static_fetch,browser_fallback"
+    assert got == {
+        1: (None, both, capture.NOT_EXTRACTED), 2: ("browser_fallback", both, None), 3: (None, both, capture.NOT_EXTRACTED), 4: (None, both, "Fetch failed with status 404"),
+        5: ("browser_fallback", both, None), 6: ("static_fetch", both, None), 7: ("route_markdown", "static_fetch,route_markdown", None), 8: ("static_fetch", "static_fetch", None), 9: ("static_fetch", both, None), 10: (None, both, "no response"),
+    }
