@@ -123,3 +123,18 @@ def plan(pages: DataFrame, responses: DataFrame, *, forced: bool = False, key: s
         key, method.alias("captured_by"), F.when(from_text, F.col("text.url")).alias("body_url"),
         F.array_join(attempted, ",").alias("attempted"), F.when(method.isNull(), error).alias("error"),
     )
+
+
+def discover_index(pages: DataFrame, responses: DataFrame, *, key: str = "page_id") -> DataFrame:
+    """For each page the first index for language models that is one: key, type, url; pages without one have no row.
+
+    pages: key, url, advertised (the page's own link, resolved; null without one). The advertised one is asked first, then
+    the origin's, then that of the first path segment; those on another host are not asked. responses: url, status,
+    error, body: of several for one url any good one counts. Unmodified, empty, failed and error pages are refused.
+    Each response is judged once where it is read; only addresses are joined.
+    """
+    fits = F.col("error").isNull() & F.col("status").between(200, 299) & (F.coalesce(F.length("body"), F.lit(0)) > 0) & X.text_artifact_reason(F.col("body")).isNull()
+    good = responses.where(fits).select("url").distinct()
+    asked = pages.select(key, F.col("url").alias("page"), F.posexplode(U.llms_candidates(F.col("url"), F.array("advertised"))).alias("place", "url"))
+    found = asked.where(U.same_host(F.col("url"), F.col("page"))).join(good, "url").groupBy(key).agg(F.min_by("url", "place").alias("url"))
+    return found.select(key, F.when(F.col("url").rlike(r"(?i)llms-full\.txt$"), "llms-full.txt").otherwise("llms.txt").alias("type"), "url")

@@ -124,13 +124,13 @@ def revalidate(rows: DataFrame, probes: DataFrame, *, allow_stale: bool = False)
     )
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "markdown") -> DataFrame:
-    """H2 and H3 sections of each document that has two or more, with anchor, breadcrumb and content.
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "markdown", keep: tuple[str, ...] = ()) -> DataFrame:
+    """H2 and H3 sections of each document that has two or more, with anchor, breadcrumb, content and the columns to keep.
 
     Fences and headings are folded in order within the row, and each section is cut from the row's own lines: nothing is
     shuffled, and lines never travel.
     """
-    base = docs.select(F.col(key).alias("key"), F.split(F.col(text), "\n").alias("lines"))
+    base = docs.select(F.col(key).alias("key"), *keep, F.split(F.col(text), "\n").alias("lines"))
     pattern = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 
     def mark(line: Column, at: Column) -> Column:
@@ -155,14 +155,15 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "markdown") -> Da
     none = F.lit(None).cast("string")
     start = F.struct(F.lit(False).alias("fenced"), none.alias("h1"), none.alias("h2"), none.alias("h2_h1"), F.array().cast("array<struct<at:int,level:int,title:string,path:string>>").alias("found"))
     marks = F.filter(F.transform("lines", mark), lambda m: m.isNotNull())
-    base = base.select("key", "lines", F.aggregate(marks, start, step, lambda s: s["found"]).alias("found")).where(F.size("found") >= 2)
+    base = base.select("key", *keep, "lines", F.aggregate(marks, start, step, lambda s: s["found"]).alias("found")).where(F.size("found") >= 2)
 
     def cut(x: Column, place: Column) -> Column:
         end = F.coalesce(F.get("found", place + 1)["at"], F.size("lines"))
         content = U.trim_all(F.array_join(F.slice("lines", x["at"] + 1, end - x["at"]), "\n"))
         return F.struct(x["level"].alias("level"), X.slugify(x["title"]).alias("anchor"), x["path"].alias("heading_path"), content.alias("content"))
 
-    return base.select("key", F.posexplode(F.transform("found", cut)).alias("place", "s")).select("key", (F.col("place") + 1).cast("long").alias("section"), "s.*")
+    out = base.select("key", *keep, F.posexplode(F.transform("found", cut)).alias("place", "s"))
+    return out.select("key", *keep, (F.col("place") + 1).cast("long").alias("section"), "s.*")
 
 
 def section_children(rows: DataFrame) -> DataFrame:

@@ -76,6 +76,14 @@ ct AS (SELECT doc_id, section::BIGINT AS section, regexp_replace(string_agg(line
 sec AS (SELECT doc_id, section, level, anchor, heading_path, content FROM pa JOIN ct USING (doc_id, section) WHERE n >= 2)"""
 )
 
+#: Sections of long documents: 2 k for the version before, 2 k + 1 for the one after, which lost its H3 where k is even.
+_REFRESHED = (
+    _MD.replace("WITH md AS", "WITH md0 AS")
+    + """, md AS (SELECT doc_id * 2 AS doc_id, source, lang, text, markdown FROM md0 WHERE ceil(length(markdown) / 4) > 6000
+  UNION ALL SELECT doc_id * 2 + 1, source, lang, text, CASE WHEN doc_id % 2 = 0 THEN replace(markdown, '### Detail', 'Detail') ELSE markdown END FROM md0 WHERE ceil(length(CASE WHEN doc_id % 2 = 0 THEN replace(markdown, '### Detail', 'Detail') ELSE markdown END) / 4) > 6000)"""
+    + _SECTIONS[len(_MD) :]
+)
+
 _CHILDREN = (
     _SECTIONS
     + """
@@ -442,6 +450,18 @@ SELECT page_id, text_hash, text_hash AS again_hash, 1::BIGINT AS schema_version,
 SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'Malformed artifact: Frontmatter missing starting boundary.' WHEN 1 THEN 'Malformed artifact: Frontmatter missing ending boundary.' END AS error,
  CASE WHEN page_id % 9 > 1 THEN normalized_url END AS normalized_url, CASE WHEN page_id % 9 > 1 THEN status END AS status, CASE WHEN page_id % 9 > 1 THEN array_to_string(tags, ',') END AS tags,
  CASE WHEN page_id % 9 > 1 THEN topic END AS summary, CASE WHEN page_id % 9 > 1 THEN 'c ' || normalized_url END AS compressed FROM art""",
+    "section_refresh": _REFRESHED + """,
+k AS (SELECT sec.doc_id // 2 AS d, sec.doc_id % 2 AS v, anchor, arg_max(heading_path, section) AS heading_path, arg_max(content, section) AS content FROM sec GROUP BY ALL),
+l AS (SELECT d, anchor, arg_max(heading_path, v) AS heading_path, arg_max(content, v) AS content, max(v) AS v FROM k GROUP BY ALL),
+s AS (SELECT l.*, 'https://d.test/' || d AS url, sha256(d::VARCHAR) AS parent, md0.source FROM l JOIN md0 ON md0.doc_id = d)
+SELECT parent AS parent_cache_key, sha256(parent || '#' || anchor) AS cache_key, anchor AS section_anchor, heading_path AS section_heading_path, CASE WHEN v = 1 THEN 'active' ELSE 'archived' END AS status, source AS topic,
+ sha256(content) AS content_hash, ceil(length(content) / 4)::BIGINT AS detailed_tokens, url || '#' || anchor AS source_url, 'Section "' || heading_path || '" of ' || url || ' (parent ' || parent || ')' AS provenance FROM s""",
+    "index_discovery": r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) AS o, regexp_extract(url, '://[^/?#]*/*([^/?#]+)', 1) AS seg, regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS path, regexp_matches(url, '://[^/?#]*/+[^/?#]') AS has FROM pages),
+c AS (SELECT page_id, 0 AS place, CASE WHEN page_id % 4 = 0 THEN o || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || 'llms-full.txt' END AS url FROM p
+  UNION ALL SELECT page_id, 1, o || '/llms.txt' FROM p UNION ALL SELECT page_id, 2, o || '/' || seg || '/llms.txt' FROM p WHERE has),
+g AS (SELECT * FROM c WHERE url IS NOT NULL AND length(url) % 5 > 1 AND length(url) % 7 > 1 AND length(url) % 11 <> 0)
+SELECT page_id, CASE WHEN regexp_matches(arg_min(url, place), 'llms-full\.txt$') THEN 'llms-full.txt' ELSE 'llms.txt' END AS type, arg_min(url, place) AS url FROM g GROUP BY page_id""",
     "store_history": ART + """,
 w AS (SELECT *, 'a' AS batch_id, 0 AS commit_no FROM ver WHERE starts_with(file_name, 'v0-') UNION ALL SELECT *, 'b', 1 FROM ver WHERE page_id % 2 = 0 UNION ALL SELECT *, 'c', 2 FROM ver WHERE page_id % 3 = 0),
 -- Of equal keys in one batch the newest validated, then the largest digest of its name.

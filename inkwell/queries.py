@@ -18,6 +18,7 @@ from inkwell.functions import urls as U
 from inkwell.operators import capture as P
 from inkwell.operators import catalog as C
 from inkwell.operators import ingest as G
+from inkwell.operators import section_store as B
 from inkwell.plans import artifacts as A
 from inkwell.sources.store import Store, shared_dir
 
@@ -380,6 +381,38 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's index: advertised by some pages, here and on other hosts, else at its origin or first path segment."""
+    p = A.table(spark, sf_dir, "pages").select("page_id", "url")
+    k = F.col("page_id")
+    href = F.when(k % 4 == 0, "llms-full.txt").when(k % 4 == 1, "https://other.test/llms.txt")
+    p = p.withColumn("advertised", U.resolve(F.col("url"), href))
+    # One response for each address that may be asked; what it says goes by the address itself.
+    urls = p.select(F.explode(U.llms_candidates(F.col("url"), F.array("advertised"))).alias("url")).distinct()
+    n = F.length("url")
+    status = F.when(n % 5 == 0, 304).when(n % 5 == 1, 500).otherwise(200)
+    body = F.when(n % 7 == 0, "").when(n % 7 == 1, "<!doctype html><p>not an index</p>").otherwise(F.concat(F.lit("# Index\n\n- "), F.col("url")))
+    responses = urls.select("url", status.alias("status"), F.when(n % 11 == 0, "timed out").alias("error"), body.alias("body"))
+    return P.discover_index(p, responses)
+
+
+def section_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of long documents in a store, after every other document was refreshed without its H3."""
+    m = A.markdown(spark, sf_dir)
+    fields = {n: F.lit(None).cast(t) for n, t in G.FIELDS.items()} | {
+        "cache_key": F.sha2(F.col("doc_id").cast("string"), 256), "source_url": F.concat(F.lit("https://d.test/"), F.col("doc_id").cast("string")), "status": F.lit("active"), "artifact_type": F.lit("source"), "root_rank": F.lit(0), "topic": F.col("source"),
+    }
+
+    def version(text) -> DataFrame:
+        return m.select(*[(text if n == "detailed" else c).alias(n) for n, c in fields.items()])
+
+    store = Store(spark, shared_dir(spark, "sections"))
+    store.commit(B.refresh_sections(version(F.col("markdown")), None), batch="first")
+    later = F.when(F.col("doc_id") % 2 == 0, F.replace("markdown", F.lit("### Detail"), F.lit("Detail"))).otherwise(F.col("markdown"))
+    store.commit(B.refresh_sections(version(later), store.current()), batch="second")
+    return store.current().select("parent_cache_key", "cache_key", "section_anchor", "section_heading_path", "status", "topic", "content_hash", "detailed_tokens", "source_url", "provenance")
+
+
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary levels from flag, environment, project and user files over the events' own values; and key hints."""
     e = A.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
