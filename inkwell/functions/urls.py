@@ -17,14 +17,18 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _URL, group)
 
 
+def _dots(x: Column) -> Column:
+    return F.regexp_replace(x, "(?i)%2e", ".")
+
+
 def _steps(path: Column) -> Column:
     """A path without `.` and `..` steps; `..` at the top stays there."""
     parts = F.split(path, "/")
-    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    end = F.when(_dots(F.element_at(parts, -1)).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
 
     def step(kept: Column, x: Column) -> Column:
         back = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
-        return F.when(x == "..", back).when(x == ".", kept).otherwise(F.array_append(kept, x))
+        return F.when(_dots(x) == "..", back).when(_dots(x) == ".", kept).otherwise(F.array_append(kept, x))
 
     return F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), end), "/")
 
@@ -59,23 +63,40 @@ def url_error(url: Column) -> Column:
     )
 
 
+def _form_decoded(x: Column) -> Column:
+    """A name or value of a query: plus signs are blanks, broken percent signs stay."""
+    return F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+
+
+def _escaped(x: Column, more: str) -> Column:
+    """Characters that may not stand in a path or fragment as percent codes; what is a code already stays."""
+    odd = rf"[^\x21-\x7E]|[{more}]"
+    each = F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c == " ", "%20").when(c.rlike(odd), F.url_encode(c)).otherwise(c))
+    return F.when(x.rlike(odd), F.array_join(each, "")).otherwise(x)
+
+
 def normalize_url(url: Column) -> Column:
-    """Lower-cased host without default port, sorted query, plain fragments dropped and SPA routes kept. Null if refused."""
-    scheme, path, query, fragment = F.lower(part(url, 1)), part(url, 3), part(url, 4), part(url, 5)
+    """Lower-cased host without default port, dot steps resolved, query in form encoding and sorted, plain fragments
+    dropped and SPA routes kept. Null if refused. Pairs are in the order of the collation, equal ones as they stand; hosts
+    with other letters than ASCII stay as written."""
+    url = F.regexp_replace(trim_all(url), r"[\t\n\r]", "")
+    scheme, path, query, fragment = F.lower(part(url, 1)), F.replace(part(url, 3), F.lit("\\"), F.lit("/")), part(url, 4), part(url, 5)
     authority = F.lower(part(url, 2))
     authority = F.when(scheme == "https", F.regexp_replace(authority, ":443$", "")).otherwise(F.regexp_replace(authority, ":80$", ""))
+    path = F.when(path.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"), _steps(path)).otherwise(path)
     pairs = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda x: x != "")
     pairs = F.transform(
-        pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.regexp_extract(x, "=(.*)$", 1)).otherwise("").alias("v"))
+        pairs, lambda x: F.struct(_form_decoded(F.substring_index(x, "=", 1)).alias("k"), F.when(x.contains("="), _form_decoded(F.regexp_extract(x, "(?s)=(.*)$", 1))).otherwise("").alias("v"))
     )
-    joined = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    pairs = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.collate(p["k"], "UNICODE").alias("a"), F.collate(p["v"], "UNICODE").alias("b"), i.alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+    joined = F.array_join(F.transform(pairs, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
     out = F.concat(
         scheme,
         F.lit("://"),
         authority,
-        F.when(path == "", "/").otherwise(path),
+        F.when(path == "", "/").otherwise(_escaped(path, '"<>`{}')),
         F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""),
-        F.when(fragment.rlike("^#!?/"), fragment).otherwise(""),
+        F.when(fragment.rlike("^#!?/"), _escaped(fragment, '"<>`')).otherwise(""),
     )
     return F.when(url_error(url).isNull(), out)
 

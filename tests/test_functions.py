@@ -1,7 +1,7 @@
 import random
 import re
 
-from urllib.parse import urljoin
+from urllib.parse import parse_qsl, quote, quote_plus, urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +321,42 @@ def test_capture_plan_of_failed_extractions(spark):
         1: (None, both, capture.NOT_EXTRACTED), 2: ("browser_fallback", both, None), 3: (None, both, capture.NOT_EXTRACTED), 4: (None, both, "Fetch failed with status 404"),
         5: ("browser_fallback", both, None), 6: ("static_fetch", both, None), 7: ("route_markdown", "static_fetch,route_markdown", None), 8: ("static_fetch", "static_fetch", None), 9: ("static_fetch", both, None), 10: (None, both, "no response"),
     }
+
+
+def brute_normalized(url):
+    """An http address by the public standard, for hosts of ASCII letters."""
+    scheme, rest = url.strip().replace("\t", "").replace("\n", "").split("://", 1)
+    host, path, query, fragment = re.match(r"(?s)([^/?#]*)([^?#]*)(?:\?([^#]*))?(#.*)?$", rest).groups()
+    kept, steps = [], path.replace("\\", "/").split("/")
+    for k, x in enumerate(steps):
+        dots = re.sub("(?i)%2e", ".", x)
+        if dots == "..":
+            kept = kept[:-1] if len(kept) > 1 else kept
+        elif dots != ".":
+            kept.append(x)
+        if dots in (".", "..") and k == len(steps) - 1:
+            kept.append("")
+    path = quote("/".join(kept), safe="!$%&'()*+,-./:;=@[]^_|~\\") or "/"
+    pairs = sorted(parse_qsl(query or "", keep_blank_values=True), key=lambda p: (p[0].lower(), p[1].lower()))
+    query = "&".join(f"{quote_plus(k, safe='*')}={quote_plus(v, safe='*')}".replace("~", "%7E") for k, v in pairs)
+    route = quote(fragment, safe="!#$%&'()*+,-./:;=?@[]^_{|}~\\") if fragment and re.match("#!?/", fragment) else ""
+    port = {"http": ":80", "https": ":443"}[scheme.lower()]
+    return f"{scheme.lower()}://{host.lower().removesuffix(port)}{path}{'?' + query if query else ''}{route}"
+
+
+def test_odd_urls_equal_brute_force(spark):
+    r = random.Random(12)
+    paths = ["", "/", "/a/../b", "/a/./b/..", "/../..", "/a/%2E%2e/c", "/a/%2e", "/a b/é", "/x/{y}", '/"<q>`', "/a//b/../c", "/%41%zz", "/a;b=c/d,e", "/日本/..", "/.hidden/..x", "\\a\\..\\b"]
+    names, values = ["a", "b", "page", "z z", "é", "x+y", "%41", "q%20q", "%zz", "a*b", "m~n", "c.d-e_f", "(p)"], ["", "1", "two words", "a+b", "%2B", "ü", "100%", "x=y", "!'"]
+    urls = []
+    for _ in range(300):
+        query = "&".join(f"{r.choice(names)}" + (f"={r.choice(values)}" if r.random() < 0.8 else "") for _ in range(r.randint(0, 4)))
+        urls.append(f"{r.choice(['http', 'HTTPS', 'https'])}://{r.choice(['Docs.example.com', 'x.test:443', 'x.test:80', 'x.test:8080'])}{r.choice(paths)}{'?' + query if query or r.random() < 0.2 else ''}{r.choice(['', '#top', '#/guide/a b', '#!/p', '#'])}")
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.normalize_url(F.col("u")).alias("n")).collect()
+    for row in got:
+        # The order of pairs is the collation's: here both sides are sorted anew.
+        mine, want = (re.match(r"([^?]*)(?:\?([^#]*))?(.*)$", x).groups() for x in (row.n, brute_normalized(row.u)))
+        assert (mine[0], sorted((mine[1] or "").split("&")), mine[2]) == (want[0], sorted((want[1] or "").split("&")), want[2]), row.u
+    assert value(spark, U.normalize_url(F.col("u")), u="http://x.test?b=2&a=1&é=3&B=0&f&a=0&b=2") == "http://x.test/?a=0&a=1&b=2&b=2&B=0&%C3%A9=3&f="
+    again = spark.createDataFrame([(x.n,) for x in got if x.n], "u string").select("u", U.normalize_url(F.col("u")).alias("n")).collect()
+    assert all(x.n == x.u for x in again)
