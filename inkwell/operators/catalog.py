@@ -9,6 +9,7 @@ from inkwell.functions import temporal as T
 from inkwell.functions import text as X
 from inkwell.functions import urls as U
 from inkwell.plans.artifacts import as_of_ms, with_age
+from inkwell.sources.store import Store
 
 
 def is_research_file(name: Column) -> Column:
@@ -104,6 +105,28 @@ def prune(
     return out
 
 
+def prune_store(
+    store: Store, *, dry_run: bool = False, yes: bool = False, batch: str | None = None, older_than: str | None = None, inactive: str | None = None, url: str | None = None, artifact_type: str | None = None
+) -> DataFrame:
+    """The current versions that the filters match, in every root, deleted if `yes`; either a dry run or `yes` is asked for.
+
+    The rows are those of the store as it was. A batch that is in the store's log already deletes nothing more.
+    """
+    if not any((older_than, inactive, artifact_type, url)):
+        raise ValueError("Must specify at least one pruning filter: --older-than, --inactive, --artifact-type, or --url.")
+    if dry_run and yes:
+        raise ValueError("--dry-run and --yes are mutually exclusive: --dry-run previews without deleting, --yes confirms deletion. Choose one.")
+    if not dry_run and not yes:
+        raise ValueError("Safety check: use --yes to confirm pruning, or --dry-run to preview files that would be deleted.")
+    rows = store.current()
+    if rows is None:
+        raise ValueError("nothing was committed to this store")
+    found = prune(rows, older_than=older_than, inactive=inactive, url=url, artifact_type=artifact_type)
+    if yes:
+        store.delete(found, batch)
+    return found.select("root_rank", "cache_key", "file_name", "topic", "source_url", "age_ms")
+
+
 def revalidate(rows: DataFrame, probes: DataFrame, *, allow_stale: bool = False) -> DataFrame:
     """State after a probe of each artifact: probes have cache_key, http_status (null: error), body."""
     out = with_age(locate(rows)).join(probes, "cache_key", "left")

@@ -462,6 +462,8 @@ c AS (SELECT page_id, 0 AS place, CASE WHEN page_id % 4 = 0 THEN o || CASE WHEN
   UNION ALL SELECT page_id, 1, o || '/llms.txt' FROM p UNION ALL SELECT page_id, 2, o || '/' || seg || '/llms.txt' FROM p WHERE has),
 g AS (SELECT * FROM c WHERE url IS NOT NULL AND length(url) % 5 > 1 AND length(url) % 7 > 1 AND length(url) % 11 <> 0)
 SELECT page_id, CASE WHEN regexp_matches(arg_min(url, place), 'llms-full\.txt$') THEN 'llms-full.txt' ELSE 'llms.txt' END AS type, arg_min(url, place) AS url FROM g GROUP BY page_id""",
+    "store_prune": ART + """, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_rank, cache_key ORDER BY coalesce(epoch_ms(validated_at), 0) DESC, sha256(file_name) DESC) AS n FROM ver) WHERE n = 1),""" + _age("u", "ag") + f"""
+SELECT root_rank, cache_key, file_name, age_ms >= {60 * temporal.DAY} AND regexp_matches(lower(source_url), '^.*://.*e.*$') AS previewed, NOT (age_ms >= {60 * temporal.DAY} AND regexp_matches(lower(source_url), '^.*://.*e.*$')) AS kept FROM ag""",
     "store_history": ART + """,
 w AS (SELECT *, 'a' AS batch_id, 0 AS commit_no FROM ver WHERE starts_with(file_name, 'v0-') UNION ALL SELECT *, 'b', 1 FROM ver WHERE page_id % 2 = 0 UNION ALL SELECT *, 'c', 2 FROM ver WHERE page_id % 3 = 0),
 -- Of equal keys in one batch the newest validated, then the largest digest of its name.

@@ -381,6 +381,19 @@ def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def store_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each current artifact of a store: what a prune of both roots removes, and what is left after it."""
+    store = Store(spark, shared_dir(spark, "prune"))
+    store.commit(A.versions(spark, sf_dir).withColumn("content_hash", F.sha2("file_name", 256)), batch="all")
+    before, rule = store.current(), {"older_than": "60d", "url": "*://*e*", "artifact_type": "source"}
+    preview = C.prune_store(store, dry_run=True, **rule).select("root_rank", "cache_key", F.lit(True).alias("previewed"))
+    C.prune_store(store, yes=True, batch="prune", **rule)
+    left = store.current().select("root_rank", "cache_key", F.lit(True).alias("kept"))
+    keys = ["root_rank", "cache_key"]
+    out = before.select(*keys, "file_name").join(preview, keys, "left").join(left, keys, "left")
+    return out.select(*keys, "file_name", F.coalesce("previewed", F.lit(False)).alias("previewed"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def index_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's index: advertised by some pages, here and on other hosts, else at its origin or first path segment."""
     p = A.table(spark, sf_dir, "pages").select("page_id", "url")

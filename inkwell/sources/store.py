@@ -19,8 +19,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Columns that the store adds: the commit's number, and its batch.
-COMMIT, BATCH = "commit_no", "batch_id"
+#: Columns that the store adds: the commit's number, its batch, and whether the version says that its key is deleted.
+COMMIT, BATCH, DELETED = "commit_no", "batch_id", "deleted"
 _OWN: dict[str, str] = {}
 
 
@@ -85,6 +85,12 @@ class Store:
                 if "AlreadyExists" not in e.java_exception.getClass().getName():
                     raise
 
+    def delete(self, keys: DataFrame, batch: str | None = None) -> bool:
+        """Marks keys (root_rank, cache_key) as deleted; False where the batch is in the log already. Their versions stay
+        in the history until a compaction purges them, and a later commit brings a key back."""
+        gone = keys.select("root_rank", "cache_key").distinct().withColumns({DELETED: F.lit(True), "validated_at": F.lit(None).cast("timestamp"), "content_hash": F.lit(None).cast("string")})
+        return self.commit(gone, batch)
+
     def commit(self, rows: DataFrame, batch: str | None = None) -> bool:
         """Adds versions; False where the batch is in the log already. Of equal keys in one batch the newest is kept."""
         if batch is not None and any(e["batch"] == batch for e in self.log()):
@@ -107,6 +113,7 @@ class Store:
             for folder in e["add"]:
                 if folder not in gone:
                     part = self.spark.read.parquet(f"{self.path}/{folder}")
+                    part = part if DELETED in part.columns else part.withColumn(DELETED, F.lit(False))
                     if COMMIT not in part.columns:
                         part = part.withColumns({COMMIT: F.lit(e["no"]).cast("long"), BATCH: F.lit(e["batch"]).cast("string")})
                     out = part if out is None else out.unionByName(part, allowMissingColumns=True)
@@ -124,13 +131,15 @@ class Store:
         if rows is None:
             return None
         last = rows.groupBy("root_rank", "cache_key").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), COMMIT).alias("r"))
-        return last.select("r.*")
+        return last.select("r.*").where(~F.col(DELETED)).drop(DELETED)
 
-    def compact(self, files: int = 1) -> None:
-        """All versions in few files, by root; what readers see stays the same."""
+    def compact(self, files: int = 1, purge: bool = False) -> None:
+        """All versions in few files; what readers see stays the same. purge: without those of deleted keys."""
         rows, log = self.versions(), self.log()
         if rows is None:
             return
+        if purge:
+            rows = rows.join(self.current().select("root_rank", "cache_key"), ["root_rank", "cache_key"], "left_semi")
         old = [f for e in log for f in e["add"]]
         folder = f"data/{uuid.uuid4().hex}"
         rows.repartition(files, "root_rank", "cache_key").write.parquet(f"{self.path}/{folder}")

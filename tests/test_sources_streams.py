@@ -121,6 +121,32 @@ def test_store_history_and_compaction(spark, tmp_path):
     assert {(r.cache_key, r.n) for r in store.current().collect()} == {("k", 6), ("l", 7)}
 
 
+def test_prune_deletes_from_the_store(spark, sf_dir, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError, match="nothing was committed"):
+        C.prune_store(store, yes=True, older_than="1d")
+    store.commit(_versions(spark, sf_dir), "a")
+    for flags, said in (({"yes": True}, "at least one"), ({"older_than": "1d"}, "Safety check"), ({"older_than": "1d", "yes": True, "dry_run": True}, "mutually exclusive")):
+        with pytest.raises(ValueError, match=said):
+            C.prune_store(store, **flags)
+    total = store.current().count()
+    preview = C.prune_store(store, dry_run=True, older_than="190d").count()
+    assert 0 < preview < total == store.current().count()
+    assert C.prune_store(store, yes=True, batch="p", older_than="190d").count() == preview
+    left = _plain(store.current())
+    assert len(left) == total - preview and "deleted" not in store.current().columns
+    # The batch is in the log: again it deletes nothing.
+    C.prune_store(store, yes=True, batch="p", older_than="1d")
+    assert _plain(store.current()) == left
+    # Versions stay in the history until they are purged; a commit brings a key back.
+    assert store.history().where("superseded_by IS NOT NULL AND NOT deleted").count() == preview
+    store.commit(_versions(spark, sf_dir).where("page_id % 2 = 0"), "b")
+    back = store.current().count()
+    assert back > len(left)
+    store.compact(purge=True)
+    assert store.current().count() == back == store.history().select("root_rank", "cache_key").distinct().count()
+
+
 TEXT = "# Widget guide\n\nWidgets turn gears. Widgets need oil, and gears need widgets.\n"
 
 
