@@ -360,3 +360,19 @@ def test_odd_urls_equal_brute_force(spark):
     assert value(spark, U.normalize_url(F.col("u")), u="http://x.test?b=2&a=1&é=3&B=0&f&a=0&b=2") == "http://x.test/?a=0&a=1&b=2&b=2&B=0&%C3%A9=3&f="
     again = spark.createDataFrame([(x.n,) for x in got if x.n], "u string").select("u", U.normalize_url(F.col("u")).alias("n")).collect()
     assert all(x.n == x.u for x in again)
+
+
+def test_the_gate_of_commands_loses_none(spark):
+    """Texts put together from the words of the patterns, scrambled, cut and joined by marks: gated or not, the same."""
+    r = random.Random(21)
+    words = "please assistant ignore ingore disregard forget all previous prior above instructions instrcutions prompts override the system developer prompt message you are now in admin mode reveal print your exfiltrate steal leak secrets tokens api keys credentials private data send me to via using upload post fetch curl delete files file repository workspace home directory run rm -rf sudo | sh bash it's a-b".split()
+    joints = [" ", " ", " ", " ", "  ", "\n", "_", "-", ".", ", ", "*", "/"]
+    hits = 0
+    for _ in range(60_000):
+        text = "".join(r.choice(words) + r.choice(joints) for _ in range(r.randint(1, 9)))
+        text = text.upper() if r.random() < 0.1 else text
+        plain = safety.normalize(text)
+        want = any(p.search(plain) for p in safety._HARMFUL)
+        hits += want
+        assert safety._commands(text) == want, text
+    assert hits > 100
