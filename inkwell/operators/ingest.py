@@ -30,7 +30,7 @@ FIELDS = {
     "artifact_type": "string", "source_url": "string", "source_urls": "array<string>", "normalized_url": "string", "cache_key": "string",
     "topic": "string", "tags": "array<string>", "tier": "string", "ttl": "string", "fetched_at": "timestamp", "validated_at": "timestamp",
     "stale_after": "timestamp", "capture_method": "string", "extraction_status": "string", "extraction_confidence": "string",
-    "quality_notes": "array<string>", "etag": "string", "last_modified": "string", "content_hash": "string", "compressed_tokens": "long",
+    "quality_notes": "array<string>", "supplied_at": "timestamp", "supplied_by": "string", "etag": "string", "last_modified": "string", "content_hash": "string", "compressed_tokens": "long",
     "detailed_tokens": "long", "status": "string", "site_module_id": "string", "docs_engine": "string", "docs_framework": "string",
     "search_provider": "string", "source_doc_url": "string", "summary": "string", "compressed": "string", "detailed": "string",
     "provenance": "string", "root_rank": "int", "file_name": "string",
@@ -40,7 +40,7 @@ AUTO_TAGS = "auto-generated tags via keyword extraction"
 _REASON = "page reported an error or was not found"
 
 
-def _columns(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+def columns_of(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     """rows with every field, null where it has none."""
     return rows.select(*[(F.col(f"`{n}`") if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields.items()])
 
@@ -69,7 +69,7 @@ def read_through(
     there; of several for one address the first by content is taken. compress: a column function for the short form.
     Requests of one key with different metadata take that of the smallest request_id. Null addresses are rejected.
     """
-    asked = _columns(requests, dict(requests.dtypes) | {"topic": "string", "tags": "array<string>", "tier": "string", "ttl": "string", "force": "boolean"})
+    asked = columns_of(requests, dict(requests.dtypes) | {"topic": "string", "tags": "array<string>", "tier": "string", "ttl": "string", "force": "boolean"})
     asked = asked.withColumns({"normalized_url": U.normalize_url(F.col("url")), "reject": U.url_error(F.col("url"))})
     asked = asked.withColumn("reject", F.when(F.col("normalized_url").isNull(), F.coalesce("reject", F.lit("invalid address"))))
     asked = asked.withColumn("cache_key", F.when(F.col("reject").isNull(), U.cache_key(F.col("normalized_url"))))
@@ -77,7 +77,7 @@ def read_through(
     wanted = asked.where("cache_key IS NOT NULL").groupBy("cache_key").agg(F.min_by(own, "request_id").alias("own"), F.bool_or(F.coalesce("force", F.lit(False))).alias("force"))
 
     empty = requests.sparkSession.createDataFrame([], ", ".join(f"{n} {t}" for n, t in FIELDS.items()))
-    known = A.with_age(C.locate(_columns(empty if catalog is None else catalog, FIELDS)))
+    known = A.with_age(C.locate(columns_of(empty if catalog is None else catalog, FIELDS)))
     known = known.select("cache_key", "freshness", "age_ms", F.struct(*FIELDS).alias("old"))
     # What is forced is looked up nowhere.
     keys = wanted.join(known, (known["cache_key"] == wanted["cache_key"]) & ~wanted["force"], "left").drop(known["cache_key"])
@@ -85,7 +85,7 @@ def read_through(
     keys = keys.withColumn("aged", T.max_age_expired(F.col("age_ms"), max_age)).withColumn("place", F.when(F.col("need"), F.col("own.normalized_url")))
 
     fetched = {"normalized_url": "string", "http_status": "int", "error": "string", "title": "string", "markdown": "string", "confidence": "string", "notes": "array<string>", "etag": "string", "last_modified": "string", "capture_method": "string"}
-    pages = _columns(responses, fetched)
+    pages = columns_of(responses, fetched)
     first = F.struct(*[F.col(n) for n in fetched if n != "normalized_url"])
     # Only pages that are asked for travel whole; where there are several of one address the first by content counts.
     places = keys.where("need").select(F.col("place").alias("normalized_url")).distinct()
@@ -105,7 +105,7 @@ def read_through(
     keys = keys.withColumn("outcome", outcome).withColumn("error", F.when(F.col("outcome").isin("stale", "failed"), why))
     changed = _changed(keys.where("need AND outcome IN ('miss', 'refreshed', 'revalidated')"), compress, write_root, global_root)
     if keywords:
-        changed = _tagged(changed)
+        changed = tagged(changed)
 
     state = F.when(F.col("freshness").isNull(), "none").when(F.col("aged"), "stale_expired").otherwise(F.col("freshness"))
     code = F.when(F.col("outcome") == "failed", 1).when(F.col("outcome") == "stale", 0 if allow_stale else 5).otherwise(0)
@@ -141,14 +141,14 @@ def _changed(keys: DataFrame, compress, write_root: int, global_root: int) -> Da
         "compressed_tokens": X.estimate_tokens(F.col("short")), "detailed_tokens": X.estimate_tokens(F.col("body")), "status": F.lit("active"),
         "summary": F.when(F.col("bad"), f"Error: {_REASON}").otherwise(F.col("new.title")), "compressed": F.col("short"), "detailed": F.col("body"),
         "provenance": F.concat(F.lit("Fetched from "), F.col("at"), F.lit(" on "), when, F.when(F.col("bad"), " (error page; content not cached)").otherwise("")),
-        "root_rank": root, "file_name": F.concat("cache_key", F.lit(".md")),
+        "root_rank": root, "file_name": F.concat("cache_key", F.lit(".md")), "supplied_at": F.lit(None), "supplied_by": F.lit(None),
     } | {n: F.col(f"kept_{n}") for n in CARRIED}
     out = {n: F.when(same, F.col(f"old.{n}")).otherwise(new[n]) if n in new else None for n in FIELDS}
     out |= {"validated_at": now, "stale_after": F.timestamp_millis(A.as_of_ms() + fresh)}
     return rows.select(*[out[n].cast(t).alias(n) for n, t in FIELDS.items()], "outcome", F.when(~F.col("had") & (root != write_root), secret).alias("secret"))
 
 
-def _tagged(changed: DataFrame) -> DataFrame:
+def tagged(changed: DataFrame) -> DataFrame:
     """Tags of new content without blanks and repeats; where none is left its five keywords, and a note of it."""
     changed = changed.withColumn("tags", F.when(F.col("outcome") == "revalidated", F.col("tags")).otherwise(X.dedupe_tags(F.coalesce("tags", F.array().cast("array<string>")))))
     bare = (F.col("outcome") != "revalidated") & (F.size("tags") == 0)

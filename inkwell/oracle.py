@@ -388,6 +388,14 @@ SELECT event_id, CASE WHEN event_type LIKE 'p%' THEN 'aggressive' WHEN list_cont
  'Found ' || event_id % 5 || ' cached research ' || CASE WHEN event_id % 5 = 1 THEN 'entry' ELSE 'entries' END || CASE WHEN event_id % 5 > event_id % 3 THEN ' (showing first ' || event_id % 3 || '; raise --limit to see more):' ELSE ':' END AS heading FROM l"""
 
 
+_SUPPLIED = f"""
+WITH c AS (SELECT conv_id AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role, text) AS b FROM conversations GROUP BY 1),
+n AS (SELECT k, CASE k % 19 WHEN 0 THEN ' ' || chr(10) || ' ' WHEN 1 THEN b || ' ghp_' || sha256(k::VARCHAR) ELSE b END AS body, k % 7 < 5 AS single, k % 7 > 4 OR k % 7 = 0 AS many, CASE WHEN k % 3 > 0 THEN ' Topic ' || k END AS topic, coalesce(CASE WHEN k % 5 = 0 THEN 'stable' END, 'standard') AS tier,
+  CASE k % 11 WHEN 0 THEN 'soon' WHEN 1 THEN '2h' END AS ttl FROM c),
+a AS (SELECT *, CASE WHEN ttl = 'soon' THEN 'INVALID_DURATION' WHEN single AND many THEN 'CONFLICTING_FLAGS' WHEN NOT single AND NOT many THEN 'MISSING_URL' WHEN many AND topic IS NULL THEN 'MISSING_TOPIC' WHEN trim(body, ' ' || chr(10) || chr(9) || chr(13)) = '' THEN 'EMPTY_INPUT'
+  WHEN octet_length(encode(body)) > 1048576 THEN 'FILE_TOO_LARGE' WHEN k % 7 = 4 THEN 'MISSING_URL_SCHEME' END AS code FROM n),
+g AS (SELECT *, 'https://a.test/' || k AS one, CASE WHEN many THEN sha256(lower(trim(topic)) || '|https://a.test/' || k || '|https://b.test/' || k) ELSE sha256('https://a.test/' || k) END AS key, label FROM (SELECT *, (CASE {_SECRET.replace("(t,", "(body,")} END) AS label FROM a) WHERE code IS NULL)"""
+
 SQL: dict[str, str] = {
     "url_normalize": ART + " SELECT page_id, normalized_url, sha256(normalized_url) AS cache_key, NULL::VARCHAR AS url_error FROM norm",
     "url_guards": """
@@ -464,6 +472,11 @@ g AS (SELECT * FROM c WHERE url IS NOT NULL AND length(url) % 5 > 1 AND length(u
 SELECT page_id, CASE WHEN regexp_matches(arg_min(url, place), 'llms-full\.txt$') THEN 'llms-full.txt' ELSE 'llms.txt' END AS type, arg_min(url, place) AS url FROM g GROUP BY page_id""",
     "store_prune": ART + """, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_rank, cache_key ORDER BY coalesce(epoch_ms(validated_at), 0) DESC, sha256(file_name) DESC) AS n FROM ver) WHERE n = 1),""" + _age("u", "ag") + f"""
 SELECT root_rank, cache_key, file_name, age_ms >= {60 * temporal.DAY} AND regexp_matches(lower(source_url), '^.*://.*e.*$') AS previewed, NOT (age_ms >= {60 * temporal.DAY} AND regexp_matches(lower(source_url), '^.*://.*e.*$')) AS kept FROM ag""",
+    "import_answers": _SUPPLIED + """
+SELECT k AS note_id, code, CASE WHEN code IS NULL THEN 0 WHEN code = 'FILE_TOO_LARGE' THEN 1 ELSE 2 END::INT AS exit_code, key AS cache_key, CASE WHEN code IS NULL THEN CASE WHEN label IS NULL THEN 0 ELSE 1 END END::INT AS target_root, label AS secret FROM a LEFT JOIN (SELECT k, key, label FROM g) USING (k)""",
+    "import_versions": _SUPPLIED + f"""
+SELECT key AS cache_key, CASE WHEN label IS NULL THEN 0 ELSE 1 END::INT AS root_rank, CASE WHEN many THEN 'research_note' ELSE 'source' END AS artifact_type, CASE WHEN many THEN '' ELSE 'HTTPS://A.test:443/n/../' || k END AS source_url, CASE WHEN many THEN one || ' https://b.test/' || k ELSE one END AS source_urls,
+ CASE WHEN many THEN '' ELSE one END AS normalized_url, topic, 'note' AS tags, tier, ttl, {AS_OF_MS} + {_FRESH} AS stale_after_ms, sha256(body) AS content_hash, ceil(length(body) / 4)::BIGINT AS detailed_tokens, 'Synthesized research for ' || CASE WHEN many THEN topic ELSE one END AS summary FROM g""",
     "store_history": ART + """,
 w AS (SELECT *, 'a' AS batch_id, 0 AS commit_no FROM ver WHERE starts_with(file_name, 'v0-') UNION ALL SELECT *, 'b', 1 FROM ver WHERE page_id % 2 = 0 UNION ALL SELECT *, 'c', 2 FROM ver WHERE page_id % 3 = 0),
 -- Of equal keys in one batch the newest validated, then the largest digest of its name.
