@@ -36,7 +36,6 @@ from inkwell.llm import common
 from inkwell.llm.decontaminate import _load, _save
 
 _SMALL = 200
-_RESEATED = 24
 END = b"\n"  # no word: words hold no white space
 _STIRLING: dict[float, np.ndarray] = {}
 
@@ -198,44 +197,6 @@ def draw_tables(c: np.ndarray, d: float, theta: float, total: np.ndarray, have:
     return out
 
 
-def first_seating(c: int, d: float, theta: float, total: float, parent: float, rng) -> np.ndarray:
-    """A start for reseat(): about the expected number of tables, and sizes for them."""
-    i, t = 1.0, 1.0
-    while i < c:
-        a = (theta + d * (total + t)) * parent
-        step = min(c - i, max(1.0, 0.05 * i))
-        t += step * a / max(i - d * t + a, 1e-9)
-        i += step
-    t = int(min(c, max(1, round(t))))
-    return 1 + rng.multinomial(c - t, rng.dirichlet(np.full(t, 1 - d)))
-
-
-def reseat(sizes: np.ndarray, d: float, theta: float, total: float, have: float, size: float, slope: float, rng) -> np.ndarray:
-    """Gibbs steps for some customers: each leaves and sits down again. The model draws whole counts; tests hold them against this."""
-    sizes = sizes.tolist()
-    n = sum(sizes)
-    for u, v in rng.random((_RESEATED, 2)):
-        x, k = u * n, 0
-        while x >= sizes[k] and k < len(sizes) - 1:
-            x -= sizes[k]
-            k += 1
-        sizes[k] -= 1
-        if not sizes[k]:
-            sizes.pop(k)
-        t = len(sizes)
-        new = (theta + d * (total + t)) * (have + slope * t) / (size + slope * t)
-        x = v * (n - 1 - d * t + new) - new
-        if x < 0:
-            sizes.insert(0, 1)
-            continue
-        k = 0
-        while k < t - 1 and x >= sizes[k] - d:
-            x -= sizes[k] - d
-            k += 1
-        sizes[k] += 1
-    return np.array(sorted(sizes, reverse=True), np.int64)
-
-
 def _count(modulus: int, remainder: int, most: int = 1 << 21):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []

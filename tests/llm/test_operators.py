@@ -315,6 +315,44 @@ def test_pitman_yor_probabilities_sum_to_one():
         assert math.isclose(mass, 1, rel_tol=1e-9)
 
 
+def first_seating(c: int, d: float, theta: float, total: float, parent: float, rng) -> np.ndarray:
+    """A start for reseat(): about the expected number of tables, and sizes for them."""
+    i, t = 1.0, 1.0
+    while i < c:
+        a = (theta + d * (total + t)) * parent
+        step = min(c - i, max(1.0, 0.05 * i))
+        t += step * a / max(i - d * t + a, 1e-9)
+        i += step
+    t = int(min(c, max(1, round(t))))
+    return 1 + rng.multinomial(c - t, rng.dirichlet(np.full(t, 1 - d)))
+
+
+def reseat(sizes: np.ndarray, d: float, theta: float, total: float, have: float, size: float, slope: float, rng) -> np.ndarray:
+    """Gibbs steps for some customers: each leaves and sits down again. The model draws whole counts, which are held against this."""
+    sizes = sizes.tolist()
+    n = sum(sizes)
+    for u, v in rng.random((24, 2)):
+        x, k = u * n, 0
+        while x >= sizes[k] and k < len(sizes) - 1:
+            x -= sizes[k]
+            k += 1
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+        t = len(sizes)
+        new = (theta + d * (total + t)) * (have + slope * t) / (size + slope * t)
+        x = v * (n - 1 - d * t + new) - new
+        if x < 0:
+            sizes.insert(0, 1)
+            continue
+        k = 0
+        while k < t - 1 and x >= sizes[k] - d:
+            x -= sizes[k] - d
+            k += 1
+        sizes[k] += 1
+    return np.array(sorted(sizes, reverse=True), np.int64)
+
+
 def test_table_counts_follow_their_distribution():
     """A restaurant of one dish: the mean number of tables is known in closed form."""
     d, theta, c, rng = 0.5, 1.0, 12, np.random.default_rng(5)
@@ -324,9 +362,9 @@ def test_table_counts_follow_their_distribution():
     mean = theta / d * (math.prod((theta + d + i) / (theta + i) for i in range(c)) - 1)
     assert abs(t.mean() - mean) < 0.05
     # Reseating customers one by one keeps the same distribution.
-    sizes, seen = pitman_yor.first_seating(30, d, theta, 0, 1.0, rng), []
+    sizes, seen = first_seating(30, d, theta, 0, 1.0, rng), []
     for _ in range(6000):
-        sizes = pitman_yor.reseat(sizes, d, theta, 0, 1.0, 1.0, 0.0, rng)
+        sizes = reseat(sizes, d, theta, 0, 1.0, 1.0, 0.0, rng)
         assert sizes.sum() == 30 and sizes.min() >= 1
         seen.append(len(sizes))
     mean = theta / d * (math.prod((theta + d + i) / (theta + i) for i in range(30)) - 1)
