@@ -1,6 +1,8 @@
 import corpus_pipeline
 from tests.llm.test_operators import brute_components, check_packing
 
+from pyspark.sql import functions as F
+
 from inkwell.llm import common, decontaminate, quality
 
 
@@ -21,3 +23,22 @@ def test_stages_keep_columns_and_clean_rows(spark, sf_dir):
         assert out.columns == docs.columns
         assert out.count() > 0.5 * docs.count()
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 4
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls in every column, repeated rows, empty texts, clashing column names and no rows at all, stage by stage."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 3), (2, text, None, None, None), (2, text, None, None, None), (None, text, "en", "a", 1), (None, None, None, None, None), (3, "", "en", "a", 0), (4, None, "en", "a", 0), (5, text + " tail of its own " * 30, "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.lit("x") for n in ("id", "component", "key", "label", "a", "b", "set", "item_id", "my col.x")})
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, None}
+            continue
+        assert out.columns == docs.columns
+        if name == "near_duplicates":
+            got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+            # Of the copies the smallest id stays; rows without an id are linked with nothing.
+            assert got == sorted(((r[0], r[1]) for r in rows if r[0] != 2), key=repr)
