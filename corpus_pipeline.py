@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays. A document without id stays."""
     members, _ = ngram_join.link_documents(docs, n=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
-    gone = members.where("id > component").select(F.col("id").alias("doc_id")).distinct()
+    gone = members.where("id > component").select(F.col("id").alias("gone")).distinct()
     gone = common.small(common.materialized(gone, f"{common.shared_dir(spark, 'near-duplicates')}/gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
