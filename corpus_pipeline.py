@@ -34,8 +34,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of at most 2048 ids."""
-    pieces = packing.pack_documents(docs, length=2048, end_id=1)
+    """What is left, in sequences of at most 2048 ids. Executors still hold the heap of the stages before: small batches."""
+    pieces = packing.pack_documents(docs, length=2048, end_id=1, batch_docs=500, cache_words=250_000)
     return pieces.select(
         F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -59,7 +59,7 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], li
     return bins, offsets, max(bins, default=-1) + 1
 
 
-def _packer(length: int, tokenizer: str, end_id: int, most: int):
+def _packer(length: int, tokenizer: str, end_id: int, most: int, cache_words: int = tokens.CACHE_WORDS):
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         types = (pa.int64(),) * 6 + (pa.binary(),)
         names = ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -84,7 +84,7 @@ def _packer(length: int, tokenizer: str, end_id: int, most: int):
                 continue
             groups, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             full = []
-            for g, key, ids in zip(groups, keys, tokens.encoder(tokenizer).encode_batch(batch.column(2))):
+            for g, key, ids in zip(groups, keys, tokens.encoder(tokenizer, cache_words).encode_batch(batch.column(2))):
                 if g != group or len(kept) >= most:
                     yield from close()
                     used = 0 if g != group else used
@@ -116,15 +116,21 @@ def pack_documents(
     tokenizer: str | None = None,
     end_id: int = 1,
     group_docs: int = 1024,
+    batch_docs: int = 3000,
+    cache_words: int = tokens.CACHE_WORDS,
 ) -> DataFrame:
-    """A row for each piece: key, start, length, doc_tokens, sequence_id, offset and its ids (little-endian 32-bit)."""
+    """A row for each piece: key, start, length, doc_tokens, sequence_id, offset and its ids (little-endian 32-bit).
+
+    batch_docs and cache_words bound what a Python worker holds: documents at once, and words whose ids are kept. The
+    pieces don't depend on them.
+    """
     spark = docs.sparkSession
-    common.small_batches(spark, 3000)
+    common.small_batches(spark, batch_docs)
     n_groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     grouped = rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(n_groups)).alias("group"), "key", "text")
     dealt = grouped.repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(_packer(length, tokenizer or tokens.default_tokenizer(), end_id, 4 * group_docs), PIECES)
+    return dealt.mapInArrow(_packer(length, tokenizer or tokens.default_tokenizer(), end_id, 4 * group_docs, cache_words), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

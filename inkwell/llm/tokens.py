@@ -15,6 +15,8 @@ from inkwell.llm import common
 #: pre-tokens: the space opens the next one, and none holds a space elsewhere.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ".,;:!?)"
+#: Words whose ids an encoder keeps between batches, about.
+CACHE_WORDS = 600_000
 _LOADED: dict[str, BytePairEncoder] = common.keep({})
 
 
@@ -25,7 +27,7 @@ class BytePairEncoder:
     ``Tokenizer.encode(text, add_special_tokens=False)``. Between batches the cache holds about ``cache_words`` words at most.
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -139,11 +141,12 @@ class BytePairEncoder:
         return np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-def encoder(path: str) -> BytePairEncoder:
-    """One encoder per Python worker and tokenizer file."""
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> BytePairEncoder:
+    """One encoder per Python worker and tokenizer file; the last caller says what it may keep."""
     common.claim("tokens")
     if path not in _LOADED:
-        _LOADED[path] = BytePairEncoder(path)
+        _LOADED[path] = BytePairEncoder(path, cache_words)
+    _LOADED[path].cache_words = cache_words
     return _LOADED[path]
 
 

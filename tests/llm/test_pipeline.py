@@ -3,7 +3,7 @@ from tests.llm.test_operators import brute_components, check_packing
 
 from pyspark.sql import functions as F
 
-from inkwell.llm import common, decontaminate, quality
+from inkwell.llm import common, decontaminate, packing, quality, tokens
 
 
 def test_pipeline_equals_stage_by_stage(spark, sf_dir):
@@ -42,3 +42,19 @@ def test_stages_take_odd_rows(spark, sf_dir):
             got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
             # Of the copies the smallest id stays; rows without an id are linked with nothing.
             assert got == sorted(((r[0], r[1]) for r in rows if r[0] != 2), key=repr)
+
+
+def test_packing_holds_little(spark, sf_dir):
+    """The last stage shares executors with the heap of those before: small batches and a small cache, the same pieces."""
+    docs = common.table(spark, sf_dir, "documents")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    got = key(corpus_pipeline.pack(spark, docs, sf_dir))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    whole = packing.pack_documents(docs, length=2048, end_id=1)
+    columns = ["key", "start", "length", F.crc32("ids"), "doc_tokens", "sequence_id", "offset"]
+    assert got == key(whole.select(*columns)) == key(packing.pack_documents(docs, batch_docs=7, cache_words=50).select(*columns))
+    encoder = tokens.encoder(tokens.default_tokenizer(), 1000)
+    encoder.cache, encoder.older = {}, {}
+    for k in range(20):
+        encoder.encode_batch([" ".join(f"w{k}x{i}" for i in range(300))])
+        assert len(encoder.cache) + len(encoder.older) <= 1600
