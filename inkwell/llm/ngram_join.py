@@ -20,7 +20,8 @@ it does both, over a range wide enough that linked sets always have one of the t
 3. Members of a large bucket meet its centers first, in two rounds. Links found merge components, and pairs that are in
    one component already need no comparison. What is left, members of large buckets that are in different
    components and were never compared, is joined on the rarest elements of the members' differences from one text of
-   the group (see _left_pairs), so no link is lost and a large group of near copies isn't paired with itself. BUCKET
+   the group (see _left_links). Where they meet, pairs are counted and links found, and of those only a spanning forest
+   is written, so no link is lost between components and a large group of near copies isn't paired with itself. BUCKET
    changes the way, not the result: both ways are exact.
 
 Rows: without words (null or empty text) a set is empty, links with nothing and is its own component. A text of fewer
@@ -52,8 +53,6 @@ SHARED = 3
 #: An element counts as frequent from so many texts on, as long as there are no more than MOST of them; the count is
 #: summed from tasks' shares of at least LOCAL texts. Other values change the cost, not the result.
 FREQUENT, MOST, LOCAL = 1000, 1 << 18, 4
-#: Rounds in which each member that is left meets one of its likely partners, before all pairs that are left are compared.
-ROUNDS = 3
 #: Signatures that a task holds before it sends them, and that meet in one place, about.
 HELD, MET = 1 << 20, 1 << 20
 
@@ -364,6 +363,16 @@ def _sets(n: int, seed: int):
 _BLOCK = ("center", "id", "label", "apart", "n", "size", "short", "far")
 
 
+def _bits(lost: np.ndarray, n_lost: np.ndarray, core: np.ndarray, n_core: np.ndarray) -> list[np.ndarray]:
+    """Which elements of its center each member lacks, as bits in the center's order."""
+    out = []
+    for x, c in zip(np.split(lost, np.cumsum(n_lost)[:-1]), np.split(core, np.cumsum(n_core)[:-1])):
+        gone = np.zeros(len(c), np.uint8)
+        gone[np.searchsorted(c, x)] = 1
+        out.append(np.packbits(gone))
+    return out
+
+
 def _asking(folder: str, parts: int):
     """Saves members in blocks; each block asks the parts, by hash, how many members hold an element of its differences."""
 
@@ -373,14 +382,18 @@ def _asking(folder: str, parts: int):
         def close() -> pa.RecordBatch:
             block, table = task << 24 | seq, pa.Table.from_batches(kept)
             members = {k: table.column(k).to_numpy() for k in _BLOCK}
-            diff = table.column("diff").combine_chunks().flatten().to_numpy().view(np.uint64)
+            own, lost, core = (table.column(k).combine_chunks() for k in ("own", "lost", "core"))
+            members["own"], n_lost, n_core = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, lost, core))
+            own, lost, core = (x.flatten().to_numpy().view(np.uint64) for x in (own, lost, core))
+            member = np.concatenate([np.repeat(np.arange(len(n_lost)), x) for x in (members["own"], n_lost)])
+            diff = np.concatenate([own, lost])[np.argsort(member, kind="stable")]  # of each member its own, then what it lacks
             keys = common.mix(diff ^ common.mix(np.repeat(members["center"], members["n"]).view(np.uint64)))
             keys, place, texts = np.unique(keys, return_inverse=True, return_counts=True)
             part = (keys % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             back = np.empty(len(order), np.int64)
             back[order] = np.arange(len(order))
-            _save(f"{folder}/block-{block}", (members, diff, keys[order], back[place]))
+            _save(f"{folder}/block-{block}", (members, diff, keys[order], back[place], _bits(lost, n_lost, core, n_core)))
             some, at = np.unique(part[order], return_index=True)
             columns = [[x.tobytes() for x in np.split(y[order], at[1:])] for y in (keys, texts)]
             return pa.record_batch([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["part", "block", "keys", "texts"])
@@ -409,46 +422,101 @@ def _telling(table: pa.Table) -> pa.Table:
     return pa.table([table.column("block"), table.column("part"), pa.array(replies, pa.binary())], ["block", "part", "texts"])
 
 
-def _prefixes(folder: str, parts: int):
-    """Elements of the members' prefixes, packed by part: (part, pickled keys, members, places, and the members)."""
+def _prefixes(folder: str, parts: int, salt: int):
+    """Elements of the members' prefixes, packed by part: (part, pickled keys, members, places, and the members, with
+    the 32-bit names of their own elements that others hold too, and bits of those of the center that they lack)."""
 
     def prefixes(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        members, diff, keys, key = _load(f"{folder}/block-{table.column('block')[0].as_py()}", most=1)
+        members, diff, keys, key, bits = _load(f"{folder}/block-{table.column('block')[0].as_py()}", most=1)
         df = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("texts").to_pylist()])[key]
         n = members["n"].astype(np.int64)
-        member = np.repeat(np.arange(len(n)), n)
+        member, first = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
+        own = np.flatnonzero((df > 1) & (np.arange(len(df)) - first < members["own"][member]))
+        names = common.mix(keys[key[own]] + np.uint64(salt)).astype(np.uint32)
+        names = np.split(names, np.cumsum(np.bincount(member[own], minlength=len(n)))[:-1])
         order = np.lexsort((diff, df, member))
-        place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) + 1
+        place = np.arange(len(order)) - first + 1
         # An element of one member finds nobody.
         keep = (df[order] > 1) & (place <= np.repeat(np.maximum(members["short"], np.where(members["apart"], members["far"], 0)), n))
         order, place = order[keep], place[keep]
         key, member = keys[key[order]], member[order]
-        sketches = [sketch(x).view(np.uint64) for x in np.split(diff, np.cumsum(n)[:-1])]
         part = (key % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         some, at = np.unique(part[order], return_index=True)
         rows = []
         for x in np.split(order, at[1:]) if len(order) else []:
-            own, who = np.unique(member[x], return_inverse=True)
-            table = {k: members[k][own] for k in _BLOCK if k != "center"}
-            rows.append(pickle.dumps((key[x], who, place[x], table, [sketches[i] for i in own.tolist()]), protocol=5))
+            who, back = np.unique(member[x], return_inverse=True)
+            table = {k: members[k][who] for k in _BLOCK}
+            rows.append(pickle.dumps((key[x], back, place[x], table, [names[i] for i in who], [bits[i] for i in who]), protocol=5))
         return pa.table([pa.array(some, pa.int32()), pa.array(rows, pa.binary())], ["part", "edits"])
 
     return prefixes
 
 
-def _meeting_edits(num: int, den: int):
-    """Members that share an element of their prefixes, part after part; what the places and sketches rule out goes here."""
+class _Forest:
+    """Labels of a part's members; `links` are the links that joined two of them."""
+
+    def __init__(self, m: dict, names: list[np.ndarray], bits: list[np.ndarray], num: int, den: int):
+        self.m, self.bits, self.num, self.den = m, bits, num, den
+        _, label = np.unique(m["label"], return_inverse=True)
+        _, center = np.unique(m["center"], return_inverse=True)
+        self.label, near = label, ~m["apart"]
+        self.up = list(range(int(label.max()) + int(center.max()) + 2))
+        # Members that are linked with the center are in its component.
+        for x, c in zip(label[near].tolist(), (center[near] + int(label.max()) + 1).tolist()):
+            self.up[self.find(x)] = self.find(c)
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        found, self.names = np.unique(np.concatenate(names), return_inverse=True)
+        self.ends, self.held = np.cumsum(lengths), np.zeros(len(found), bool)
+        self.starts = self.ends - lengths
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def roots(self) -> np.ndarray:
+        return np.fromiter(map(self.find, range(len(self.up))), np.int64, len(self.up))[self.label]
+
+    def differ(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Elements in which x and others of its center differ: |D(x)| + |D(y)| - 2 |D(x) & D(y)|; names may meet, which makes it less."""
+        mine = self.names[self.starts[x] : self.ends[x]]
+        self.held[mine] = True
+        starts, ends = self.starts[others], self.ends[others]
+        sums = np.cumsum(ends - starts)
+        hits = np.append(0, np.cumsum(self.held[self.names[np.arange(sums[-1]) + np.repeat(ends - sums, ends - starts)]]))
+        self.held[mine] = False
+        both = hits[sums] - hits[sums - (ends - starts)]
+        both += np.bitwise_count(np.stack([self.bits[y] for y in others.tolist()]) & self.bits[x]).sum(axis=1, dtype=np.int64)
+        n = self.m["n"].astype(np.int64)
+        return n[x] + n[others] - 2 * both
+
+    def grow(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Links of pairs (a, b), in the order of ids, that join two components."""
+        ids, size, links = self.m["id"], self.m["size"].astype(np.int64), []
+        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+        order = np.lexsort((ids[b], ids[a]))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        for x, others in zip(a[starts].tolist(), np.split(b, starts[1:])):
+            root, up = self.find(int(self.label[x])), self.label[others].tolist()
+            others = others[np.fromiter((self.find(y) != root for y in up), bool, len(up))]
+            if not len(others):
+                continue
+            near = self.differ(x, others) * (self.den + self.num) <= (self.den - self.num) * (size[x] + size[others])
+            for y in others[near].tolist():
+                one, two = self.find(int(self.label[x])), self.find(int(self.label[y]))
+                if one != two:
+                    self.up[two] = one
+                    links.append((int(ids[x]), int(ids[y])))
+        return links
+
 
-    def differ(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        """Bits in which sketches differ; the longer one is folded."""
-        out, sizes = np.empty(len(a), np.int64), np.array([(len(x), len(y)) for x, y in zip(a, b)])
-        for one, two in np.unique(sizes, axis=0).tolist():
-            at, width = np.flatnonzero((sizes[:, 0] == one) & (sizes[:, 1] == two)), min(one, two)
-            x, y = (np.bitwise_xor.reduce(np.stack([z[i] for i in at]).reshape(len(at), -1, width), axis=1) for z in (a, b))
-            out[at] = np.bitwise_count(x ^ y).sum(axis=1)
-        return out
+def _meeting_edits(num: int, den: int):
+    """Members that share an element of their prefixes, part after part: links that join different components."""
 
     def close(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         lengths = [len(x[4]) for x in held]
@@ -456,21 +524,23 @@ def _meeting_edits(num: int, den: int):
         key, place = (np.concatenate([x[k] for x in held]) for k in (0, 2))
         who = np.concatenate([x[1] + s for x, s in zip(held, shift)])
         m = {k: np.concatenate([x[3][k] for x in held]) for k in held[0][3]}
-        sketches = [s for x in held for s in x[4]]
+        forest = _Forest(m, *([y for x in held for y in x[k]] for k in (4, 5)), num, den)
         order = np.argsort(key, kind="stable")
         key, place, who = key[order], place[order], who[order]
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(starts, len(key)))
         partners = np.repeat(starts + sizes, sizes) - np.arange(len(key)) - 1
         ends = np.cumsum(partners)
-        at, found = 0, []
+        at, found, label = 0, [], forest.roots()
         while at < len(key):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 19))))
             i = np.repeat(np.arange(at, to), partners[at:to])
             j = i + 1 + np.arange(len(i)) - np.repeat(ends[at:to] - partners[at:to] - (ends[at] - partners[at]), partners[at:to])
+            some = label[who[i]] != label[who[j]]
+            i, j = i[some], j[some]
             a, b = who[i], who[j]
             # Near members are linked with the center, and so in one component already.
-            keep = (m["label"][a] != m["label"][b]) & (m["apart"][a] | m["apart"][b])
+            keep = (m["center"][a] == m["center"][b]) & (m["apart"][a] | m["apart"][b])
             for x, y, p in ((a, b, place[i]), (b, a, place[j])):
                 keep &= p <= np.where(m["apart"][x] & ~m["apart"][y], np.maximum(m["short"][x], m["far"][x]), m["short"][x])
             size, other = m["size"][a].astype(np.int64), m["size"][b].astype(np.int64)
@@ -481,15 +551,11 @@ def _meeting_edits(num: int, den: int):
             if keep.any():
                 found.append(np.stack(_counted(np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep]))[:2]))
             at = to
-            if sum(x.shape[1] for x in found) >= 1 << 19 or at == len(key) and found:
-                a, b = _counted(*np.concatenate(found, axis=1))[:2]
-                found = []
-                for s in range(0, len(a), 1 << 16):
-                    one, two = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                    apart = differ([sketches[x] for x in one.tolist()], [sketches[x] for x in two.tolist()])
-                    some = apart * (den + num) <= (den - num) * (m["size"][one].astype(np.int64) + m["size"][two])
-                    one, two = m["id"][one[some]], m["id"][two[some]]
-                    yield pa.record_batch([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+            if sum(x.shape[1] for x in found) >= 1 << 17 or at == len(key) and found:
+                links = forest.grow(*_counted(*np.concatenate(found, axis=1))[:2])
+                found, label = [], forest.roots()
+                if links:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_part = [], None
@@ -508,8 +574,11 @@ def _meeting_edits(num: int, den: int):
     return meet
 
 
-def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: str) -> DataFrame:
-    """Pairs (a, b) that may be linked, of members of one bucket in different components: a superset of the linked ones.
+def _left_links(left: DataFrame, sets: DataFrame, num: int, den: int, folder: str, salt: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components: links that join all components that have one.
+
+    A pair that is none is among them where names of elements meet (32 bits): then others may be missing, and it takes
+    another salt to find them.
 
     left: center, id, label: members of buckets and a text of each bucket. Let D(x) be the symmetric difference of a
     member and its center. Members x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and linked ones in
@@ -517,13 +586,14 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: st
     |D(x)| > k(x, center), or the center joins them (its links are among the pairs). So their differences share (|D(x)| + |D(y)| - k(x, y)) / 2 > 0 elements or more: of each
     D a prefix in the order of rarity is enough to find the pair, and edits that few members share come first. A group
     of near copies of one text, which have all signatures in common, gives pairs only where edits agree. Elements travel
-    packed: to be counted, back to their block, and those of prefixes, with sketches of D, to where they meet.
+    packed: to be counted, back to their block, and those of prefixes, with D, to where they meet. There |D(x) & D(y)| is
+    counted for pairs whose components differ, and a link is kept where it joins two; a part gives less than its members.
     """
     one = left.join(sets.select("id", F.col("set").alias("x")), "id")
     two = one.join(sets.select(F.col("id").alias("center"), F.col("set").alias("c")), "center")
-    diff = F.array_union(F.array_except("x", "c"), F.array_except("c", "x"))
-    d = two.select("center", "id", "label", F.size("x").alias("size"), F.size("c").alias("size_c"), diff.alias("diff"))
-    d = d.withColumn("n", F.size("diff"))
+    own, lost = F.array_except("x", "c").alias("own"), F.array_except("c", "x").alias("lost")
+    d = two.select("center", "id", "label", F.size("x").alias("size"), F.size("c").alias("size_c"), own, lost, F.col("c").alias("core"))
+    d = d.withColumn("n", F.size("own") + F.size("lost"))
     least = F.ceil(F.col("size") * num / den)  # sizes of partners lie in [least, size * den / num]
     most_k = F.floor(F.col("size") * (den - num) / num)
     least_k = F.floor((den - num) * (least + F.col("size_c")) / (den + num))
@@ -531,7 +601,7 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: st
     # Shared elements at least: with a partner that is apart, and, for one that is, with one that isn't.
     with_apart = F.greatest(F.lit(1), F.ceil((F.col("n") + least_k + 1 - most_k) / 2))
     with_near = F.greatest(F.lit(1), F.ceil((F.col("n") + F.greatest(F.col("n") - most_k, F.lit(1)) - most_k) / 2))
-    d = d.select("center", "id", "label", apart.alias("apart"), "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("far"), "diff")
+    d = d.select("center", "id", "label", apart.alias("apart"), "n", "size", (F.col("n") - with_apart + 1).alias("short"), (F.col("n") - with_near + 1).alias("far"), "own", "lost", "core")
     d = common.materialized(d, f"{folder}/left-elements")
     near = d.where("NOT apart AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
     total = d.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -540,10 +610,10 @@ def _left_pairs(left: DataFrame, sets: DataFrame, num: int, den: int, folder: st
     common.make_dir(blocks)
     asked = d.mapInArrow(_asking(blocks, parts), "part int, block long, keys binary, texts binary")
     told = asked.groupBy("part").applyInArrow(_telling, "block long, part int, texts binary")
-    edits = told.groupBy("block").applyInArrow(_prefixes(blocks, parts), "part int, edits binary")
+    edits = told.groupBy("block").applyInArrow(_prefixes(blocks, parts, salt), "part int, edits binary")
     edits = common.materialized(edits, f"{folder}/left-df")
     found = edits.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meeting_edits(num, den), "a long, b long")
-    return common.materialized(found.union(near).distinct(), f"{folder}/left-pairs")
+    return common.materialized(found.union(near).distinct(), f"{folder}/left-links")
 
 
 def _frequent(found: DataFrame, folder: str) -> np.ndarray:
@@ -682,16 +752,17 @@ def link_documents(
     mixed = left.groupBy("center").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("center")
     left = common.materialized(left.join(common.materialized(mixed, f"{folder}/mixed"), "center"), f"{folder}/many")
     sets = with_sets(left.select("id").union(left.select("center")), "left")
-    found = _left_pairs(left, sets, num, den, folder)
-    # Most of these pairs are of one group: after a few rounds its members have one label, and the rest needs no look.
-    open_ = common.materialized(open_pairs(2).union(untested(found)).distinct(), f"{folder}/open-1")
-    for k in range(2, 2 + ROUNDS):
-        found = compare(picked(open_, k), f"star-{k}")
-        compared = compared.unionByName(found)
-        labels = merged(found, f"{folder}/round-{k}")
-        still = labelled(labelled(open_, "a"), "b").where("label_a <> label_b").select("a", "b")
-        open_ = common.materialized(still.join(found.select("a", "b"), ["a", "b"], "left_anti"), f"{folder}/open-{k}")
-    rest = compare(open_, "rest")
+    tries = 0
+    while True:
+        found = compare(_left_links(left, sets, num, den, f"{folder}/left-{tries}", tries), f"linked-{tries}")
+        compared = compared.unionByName(found.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+        labels = merged(found, f"{folder}/round-{2 + tries}")
+        tries += 1
+        if not found.where("NOT linked").limit(1).count():
+            break
+        # Names of elements have met in a pair that is no link, and may have hidden others.
+        left = common.materialized(labelled(left.drop("label"), "id").withColumnRenamed("label_id", "label"), f"{folder}/again-{tries}")
+    rest = compare(open_pairs(2), "rest")
     compared = compared.unionByName(rest)
     links = compared.where("linked").select("a", "b", "both", "sum")
     labels = merged(rest, f"{folder}/all")
@@ -705,7 +776,7 @@ def link_documents(
     out = named.select("id", "n_shingles", "class").join(found, "class", "left")
     links = links.join(reps.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     links = common.materialized(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "both", "sum"), f"{folder}/links")
-    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", *(f"{what}-{k}" for what in ("star", "round", "open") for k in range(2 + ROUNDS)), "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "left-df", "left-elements", "left-blocks", "left-pairs", "all", "frequent"):
+    for name in ("stars", "pairs", "wanted-pairs", "sets-pairs", *(f"{what}-{k}" for what in ("star", "round", "left", "linked", "again") for k in range(2 + tries)), "groups", "best", "left", "mixed", "many", "wanted-left", "sets-left", "rest", "all", "frequent"):
         common.remove(f"{folder}/{name}")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("representative"), mine.alias("component")), links
