@@ -62,14 +62,9 @@ class BytePairEncoder:
 
     def _learn_all(self, words: list[str]) -> None:
         """Learns words; one that is letters and a final mark is put together from its two pre-tokens."""
-        whole, marked = set(), []
-        for w in words:
-            if w[-1] in _MARKS and w[:-1].isalpha():
-                marked.append(w)
-                if w[:-1] not in self.cache:
-                    whole.add(w[:-1])
-            else:
-                whole.add(w)
+        marked = [w for w in words if w[-1] in _MARKS and w[:-1].isalpha()]
+        whole = set(words).difference(marked)
+        whole.update({w[:-1] for w in marked}.difference(self.cache))
         self._learn(list(whole))
         if marked:
             marks = dict(zip(_MARKS, (x.tobytes() for x in self._encode(list(_MARKS)))))
@@ -95,7 +90,7 @@ class BytePairEncoder:
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         uneven = pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary)
         uneven = pc.or_(uneven, pc.equal(coded.dictionary, ""))
         for token in self.added:
