@@ -241,23 +241,19 @@ def families(seed: int, many: int = 12, each: int = 25) -> dict[int, str]:
     return dict(enumerate(texts))
 
 
-def test_ngram_join_writes_no_pairs_of_a_large_group(spark, monkeypatch):
-    """What is left of a large group of near copies is written as links that join components, not as all likely pairs."""
-    monkeypatch.setattr(ngram_join, "BUCKET", 6)
-    texts, written, materialized = families(5), {}, common.materialized
-
-    def count(df, uri):
-        out = materialized(df, uri)
-        if "a" in out.columns and "b" in out.columns:
-            written[uri.split("/")[-1]] = out.count()
-        return out
-
-    monkeypatch.setattr(common, "materialized", count)
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got, links = ngram_join.link_documents(df, n=5, num=80, den=100)
-    want = brute_components(texts, 5, 80, 100)
-    assert {r.id: (r.n_shingles, r.component) for r in got.collect()} == want
-    assert {k: v for k, v in written.items() if re.match("left-|open-|links$|rest$", k) and v > 2 * len(texts)} == {}
+def test_ngram_join_writes_no_pairs_of_a_large_group(spark, tmp_path):
+    """Members that are linked with each other and not with their center: links that join them, not all 1770 pairs."""
+    sets = {0: list(range(100))}
+    for i in range(1, 61):
+        sets[i] = sorted([*(x for x in range(30, 100) if x != 30 + i), *range(1000, 1030), 5000 + i])
+    left = spark.createDataFrame([(0, i, i) for i in sets], "center long, id long, label long")
+    known = spark.createDataFrame(list(sets.items()), "id long, set array<long>")
+    links = {(r.a, r.b) for r in ngram_join._left_links(left, known, 80, 100, f"file://{tmp_path}", 0).collect()}
+    assert len(links) < 4 * 60 and all(0 < a < b for a, b in links)
+    reached = {1}
+    for _ in range(60):
+        reached |= {x for pair in links if reached & set(pair) for x in pair}
+    assert reached == set(range(1, 61))
 
 
 def test_ngram_join_looks_again_where_names_met(spark, monkeypatch):
