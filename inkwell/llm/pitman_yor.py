@@ -7,15 +7,21 @@ outcome, and spreads the rest evenly. Probabilities over the known words and the
 
 A sweep draws the number of tables of every cell (context, word), and of every word in the root, from its conditional,
 with generalised Stirling numbers in place of the partition: by their recursion up to _SMALL customers, and above by
-contour integrals of their generating function, at a cost that does not grow with the customers. All cells of a word lie in one chunk, so what goes up to the root is local; each
-context's totals are summed in tables between sweeps and sent to the chunks that hold cells of it, and only the root's
-two totals pass through the driver. Totals are those of the sweep before, as in usual parallel Gibbs sampling. Probabilities are averaged over the sweeps after `burn_in`.
-
-Data: 1. training tokens are counted by word. 2. Tasks cut their documents into blocks, write each document as places
-in the block's list of (context, word) pairs, and that list with its training counts. 3. The lists are sorted by word,
-once, and packed into chunks of cells and of the questions (block, place) that wait for them. 4. Sweeps run over the
-chunks; state lies in the shared folder under names made of chunk and sweep, and a seed made of the same, so a task
-that is repeated writes the same again. 5. Answers go back to their blocks, where the documents are scored.
+contour integrals of their generating function, at a cost that does not grow with the customers. A cell of one customer
+has one table, so nothing is drawn or stored for it: a word's and a context's such cells are their training count less
+the customers of their other cells. All cells of a word lie in one part, so what goes up to the root is local; each
+context's tables are summed between sweeps by the part that holds it as a word and sent to the parts with cells of it,
+and only the root's two totals pass through the driver. Totals are those of the sweep before, as in usual parallel Gibbs
+sampling. Probabilities are averaged over the sweeps after `burn_in`.
+
+Data: 1. Tasks cut their documents into blocks, write each as places in its list of words, and send its different words
+and its different pairs, by 64-bit hashes in order, each with its training count, to the part of the hash's range. 2. A
+part sums the counts, keeps which block asked for what, and names one block for each pair that was trained on twice or
+more. 3. That block sends the pair as a cell (word, context, count) to the word's part. 4. Sweeps run over the parts;
+state lies in the shared folder under names made of part and sweep, and a seed made of the same, so a task that is
+repeated writes the same again. 5. Cells' tables go back to the pairs' parts, and from there, as words' counts do, to
+the blocks that asked. A pair without an answer is in one block alone, which knows its count. What is stored or sent is
+packed: differences in sorted order, planes of bytes, zstd.
 
 Rows: a null text is empty and has the end token alone. A null id counts as the text ''. Repeated rows count and are
 scored each. An empty table gives no rows. Other columns are ignored.
@@ -197,67 +203,119 @@ def draw_tables(c: np.ndarray, d: float, theta: float, total: np.ndarray, have:
     return out
 
 
-def _count(modulus: int, remainder: int, most: int = 1 << 21):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+def _ints(x: np.ndarray) -> bytes:
+    """Whole numbers, small ones mostly, none below zero: by planes of bytes, compressed."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    if not len(x):
+        return b""
+    planes = max(1, (int(x.max()).bit_length() + 7) // 8)
+    raw = x.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+    return bytes([planes]) + len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-        def close() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(kept), return_counts=True)
-            kept.clear()
-            return pa.record_batch([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "c"])
 
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not is_held_out(i, modulus, remainder):
-                    kept.append(common.hash_words([*common.space_words(text), END]))
-            if sum(map(len, kept)) >= most:
-                yield close()
-        if kept:
-            yield close()
+def _unints(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.empty(0, np.int64)
+    planes, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :planes] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=planes * n, codec="zstd"), np.uint8).reshape(planes, n).T
+    return out.view("<i8").ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers in order (also hashes, whose differences may pass the end), by their differences."""
+    x = np.asarray(x).astype(np.uint64)
+    return _ints(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unsteps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unints(raw).view(np.uint64), dtype=np.uint64)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return pa.compress(np.packbits(x).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unbits(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, bool)
+    return np.unpackbits(np.frombuffer(pa.decompress(raw, decompressed_size=(n + 7) // 8, codec="zstd"), np.uint8), count=n).astype(bool)
+
+
+def _ends(hashes: np.ndarray, parts: int) -> list[int]:
+    """Where each part's range begins and ends in sorted hashes."""
+    part = (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
 
-    return count
 
+def _rows(schema: str, rows: list[dict]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.table([pa.array([r.get(k) for r in rows], kinds[t]) for k, t in fields], [k for k, _ in fields])
 
-_BLOCK = "kind int, block long, id long, held boolean, n long, places binary, w long, ctx long, c long, j int"
 
+def _joined(rows: list[dict], column: str, read, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[read(r[column]).astype(kind, copy=False) for r in rows]])
 
-def _blocks(modulus: int, remainder: int, block_tokens: int):
-    names = [x.split(" ")[0] for x in _BLOCK.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    end = common.hash_words([END])
 
-    def rows(many: int, **columns) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(many, t) for k, t in zip(names, types)], names)
+class Block:
+    """Documents end to end: words by falling frequency, and each token's place among them."""
 
+    def __init__(self, ids: list, held: np.ndarray, n: np.ndarray, words: np.ndarray, place: np.ndarray):
+        self.ids, self.held, self.n, self.words, self.place = ids, held, n, words, place
+        # Each text closes with END, so END is before the next one too.
+        self.before = np.concatenate([place[-1:], place[:-1]])
+        self.trained = np.repeat(~held, n)
+
+    @staticmethod
+    def of(ids: list, held: np.ndarray, texts: list[np.ndarray]) -> Block:
+        words, place, many = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return Block(ids, held, np.array([len(t) for t in texts]), words[order], rank[place])
+
+    def save(self, uri: str) -> None:
+        _save(uri, (self.ids, self.held, _ints(self.n), _steps(self.words), _ints(self.place)))
+
+    @staticmethod
+    def load(uri: str) -> Block:
+        ids, held, n, words, place = _load(uri, most=1)
+        return Block(ids, held, _unints(n), _unsteps(words), _unints(place))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different pairs in order of their hashes: hashes, a token of each, the pair of each token, training counts."""
+        keys, first, at = np.unique(_pair(self.words, self.words)(self.place, self.before), return_index=True, return_inverse=True)
+        return keys, first, at, np.bincount(at[self.trained], minlength=len(keys))
+
+
+def _pair(words: np.ndarray, contexts: np.ndarray):
+    """Hash of (word, context), of places in both lists."""
+    mixed = common.mix(contexts)
+    return lambda w, ctx: common.mix(words[w] ^ mixed[ctx])
+
+
+_SENT = "part int, kind int, block long, names binary, c binary"
+_OWNED = "block long, part int, pairs long, owned binary, c binary, n long, v long"
+
+
+def _blocks(modulus: int, remainder: int, block_tokens: int, parts: int, folder: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, ids, texts = TaskContext.get().partitionId(), 0, [], []
+        task, seq, ids, texts = TaskContext.get().partitionId(), 0, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal seq, ids, texts
-            block = part << 24 | seq
-            n = np.array([len(t) for t in texts])
-            words = np.concatenate(texts)
-            firsts = np.cumsum(n) - n
-            ctx = np.concatenate([end, words[:-1]])  # each text closes with END, so END is before the next one too
-            key = common.mix(words ^ common.mix(ctx))
-            _, first, place, many = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            order = np.argsort(-many, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            place = rank[place]
-            held = np.array([is_held_out(i, modulus, remainder) for i in ids], bool)
-            trained = np.bincount(place, weights=np.repeat(~held, n), minlength=len(order)).astype(np.int64)
-            first = first[order]
-            for a in range(0, len(ids), 4096):
-                s = slice(a, a + 4096)
-                places = [common.planes(place[f : f + m]) for f, m in zip(firsts[s], n[s])]
-                k = len(places)
-                yield rows(k, kind=np.zeros(k, np.int32), block=np.full(k, block), id=ids[s], held=held[s], n=n[s], places=places)
-            for a in range(0, len(first), 100_000):
-                s = first[a : a + 100_000]
-                k = len(s)
-                yield rows(k, kind=np.ones(k, np.int32), block=np.full(k, block), w=words[s].view(np.int64), ctx=ctx[s].view(np.int64), c=trained[a : a + k], j=np.arange(a, a + k, dtype=np.int32))
+            number = task << 24 | seq
+            block = Block.of(ids, np.array([is_held_out(i, modulus, remainder) for i in ids], bool), texts)
             seq, ids, texts = seq + 1, [], []
+            block.save(f"{folder}/block-{number}")
+            order = np.argsort(block.words)
+            known = np.bincount(block.place[block.trained], minlength=len(order))
+            pairs, _, _, c = block.pairs()
+            for kind, names, counts in ((0, block.words[order], known[order]), (1, pairs, c)):
+                ends = _ends(names, parts)
+                rows = [{"part": q, "kind": kind, "block": number, "names": _steps(names[a:b]), "c": _ints(counts[a:b])} for q, (a, b) in enumerate(zip(ends, ends[1:]))]
+                yield from _rows(_SENT, rows).to_batches()
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -271,66 +329,56 @@ def _blocks(modulus: int, remainder: int, block_tokens: int):
     return cut
 
 
-_CHUNK = "kind int, chunk long, w binary, ctx binary, c binary, cell binary, block binary, j binary"
-
-
-def _pack(most: int):
-    """Rows sorted by word and context become chunks of whole words, and of the questions to them."""
-    names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        kept: list[tuple] = []  # (w, ctx, c, block, j) arrays
-        cells: list[tuple] = []  # of the open chunk: (w, ctx, c)
-        n_cells, last = 0, None
-
-        def row(kind: int, **columns) -> pa.RecordBatch:
-            values = {"kind": [kind], "chunk": [part << 24 | seq]} | {k: [v.tobytes()] for k, v in columns.items()}
-            types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
-            return pa.record_batch([pa.array(values.get(k, [None]), t) for k, t in zip(names, types)], names)
-
-        def take(w, ctx, c, block, j) -> pa.RecordBatch:
-            """Adds sorted rows to the open chunk; the questions go out."""
-            nonlocal n_cells, last
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1])
-            same = last is not None and (w[0], ctx[0]) == last
-            new[0] = not same
-            cell = n_cells - 1 + np.cumsum(new)
-            sums = np.bincount(cell - cell[0], weights=c).astype(np.int64)
-            if same:
-                cells[-1][2][-1] += sums[0]
-                sums = sums[1:]
-            cells.append((w[new], ctx[new], sums))
-            n_cells, last = int(cell[-1]) + 1, (w[-1], ctx[-1])
-            return row(1, cell=cell.astype(np.int32), block=block, j=j)
-
-        def close() -> pa.RecordBatch:
-            nonlocal seq, n_cells, last, cells
-            w, ctx, c = (np.concatenate(x) for x in zip(*(x for x in cells if len(x[0]))))
-            out = row(0, w=w, ctx=ctx, c=c)
-            seq, n_cells, last, cells = seq + 1, 0, None, []
-            return out
+def _merge(folder: str):
+    """A part's words and pairs, summed over the blocks; each block hears which pairs it sends on as cells."""
 
-        for batch in batches:
-            columns = [batch.column(k).to_numpy() for k in range(5)]
-            if not batch.num_rows:
-                continue
-            w = columns[0]
-            if n_cells >= most:
-                # The chunk ends with the word that is open.
-                at = int(np.argmax(w != last[0])) if (w != last[0]).any() else len(w)
-                if at:
-                    yield take(*(x[:at] for x in columns))
-                if at == len(w):
-                    continue
-                yield close()
-                columns = [x[at:] for x in columns]
-            yield take(*columns)
-        if n_cells:
-            yield close()
-
-    return pack
+    def merge(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("kind", "ascending"), ("block", "ascending")]).to_pylist()
+        q, (words, pairs) = rows[0]["part"], ([r for r in rows if r["kind"] == k] for k in (0, 1))
+        names, place = np.unique(_joined(words, "names", _unsteps, np.uint64), return_inverse=True)
+        known = np.bincount(place, weights=_joined(words, "c", _unints, np.int64), minlength=len(names)).astype(np.int64)
+        _save(f"{folder}/words-{q}", (_steps(names), _ints(known)))
+        cuts = np.cumsum([len(_unints(r["c"])) for r in words])[:-1]
+        _save(f"{folder}/asked-{q}", {r["block"]: _steps(x) for r, x in zip(words, np.split(place, cuts))})
+
+        names, c = _joined(pairs, "names", _unsteps, np.uint64), _joined(pairs, "c", _unints, np.int64)
+        cuts = np.cumsum([len(_unints(r["c"])) for r in pairs])[:-1]
+        keys, first, place, many = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        total = np.bincount(place, weights=c, minlength=len(keys)).astype(np.int64)
+        several = (many > 1) | (total > 1)
+        owned = np.zeros(len(names), bool)
+        owned[first[total > 1]] = True
+        answers = several[place]
+        number = np.cumsum(several) - 1
+        asked = {r["block"]: (len(p), _bits(a), _steps(number[p[a]])) for r, p, a in zip(pairs, np.split(place, cuts), np.split(answers, cuts))}
+        _save(f"{folder}/pairs-{q}", (_steps(keys[total > 1]), _ints(total[several]), asked))
+        out = [{"part": q, "n": int(known.sum()), "v": int((known > 0).sum())}]
+        for r, p, o in zip(pairs, np.split(place, cuts), np.split(owned, cuts)):
+            out.append({"part": q, "block": r["block"], "pairs": len(p), "owned": _bits(o), "c": _ints(total[p[o]])})
+        return _rows(_OWNED, out)
+
+    return merge
+
+
+_CELLS = "part int, block long, w binary, ctx binary, c binary"
+
+
+def _cells(folder: str, parts: int):
+    """The cells that a block sends on, to their words' parts."""
+
+    def cells(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part").to_pylist()
+        block = Block.load(f"{folder}/block-{rows[0]['block']}")
+        owned = np.concatenate([_unbits(r["owned"], r["pairs"]) for r in rows])
+        token = block.pairs()[1][owned]
+        w, ctx, c = block.words[block.place[token]], block.words[block.before[token]], _joined(rows, "c", _unints, np.int64)
+        order = np.lexsort((ctx, w))
+        w, ctx, c = w[order], ctx[order], c[order]
+        ends = _ends(w, parts)
+        out = [{"part": q, "block": rows[0]["block"], "w": _steps(w[a:b]), "ctx": _ints(ctx[a:b]), "c": _ints(c[a:b])} for q, (a, b) in enumerate(zip(ends, ends[1:]))]
+        return _rows(_CELLS, out)
+
+    return cells
 
 
 class Model:
@@ -401,166 +449,193 @@ class Model:
         return np.where(ctx > 0, here, up)
 
 
-def _cells(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, contexts by their places from 1, counts; and the contexts (hashes, in order)."""
-    names, ctx = np.unique(np.frombuffer(row["ctx"], np.int64), return_inverse=True)
-    return np.frombuffer(row["w"], np.int64), (ctx + 1).astype(np.int32), np.frombuffer(row["c"], np.int64), names
+class Part:
+    """The words of a part in order and its cells, each word's single customers first, as a cell of the root (ctx 0)."""
 
+    def __init__(self, folder: str, q: int):
+        self.words, self.known = (read(x) for read, x in zip((_unsteps, _unints), _load(f"{folder}/words-{q}", most=1)))
+        word, ctx, c, names = _load(f"{folder}/cells-{q}", most=1)
+        word, ctx, c, self.names = _unsteps(word).astype(np.int64), _unints(ctx), _unints(c), _unsteps(names)
+        single = self.known - np.bincount(word, weights=c, minlength=len(self.words)).astype(np.int64)
+        w = np.concatenate([np.arange(len(self.words)), word])
+        order = np.argsort(w, kind="stable")
+        self.w, self.c = w[order], np.concatenate([single, c])[order]
+        self.ctx = np.concatenate([np.zeros(len(self.words), np.int64), ctx + 1])[order]
 
-def _by_part(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts in order of the part that sums their totals, and where each part begins and ends."""
-    part = (common.mix(names.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    def less(self, model: Model, state: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many fewer tables than customers each context has here; tables and customers of the root."""
+        t, n = model.sized(len(self.names)).totals(state, self.w, self.ctx, self.c)
+        return (n - t)[1:].astype(np.int64), t[0], n[0]
 
 
-_SUMS = "part int, chunk long, ctx binary, v binary, t double, c double"
+_SUMS = "part int, chunk long, names binary, v binary, t double, c double"
 
 
-def _sums(chunk: int, names: np.ndarray, values: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """A chunk's share in the totals: a row of its contexts for each part, and one (part -1) of the root. values[i]: the
-    root's, then each context's; tables, and customers where they are not known yet."""
-    order, ends = _by_part(names, parts)
-    rows = [(-1, chunk, None, None, float(values[0][0]), float(values[1][0]))]
-    for q in np.flatnonzero(np.diff(ends)).tolist():
-        at = order[ends[q] : ends[q + 1]]
-        v = np.concatenate([x[1:][at] for x in values if len(x) > 1]).astype(np.int64)
-        rows.append((q, chunk, names[at].tobytes(), v.tobytes(), None, None))
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], [x.split(" ")[0] for x in _SUMS.split(", ")])
+def _sums(q: int, part: Part, less: tuple, parts: int, name: bool) -> pa.Table:
+    """A part's share in the contexts' totals, for each part that sums them, and (part -1) in the root's."""
+    ends = _ends(part.names, parts)
+    rows = [{"part": r, "chunk": q, "names": _steps(part.names[a:b]) if name else None, "v": _ints(less[0][a:b])} for r, (a, b) in enumerate(zip(ends, ends[1:]))]
+    return _rows(_SUMS, [{"part": -1, "chunk": q, "t": float(less[1]), "c": float(less[2])}, *rows])
 
 
-def _opening(model: Model, parts: int):
-    """Totals before the first sweep: a table for each cell."""
+def _gather(folder: str, model: Model, parts: int):
+    """A part's cells; totals before the first sweep: a table for each cell."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                w, ctx, c, names = _cells(row)
-                word, n_words = model.words(w)
-                t = np.minimum(c, 1).astype(np.int32)
-                _, customers = model.root(word, n_words, ctx, c, t)
-                yield _sums(row["chunk"], names, list(model.sized(len(names)).totals({"t": t, "t0": np.minimum(customers, 1)}, w, ctx, c)), parts)
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("block").to_pylist()
+        q = rows[0]["part"]
+        w, ctx, c = (_joined(rows, k, read, kind) for k, read, kind in (("w", _unsteps, np.uint64), ("ctx", _unints, np.uint64), ("c", _unints, np.int64)))
+        order = np.lexsort((ctx, w))
+        names, place = np.unique(ctx[order], return_inverse=True)
+        word = np.searchsorted(_unsteps(_load(f"{folder}/words-{q}", most=1)[0]), w[order])
+        _save(f"{folder}/cells-{q}", (_steps(word), _ints(place), _ints(c[order]), _steps(names)))
+        part = Part(folder, q)
+        customers = model.root(part.w, len(part.words), part.ctx, part.c, np.minimum(part.c, 1))[1]
+        state = {"t": np.where(part.ctx > 0, 1, 0), "t0": np.minimum(customers, 1)}
+        return _sums(q, part, part.less(model, state), parts, True)
 
-    return run
+    return gather
 
 
-def _exchange(table: pa.Table) -> pa.Table:
-    """Sums the totals of a part's contexts over the chunks, and answers each chunk in its own order."""
-    table = table.sort_by("chunk")
-    ctx = [np.frombuffer(x, np.int64) for x in table.column("ctx").to_pylist()]
-    values = [np.frombuffer(x, np.int64).reshape(-1, len(k)) for x, k in zip(table.column("v").to_pylist(), ctx)]
-    names, place = np.unique(np.concatenate(ctx), return_inverse=True)
-    sums = np.stack([np.bincount(place, weights=x, minlength=len(names)).astype(np.int64)[place] for x in np.concatenate(values, axis=1)])
-    replies = [x.tobytes() for x in np.split(sums, np.cumsum([len(k) for k in ctx])[:-1], axis=1)]
-    return pa.table([table.column("chunk"), table.column("part"), pa.array(replies, pa.binary())], ["chunk", "part", "v"])
+_REPLIES = "chunk long, part int, t binary, c binary"
 
 
-def _settle(folder: str, planes: int):
-    def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        v = np.concatenate([np.frombuffer(x, np.int64).reshape(planes, -1) for x in table.column("v").to_pylist()], axis=1)
-        chunk = table.column("chunk")[0].as_py()
-        _save(f"{folder}/{chunk}", v)
-        return pa.table({"chunk": pa.array([chunk], pa.int64())})
+def _exchange(folder: str, k: int):
+    """Sums the totals of a part's contexts over the parts that have cells of them, and answers each in its own order."""
 
-    return settle
+    def exchange(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("chunk").to_pylist()
+        q = rows[0]["part"]
+        words, known = _load(f"{folder}/words-{q}", most=1)
+        known = _unints(known)
+        if k == 0:
+            words = _unsteps(words)
+            at = [np.searchsorted(words, _unsteps(r["names"])) for r in rows]
+            _save(f"{folder}/routes-{q}", {r["chunk"]: _steps(x) for r, x in zip(rows, at)})
+        else:
+            routes = _load(f"{folder}/routes-{q}", most=1)
+            at = [_unsteps(routes[r["chunk"]]).astype(np.int64) for r in rows]
+        less = np.bincount(np.concatenate(at), weights=_joined(rows, "v", _unints, np.int64), minlength=len(known)).astype(np.int64)
+        _save(f"{folder}/less-{k}-{q}", _ints(less))
+        return _rows(_REPLIES, [{"chunk": r["chunk"], "part": q, "t": _ints((known - less)[x]), "c": _ints(known[x]) if k == 0 else None} for r, x in zip(rows, at)])
+
+    return exchange
+
+
+def _sweeper(model: Model, folder: str, k: int, root: tuple[float, float], parts: int, burn_in: int, seed: int):
+    """Does sweep k with the totals of the state before; gives its totals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part").to_pylist()
+        q = rows[0]["chunk"]
+        part = Part(folder, q)
+        state = {x: _unints(raw) if isinstance(raw, bytes) else [*raw] for x, raw in _load(f"{folder}/state-{k - 1}/{q}", most=1).items()} if k else {"kept": []}
+        customers = state["c"] if k else _joined(rows, "c", _unints, np.int64)
+        totals = {"t": np.append(root[0], _joined(rows, "t", _unints, np.int64)), "c": np.append(root[1], customers)}
+        had = {x: state[x] for x in ("t", "t0") if x in state}
+        new = model.sized(len(part.names)).sweep(had, part.w, part.ctx, part.c, totals, np.random.default_rng((seed, k, q)))
+        kept, tables = state["kept"], state.get("sum", np.zeros(len(part.w), np.int64))
+        if k >= burn_in:
+            # What predictions need of this sweep: tables of cells, customers and tables of words in the root.
+            kept = [*kept, (_ints(model.root(part.w, len(part.words), part.ctx, part.c, new["t"])[1]), _ints(new["t0"]))]
+            tables = tables + new["t"]
+        _save(f"{folder}/state-{k}/{q}", {"t": _ints(new["t"]), "t0": _ints(new["t0"]), "c": _ints(customers), "sum": _ints(tables), "kept": kept})
+        return _sums(q, part, part.less(model, new), parts, False)
 
+    return run
 
-def _sweeper(model: Model, folder: str, k: int, root: tuple[float, float], parts: int, burn_in: int, last: bool, seed: int):
-    """Takes the averages of sweep k - 1, whose totals are known now, then does sweep k; gives its totals."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                w, ctx, c, names = _cells(row)
-                own = model.sized(len(names))
-                order, _ = _by_part(names, parts)
-                sent = _load(f"{folder}/totals-{k}/{row['chunk']}", most=1)
-                state = _load(f"{folder}/state-{k - 1}/{row['chunk']}", most=1) if k else {}
-                tables = np.empty(len(names), np.int64)
-                tables[order] = sent[0]
-                if k:
-                    customers = state["customers"]
-                else:
-                    customers = np.empty(len(names), np.int64)
-                    customers[order] = sent[1]
-                totals = {"t": np.append(root[0], tables), "c": np.append(root[1], customers)}
-                after = {"customers": customers}
-                if k and k - 1 >= burn_in:
-                    p = state.get("sum", np.float32(0)) + own.predict(state, w, ctx, c, totals)
-                    after |= {"sum": p.astype(np.float32), "n": state.get("n", 0) + 1}
-                if last:
-                    word, n_words = own.words(w)
-                    known = np.bincount(word, weights=c, minlength=n_words).astype(np.int64)
-                    _save(f"{folder}/answer-{row['chunk']}", (np.log10(after["sum"] / after["n"]).astype(np.float32), known[word]))
-                    continue
-                rng = np.random.default_rng((seed, k, row["chunk"]))
-                new = own.sweep(state, w, ctx, c, totals, rng) | after
-                _save(f"{folder}/state-{k}/{row['chunk']}", new)
-                t, n = own.totals(new, w, ctx, c)
-                yield _sums(row["chunk"], names, [t, n[:1]], parts)
+_TABLES = "part int, chunk long, names binary, t binary"
 
-    return run
 
+def _tables(folder: str, k: int, parts: int):
+    """The contexts' last totals; and the tables of a part's cells, over all sweeps that count, to their pairs' parts."""
+    exchange = _exchange(folder, k)
 
-_ANSWERS = "block long, j binary, p binary, known binary"
+    def tables(table: pa.Table) -> pa.Table:
+        exchange(table)
+        q = table.column("part")[0].as_py()
+        part, state = Part(folder, q), _load(f"{folder}/state-{k - 1}/{q}", most=1)
+        cell = part.ctx > 0
+        names, t = _pair(part.words, part.names)(part.w[cell], part.ctx[cell] - 1), _unints(state["sum"])[cell]
+        order = np.argsort(names, kind="stable")
+        names, t = names[order], t[order]
+        ends = _ends(names, parts)
+        return _rows(_TABLES, [{"part": r, "chunk": q, "names": _steps(names[a:b]), "t": _ints(t[a:b])} for r, (a, b) in enumerate(zip(ends, ends[1:]))])
 
+    return tables
 
-def _answer(folder: str, most: int = 1 << 20):
-    """Answers to many questions at once, a row for each block that asked."""
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
+_ANSWERS = "block long, part int, kind int, pairs long, asked binary, c binary, t binary"
 
-        def close() -> pa.RecordBatch:
-            block, j, p, known = (np.concatenate(x) for x in zip(*kept))
-            kept.clear()
-            order = np.argsort(block, kind="stable")
-            blocks, first = np.unique(block[order], return_index=True)
-            columns = [[x.tobytes() for x in np.split(y[order], first[1:])] for y in (j, p, known)]
-            return pa.record_batch([pa.array(blocks), *[pa.array(c, pa.binary()) for c in columns]], ["block", "j", "p", "known"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                p, known = _load(f"{folder}/answer-{row['chunk']}", most=1)
-                cell = np.frombuffer(row["cell"], np.int32)
-                kept.append((np.frombuffer(row["block"], np.int64), np.frombuffer(row["j"], np.int32), p[cell], known[cell]))
-            if sum(len(x[0]) for x in kept) >= most:
-                yield close()
-        if kept:
-            yield close()
+def _pair_answers(folder: str, sweeps: int):
+    """Customers and tables (over so many sweeps) of the pairs that are in several blocks or have several customers."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        q = rows[0]["part"]
+        cells, total, asked = _load(f"{folder}/pairs-{q}", most=1)
+        cells, total = _unsteps(cells), _unints(total)
+        of_cell = np.zeros(len(cells), np.int64)
+        of_cell[np.searchsorted(cells, _joined(rows, "names", _unsteps, np.uint64))] = _joined(rows, "t", _unints, np.int64)
+        t = total * sweeps
+        t[total > 1] = of_cell
+        out = []
+        for block, (n, mask, number) in asked.items():
+            number = _unsteps(number).astype(np.int64)
+            out.append({"block": block, "part": q, "kind": 1, "pairs": n, "asked": mask, "c": _ints(total[number]), "t": _ints(t[number])})
+        return _rows(_ANSWERS, out)
 
     return answer
 
 
-def _deliver(folder: str):
-    def deliver(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        j, p, known = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("j", np.int32), ("p", np.float32), ("known", np.int64)))
-        log_p, counts = np.empty(len(j), np.float32), np.empty(len(j), np.int64)
-        log_p[j], counts[j] = p, known
-        _save(f"{folder}/block-{block}", (log_p, counts))
-        return pa.table({"block": pa.array([block], pa.int64())})
+def _word_answers(folder: str, burn_in: int, sweeps: int):
+    """Of each word that a block asked for: training count, and for each sweep that counts customers less tables as a
+    context, customers and tables in the root."""
 
-    return deliver
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q in batch.column(0).to_pylist():
+                known = _unints(_load(f"{folder}/words-{q}", most=1)[1])
+                kept = _load(f"{folder}/state-{sweeps - 1}/{q}", most=1)["kept"]
+                less = [_unints(_load(f"{folder}/less-{k + 1}-{q}", most=1)) for k in range(burn_in, sweeps)]
+                every = np.stack([known, *less, *[_unints(x) for both in zip(*kept) for x in both]])
+                for block, at in _load(f"{folder}/asked-{q}", most=1).items():
+                    yield from _rows(_ANSWERS, [{"block": block, "part": q, "kind": 0, "c": _ints(every[:, _unsteps(at).astype(np.int64)].ravel())}]).to_batches()
 
+    return answer
 
-def _score(folder: str, tokens: int, vocabulary: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_known, base, own = [], [], []
-            for row in batch.to_pylist():
-                log_p, known = _load(f"{folder}/block-{row['block']}", most=1)
-                at = common.unplanes(row["places"])
-                own.append(float(log_p[at].sum(dtype=np.float64)))
-                count = known[at]
-                n_known.append(int((count > 0).sum()))
-                base.append(float(np.log10((count + 1) / (tokens + vocabulary + 1)).sum()))
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("held"), batch.column("n"), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())],
-                ["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+
+def _score(folder: str, model: Model, roots: list[tuple[float, float]], tokens: int, vocabulary: int):
+    """The documents of a block; roots: the root's totals after each sweep that counts."""
+    d, theta, many = model.d[1], model.theta[1], len(roots)
+
+    def score(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
+        block = Block.load(f"{folder}/block-{rows[0]['block']}")
+        words, pairs = ([r for r in rows if r["kind"] == k] for k in (0, 1))
+        got = np.empty((1 + 3 * many, len(block.words)), np.int64)
+        got[:, np.argsort(block.words)] = np.concatenate([_unints(r["c"]).reshape(1 + 3 * many, -1) for r in words], axis=1)
+        known, less, customers, tables = got[0], got[1 : 1 + many], got[1 + many : 1 + 2 * many], got[1 + 2 * many :]
+        _, first, at, c = block.pairs()
+        asked = np.concatenate([_unbits(r["asked"], r["pairs"]) for r in pairs])
+        t = c * many  # a pair that no other block has, and one customer at most
+        c[asked], t[asked] = (_joined(pairs, x, _unints, np.int64) for x in ("c", "t"))
+        w, ctx = block.place[first], block.before[first]
+        up = np.zeros(len(first))
+        for k, root in enumerate(roots):
+            mass = model.root_mass(customers[k], tables[k], model.base(known), {"t": root}) / (model.theta[0] + root[1])
+            up += (theta + d * (known - less[k]))[ctx] * mass[w]
+        log_p = np.log10((c - d * t / many + up / many) / (theta + known[ctx]))
+        begins = np.cumsum(block.n) - block.n
+        base = np.log10((known + 1) / (tokens + vocabulary + 1))[block.place]
+        columns = {
+            "id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.n, pa.int64()),
+            "n_known": pa.array(np.add.reduceat((known > 0)[block.place].astype(np.int64), begins)),
+            "base_score": pa.array(np.add.reduceat(base, begins)), "score": pa.array(np.add.reduceat(log_p[at], begins)),
+        }
+        return pa.table(columns)
 
     return score
 
@@ -578,62 +653,52 @@ def score_documents(
     discount: tuple[float, float] = (0.6, 0.8),
     strength: tuple[float, float] = (1.0, 1.0),
     block_tokens: int = 1 << 21,
-    chunk_cells: int = 200_000,
+    chunk_cells: int = 2_000_000,
     seed: int = 7,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; see the module.
 
     Perplexity of a text: 10 ** (-score / n_tokens). discount and strength: of the root and of the contexts.
+    chunk_cells: tokens for each part, about, at six bytes each; what a part holds of one word is not split.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     folder = common.shared_dir(spark, "pitman-yor")
     common.make_dir(folder)
+    burn_in = min(burn_in, sweeps - 1)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    counts = rows.mapInArrow(_count(modulus, remainder), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    counts = common.materialized(counts, f"{folder}/counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    cut = rows.mapInArrow(_blocks(modulus, remainder, block_tokens), _BLOCK)
-    cut.write.option("compression", "zstd").parquet(f"{folder}/cut")
-    cut = spark.read.schema(cut.schema).parquet(f"{folder}/cut")
-    asked = cut.where("kind = 1").select("w", "ctx", "c", "block", "j")
-    packed = asked.repartition("w").sortWithinPartitions("w", "ctx").mapInArrow(_pack(chunk_cells), _CHUNK)
-    packed.write.option("compression", "zstd").parquet(f"{folder}/packed")
-    packed = spark.read.schema(packed.schema).parquet(f"{folder}/packed")
-    cells = packed.where("kind = 0").select("chunk", "w", "ctx", "c")
-    model = Model(0, v, unknown, discount, strength)
-    parts = max(8, n >> 21)  # of the contexts, by hash; each sums the totals of its own
-    common.small_batches(spark, 16)  # rows are chunks here
-
-    def exchanged(sums: DataFrame, k: int, planes: int) -> tuple[float, float]:
-        """Runs a sweep; contexts' totals go to the folder of sweep k, chunk by chunk, the root's are returned."""
-        sums.write.option("compression", "zstd").parquet(f"{folder}/sums-{k}")
-        sums = spark.read.schema(sums.schema).parquet(f"{folder}/sums-{k}")
-        common.make_dir(f"{folder}/totals-{k}")
-        replies = sums.where("part >= 0").groupBy("part").applyInArrow(_exchange, "chunk long, part int, v binary")
-        replies.groupBy("chunk").applyInArrow(_settle(f"{folder}/totals-{k}", planes), "chunk long").write.parquet(f"{folder}/settled-{k}")
-        got = tuple(sums.where("part < 0").agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0.0))).first())
-        common.remove(f"{folder}/sums-{k}")
-        return got
+    parts = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (6 * chunk_cells))
 
-    root = exchanged(cells.mapInArrow(_opening(model, parts), _SUMS), 0, 2)
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    sent = rows.mapInArrow(_blocks(modulus, remainder, block_tokens, parts, folder), _SENT)
+    owned = written(sent.groupBy("part").applyInArrow(_merge(folder), _OWNED), "owned")
+    n, v = owned.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    model = Model(0, v, unknown, discount, strength)
+    cells = owned.where("block IS NOT NULL").groupBy("block").applyInArrow(_cells(folder, parts), _CELLS)
+    sums = written(cells.groupBy("part").applyInArrow(_gather(folder, model, parts), _SUMS), "sums-0")
+    roots = []
     for k in range(sweeps + 1):
-        last = k == sweeps
-        common.make_dir(f"{folder}/state-{k}")
-        sums = cells.mapInArrow(_sweeper(model, folder, k, root, parts, min(burn_in, sweeps - 1), last, seed), _SUMS)
-        if last:
-            sums.count()
+        root = tuple(sums.where("part < 0").agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0.0))).first())
+        roots.append(root)
+        shares = sums.where("part >= 0").groupBy("part")
+        if k < sweeps:
+            common.make_dir(f"{folder}/state-{k}")
+            replies = shares.applyInArrow(_exchange(folder, k), _REPLIES).groupBy("chunk")
+            sums = written(replies.applyInArrow(_sweeper(model, folder, k, root, parts, burn_in, seed), _SUMS), f"sums-{k + 1}")
         else:
-            root = exchanged(sums, k + 1, 1)
-        # A sweep reads the states and totals of the one before alone.
-        common.remove(f"{folder}/totals-{k}")
-        if k:
+            tables = written(shares.applyInArrow(_tables(folder, k, parts), _TABLES), "tables")
+        # A sweep reads the state and totals of the one before alone.
+        common.remove(f"{folder}/sums-{k}")
+        if 0 < k < sweeps:
             common.remove(f"{folder}/state-{k - 1}")
-    answers = packed.where("kind = 1").select("chunk", "cell", "block", "j").mapInArrow(_answer(folder), _ANSWERS)
-    answers.groupBy("block").applyInArrow(_deliver(folder), "block long").write.parquet(f"{folder}/delivered")
-    texts = cut.where("kind = 0").select("block", "id", "held", "n", "places")
+    of_pairs = tables.groupBy("part").applyInArrow(_pair_answers(folder, sweeps - burn_in), _ANSWERS)
+    of_words = owned.where("block IS NULL").select("part").mapInArrow(_word_answers(folder, burn_in, sweeps), _ANSWERS)
     schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return texts.mapInArrow(_score(folder, n, v), schema).withColumn("train_tokens", F.lit(n).cast("long"))
+    scored = of_pairs.unionByName(of_words).groupBy("block").applyInArrow(_score(folder, model, roots[burn_in + 1 :], n, v), schema)
+    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -472,6 +472,41 @@ def test_every_word_opens_a_context(spark):
         assert score[own] > math.log10(1 / 500) - 0.3 and score[own] - score[other] > 3
 
 
+@pytest.mark.parametrize("block_tokens, chunk_cells", [(1 << 21, 2_000_000), (100, 300)])
+def test_pitman_yor_counts_pairs_over_blocks(spark, block_tokens, chunk_cells):
+    """With discounts and strengths near zero each cell has one table, so all scores are known; words of one and of many blocks."""
+    rng, small = random.Random(4), 1e-9
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") + (str(rng.randrange(300)) if rng.random() < 0.2 else "") for _ in range(rng.randrange(12)))) for i in range(150)]
+    train, held = [], {i: pitman_yor.is_held_out(i, 7, 2) for i, _ in rows}
+    docs = {i: ["\n", *t.split(), "\n"] for i, t in rows}
+    for i, ws in docs.items():
+        train += [] if held[i] else list(zip(ws, ws[1:]))
+    c, n, known = collections.Counter(train), collections.Counter(u for u, _ in train), collections.Counter(w for _, w in train)
+    after, before = collections.Counter(u for u, _ in c), collections.Counter(w for _, w in c)
+    up = lambda w: before[w] / len(c) if w in known else small * (1 + len(known)) * 0.5 / len(c)
+
+    def p(u: str, w: str) -> float:
+        return c[u, w] / n[u] if c[u, w] else small * (1 + after[u]) * up(w) / n[u] if n[u] else up(w)
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pitman_yor.score_documents(frame, discount=(small, small), strength=(small, small), block_tokens=block_tokens, chunk_cells=chunk_cells).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ws = docs[r.id]
+        assert r.n_known == sum(w in known for w in ws[1:])
+        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip(ws, ws[1:])), rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_pitman_yor_keeps_few_bytes_a_token(spark, tmp_path, monkeypatch):
+    """What lies in the shared folder at the end, of words that rarely stand together twice."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 2000) % 20_000)) for i in range(100)]
+    monkeypatch.setattr(pitman_yor.common, "shared_dir", lambda spark, what: f"file://{tmp_path}/{what}")
+    assert pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).count() == 100
+    kept = sum(x.stat().st_size for x in tmp_path.rglob("*") if x.is_file()) / 200_100
+    assert kept < 12, f"{kept:.2f} bytes a token"
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):
