@@ -42,26 +42,36 @@ class BytePairEncoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
+        # GPT-2's pre-tokens: a line feed between two non-space characters is one of its own, and what follows it begins anew.
+        rule = self.tokenizer.pre_tokenizer
+        lines = self.tokenizer.normalizer is None and type(rule).__name__ == "ByteLevel" and rule.use_regex
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids if lines else []
+        self.feed = feed[0] if len(feed) == 1 else None
         self.added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype) for x in found]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words that each follow a space, many in one text, and splits at tokens that open with a space."""
+    def _learn(self, words: list[str], before: str = " ") -> None:
+        """Encodes words that each follow a space (or open with a line feed, with nothing before them), many in one text,
+        and splits at tokens that open with a space (or at line feeds)."""
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            ids = self._encode([" " + " ".join(part)])[0]
-            starts = np.flatnonzero(self.opens[ids])
+            ids = self._encode([before + before.join(part)])[0]
+            starts = np.flatnonzero(self.opens[ids] if before else ids == self.feed)
             if len(starts) != len(part):  # a vocabulary in which the rule does not hold
-                self.cache.update(zip(part, (x.tobytes() for x in self._encode([" " + w for w in part]))))
+                self.cache.update(zip(part, (x.tobytes() for x in self._encode([before + w for w in part]))))
                 continue
             raw, cuts = ids.tobytes(), [*(starts * self.dtype.itemsize).tolist(), ids.nbytes]
             self.cache.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
 
     def _learn_all(self, words: list[str]) -> None:
         """Learns words; one that is letters and a final mark is put together from its two pre-tokens."""
+        if self.feed is not None:
+            lines = [w for w in words if w[0] == "\n"]
+            self._learn(lines, "")
+            words = [w for w in words if w[0] != "\n"]
         marked = [w for w in words if w[-1] in _MARKS and w[:-1].isalpha()]
         whole = set(words).difference(marked)
         whole.update({w[:-1] for w in marked}.difference(self.cache))
@@ -82,17 +92,18 @@ class BytePairEncoder:
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has; a null text has none.
 
-        Words are split, and equal ones found, by Arrow; Python sees each different word of the batch once.
+        Words are split, and equal ones found, by Arrow; Python sees each different word of the batch once. A line feed
+        within a word begins another one, that holds it, so that a line's last word and the next one's first are not one.
         """
         if not len(texts):
             return np.empty(0, self.dtype), np.empty(0, np.int64)
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(texts, " ")
+        lists = pc.split_pattern(texts if self.feed is None else pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-        uneven = pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary)
-        uneven = pc.or_(uneven, pc.equal(coded.dictionary, ""))
+        rest = coded.dictionary if self.feed is None else pc.replace_substring(coded.dictionary, "\n", "")
+        uneven = pc.or_(pc.not_equal(pc.utf8_trim_whitespace(rest), rest), pc.equal(rest, ""))
         for token in self.added:
             uneven = pc.or_(uneven, pc.match_substring(coded.dictionary, token))
         uneven = uneven.to_numpy(zero_copy_only=False)
@@ -120,15 +131,12 @@ class BytePairEncoder:
         pieces += [self._slow(texts[i].as_py()).tobytes() if slow[i] else h.tobytes() for i, h in enumerate(heads)]
         pieces.append(b"")
         at[firsts] = n + np.arange(len(texts))
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.dtype.itemsize
-        start = np.cumsum(size) - size
-        table = np.frombuffer(b"".join(pieces), self.dtype)
-        took = size[at]
-        ends = np.cumsum(took)
-        out = table[np.repeat(start[at] - (ends - took), took) + np.arange(ends[-1])]
+        taken = pa.array(pieces, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1] // self.dtype.itemsize
+        out = np.frombuffer(taken.buffers()[2] or b"", self.dtype)[: ends[-1]]
         if len(self.cache) > self.cache_words // 2:
             self.older, self.cache = self.cache if len(self.cache) <= self.cache_words else {}, {}
-        return out, np.add.reduceat(took, firsts)
+        return out, np.diff(ends[offsets])
 
     def encode_batch(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each whole text; a null text has none."""

@@ -507,6 +507,16 @@ def test_pitman_yor_keeps_few_bytes_a_token(spark, tmp_path, monkeypatch):
     assert kept < 12, f"{kept:.2f} bytes a token"
 
 
+def test_lines_are_words_of_their_own():
+    """60 ends and 60 beginnings of lines: each is learned once, not each pair of them; odd line feeds keep the ids."""
+    coder = tokens.BytePairEncoder(tokens.default_tokenizer())
+    texts = [" ".join(f"so word{chr(97 + i % 26)}{i}.\nNext{j} on" for j in range(60)) for i in range(60)]
+    texts += ["\n", "a\n", "\na", "a\n\nb", "a \nb", "a\n b", "a\r\nb", "a\tb\nc", "it\n's", "'s\n's x", "a\x85\nb", "", "x\n<|endoftext|>\ny", "1\n2 3\n4"]
+    for got, want in zip(coder.encode_batch(texts), coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert got.tolist() == want.ids
+    assert len(coder.cache) < 300
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):
